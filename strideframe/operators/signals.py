@@ -82,10 +82,10 @@ def zscore(df: DataFrame, keys: Sequence[str], order: str, v: str = "v", mode: s
            target_rows: int = TARGET_ROWS) -> DataFrame:
     """Demean per key; ``zscore`` also divides by the sample deviation when that exceeds 1e-12."""
     marked = add_cell(df, keys, order, target_rows)
-    rows = attach_totals(marked, keys, {"_n": ("sum", F.count(v)), "_s": ("sum", F.sum(v))})
+    rows = attach_totals(marked, keys, {"_n": ("sum", F.when(F.col(v).isNotNull(), 1)), "_s": ("sum", F.col(v))})
     rows = rows.withColumn("_d", F.col(v) - div(F.col("_s"), F.col("_n")))
     if mode == "zscore":
-        rows = attach_totals(rows, keys, {"_ss": ("sum", F.sum(F.col("_d") * F.col("_d")))})
+        rows = attach_totals(rows, keys, {"_ss": ("sum", F.col("_d") * F.col("_d"))})
         sd = F.sqrt(div(F.col("_ss"), F.col("_n") - 1, 0.0))
         rows = rows.withColumn("_d", F.when(sd > EPS, F.col("_d") / F.when(sd > EPS, sd)).otherwise(F.col("_d")))
         rows = rows.drop("_ss")

@@ -40,6 +40,7 @@ def signals(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+def rounded(df: DataFrame, digits: int = 6, **by_column: int) -> DataFrame:
     """Round every DOUBLE column, so that results compare across engines."""
-    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    return df.select(
+        *[F.round(c, by_column.get(c, digits)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
