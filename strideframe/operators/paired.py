@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,19 +54,26 @@ def paired_t(pairs: DataFrame, keys: Sequence[str], v0: str = "v0", v1: str = "v
     """
     a, b = finite(F.col(v0)), finite(F.col(v1))
     full = pairs.select(*keys, a.alias("v0"), b.alias("v1")).where("v0 is not null and v1 is not null")
-    d = F.col("v1") - F.col("v0")
     groups = pairs.select(*keys).distinct()
-    agg = full.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_pairs"), F.avg("v0").alias("mean_T0"), F.stddev_samp("v0").alias("sd_T0"),
-        F.avg("v1").alias("mean_T1"), F.stddev_samp("v1").alias("sd_T1"), F.avg(d).alias("mean_change"),
-        F.stddev_samp(d).alias("sd_change"))
+    agg = full.groupBy(*keys).agg(*_t_aggregates())
     if medians:
         for v, tag in (("v0", "median_T0"), ("v1", "median_T1")):
             agg = agg.join(exact_quantile(full, keys, v, 0.5, tag), list(keys))
     agg = groups.join(agg, list(keys), "left").withColumn("n_pairs", F.coalesce("n_pairs", F.lit(0)))
+    return _t_report(agg, ["median_T0", "median_T1"] if medians else [], interval)
+
+
+def _t_aggregates() -> list[Column]:
+    d = F.col("v1") - F.col("v0")
+    return [F.count(F.lit(1)).alias("n_pairs"), F.avg("v0").alias("mean_T0"), F.stddev_samp("v0").alias("sd_T0"),
+            F.avg("v1").alias("mean_T1"), F.stddev_samp("v1").alias("sd_T1"), F.avg(d).alias("mean_change"),
+            F.stddev_samp(d).alias("sd_change")]
+
+
+def _t_report(agg: DataFrame, extra: Sequence[str], interval: str) -> DataFrame:
     enough = F.col("n_pairs") >= 2
     varies = enough & (F.col("sd_change") >= EPS)
-    stats = ["mean_T0", "sd_T0", "mean_T1", "sd_T1", "mean_change", "sd_change"] + (["median_T0", "median_T1"] if medians else [])
+    stats = ["mean_T0", "sd_T0", "mean_T1", "sd_T1", "mean_change", "sd_change", *extra]
     agg = agg.withColumns({c: F.when(enough, F.col(c)) for c in stats})
     se = F.when(varies, F.col("sd_change") / F.sqrt(F.col("n_pairs").cast("double")))
     agg = agg.withColumns({
@@ -153,13 +161,19 @@ def mcnemar(pairs: DataFrame, keys: Sequence[str], v0: str = "v0", v1: str = "v1
         one, two = F.col("v0") != F.col("_low"), F.col("v1") != F.col("_low")
     else:
         one, two = F.col("v0") > threshold, F.col("v1") > threshold
-    agg = full.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_pairs"), F.count_if(one).alias("count_present_T0"), F.count_if(two).alias("count_present_T1"),
-        F.count_if(~one & two).alias("b"), F.count_if(one & ~two).alias("c"), F.count_if(one & two).alias("_both"))
+    return _mcnemar_report(full.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_pairs"), *_mcnemar_aggregates(one, two)))
+
+
+def _mcnemar_aggregates(one: Column, two: Column, tag: str = "") -> list[Column]:
+    return [F.count_if(one).alias(tag + "count_present_T0"), F.count_if(two).alias(tag + "count_present_T1"),
+            F.count_if(~one & two).alias(tag + "b"), F.count_if(one & ~two).alias(tag + "c"), F.count_if(one & two).alias(tag + "both")]
+
+
+def _mcnemar_report(agg: DataFrame) -> DataFrame:
     n = F.col("n_pairs").cast("double")
     p0, p1, bc = F.col("count_present_T0") / n, F.col("count_present_T1") / n, F.col("b") + F.col("c")
     chi2 = F.when(bc == 0, 0.0).otherwise(F.pow(F.abs(F.col("b") - F.col("c")) - 1, F.lit(2)) / F.when(bc != 0, bc))
-    var = (p0 * (1 - p0) + p1 * (1 - p1) - 2 * (F.col("_both") / n - p0 * p1)) / n
+    var = (p0 * (1 - p0) + p1 * (1 - p1) - 2 * (F.col("both") / n - p0 * p1)) / n
     se = F.when(var > EPS * EPS, F.sqrt(F.when(var > EPS * EPS, var)))
     ok = F.col("n_pairs") >= 2
     out = agg.withColumns({
@@ -168,7 +182,7 @@ def mcnemar(pairs: DataFrame, keys: Sequence[str], v0: str = "v0", v1: str = "v1
         "ci95_low": F.when(ok, p1 - p0 - 1.96 * se), "ci95_high": F.when(ok, p1 - p0 + 1.96 * se)})
     return out.withColumns({
         "phi": F.sqrt(F.col("chi2") / F.col("n_pairs")),
-        "p_value": F.when(bc == 0, F.when(ok, 1.0)).otherwise(chi2_1_sf(F.col("chi2")))}).drop("_both")
+        "p_value": F.when(bc == 0, F.when(ok, 1.0)).otherwise(chi2_1_sf(F.col("chi2")))}).drop("both")
 
 
 def paired_tests(pairs: DataFrame, keys: Sequence[str], metric: str = "metric", v0: str = "v0", v1: str = "v1",
@@ -181,23 +195,30 @@ def paired_tests(pairs: DataFrame, keys: Sequence[str], metric: str = "metric",
     full = pairs.select(*keys, a.alias("v0"), b.alias("v1")).where("v0 is not null and v1 is not null")
     ends = full.groupBy(*keys).agg(F.least(F.min("v0"), F.min("v1")).alias("_lo"), F.greatest(F.max("v0"), F.max("v1")).alias("_hi"))
     inner = (F.col("v0") > F.col("_lo")) & (F.col("v0") < F.col("_hi")) | (F.col("v1") > F.col("_lo")) & (F.col("v1") < F.col("_hi"))
-    kind = full.join(ends, list(keys)).groupBy(*keys).agg(F.count_if(inner).alias("_inner")).select(
-        *keys, F.when(F.lower(metric).contains(presence_marker), "chi2").when(F.col("_inner") == 0, "mcnemar").otherwise("paired_t").alias("test_type"))
+    presence = F.lower(F.col(metric)).contains(presence_marker)
+    cut = F.when(presence, 0.5).otherwise(F.col("_lo"))
+    one, two = F.col("v0") > cut, F.col("v1") > cut
+    agg = full.join(ends, list(keys)).groupBy(*keys).agg(
+        *_t_aggregates(), F.count_if(inner).alias("_inner"), *[c for c in _mcnemar_aggregates(one, two)])
+    agg = agg.withColumn("test_type", F.when(presence, "chi2").when(F.col("_inner") == 0, "mcnemar").otherwise("paired_t"))
     shared = ["n_pairs", "mean_T0", "mean_T1", "mean_change", "ci95_low", "ci95_high", "stat", "df", "p_value", "effect"]
-    tagged = full.join(kind, list(keys))
-    one_df = {"df": F.lit(1.0)}
-    t = paired_t(tagged.where("test_type = 'paired_t'"), keys).withColumns({"stat": F.col("t_stat"), "effect": F.col("effect_size_dz")})
-    m = mcnemar(tagged.where("test_type = 'mcnemar'"), keys).withColumns({"stat": F.col("chi2"), "effect": F.col("phi"), **one_df})
-    c = mcnemar(tagged.where("test_type = 'chi2'"), keys, threshold=0.5).withColumns(
-        {"stat": F.col("chi2"), "effect": F.col("phi"), "ci95_low": F.lit(None).cast("double"), "ci95_high": F.lit(None).cast("double"), **one_df})
-    parts = [x.select(*keys, *shared, F.lit(name).alias("test_type")) for x, name in ((t, "paired_t"), (m, "mcnemar"), (c, "chi2"))]
-    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    t = _t_report(agg, [], "t").withColumns({"stat": F.col("t_stat"), "effect": F.col("effect_size_dz")})
+    t = t.select(*keys, "test_type", *[F.col(c).alias(f"_t_{c}") for c in shared], "count_present_T0", "count_present_T1", "b", "c", "both",
+                 F.col("n_pairs"))
+    m = _mcnemar_report(t).withColumns({"stat": F.col("chi2"), "effect": F.col("phi"), "df": F.lit(1.0)})
+    is_t, is_presence = F.col("test_type") == "paired_t", F.col("test_type") == "chi2"
+    m = m.withColumns({c: F.when(is_presence, None).otherwise(F.col(c)) for c in ("ci95_low", "ci95_high")})
+    out = m.select(*keys, *[F.when(is_t, F.col(f"_t_{c}")).otherwise(F.col(c)).alias(c) for c in shared], "test_type")
     change = F.col("mean_change")
     return out.withColumn("direction", F.when(change > 0, "increase").when(change < 0, "decrease").otherwise("none"))
 
 
 def bh_fdr(stats: DataFrame, family: Sequence[str], p: str = "p_value", tie: Sequence[str] = (), out: str = "q_value") -> DataFrame:
-    """Benjamini-Hochberg q within each family (NULL is a family of its own); NULL p keeps NULL q."""
+    """Benjamini-Hochberg q within each family (NULL is a family of its own); NULL p keeps NULL q.
+
+    The statistics table (one row per test) is read several times, so it is cached, not recomputed.
+    """
+    stats = stats.persist(StorageLevel.MEMORY_AND_DISK)
     fam = F.to_json(F.struct(*family), {"ignoreNullFields": "false"}) if family else F.lit("all")
     marked = stats.withColumn("_fam", fam)
     tested = marked.where(F.col(p).isNotNull()).withColumnsRenamed({"n": "_n", "idx": "_idx"})
