@@ -1,4 +1,11 @@
 """Composed pipelines and the query registry."""
 
-from strideframe.plans import feature_queries, quality_queries, signal_queries, stats_queries  # noqa: F401
+from strideframe.plans import (  # noqa: F401
+    cluster_queries,
+    feature_queries,
+    quality_queries,
+    selection_queries,
+    signal_queries,
+    stats_queries,
+)
 from strideframe.plans.registry import QUERIES, SQL  # noqa: F401
