@@ -49,12 +49,13 @@ def stack_components(w: DataFrame, task: Sequence[str], comp: str = "comp", chan
     """
     w = w.where(F.col(weight).isNotNull())
     tasks = w.select(*task).distinct().agg(F.count(F.lit(1)).alias("n")).scalar()
-    common = w.select(*task, channel).distinct().groupBy(channel).agg(F.count(F.lit(1)).alias("_t")).where(F.col("_t") == tasks).select(channel)
-    kept = w.join(common, channel)
-    rows = kept.groupBy(*task, comp).agg(F.array_sort(F.collect_list(F.struct(channel, weight))).alias("_v"))
+    common = w.select(*task, channel).distinct().groupBy(channel).agg(F.count(F.lit(1)).alias("_t")).where(F.col("_t") == tasks)
+    names = common.agg(F.array_sort(F.collect_list(channel)).alias("names")).scalar()
+    rows = w.groupBy(*task, comp).agg(F.map_from_entries(F.collect_list(F.struct(channel, F.col(weight).cast("double")))).alias("_m"))
+    rows = rows.withColumn("channels", names).withColumn(
+        "vector", F.transform("channels", lambda c: F.coalesce(F.try_element_at(F.col("_m"), c), F.lit(0.0))))
     k = F.count(F.lit(1)).over(W.partitionBy(*task))
-    return rows.select(*task, comp, unit(F.transform("_v", lambda s: s[weight])).alias("vector"),
-                       F.transform("_v", lambda s: s[channel]).alias("channels"), k.alias("k"), (1.0 / k).alias("sample_weight"))
+    return rows.select(*task, comp, unit(F.col("vector")).alias("vector"), "channels", k.alias("k"), (1.0 / k).alias("sample_weight"))
 
 
 def nearest_centroid(vectors: DataFrame, centroids: DataFrame, vector: str = "vector", cluster: str = "cluster", centre: str = "vector",
@@ -120,16 +121,6 @@ def _assign(cost: np.ndarray) -> np.ndarray:
     return match[1:] - 1
 
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def _best_matching(flat: pd.Series) -> pd.Series:
-    """Row index matched to each column of a flattened square similarity matrix."""
-    out = []
-    for f in flat:
-        k = int(round(len(f) ** 0.5))
-        out.append(_assign(-np.asarray(f, dtype=float).reshape(k, k)).astype("int32"))
-    return pd.Series(out)
-
-
 def align_components(new: DataFrame, ref: DataFrame, on: Sequence[str], comp: str = "comp", vector: str = "vector") -> DataFrame:
     """Match components of ``new`` to ``ref`` one to one by total cosine: on, comp (of new), ref_comp, similarity.
 
@@ -141,13 +132,21 @@ def align_components(new: DataFrame, ref: DataFrame, on: Sequence[str], comp: st
 
     both = packed(new, "_a").join(packed(ref, "_b"), list(on))
     sims = F.flatten(F.transform("_a", lambda a: F.transform(F.col("_b"), lambda b: dot(a["u"], b["u"]))))
-    square = F.size("_a") == F.size("_b")
-    both = both.withColumn("_sim", sims).withColumn("_m", _best_matching(F.when(square, F.col("_sim")).otherwise(F.array(F.lit(0.0)))))
-    width = F.least(F.size("_a"), F.size("_b"))
-    order = F.when(square, F.col("_m")).otherwise(F.sequence(F.lit(0), width - 1))
-    rows = both.select(*on, "_a", "_b", "_sim", F.posexplode(order).alias("_j", "_i"))
-    return rows.select(*on, F.col("_a")[F.col("_i")]["c"].alias(comp), F.col("_b")[F.col("_j")]["c"].alias("ref_comp"),
-                       F.col("_sim")[F.col("_i") * F.size("_b") + F.col("_j")].alias("similarity"))
+    both = both.select(*on, F.transform("_a", lambda a: a["c"]).alias("_ca"), F.transform("_b", lambda b: b["c"]).alias("_cb"), sims.alias("_sim"))
+    kind = new.schema[comp].dataType
+    schema = T.StructType([*[new.schema[k] for k in on], T.StructField(comp, kind), T.StructField("ref_comp", kind), T.StructField("similarity", T.DoubleType())])
+
+    def match(batches):
+        for pdf in batches:
+            out = []
+            for row in pdf.itertuples(index=False):
+                *key, ca, cb, sim = row
+                s = np.nan_to_num(np.asarray(sim, dtype=float)).reshape(len(ca), len(cb))
+                order = _assign(-s) if len(ca) == len(cb) else np.arange(min(s.shape))
+                out += [(*key, ca[i], cb[j], float(s[i, j])) for j, i in enumerate(order)]
+            yield pd.DataFrame(out, columns=schema.names)
+
+    return both.mapInPandas(match, schema)
 
 
 def component_similarity(new: DataFrame, ref: DataFrame, on: Sequence[str], comp: str = "comp", vector: str = "vector") -> DataFrame:

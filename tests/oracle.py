@@ -76,7 +76,7 @@ def main() -> None:
             else:
                 print(f"{name:28s} rows={len(got):7d} spark={took:6.2f}s (no sql)\n{got.head(3).to_string() if os.environ.get('SHOW') else ''}", flush=True)
         except Exception as e:  # report and go on to the next query
-            print(f"{name:28s} ERROR {str(e)[:1500]}", flush=True)
+            print(f"{name:28s} ERROR {str(e).split(chr(10))[0][:400]}", flush=True)
 
 
 if __name__ == "__main__":
