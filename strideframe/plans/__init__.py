@@ -3,6 +3,7 @@
 from strideframe.plans import (  # noqa: F401
     cluster_queries,
     feature_queries,
+    fusion_queries,
     quality_queries,
     selection_queries,
     signal_queries,

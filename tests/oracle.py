@@ -9,6 +9,7 @@ import time
 
 import duckdb
 import numpy as np
+import pandas as pd
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
@@ -23,7 +24,7 @@ def connect(sf: str) -> duckdb.DuckDBPyConnection:
 
 
 def _cell(x):
-    if x is None or x is np.ma.masked:
+    if x is None or x is pd.NA or x is pd.NaT:
         return None
     if isinstance(x, (float, np.floating)):
         return None if math.isnan(x) else float(x) + 0.0
