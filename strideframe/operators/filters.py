@@ -151,4 +151,5 @@ def filter_channels(df: DataFrame, keys: Sequence[str], order: str, stages: Sequ
         res[out] = res[out].astype(object).where(res[out].notna(), None)
         return res
 
-    return rows.groupBy(*keys, "block").applyInPandas(kernel, schema)
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(tasks, *keys, "block").groupBy(*keys, "block").applyInPandas(kernel, schema)

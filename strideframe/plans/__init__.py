@@ -2,6 +2,7 @@
 
 from strideframe.plans import (  # noqa: F401
     cluster_queries,
+    factor_queries,
     feature_queries,
     fusion_queries,
     quality_queries,
