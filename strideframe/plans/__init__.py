@@ -8,6 +8,7 @@ from strideframe.plans import (  # noqa: F401
     quality_queries,
     selection_queries,
     signal_queries,
+    signal_rate_queries,
     stats_queries,
 )
 from strideframe.plans.registry import QUERIES, SQL  # noqa: F401

@@ -1 +1,20 @@
+"""Readers and writers for recordings, labels, features and results."""
 
+from strideframe.sources.recordings import (  # noqa: F401
+    RecordingFiles,
+    channel_table,
+    discover_recordings,
+    read_recordings,
+    sniff_format,
+    trim_to_common_span,
+)
+from strideframe.sources.tables import (  # noqa: F401
+    entities,
+    read_demographics,
+    read_features,
+    read_or_empty,
+    read_profiles,
+    read_segments,
+    read_stage,
+    with_segments,
+)

@@ -1 +1,3 @@
+"""The fixed-length epoch operator on unbounded input."""
 
+from strideframe.streaming.epochs import epoch_statistics  # noqa: F401
