@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-from strideframe.operators.ordered import row_index
+from pyspark.sql import Window as W
 
 _BITS = 60
 
@@ -19,7 +19,7 @@ def shuffle_hash(perm: Column, unit: Column) -> Column:
 
 
 def permutation_test(units: DataFrame, keys: Sequence[str], unit: str, session: str, curve: str, points: int, n_perm: int,
-                     labels: tuple = ("T0", "T1"), small: int = 10_000) -> DataFrame:
+                     labels: tuple = ("T0", "T1"), small: int = 500) -> DataFrame:
     """Per key: n_T0, n_T1, stat_observed, p_value = (1 + #{stat >= observed}) / (1 + n_perm).
 
     ``units`` has one row per (unit, session) with a fixed-length ``curve``.  Each permutation puts the
@@ -30,11 +30,16 @@ def permutation_test(units: DataFrame, keys: Sequence[str], unit: str, session:
     unit_id = F.concat_ws(":", F.col(unit).cast("string"), F.col(session).cast("string"))
     base = units.where(F.col(session).isin(*labels)).select(*keys, unit_id.alias("_u"), (F.col(session) == labels[0]).alias("_a"),
                                                             F.col(curve).alias("_y"))
+    # every unit is hashed n_perm times: spread the units evenly instead of letting small partitions coalesce
+    base = base.repartition(max(int(units.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1), "_u")
     at = [F.col("_y")[i] for i in range(points)]
     whole = base.groupBy(*keys).agg(
         F.count_if("_a").alias("n_T0"), F.count_if(~F.col("_a")).alias("n_T1"),
         F.array(*[F.sum(F.when(F.col("_a"), y)) for y in at]).alias("_sa"), F.array(*[F.sum(y) for y in at]).alias("_sum"))
 
+    # one row per key, read by several branches: cached instead of recomputed
+    whole = whole.persist(StorageLevel.MEMORY_AND_DISK)
+
     def stat(part: Column) -> Column:
         gaps = F.zip_with(part, F.col("_sum"), lambda a, s: F.abs(a / F.col("n_T0") - (s - a) / F.col("n_T1")))
         return F.aggregate(gaps, F.lit(0.0), lambda acc, g: acc + g) / points
@@ -42,27 +47,29 @@ def permutation_test(units: DataFrame, keys: Sequence[str], unit: str, session:
     testable = whole.where("n_T0 >= 2 and n_T1 >= 2").withColumn("stat_observed", stat(F.col("_sa")))
     n = (F.col("n_T0") + F.col("n_T1")).cast("double")
     frac = F.col("n_T0") / n
-    slack = F.when(n <= small, F.lit(1.0)).otherwise(8 * F.sqrt(frac * (1 - frac) / n))
+    slack = F.when(n <= small, F.lit(1.0)).otherwise(8 * F.sqrt(frac * (1 - frac) / n) + 40 / n)
     scale = float(2**_BITS)
     cuts = testable.select(*keys, "n_T0", ((frac - slack) * scale).alias("_from"), ((frac + slack) * scale).alias("_to"))
     draws = base.join(cuts, list(keys)).withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(n_perm)))).withColumn(
         "_h", shuffle_hash(F.col("perm"), F.col("_u")))
     below = draws.groupBy(*keys, "perm", "n_T0").agg(F.count_if(F.col("_h") < F.col("_from")).alias("_below"))
     near = draws.where(F.col("_h").between(F.col("_from"), F.col("_to"))).select(*keys, "perm", "_h", "_u")
-    ranked = row_index(near, [*keys, "perm"], "_h", ["_u"])
-    edge = ranked.join(below, [*keys, "perm"]).where(F.col("idx") + F.col("_below") == F.col("n_T0") - 1)
-    edge = edge.select(*keys, "perm", F.col("_h").alias("_ch"), F.col("_u").alias("_cu"))
-    chosen = draws.select(*keys, "perm", "_h", "_u", "_y").join(edge, [*keys, "perm"]).where(
-        (F.col("_h") < F.col("_ch")) | ((F.col("_h") == F.col("_ch")) & (F.col("_u") <= F.col("_cu"))))
-    sums = chosen.groupBy(*keys, "perm").agg(F.array(*[F.sum(y) for y in at]).alias("_part"))
+    # about 8 * sqrt(n) rows per key and permutation (4e6 of 3e11), so a plain window ranks them
+    rank = F.row_number().over(W.partitionBy(*keys, "perm").orderBy("_h", "_u"))
+    edge = near.withColumn("_r", rank).join(below, [*keys, "perm"]).where(F.col("_r") + F.col("_below") == F.col("n_T0"))
+    # the cuts of a key (one number per permutation) travel to its units, not the units to the cuts
+    packed = edge.groupBy(*keys).agg(F.collect_list(F.struct("perm", F.col("_h").alias("cut"))).alias("_cuts"))
+    tried = base.select(*keys, "_u", "_y").join(packed, list(keys)).select(*keys, "_u", "_y", F.explode("_cuts").alias("_p"))
+    chosen = tried.where(shuffle_hash(F.col("_p.perm"), F.col("_u")) <= F.col("_p.cut"))
+    sums = chosen.groupBy(*keys, F.col("_p.perm").alias("perm")).agg(F.count(F.lit(1)).alias("_k"), F.array(*[F.sum(y) for y in at]).alias("_part"))
     per_perm = sums.join(testable, list(keys)).withColumn("_stat", stat(F.col("_part")))
     # sums run in another order than the observed one, hence the relative tolerance
-    hits = per_perm.groupBy(*keys).agg(F.count(F.lit(1)).alias("_drawn"),
+    hits = per_perm.groupBy(*keys).agg(F.count_if(F.col("_k") == F.col("n_T0")).alias("_drawn"),
                                        F.count_if(F.col("_stat") >= F.col("stat_observed") * (1 - 1e-9)).alias("_ge"))
     out = whole.select(*keys, "n_T0", "n_T1").join(testable.select(*keys, "stat_observed"), list(keys), "left").join(hits, list(keys), "left")
     tested = F.col("stat_observed").isNotNull()
     complete = F.when(F.col("_drawn") == n_perm, (1 + F.col("_ge")) / F.lit(1.0 + n_perm)).otherwise(
-        F.raise_error(F.lit("a permutation cut fell outside its bracket")).cast("double"))
+        F.raise_error(F.lit("a permutation cut fell outside its bracket or on equal hashes")).cast("double"))
     both = (F.col("n_T0") > 0) & (F.col("n_T1") > 0)
     return out.select(*keys, "n_T0", "n_T1", F.when(tested, F.col("stat_observed")).when(both, 0.0).alias("stat_observed"),
                       F.when(tested, complete).when(both, 1.0).alias("p_value"), F.lit(n_perm).alias("n_permutations"))
