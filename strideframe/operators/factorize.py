@@ -15,9 +15,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from strideframe.config import FactorConfig
 from strideframe.functions.numeric import div
+from strideframe.session import stage
 
 MAX_CHANNELS = 256
 MAX_LARGE_TASKS = 2_000
@@ -147,7 +149,8 @@ def _result(fits: list[_Fit], n: int, sst: np.ndarray, sse: dict[tuple[int, int]
 def factorize(rows: DataFrame, keys: Sequence[str], ks: Sequence[int], cfg: FactorConfig | None = None, vector: str = "vector") -> DataFrame:
     """All (k, restart) fits of every task: keys, k, restart, weights (k unit vectors), rss, iterations, sst and sse per channel, status.
 
-    ``rows`` needs one fixed-length ``vector`` per sample; negatives count as zero.
+    ``rows`` needs one fixed-length ``vector`` per sample; negatives count as zero.  Fitting happens
+    here, once; the result is a stage table.
     """
     cfg = cfg or FactorConfig()
     clean = rows.select(*keys, F.transform(vector, lambda v: F.greatest(F.coalesce(v.cast("double"), F.lit(0.0)), F.lit(0.0))).alias("_x"))
@@ -176,9 +179,9 @@ def factorize(rows: DataFrame, keys: Sequence[str], ks: Sequence[int], cfg: Fact
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     fitted = small.repartition(tasks, *keys).groupBy(*keys).applyInPandas(local, schema)
     if not large:
-        return fitted
+        return stage(fitted)
     done = [r for key in large for r in _fit_distributed(clean, keys, tuple(key), wanted, cfg)]
-    return fitted.unionByName(rows.sparkSession.createDataFrame(done, schema))
+    return stage(fitted.unionByName(rows.sparkSession.createDataFrame(done, schema)))
 
 
 def _fit_distributed(clean: DataFrame, keys: Sequence[str], key: tuple, ks: Sequence[int], cfg: FactorConfig) -> list[list]:
@@ -220,9 +223,8 @@ def _fit_distributed(clean: DataFrame, keys: Sequence[str], key: tuple, ks: Sequ
 
 def best_fits(fits: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Lowest-rss restart per (task, k)."""
-    ok = fits.where("status = 'ok'")
-    best = ok.groupBy(*keys, "k").agg(F.min(F.struct("rss", "restart")).alias("_b")).select(*keys, "k", F.col("_b.restart").alias("restart"))
-    return ok.join(best, [*keys, "k", "restart"])
+    order = W.partitionBy(*keys, "k").orderBy("rss", "restart")  # as many rows as restarts
+    return fits.where("status = 'ok'").withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
 
 
 def channel_table(best: DataFrame, keys: Sequence[str], channels: Sequence[str], floor: float = 1e-10) -> DataFrame:

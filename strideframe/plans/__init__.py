@@ -10,5 +10,6 @@ from strideframe.plans import (  # noqa: F401
     signal_queries,
     signal_rate_queries,
     stats_queries,
+    workflow_queries,
 )
 from strideframe.plans.registry import QUERIES, SQL  # noqa: F401

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "strideframe") -> SparkSession:
@@ -33,14 +34,26 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     Only iterative operators call this; everything else is a single lazy plan.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    if configured:
+        return configured
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
-    if not configured:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-        import tempfile
-
-        configured = tempfile.mkdtemp(prefix="strideframe-ckpt-")
-    spark.sparkContext.setCheckpointDir(configured)
-    return configured
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
+    import tempfile
+
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="strideframe-ckpt-"))
+    return spark.sparkContext.getCheckpointDir()
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """Write a stage table into the shared checkpoint folder and read it back.
+
+    Ends the lineage where a result is read several times or was costly (a model fit, a filtered
+    signal).  Parquet keeps column pruning and survives lost executors.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
