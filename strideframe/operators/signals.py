@@ -6,9 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from strideframe.functions.numeric import EPS, div, magnitude, trapezoid
-from strideframe.operators.ordered import TARGET_ROWS, add_cell, adjacent_pairs, attach_totals
+from strideframe.operators.ordered import CELL, TARGET_ROWS, add_cell, adjacent_pairs, attach_totals
 from strideframe.operators.quantiles import exact_quantile
 
 ONSET_FRACTION = 0.10  # fixed value: share of the peak that counts as active
@@ -24,7 +25,11 @@ def area(df: DataFrame, keys: Sequence[str], t: str, v: str, tie: Sequence[str]
 
 def amplitude_timing(df: DataFrame, keys: Sequence[str], t: str = "t", v: str = "v", tie: Sequence[str] = (),
                      target_rows: int = TARGET_ROWS) -> DataFrame:
-    """mean, peak, AUC, onset, offset, duration and centroid per key, time measured as phase 0..1."""
+    """mean, peak, AUC, onset, offset, duration and centroid per key, time measured as phase 0..1.
+
+    One shuffle of the samples: totals are attached, neighbours read and partial results formed on the
+    same (key, cell) partitioning; only one row per cell goes on to the key level.
+    """
     rows = attach_totals(
         add_cell(df.select(*keys, t, *tie, v), keys, t, target_rows), keys,
         {"_t0": ("min", F.col(t)), "_t1": ("max", F.col(t)), "_peak": ("max", F.col(v))},
@@ -32,21 +37,23 @@ def amplitude_timing(df: DataFrame, keys: Sequence[str], t: str = "t", v: str =
     span = F.col("_t1") - F.col("_t0")
     phase = div(F.col(t) - F.col("_t0"), span)
     active = (F.col("_peak") > EPS) & (F.col(v) >= ONSET_FRACTION * F.col("_peak"))
-    total = F.sum(v)
-    stats = rows.groupBy(*keys).agg(
-        F.count(v).alias("n"),
-        F.avg(v).alias("mean_amp"),
-        F.max(v).alias("peak_amp"),
-        F.max(span).alias("cycle_duration_s"),
-        F.min(F.when(active, phase)).alias("onset"),
-        F.max(F.when(active, phase)).alias("offset"),
-        div(F.sum(phase * F.col(v)), total, EPS).alias("centroid"),
-    )
-    areas = area(df, keys, t, v, tie, "_area", target_rows)
-    return stats.join(areas, list(keys)).select(
+    near = W.partitionBy(*keys, CELL).orderBy(t, *tie)
+    rows = rows.withColumn("_piece", trapezoid(F.lag(t).over(near), F.lag(v).over(near), F.col(t), F.col(v)))
+    edge = F.struct(t, *tie, v)
+    cells = rows.groupBy(*keys, CELL).agg(
+        F.count(v).alias("_n"), F.sum(v).alias("_s"), F.max("_peak").alias("_peak"), F.max(span).alias("_span"),
+        F.min(F.when(active, phase)).alias("_on"), F.max(F.when(active, phase)).alias("_off"), F.sum(phase * F.col(v)).alias("_pv"),
+        F.coalesce(F.sum("_piece"), F.lit(0.0)).alias("_area"), F.min(edge).alias("_head"), F.max(edge).alias("_tail"))
+    last = F.lag("_tail").over(W.partitionBy(*keys).orderBy(CELL))
+    bridge = trapezoid(last[t], last[v], F.col(f"_head.{t}"), F.col(f"_head.{v}"))
+    cells = cells.withColumn("_area", F.col("_area") + F.coalesce(bridge, F.lit(0.0)))
+    total, n = F.sum("_s"), F.sum("_n")
+    out = cells.groupBy(*keys).agg(
+        n.alias("n"), div(total, n).alias("mean_amp"), F.max("_peak").alias("peak_amp"), F.max("_span").alias("cycle_duration_s"),
+        F.sum("_area").alias("_area"), F.min("_on").alias("onset"), F.max("_off").alias("offset"), div(F.sum("_pv"), total, EPS).alias("centroid"))
+    return out.where(F.col("cycle_duration_s") > 0).select(
         *keys, "n", "mean_amp", "peak_amp", div(F.col("_area"), F.col("cycle_duration_s")).alias("auc"), "onset", "offset",
-        (F.col("offset") - F.col("onset")).alias("duration"), "centroid", "cycle_duration_s",
-    )
+        (F.col("offset") - F.col("onset")).alias("duration"), "centroid", "cycle_duration_s")
 
 
 def activation_summary(h: DataFrame, keys: Sequence[str], idx: str = "sample_idx", v: str = "h") -> DataFrame:

@@ -26,7 +26,7 @@ SELECT entity, channel, count(v) AS n, round(avg(v), 6) AS mean_amp, max(v) AS p
       - min(CASE WHEN peak > 1e-12 AND v >= 0.1 * peak THEN ph END), 6) AS duration,
   round(CASE WHEN sum(v) > 1e-12 THEN sum(ph * v) / sum(v) END, 6) AS centroid,
   round(max(t1 - t0), 6) AS cycle_duration_s
-FROM w GROUP BY 1, 2 HAVING count(*) > 1""")
+FROM w GROUP BY 1, 2 HAVING max(t1) > max(t0)""")
 def signal_auc_timing(spark, sf):
     return rounded(G.amplitude_timing(signals(spark, sf), KEYS, tie=["sample"]))
 
