@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strideframe.operators import resample as R
+from strideframe.operators.peaks import find_peaks
 from strideframe.plans.registry import SIGNAL_CTE, query, rounded, signals, table
 from strideframe.sources.sinks import quality_metadata
 from strideframe.streaming import epoch_statistics
@@ -62,3 +63,23 @@ def epoch_stats(spark, sf):
     e = table(spark, sf, "events").select(F.col("event_type").alias("channel"), "ts", F.col("value").alias("v"))
     out = epoch_statistics(e, ["channel"], length="1 day", step="12 hours")
     return rounded(out.withColumn("epoch_start", F.unix_seconds("epoch_start")))
+
+
+@query("peaks", f"""
+WITH {SIGNAL_CTE}, i AS (SELECT channel, t, v, row_number() OVER (PARTITION BY channel ORDER BY t, sample) - 1 AS idx FROM s),
+c AS (SELECT *, sum(CASE WHEN v IS DISTINCT FROM p THEN 1 ELSE 0 END) OVER (PARTITION BY channel ORDER BY idx) AS run FROM (SELECT *, lag(v) OVER (PARTITION BY channel ORDER BY idx) AS p FROM i)),
+r AS (SELECT channel, run, any_value(v) AS v, (min(idx) + max(idx)) // 2 AS pos FROM c GROUP BY 1, 2),
+m AS (SELECT channel, v AS top, pos FROM (SELECT *, lag(v) OVER o AS a, lead(v) OVER o AS b FROM r WINDOW o AS (PARTITION BY channel ORDER BY run)) WHERE v > a AND v > b),
+h AS (SELECT channel, pos, top, coalesce(max(CASE WHEN idx < pos AND v > top THEN idx END), -1) AS l, coalesce(min(CASE WHEN idx > pos AND v > top THEN idx END), 1000000000) AS r FROM m JOIN i USING (channel) GROUP BY 1, 2, 3),
+d AS (SELECT channel, pos, top, min(CASE WHEN idx > l AND idx <= pos THEN v END) AS ml, min(CASE WHEN idx < r AND idx >= pos THEN v END) AS mr FROM h JOIN i USING (channel) GROUP BY 1, 2, 3)
+SELECT d.channel, pos AS idx, round(t, 6) AS t, v FROM d JOIN i ON i.channel = d.channel AND i.idx = pos WHERE top - greatest(ml, mr) >= 20""")
+def peaks(spark, sf):
+    """Peaks of each channel by prominence alone."""
+    return rounded(find_peaks(signals(spark, sf), ["channel"], "t", tie=["sample"], distance=1, prominence=20.0))
+
+
+@query("peaks_thinned")
+def peaks_thinned(spark, sf):
+    """Peaks with a minimum distance as well, counted per channel."""
+    p = find_peaks(signals(spark, sf), ["channel"], "t", tie=["sample"], distance=25, prominence=5.0)
+    return rounded(p.groupBy("channel").agg(F.count(F.lit(1)).alias("n_peaks"), F.avg("v").alias("mean_height")))

@@ -1,5 +1,6 @@
 """Readers and writers for recordings, labels, features and results."""
 
+from strideframe.sources.eeg import eeg_channel_type, file_keys, read_sensor_layout  # noqa: F401
 from strideframe.sources.recordings import (  # noqa: F401
     RecordingFiles,
     channel_table,
@@ -15,6 +16,7 @@ from strideframe.sources.tables import (  # noqa: F401
     read_or_empty,
     read_profiles,
     read_segments,
+    read_selection,
     read_stage,
     with_segments,
 )

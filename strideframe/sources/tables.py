@@ -78,3 +78,11 @@ def entities(df: DataFrame, patient: str = "patient_id", task: str = "task_name"
 def with_segments(recordings: DataFrame, segments: DataFrame, on: Sequence[str] = ("patient_id", "task_name"), present: bool = True) -> DataFrame:
     """Recordings that have (or still lack) segments."""
     return recordings.join(segments.select(*on).distinct(), list(on), "left_semi" if present else "left_anti")
+
+
+def read_selection(spark: SparkSession, root: str, on: Sequence[str] = ("patient_id", "task_name")) -> DataFrame:
+    """Metrics by k with each task's recommendation; a JSON list of channel VAF becomes an array."""
+    metrics = spark.read.parquet(f"{root}/metrics_by_k")
+    if dict(metrics.dtypes).get("per_muscle_vaf") == "string":
+        metrics = metrics.withColumn("per_muscle_vaf", F.from_json("per_muscle_vaf", "array<double>"))
+    return metrics.join(spark.read.parquet(f"{root}/recommendations"), list(on), "left")

@@ -153,3 +153,24 @@ def test_stream_equals_batch(spark, tmp_path):
     got = {tuple(r) for r in spark.table("epochs").select("k", "epoch_start", "n").collect()}
     want = {tuple(r) for r in epoch_statistics(df, ["k"]).select("k", "epoch_start", "n").collect()}
     assert got == want and len(got) > 100
+
+
+def test_eeg_side_files(spark, tmp_path):
+    from strideframe.operators.reshape import pair_files
+    from strideframe.sources import eeg_channel_type, file_keys, read_sensor_layout
+
+    def layout(name, n):
+        rows = "".join(f"<sensor><name/><number>{i}</number><x>{i}.0</x><y>1.0</y><z>2.0</z></sensor>" for i in range(1, n + 1))
+        (tmp_path / name).write_text(f'<?xml version="1.0"?><sensorLayout xmlns="http://example.org/l"><sensors>{rows}</sensors></sensorLayout>')
+        return str(tmp_path / name)
+
+    got = read_sensor_layout(spark, layout("full.xml", 257)).orderBy("number").collect()
+    assert len(got) == 257 and got[0]["channel"] == "EEG 1" and abs(got[9]["x"] - 0.1) < 1e-12 and got[-1]["channel"] == "EEG VREF"
+    with pytest.raises(Exception, match="lacks"):
+        read_sensor_layout(spark, layout("part.xml", 200)).collect()
+    kinds = spark.createDataFrame([("EEG 5",), ("EEG VREF",), ("EDF Annotations",), ("ECG",)], "c string").select(eeg_channel_type(F.col("c"))).collect()
+    assert [r[0] for r in kinds] == ["eeg", "misc", "stim", "misc"]
+    names = ["AB_1_T0_20200101_101010.edf", "AB_1_F_T0_20200101_101010.mff", "AB_2_T0_20200101_101010_fil.edf", "AB_2_T0_20200101_101110.mff", "AB_2_T1_20200101_101010.edf", "notes.txt"]
+    keys = file_keys(spark.createDataFrame([(f"/x/{n}",) for n in names], "path string"))
+    pairs = pair_files(keys.where("kind = 'edf'").drop("kind"), keys.where("kind = 'mff'").drop("kind"), by=["subject"]).orderBy("subject").collect()
+    assert [(r["subject"], r["visit"]) for r in pairs] == [("AB_1", "T0"), ("AB_2", "T0")] and pairs[1]["path_b"].endswith("101110.mff")
