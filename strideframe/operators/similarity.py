@@ -45,14 +45,14 @@ def unit_columns(w: DataFrame, task: Sequence[str], comp: str = "comp", weight:
 def stack_components(w: DataFrame, task: Sequence[str], comp: str = "comp", channel: str = "channel", weight: str = "weight") -> DataFrame:
     """Unit vectors over the channels that every task has, in name order, with weight 1/k per task.
 
-    Returns task, comp, vector, channels, k, sample_weight.
+    Returns task, comp, vector, channels, k, sample_weight; no rows when no channel is common to all.
     """
     w = w.where(F.col(weight).isNotNull())
     tasks = w.select(*task).distinct().agg(F.count(F.lit(1)).alias("n")).scalar()
     common = w.select(*task, channel).distinct().groupBy(channel).agg(F.count(F.lit(1)).alias("_t")).where(F.col("_t") == tasks)
     names = common.agg(F.array_sort(F.collect_list(channel)).alias("names")).scalar()
     rows = w.groupBy(*task, comp).agg(F.map_from_entries(F.collect_list(F.struct(channel, F.col(weight).cast("double")))).alias("_m"))
-    rows = rows.withColumn("channels", names).withColumn(
+    rows = rows.withColumn("channels", names).where(F.size("channels") > 0).withColumn(
         "vector", F.transform("channels", lambda c: F.coalesce(F.try_element_at(F.col("_m"), c), F.lit(0.0))))
     k = F.count(F.lit(1)).over(W.partitionBy(*task))
     return rows.select(*task, comp, unit(F.col("vector")).alias("vector"), "channels", k.alias("k"), (1.0 / k).alias("sample_weight"))

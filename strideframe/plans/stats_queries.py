@@ -87,24 +87,27 @@ w AS (SELECT {k}, count(*) AS m, sum(CASE WHEN d > 0 THEN rk ELSE 0 END) AS w, s
 z AS (SELECT w.*, (least(w, m * (m + 1) / 2 - w) - m * (m + 1) / 4) / sqrt((m * (m + 1) * (2 * m + 1) - ties / 2) / 24) AS z FROM w)"""
 
 
-@query("wilcoxon_normal", f"""
-WITH {_PAIRS}, {_SIGNED.format(k="o_orderpriority")}, n AS (SELECT o_orderpriority, count(*) AS n_pairs FROM d GROUP BY 1)
-SELECT o_orderpriority, n_pairs, CAST(w AS DOUBLE) AS w_plus, round({chi2_p_sql("(z * z)")}, 6) AS p_wilcoxon, false AS exact FROM z JOIN n USING (o_orderpriority)""")
-def wilcoxon_normal(spark, sf):
-    return rounded(R.wilcoxon(_pairs(spark, sf), ["o_orderpriority"]))
-
-
-@query("wilcoxon_exact", f"""
-WITH RECURSIVE e AS (SELECT c_nationkey AS g, o_custkey, avg(o_totalprice) FILTER (year(o_orderdate) = 1996) AS v0, avg(o_totalprice) FILTER (year(o_orderdate) = 1999) AS v1
-  FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderpriority = '1-URGENT' GROUP BY 1, 2),
-{_SIGNED.format(k="g")}, n AS (SELECT g, count(*) AS n_pairs FROM d GROUP BY 1),
+def _wilcoxon_sql(k: str, pairs: str, name: str) -> str:
+    """Signed-rank test with the null distribution enumerated sign by sign up to 20 pairs, normal beyond."""
+    return f"""
+WITH RECURSIVE {pairs},
+{_SIGNED.format(k=k)}, n AS (SELECT {k}, count(*) AS n_pairs FROM d GROUP BY 1),
 sub(n, i, s) AS (SELECT DISTINCT m, 0, CAST(0 AS BIGINT) FROM w WHERE m <= 20 UNION ALL
   SELECT n, i + 1, s + x.x * (i + 1) FROM sub, (VALUES (0), (1)) x(x) WHERE i < n),
 cnt AS (SELECT n AS m, s, count(*) / pow(2, n) AS p FROM sub WHERE i = n GROUP BY 1, 2),
-ex AS (SELECT g, least(1.0, 2 * least(sum(CASE WHEN s <= floor(w) THEN p ELSE 0 END), sum(CASE WHEN s >= floor(w) THEN p ELSE 0 END))) AS p FROM w JOIN cnt USING (m) GROUP BY g)
-SELECT z.g AS c_nationkey, n_pairs, CAST(w AS DOUBLE) AS w_plus,
+ex AS (SELECT {k}, least(1.0, 2 * least(sum(CASE WHEN s <= floor(w) THEN p ELSE 0 END), sum(CASE WHEN s >= floor(w) THEN p ELSE 0 END))) AS p FROM w JOIN cnt USING (m) GROUP BY {k})
+SELECT z.{k} AS {name}, n_pairs, CAST(w AS DOUBLE) AS w_plus,
   round(CASE WHEN n_pairs < 2 THEN NULL WHEN n_pairs <= 20 AND n_pairs = m THEN p ELSE {chi2_p_sql("(z * z)")} END, 6) AS p_wilcoxon, n_pairs <= 20 AND n_pairs = m AS exact
-FROM z JOIN n ON z.g = n.g LEFT JOIN ex ON ex.g = z.g""")
+FROM z JOIN n ON z.{k} = n.{k} LEFT JOIN ex ON ex.{k} = z.{k}"""
+
+
+@query("wilcoxon_normal", _wilcoxon_sql("o_orderpriority", _PAIRS, "o_orderpriority"))
+def wilcoxon_normal(spark, sf):
+    return rounded(R.wilcoxon(_pairs(spark, sf), ["o_orderpriority"]))
+
+
+@query("wilcoxon_exact", _wilcoxon_sql("g", """e AS (SELECT c_nationkey AS g, o_custkey, avg(o_totalprice) FILTER (year(o_orderdate) = 1996) AS v0,
+  avg(o_totalprice) FILTER (year(o_orderdate) = 1999) AS v1 FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderpriority = '1-URGENT' GROUP BY 1, 2)""", "c_nationkey"))
 def wilcoxon_exact(spark, sf):
     urgent = order_sessions(spark, sf).where("o_orderpriority = '1-URGENT'")
     cust = table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
@@ -119,7 +122,7 @@ WITH m AS (SELECT lang, count(*) AS n_pairs, count(*) FILTER (quality = 1) AS p0
 x AS (SELECT *, CASE WHEN b + c = 0 THEN 0.0 ELSE pow(abs(b - c) - 1, 2) / (b + c) END AS chi2, p0 / n_pairs AS m0, p1 / n_pairs AS m1 FROM m),
 y AS (SELECT *, sqrt((m0 * (1 - m0) + m1 * (1 - m1) - 2 * (d / n_pairs - m0 * m1)) / n_pairs) AS se FROM x)
 SELECT lang, n_pairs, p0 AS "count_present_T0", p1 AS "count_present_T1", n_pairs - p0 AS "count_absent_T0", n_pairs - p1 AS "count_absent_T1", b, c,
-  round(m0, 6) AS "mean_T0", round(m1, 6) AS "mean_T1", round(m1 - m0, 6) AS mean_change, round(chi2, 6) AS chi2, round(m1 - m0 - 1.96 * se, 6) AS ci95_low, round(m1 - m0 + 1.96 * se, 6) AS ci95_high,
+  round(m0, 6) AS "mean_T0", round(m1, 6) AS "mean_T1", round(m1 - m0, 6) AS mean_change, round(chi2, 6) AS chi2, round(CASE WHEN se > 1e-12 THEN m1 - m0 - 1.96 * se END, 6) AS ci95_low, round(CASE WHEN se > 1e-12 THEN m1 - m0 + 1.96 * se END, 6) AS ci95_high,
   round(sqrt(chi2 / n_pairs), 6) AS phi, round(CASE WHEN b + c = 0 THEN 1.0 ELSE {chi2_p_sql("chi2")} END, 6) AS p_value FROM y""")
 def mcnemar_labels(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "lang")
