@@ -180,15 +180,15 @@ def factorize(rows: DataFrame, keys: Sequence[str], ks: Sequence[int], cfg: Fact
     fitted = small.repartition(tasks, *keys).groupBy(*keys).applyInPandas(local, schema)
     if not large:
         return stage(fitted)
-    done = [r for key in large for r in _fit_distributed(clean, keys, tuple(key), wanted, cfg)]
+    done = _fit_distributed(clean, keys, [tuple(r) for r in large], wanted, cfg)
     return stage(fitted.unionByName(rows.sparkSession.createDataFrame(done, schema)))
 
 
-def _fit_distributed(clean: DataFrame, keys: Sequence[str], key: tuple, ks: Sequence[int], cfg: FactorConfig) -> list[list]:
-    """One large task: every iteration is a pass over its rows that returns a few small matrices per (k, restart)."""
-    mine = clean
-    for c, v in zip(keys, key):
-        mine = mine.where(F.col(c).eqNullSafe(F.lit(v)))
+def _fit_distributed(clean: DataFrame, keys: Sequence[str], tasks: list[tuple], ks: Sequence[int], cfg: FactorConfig) -> list[list]:
+    """Large tasks together: every iteration is one pass over their rows that returns a few small matrices per fit."""
+    id_schema = T.StructType([*[clean.schema[c] for c in keys], T.StructField("_task", T.IntegerType())])
+    ids = clean.sparkSession.createDataFrame([(*key, i) for i, key in enumerate(tasks)], id_schema)  # at most MAX_LARGE_TASKS rows
+    mine = clean.join(F.broadcast(ids), list(keys)).select("_task", "_x")
     cell = T.StructType([T.StructField("slot", T.IntegerType()), T.StructField("pos", T.IntegerType()), T.StructField("val", T.DoubleType())])
 
     def run(fn) -> dict[int, np.ndarray]:
@@ -196,29 +196,43 @@ def _fit_distributed(clean: DataFrame, keys: Sequence[str], key: tuple, ks: Sequ
         def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             total: dict[int, np.ndarray] = {}
             for pdf in batches:
-                if len(pdf):
-                    for slot, vec in fn(np.stack(pdf["_x"].to_numpy()).astype(float)).items():
+                for task, g in pdf.groupby("_task"):
+                    for slot, vec in fn(int(task), np.stack(g["_x"].to_numpy()).astype(float)).items():
                         total[slot] = total[slot] + vec if slot in total else vec
             for slot, vec in total.items():
                 yield pd.DataFrame({"slot": np.int32(slot), "pos": np.arange(len(vec), dtype="int32"), "val": vec})
 
-        got = mine.select("_x").mapInPandas(part, cell).groupBy("slot", "pos").agg(F.sum("val").alias("val")).toPandas().sort_values(["slot", "pos"])
+        got = mine.mapInPandas(part, cell).groupBy("slot", "pos").agg(F.sum("val").alias("val")).toPandas().sort_values(["slot", "pos"])
         return {int(s): g["val"].to_numpy() for s, g in got.groupby("slot")}
 
-    first = run(lambda x: {0: np.concatenate([[len(x), x.sum()], (x.T @ x).ravel()])})[0]
-    n, m = int(round(first[0])), int(round((len(first) - 2) ** 0.5))
-    gram = first[2:].reshape(m, m)
-    energy, sst = float(np.trace(gram)), np.diag(gram)
-    fits = _starts(gram, float(first[1]), float(n * m), [k for k in ks if k <= n], cfg)
-    while any(not f.done for f in fits):
-        live = {i: f.w for i, f in enumerate(fits) if not f.done}
-        sums = run(lambda x: {i: np.concatenate([a.ravel() for a in batch_sums(x, w)]) for i, w in live.items()})
-        for i, w in live.items():
-            k = w.shape[1]
-            fits[i].advance(sums[i][: m * k].reshape(m, k), sums[i][m * k :].reshape(k, k), energy, cfg)
-    ends = {i: f.w for i, f in enumerate(fits)}
-    errors = run(lambda x: {i: _channel_errors(x, w) for i, w in ends.items()})
-    return [[*key, *r] for r in _result(fits, n, sst, {(f.k, f.restart): errors[i] for i, f in enumerate(fits)}, cfg)]
+    facts = run(lambda task, x: {task: np.concatenate([[len(x), x.sum()], (x.T @ x).ravel()])})
+    size, energy, sst, fits = {}, {}, {}, []
+    for task, f in facts.items():
+        n, m = int(round(f[0])), int(round((len(f) - 2) ** 0.5))
+        gram = f[2:].reshape(m, m)
+        size[task], energy[task], sst[task] = n, float(np.trace(gram)), np.diag(gram)
+        fits += [(task, fit) for fit in _starts(gram, float(f[1]), float(n * m), [k for k in ks if k <= n], cfg)]
+
+    def weights(only_live: bool) -> dict[int, dict[int, np.ndarray]]:
+        out: dict[int, dict[int, np.ndarray]] = {}
+        for slot, (task, fit) in enumerate(fits):
+            if not (only_live and fit.done):
+                out.setdefault(task, {})[slot] = fit.w
+        return out
+
+    while any(not fit.done for _, fit in fits):
+        live = weights(True)
+        sums = run(lambda task, x: {s: np.concatenate([a.ravel() for a in batch_sums(x, w)]) for s, w in live.get(task, {}).items()})
+        for task, slots in live.items():
+            for s, w in slots.items():
+                m, k = w.shape
+                fits[s][1].advance(sums[s][: m * k].reshape(m, k), sums[s][m * k :].reshape(k, k), energy[task], cfg)
+    ends = weights(False)
+    errors = run(lambda task, x: {s: _channel_errors(x, w) for s, w in ends.get(task, {}).items()})
+    rows = []
+    for slot, (task, fit) in enumerate(fits):
+        rows += [[*tasks[task], *r] for r in _result([fit], size[task], sst[task], {(fit.k, fit.restart): errors[slot]}, cfg)]
+    return rows
 
 
 def best_fits(fits: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -311,11 +311,11 @@ _SLOT = "CASE s_nationkey % 5 WHEN 0 THEN 1 WHEN 1 THEN 8 WHEN 2 THEN 12 WHEN 3
 
 
 @query("muscle_names", f"""
-SELECT s_suppkey, {_CANON_M} AS muscle, CAST({_SLOT} AS INTEGER) AS slot, CASE WHEN s_nationkey % 5 < 4 THEN {_CANON_M} || ': EMG ' || ({_SLOT}) END AS emg_channel,
+SELECT s_suppkey, {_CANON_M} AS muscle, CAST(coalesce({_SLOT}, 0) AS INTEGER) AS slot, CASE WHEN s_nationkey % 5 < 4 THEN {_CANON_M} || ': EMG ' || ({_SLOT}) END AS emg_channel,
   CASE WHEN s_nationkey % 5 < 4 THEN {_CANON_M} || ': Acc ' || ({_SLOT}) || '.Y' END AS acc_channel FROM supplier""")
 def muscle_names(spark, sf):
     m = F.expr(_MUSCLE)
-    return table(spark, sf, "supplier").select("s_suppkey", X.muscle_name(m).alias("muscle"), X.muscle_slot(m).alias("slot"), X.muscle_channel(m).alias("emg_channel"),
+    return table(spark, sf, "supplier").select("s_suppkey", X.muscle_name(m).alias("muscle"), F.coalesce(X.muscle_slot(m), F.lit(0)).alias("slot"), X.muscle_channel(m).alias("emg_channel"),
                                                X.muscle_channel(m, F.lit("Y")).alias("acc_channel"))
 
 

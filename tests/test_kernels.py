@@ -94,9 +94,11 @@ def test_factorization_recovers_low_rank(spark):
     w, h = rng.random((8, 2)) * (rng.random((8, 2)) > 0.4), rng.random((120, 2))
     rows = [("t1", [float(v) for v in r]) for r in h @ w.T] + [("t2", [float(v) for v in r]) for r in rng.random((60, 8))]
     df = spark.createDataFrame(rows, "task string, vector array<double>")
-    cfg = FactorConfig(restarts=2, max_iter=200, tol=1e-8)
+    cfg = FactorConfig(restarts=2, max_iter=30, tol=1e-6)
     near = factorize.factorize(df, ["task"], [1, 2], cfg)
-    far = factorize.factorize(df, ["task"], [1, 2], FactorConfig(restarts=2, max_iter=200, tol=1e-8, max_local_cells=500))
+    far = factorize.factorize(df, ["task"], [1, 2], FactorConfig(restarts=2, max_iter=30, tol=1e-6, max_local_cells=500))  # t1 distributed, t2 local
+    every = factorize.factorize(df, ["task"], [1, 2], FactorConfig(restarts=2, max_iter=30, tol=1e-6, max_local_cells=0))
+    assert every.count() == 8 and abs(every.agg({"rss": "sum"}).collect()[0][0] - near.agg({"rss": "sum"}).collect()[0][0]) < 1e-5
     a, b = (x.toPandas().sort_values(["task", "k", "restart"]).reset_index(drop=True) for x in (near, far))
     np.testing.assert_allclose(a["rss"], b["rss"], rtol=1e-6, atol=1e-6)
     assert (a["status"] == "ok").all() and len(a) == 8
