@@ -51,7 +51,7 @@ MUSCLE_SYNONYMS = {
 
 def tolerant_double(c: Column) -> Column:
     """Text to DOUBLE, NULL when it does not parse."""
-    return F.try_cast_double(c) if hasattr(F, "try_cast_double") else F.trim(c).try_cast("double")
+    return F.trim(c).try_cast("double")
 
 
 def decimal_comma_double(c: Column) -> Column:

@@ -7,7 +7,8 @@ edge rows, key totals) travels in a table with one row per cell.  The cell width
 scalar subquery over per-key counts: no key above ``target_rows`` means a single cell per key and
 the plan costs the same as the plain window.
 
-Keys are expected to be non-null (the operators group like a join, so NULL keys would not match).
+Keys are expected to be non-null (the operators group like a join, so NULL keys would not match) and
+ordering columns to be numeric.
 """
 
 from __future__ import annotations
