@@ -294,14 +294,13 @@ def text_numbers(spark, sf):
 
 
 @query("stat_labels", """
-WITH p AS (SELECT o_orderkey, (o_totalprice - 250000) / 100000 AS d, abs(o_totalprice - 250000) / 250000 AS p FROM orders)
+WITH d AS (SELECT o_orderkey, (ln(o_totalprice) - 12) / 2 AS d FROM orders), p AS (SELECT o_orderkey, d, abs(d) / 2 AS p FROM d)
 SELECT o_orderkey, CASE WHEN p < 0.001 THEN 'p<0.001' ELSE 'p=' || printf('%.3f', p) END AS p_label, CASE WHEN p < 0.001 THEN 'q<0.001' ELSE 'q=' || printf('%.3f', p) END AS q_label,
-  'Δ=' || CASE WHEN d >= 0 THEN '+' ELSE '' END || printf('%.3f', d) AS d_label FROM p WHERE abs(p * 1000 - floor(p * 1000) - 0.5) > 1e-6 AND abs(abs(d) * 1000 - floor(abs(d) * 1000) - 0.5) > 1e-6""")
+  'Δ=' || CASE WHEN d >= 0 THEN '+' ELSE '' END || printf('%.3f', d) AS d_label FROM p""")
 def stat_labels(spark, sf):
-    """Display labels; values that sit on a rounding tie are left out of the comparison on both sides."""
-    p = table(spark, sf, "orders").select("o_orderkey", ((F.col("o_totalprice") - 250000) / 100000).alias("d"), (F.abs(F.col("o_totalprice") - 250000) / 250000).alias("p"))
-    free = [F.abs(F.abs(F.col(c)) * 1000 - F.floor(F.abs(F.col(c)) * 1000) - 0.5) > 1e-6 for c in ("p", "d")]
-    return p.where(free[0] & free[1]).select("o_orderkey", X.p_label(F.col("p")).alias("p_label"), X.p_label(F.col("p"), "q").alias("q_label"), X.delta_label(F.col("d")).alias("d_label"))
+    """Display labels of probabilities and differences; logarithms keep the values off rounding ties."""
+    d = table(spark, sf, "orders").select("o_orderkey", ((F.ln("o_totalprice") - 12) / 2).alias("d")).withColumn("p", F.abs("d") / 2)
+    return d.select("o_orderkey", X.p_label(F.col("p")).alias("p_label"), X.p_label(F.col("p"), "q").alias("q_label"), X.delta_label(F.col("d")).alias("d_label"))
 
 
 # channel names by supplier number: muscle in one of three languages or spellings, slot, and axis
@@ -347,15 +346,15 @@ def resolved_channels(spark, sf):
 
 
 @query("paired_files", """
-WITH a AS (SELECT c_nationkey AS subject, CAST(c_custkey % 2 AS INTEGER) AS visit, CAST(c_custkey AS VARCHAR) AS stamp, c_name || '.edf' AS path FROM customer WHERE c_custkey % 7 = 0),
-b AS (SELECT s_nationkey AS subject, CAST(s_suppkey % 2 AS INTEGER) AS visit, CAST(s_suppkey AS VARCHAR) AS stamp, s_name || '.mff' AS path FROM supplier),
+WITH a AS (SELECT c_nationkey AS subject, c_custkey AS visit, CASE WHEN c_nationkey % 2 = 0 THEN CAST(c_custkey AS VARCHAR) ELSE 'a' END AS stamp, c_name || '.edf' AS path FROM customer),
+b AS (SELECT s_nationkey AS subject, s_suppkey AS visit, CASE WHEN s_nationkey % 2 = 0 THEN CAST(s_suppkey AS VARCHAR) ELSE 'b' END AS stamp, s_name || '.mff' AS path FROM supplier),
 x AS (SELECT a.subject, a.visit, a.stamp, a.path AS path_a, b.path AS path_b FROM a JOIN b ON a.subject = b.subject AND a.visit = b.visit AND a.stamp = b.stamp),
 l AS (SELECT subject, visit, min(stamp) AS stamp, min(path) AS path_a FROM a GROUP BY 1, 2 HAVING count(*) = 1), r AS (SELECT subject, visit, min(path) AS path_b FROM b GROUP BY 1, 2 HAVING count(*) = 1)
 SELECT * FROM x UNION ALL SELECT l.subject, l.visit, stamp, path_a, path_b FROM l JOIN r ON l.subject = r.subject AND l.visit = r.visit WHERE l.subject NOT IN (SELECT subject FROM x)""")
 def paired_files(spark, sf):
-    """Two derived file lists (every seventh customer plays an .edf file) paired by visit and stamp."""
-    def listing(name, key, nat, title, ext):
-        t = table(spark, sf, name)
-        return t.select(F.col(nat).alias("subject"), (F.col(key) % 2).cast("int").alias("visit"), F.col(key).cast("string").alias("stamp"), F.concat(F.col(title), F.lit(ext)).alias("path"))
-    a = listing("customer", "c_custkey", "c_nationkey", "c_name", ".edf").where(F.col("stamp").cast("long") % 7 == 0)
-    return H.pair_files(a, listing("supplier", "s_suppkey", "s_nationkey", "s_name", ".mff"), by=["subject"])
+    """Customers play .edf files and suppliers .mff files of their nation; stamps agree in even nations only, the others pair by visit."""
+    def listing(name, key, nat, title, ext, own):
+        stamp = F.when(F.col(nat) % 2 == 0, F.col(key).cast("string")).otherwise(own)
+        return table(spark, sf, name).select(F.col(nat).alias("subject"), F.col(key).alias("visit"), stamp.alias("stamp"), F.concat(F.col(title), F.lit(ext)).alias("path"))
+    a = listing("customer", "c_custkey", "c_nationkey", "c_name", ".edf", "a")
+    return H.pair_files(a, listing("supplier", "s_suppkey", "s_nationkey", "s_name", ".mff", "b"), by=["subject"])

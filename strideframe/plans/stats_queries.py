@@ -106,13 +106,13 @@ def wilcoxon_normal(spark, sf):
     return rounded(R.wilcoxon(_pairs(spark, sf), ["o_orderpriority"]))
 
 
-@query("wilcoxon_exact", _wilcoxon_sql("g", """e AS (SELECT c_nationkey AS g, o_custkey, avg(o_totalprice) FILTER (year(o_orderdate) = 1996) AS v0,
-  avg(o_totalprice) FILTER (year(o_orderdate) = 1999) AS v1 FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderpriority = '1-URGENT' GROUP BY 1, 2)""", "c_nationkey"))
+@query("wilcoxon_exact", _wilcoxon_sql("g", """e AS (SELECT c_nationkey || ' ' || o_orderpriority AS g, o_custkey, avg(o_totalprice) FILTER (year(o_orderdate) = 1996) AS v0,
+  avg(o_totalprice) FILTER (year(o_orderdate) = 1999) AS v1 FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2)""", "nation_priority"))
 def wilcoxon_exact(spark, sf):
-    urgent = order_sessions(spark, sf).where("o_orderpriority = '1-URGENT'")
     cust = table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
-    pairs = R.pair_sessions(urgent.join(cust, "o_custkey"), ["c_nationkey", "o_custkey"], "session", ["o_totalprice"])
-    return rounded(R.wilcoxon(pairs, ["c_nationkey"], "o_totalprice_T0", "o_totalprice_T1"))
+    orders = order_sessions(spark, sf).join(cust, "o_custkey").withColumn("nation_priority", F.concat_ws(" ", F.col("c_nationkey").cast("string"), "o_orderpriority"))
+    pairs = R.pair_sessions(orders, ["nation_priority", "o_custkey"], "session", ["o_totalprice"])
+    return rounded(R.wilcoxon(pairs, ["nation_priority"], "o_totalprice_T0", "o_totalprice_T1"))
 
 
 @query("mcnemar_labels", f"""
