@@ -14,7 +14,7 @@ from strideframe.session import ensure_checkpoint_dir
 HOT_SHARE = 256
 #: Code points that separate words: space and 0x09 to 0x0D.
 SPACES = r"[\x20\x09-\x0D]"
-WORD = r"[^\x20\x09-\x0D]+"
+SPACE_CHARS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -37,7 +37,7 @@ def join_counted(rows: DataFrame, table: DataFrame, keys: Sequence[str], total:
     that shuffle and are dealt by `spread`, so they never gather.  Null keys in `rows` find nothing.
     """
     values = [c for c in table.columns if c not in (*keys, "slot")]
-    cut = F.lit(max(1, total // HOT_SHARE))
+    cut = hot_above(total)
     hot = table.where(F.col("n_rows") > cut).drop("slot")
     cold = table.where(F.col("n_rows") <= cut)
     hot = hot.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[F.col(v).alias(f"_h_{v}") for v in values])
@@ -52,6 +52,11 @@ def join_counted(rows: DataFrame, table: DataFrame, keys: Sequence[str], total:
     return out.select(*rows.columns, *[F.coalesce(f"_h_{v}", f"_c_{v}").alias(v) for v in values])
 
 
+def hot_above(total: int) -> Column:
+    """A key with more rows than this is hot."""
+    return F.lit(max(1, total // HOT_SHARE))
+
+
 def slot_of(*keys: str) -> Column:
     """Always 0, but not a literal: a second partitioning column by which rows of hot keys can be dealt."""
     return F.pmod(F.xxhash64(*keys), F.lit(1)).cast("int")

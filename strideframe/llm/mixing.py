@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strideframe.llm.common import WORD
+from strideframe.llm.common import SPACE_CHARS, SPACES
 from strideframe.session import stage
 
 #: Weights of the sources in their order, repeating.
@@ -16,7 +16,8 @@ MOST = 3
 
 def n_words(text: Column) -> Column:
     """Number of words of a text, 0 for null."""
-    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    inner = F.btrim(text, F.lit(SPACE_CHARS))
+    return F.when(F.length(inner) > 0, F.size(F.split(inner, f"{SPACES}+"))).otherwise(0).cast("long")
 
 
 def unit(*cols: Column) -> Column:

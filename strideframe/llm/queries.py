@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from public_tokenizers import path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strideframe.llm import mixing
+from strideframe.llm import blocknames, mixing, packing, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -47,3 +48,25 @@ SELECT doc_id, size, source_size, round(target, 3) AS target, CAST(floor(k * rat
 @query("op6_mixing", MIXING_SQL)
 def op6_mixing(spark, sf):
     return mixing.mix(documents(spark, sf)).withColumn("target", F.round("target", 3))
+
+
+EXACT_SQL = r"""
+WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS body FROM documents)
+SELECT doc_id, first_value(doc_id) OVER (PARTITION BY body ORDER BY n DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY body) AS group_size,
+       doc_id = first_value(doc_id) OVER (PARTITION BY body ORDER BY n DESC, doc_id) AS kept, sha256(body) AS text_sha256 FROM d
+"""
+
+
+@query("op10_exact_dedup", EXACT_SQL)
+def op10_exact_dedup(spark, sf):
+    return blocknames.exact_groups(documents(spark, sf))
+
+
+@query("op3_token_counts")
+def op3_token_counts(spark, sf):
+    return tokens.length_table(documents(spark, sf), path("byte_bpe_50k.json"))
+
+
+@query("op4_packing")
+def op4_packing(spark, sf):
+    return packing.pack(documents(spark, sf), path("byte_bpe_50k.json"))
