@@ -8,7 +8,7 @@ from public_tokenizers import path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strideframe.llm import blocknames, mixing, packing, tokens
+from strideframe.llm import blocknames, mixing, packing, simhash, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -70,3 +70,8 @@ def op3_token_counts(spark, sf):
 @query("op4_packing")
 def op4_packing(spark, sf):
     return packing.pack(documents(spark, sf), path("byte_bpe_50k.json"))
+
+
+@query("op7_simhash")
+def op7_simhash(spark, sf):
+    return simhash.near_duplicates(documents(spark, sf))
