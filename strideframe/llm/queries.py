@@ -8,7 +8,8 @@ from public_tokenizers import path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strideframe.llm import blocknames, mixing, packing, simhash, tokens
+from strideframe.llm import blocknames, langid, mixing, packing, simhash, tokens
+from strideframe.llm.common import crc_part
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -75,3 +76,10 @@ def op4_packing(spark, sf):
 @query("op7_simhash")
 def op7_simhash(spark, sf):
     return simhash.near_duplicates(documents(spark, sf))
+
+
+@query("op9_language_id")
+def op9_language_id(spark, sf):
+    docs = documents(spark, sf).withColumn("held_out", crc_part("doc_id", 4) == 2)
+    found = langid.identify(docs, langid.fit(docs.where("not held_out")))
+    return found.select("doc_id", "held_out", "lang_pred", "score", "margin", "accepted")
