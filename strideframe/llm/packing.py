@@ -80,22 +80,18 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[tuple[int, int, int]]
     while gaps and capacity - room[gaps[-1]] <= free - room[gaps[-1]]:
         last = gaps.pop()
         pieces, windows[last] = windows[last], []
-        free -= room[last] + capacity - room[last]
+        free -= capacity
         for item, start, size in pieces:
             while size:
-                w = gaps[-1] if room[gaps[-1]] >= LEAST_GAP else None
-                if w is None:
-                    gaps.pop()
-                    continue
+                w = gaps[-1]
                 part = min(size, room[w])
                 windows[w].append((item, start, part))
                 room[w] -= part
                 start, size = start + part, size - part
                 if not room[w]:
                     gaps.pop()
-        # a gap under LEAST_GAP that was left behind is lost to `free`
-        gaps = [w for w in gaps if room[w] >= LEAST_GAP]
-        free = sum(room[w] for w in gaps)
+        if gaps and room[gaps[-1]] < LEAST_GAP:  # what is left of the last gap
+            free -= room[gaps.pop()]
     return [w for w in windows if w]
 
 
