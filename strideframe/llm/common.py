@@ -72,3 +72,22 @@ def local_path(uri: str) -> str:
 
 def shared_folder(spark) -> str:
     return ensure_checkpoint_dir(spark).rstrip("/")
+
+
+#: Buckets of a sieve, each a bitmap of 32768 bits: 4 MB at most, whatever it is made from.
+SIEVE = 1024
+
+
+def sift(rows: DataFrame, of: Column, keys: DataFrame, key: str) -> DataFrame:
+    """The rows whose `of` may be among `keys`: all that are, and a share of the others that grows with the keys.
+
+    Spares shuffles before an exact join.  The bitmaps that are broadcast have a fixed bound.
+    """
+    place = lambda h: (F.pmod(h, F.lit(SIEVE)), F.pmod(F.shiftright(h, 24), F.lit(32768)))
+    bucket, bit = place(F.xxhash64(F.col(key)))
+    bitmaps = keys.groupBy(bucket.alias("_bucket")).agg(F.bitmap_construct_agg(bit).alias("_bits"))
+    names = rows.columns
+    bucket, bit = place(F.xxhash64(of))
+    rows = rows.withColumns({"_b": bucket, "_bit": bit}).join(F.broadcast(bitmaps), F.col("_b") == F.col("_bucket"))
+    byte = F.conv(F.hex(F.expr("substring(_bits, cast(_bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    return rows.where(F.getbit(byte, (F.col("_bit") % 8).cast("int")) == 1).select(*names)

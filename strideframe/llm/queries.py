@@ -8,7 +8,7 @@ from public_tokenizers import path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strideframe.llm import blocknames, langid, mixing, packing, simhash, tokens
+from strideframe.llm import blocknames, langid, lines, mixing, packing, simhash, tokens
 from strideframe.llm.common import crc_part
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +83,8 @@ def op9_language_id(spark, sf):
     docs = documents(spark, sf).withColumn("held_out", crc_part("doc_id", 4) == 2)
     found = langid.identify(docs, langid.fit(docs.where("not held_out")))
     return found.select("doc_id", "held_out", "lang_pred", "score", "margin", "accepted")
+
+
+@query("op2_line_dedup")
+def op2_line_dedup(spark, sf):
+    return lines.line_decisions(documents(spark, sf))
