@@ -8,7 +8,7 @@ from public_tokenizers import path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strideframe.llm import blocknames, kneser_ney, langid, lines, mixing, packing, simhash, tokens
+from strideframe.llm import blocknames, kneser_ney, langid, lines, mixing, packing, simhash, spotsigs, tokens
 from strideframe.llm.common import crc_part
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,3 +95,8 @@ def op5_lm_scoring(spark, sf):
     docs = documents(spark, sf).select("doc_id", "text", (crc_part("doc_id", 7) == 2).alias("held_out"))
     model = kneser_ney.train(docs.where("not held_out"))
     return kneser_ney.score(docs, model).withColumn("train_tokens", F.lit(model.tokens).cast("long"))
+
+
+@query("op8_fingerprints")
+def op8_fingerprints(spark, sf):
+    return spotsigs.edited_fingerprints(documents(spark, sf))
