@@ -91,3 +91,17 @@ def sift(rows: DataFrame, of: Column, keys: DataFrame, key: str) -> DataFrame:
     rows = rows.withColumns({"_b": bucket, "_bit": bit}).join(F.broadcast(bitmaps), F.col("_b") == F.col("_bucket"))
     byte = F.conv(F.hex(F.expr("substring(_bits, cast(_bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
     return rows.where(F.getbit(byte, (F.col("_bit") % 8).cast("int")) == 1).select(*names)
+
+
+def id_key(doc_id: str) -> Column:
+    """The id as text for joins in which null ids meet too."""
+    return F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
+
+
+def pick(docs: DataFrame, chosen: DataFrame, doc_id: str, extra: tuple[str, ...] = ()) -> DataFrame:
+    """The rows of `docs` whose id is in `chosen` (`key`, made by `id_key`, one row each), one row for an id, with `extra` of `chosen`.
+
+    Rows that repeat an id meet in the join, so the one that stays needs no further shuffle.
+    """
+    rows = docs.select(F.struct("*").alias("doc"), id_key(doc_id).alias("key")).join(chosen.select("key", *extra), "key")
+    return rows.groupBy("key").agg(F.min_by("doc", F.xxhash64("doc")).alias("doc"), *[F.first(c).alias(c) for c in extra])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strideframe.llm.common import SPACE_CHARS, SPACES
+from strideframe.llm.common import SPACE_CHARS, SPACES, id_key, pick
 from strideframe.session import stage
 
 #: Weights of the sources in their order, repeating.
@@ -96,3 +96,13 @@ def _join(left: DataFrame, right: DataFrame, *keys: str) -> DataFrame:
     named = right.select(*[F.col(k).alias(f"_r{i}") for i, k in enumerate(keys)], *[c for c in right.columns if c not in keys])
     on = [F.col(k).eqNullSafe(F.col(f"_r{i}")) for i, k in enumerate(keys)]
     return left.join(named, on).drop(*[f"_r{i}" for i in range(len(keys))])
+
+
+def take(docs: DataFrame, doc_id: str = "doc_id", **how) -> DataFrame:
+    """The mix itself: each row of `docs` as often as `mix` takes it, with all its columns.
+
+    Rows that repeat an id are taken together, from one of them.  The text is shuffled once.
+    """
+    copies = mix(docs, doc_id=doc_id, **how).groupBy(id_key("doc_id").alias("key")).agg(F.sum("copies").alias("copies")).where("copies > 0")
+    rows = pick(docs, copies, doc_id, ("copies",))
+    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("doc.*")

@@ -8,7 +8,7 @@ from public_tokenizers import path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strideframe.llm import blocknames, kneser_ney, langid, lines, mixing, packing, simhash, spotsigs, tokens
+from strideframe.llm import blocknames, kneser_ney, langid, licenses, lines, mixing, packing, simhash, spotsigs, tokens
 from strideframe.llm.common import crc_part
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,3 +100,8 @@ def op5_lm_scoring(spark, sf):
 @query("op8_fingerprints")
 def op8_fingerprints(spark, sf):
     return spotsigs.edited_fingerprints(documents(spark, sf))
+
+
+@query("op1_license_scans")
+def op1_license_scans(spark, sf):
+    return licenses.scan(documents(spark, sf))

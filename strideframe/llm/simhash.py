@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strideframe.llm.common import join_counted, slot_of
+from strideframe.llm.common import id_key, join_counted, pick, slot_of
 from strideframe.llm.components import components
 from strideframe.session import stage
 
@@ -173,3 +173,15 @@ def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4, doc_id:
     groups = stage(near_groups(rows, distance))
     out = join_counted(rows, groups, ["fp"], rows.count(), F.xxhash64("doc_id"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_first(docs: DataFrame, words: int = 4, distance: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each group of near-duplicates, that with the smallest doc_id, with all columns of `docs`.
+
+    Of rows that repeat that id one stays.  A group without any id keeps one row.
+    """
+    rows = stage(fingerprints(docs, words, doc_id, text))
+    groups = stage(near_groups(rows, distance))
+    named = join_counted(rows, groups, ["fp"], rows.count(), F.xxhash64("doc_id"))
+    chosen = named.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(id_key("doc_id").alias("key")).distinct()
+    return pick(docs, chosen, doc_id).select("doc.*")
