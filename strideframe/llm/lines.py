@@ -134,12 +134,14 @@ def drop_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     """
     table = distinct_lines(docs, doc_id, text).where("cover is null").select("first.*", "a")
     kept = table.groupBy("no_id", "doc_id", "doc_hash").agg(F.sort_array(F.collect_set("line_no")).alias("_at"))  # one document's lines
-    kept = kept.select(F.col("doc_id").alias("_id"), F.col("doc_hash").alias("_hash"), "_at")
-    rows = docs.join(kept, [docs[doc_id].eqNullSafe(kept["_id"]), F.xxhash64(docs[text]) == kept["_hash"]], "left")
-    # _mask: for each line up to the last kept one, whether it stays; linear in the number of lines
+    kept = kept.withColumnsRenamed({"doc_id": "id", "doc_hash": "hash"}).drop("no_id")
+    rows = docs.select(F.struct("*").alias("doc"))
+    old = F.col(f"doc.{text}")
+    rows = rows.join(kept, [F.col(f"doc.{doc_id}").eqNullSafe(F.col("id")), F.xxhash64(old) == F.col("hash")], "left")
+    # for each line up to the last kept one, whether it stays; linear in the number of lines
     mask = F.expr("""flatten(transform(sequence(1, size(_at)), i ->
         concat(array_repeat(false, _at[i - 1] - if(i = 1, -1, _at[i - 2]) - 1), array(true))))""")
     mask = F.when(F.col("_at").isNotNull(), mask).otherwise(F.array().cast("array<boolean>"))
-    picked = F.zip_with(F.split(text, "\n"), mask, lambda x, m: F.when(F.coalesce(m, F.lit(False)) | (F.length(F.btrim(x, F.lit(SPACE_CHARS))) == 0), x))
-    out = F.array_join(F.filter(picked, lambda x: x.isNotNull()), "\n")
-    return rows.select(*[F.when(F.col(c).isNotNull(), out).alias(c) if c == text else docs[c] for c in docs.columns])
+    picked = F.zip_with(F.split(old, "\n"), mask, lambda x, m: F.when(F.coalesce(m, F.lit(False)) | (F.length(F.btrim(x, F.lit(SPACE_CHARS))) == 0), x))
+    new = F.when(old.isNotNull(), F.array_join(F.filter(picked, lambda x: x.isNotNull()), "\n"))
+    return rows.select(F.col("doc").withField(text, new).alias("doc")).select("doc.*")
