@@ -65,9 +65,12 @@ def channel_order(spark, sf):
     return rounded(K.order_channels(label_centroids(vectors(spark, sf)), [f"d{i}" for i in range(64)]))
 
 
-def order_weights(spark, sf):
-    """Weights per nation and year: component = order status, channel = priority, weight = total price."""
-    o = table(spark, sf, "orders").select("o_custkey", "o_orderstatus", "o_orderpriority", "o_totalprice", F.year("o_orderdate").alias("y"))
+YEAR, SESSION, WHOLE = "year(o_orderdate)", "if(year(o_orderdate) < 1998, 0, 1)", "0"
+
+
+def order_weights(spark, sf, period=YEAR):
+    """Weights per nation and period y: component = order status, channel = priority, weight = total price."""
+    o = table(spark, sf, "orders").select("o_custkey", "o_orderstatus", "o_orderpriority", "o_totalprice", F.expr(period).alias("y"))
     c = table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
     comp = F.array_position(F.array(F.lit("F"), F.lit("O"), F.lit("P")), F.col("o_orderstatus")).cast("int") - 1
     return o.join(c, "o_custkey").groupBy("c_nationkey", "y", comp.alias("comp"), F.col("o_orderpriority").alias("channel")).agg(
@@ -87,8 +90,11 @@ al AS (SELECT c_nationkey, ya, yb, max(t) / 3 AS w_similarity FROM (SELECT c_nat
   FROM ps, pm GROUP BY ALL) GROUP BY ALL)"""
 
 
-def _stacked(spark, sf):
-    return M.stack_components(order_weights(spark, sf), ["c_nationkey", "y"])
+_BY_SESSION = _WEIGHTS.replace(f"{YEAR} AS y", f"CASE WHEN {YEAR} < 1998 THEN 0 ELSE 1 END AS y")
+
+
+def _stacked(spark, sf, period=YEAR):
+    return M.stack_components(order_weights(spark, sf, period), ["c_nationkey", "y"])
 
 
 @query("stack_components", f"""
@@ -99,10 +105,10 @@ def stack_components(spark, sf):
 
 
 @query("component_similarity", f"""
-WITH {_WEIGHTS} SELECT c_nationkey, round(w_similarity, 6) AS w_similarity FROM al WHERE ya = 1996 AND yb = 1999""")
+WITH {_BY_SESSION} SELECT c_nationkey, round(w_similarity, 6) AS w_similarity FROM al""")
 def component_similarity(spark, sf):
-    s = _stacked(spark, sf)
-    return rounded(M.component_similarity(s.where("y = 1999"), s.where("y = 1996"), ["c_nationkey"]))
+    s = _stacked(spark, sf, SESSION)
+    return rounded(M.component_similarity(s.where("y = 1"), s.where("y = 0"), ["c_nationkey"]))
 
 
 @query("restart_stability", f"""
@@ -112,38 +118,37 @@ def restart_stability(spark, sf):
 
 
 @query("weight_sparsity", """
-WITH w AS (SELECT c_nationkey, o_orderstatus AS comp, o_orderpriority AS channel, sum(o_totalprice) AS weight FROM orders JOIN customer ON o_custkey = c_custkey
-  WHERE year(o_orderdate) = 1996 GROUP BY ALL)
+WITH w AS (SELECT c_nationkey, o_orderstatus AS comp, o_orderpriority AS channel, sum(o_totalprice) AS weight FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL)
 SELECT c_nationkey, round(avg(a), 6) AS w_sparsity FROM (SELECT c_nationkey, comp, avg(CASE WHEN weight >= 0.1 * top THEN 1.0 ELSE 0 END) AS a
   FROM (SELECT *, max(weight) OVER (PARTITION BY c_nationkey, comp) AS top FROM w) GROUP BY 1, 2) GROUP BY 1""")
 def weight_sparsity(spark, sf):
-    return rounded(M.sparsity(order_weights(spark, sf).where("y = 1996"), ["c_nationkey"]))
+    return rounded(M.sparsity(order_weights(spark, sf, WHOLE), ["c_nationkey"]))
 
 
 @query("aligned_weights", f"""
 WITH {_WEIGHTS}, r AS (SELECT c_nationkey, comp, channel, weight FROM u WHERE y = 1995),
-s AS (SELECT u.c_nationkey, u.y, u.comp AS ca, r.comp AS cb, sum(u.weight * r.weight) AS s FROM u JOIN r ON u.c_nationkey = r.c_nationkey AND u.channel = r.channel WHERE y IN (1996, 1999) GROUP BY ALL),
+s AS (SELECT u.c_nationkey, u.y, u.comp AS ca, r.comp AS cb, sum(u.weight * r.weight) AS s FROM u JOIN r ON u.c_nationkey = r.c_nationkey AND u.channel = r.channel GROUP BY ALL),
 t AS (SELECT c_nationkey, y, p0, p1, p2, sum(s) FILTER (ca = p0 AND cb = 0) + sum(s) FILTER (ca = p1 AND cb = 1) + sum(s) FILTER (ca = p2 AND cb = 2) AS t FROM s, pm GROUP BY ALL),
 b AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY c_nationkey, y ORDER BY t DESC) = 1),
 x AS (SELECT u.y, CASE u.comp WHEN p0 THEN 0 WHEN p1 THEN 1 ELSE 2 END AS ref_comp, channel, weight FROM u JOIN b ON u.c_nationkey = b.c_nationkey AND u.y = b.y)
-SELECT CAST(ref_comp AS INTEGER) AS ref_comp, channel, round(avg(weight) FILTER (y = 1996), 6) AS "w_T0", round(avg(weight) FILTER (y = 1999), 6) AS "w_T1",
-  round(avg(weight) FILTER (y = 1999) - avg(weight) FILTER (y = 1996), 6) AS w_delta FROM x GROUP BY 1, 2""")
+SELECT CAST(ref_comp AS INTEGER) AS ref_comp, channel, round(avg(weight) FILTER (y < 1998), 6) AS "w_T0", round(avg(weight) FILTER (y >= 1998), 6) AS "w_T1",
+  round(avg(weight) FILTER (y >= 1998) - avg(weight) FILTER (y < 1998), 6) AS w_delta FROM x GROUP BY 1, 2""")
 def aligned_weights(spark, sf):
     s = _stacked(spark, sf)
-    w = s.where("y in (1996, 1999)").withColumn("session", F.when(F.col("y") == 1996, "T0").otherwise("T1"))
+    w = s.withColumn("session", F.when(F.col("y") < 1998, "T0").otherwise("T1"))
     years = w.select("c_nationkey", "y").distinct()
     ref = s.where("y = 1995").drop("y").join(years, "c_nationkey")
     return rounded(M.aligned_mean_weights(w, ref, ["c_nationkey", "y"], [], "session", PRIORITIES))
 
 
 @query("activation_profile_similarity", """
-WITH h AS (SELECT c_nationkey, month(o_orderdate) AS w, avg(o_totalprice) FILTER (year(o_orderdate) = 1996) AS a, avg(o_totalprice) FILTER (year(o_orderdate) = 1999) AS b
+WITH h AS (SELECT c_nationkey, month(o_orderdate) AS w, avg(o_totalprice) FILTER (year(o_orderdate) < 1998) AS a, avg(o_totalprice) FILTER (year(o_orderdate) >= 1998) AS b
   FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2)
 SELECT c_nationkey, round(corr(a, b), 6) AS h_profile_similarity FROM h WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY 1""")
 def activation_profile_similarity(spark, sf):
     o = table(spark, sf, "orders").select("o_custkey", F.col("o_totalprice").alias("h"), F.month("o_orderdate").alias("window_index"), F.year("o_orderdate").alias("y"))
     c = table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
-    h = o.where("y in (1996, 1999)").join(c, "o_custkey").withColumn("session", F.when(F.col("y") == 1996, "T0").otherwise("T1"))
+    h = o.join(c, "o_custkey").withColumn("session", F.when(F.col("y") < 1998, "T0").otherwise("T1"))
     return rounded(M.activation_profile_similarity(h, ["c_nationkey"], "session"))
 
 

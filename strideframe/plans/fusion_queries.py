@@ -30,27 +30,24 @@ def fuse_wide(spark, sf):
     return rounded(out, 6, qty=2)
 
 
-_YEARS = "year(o_orderdate) IN (1996, 1999)"
-
-
 def _sessions(spark, sf):
-    o = table(spark, sf, "orders").withColumn("y", F.year("o_orderdate")).where("y in (1996, 1999)")
-    return o.withColumn("session", F.when(F.col("y") == 1996, "T0").otherwise("T1"))
+    """All orders; those before 1998 are T0."""
+    return table(spark, sf, "orders").withColumn("session", F.when(F.year("o_orderdate") < 1998, "T0").otherwise("T1"))
 
 
 @query("delta_ratio", f"""
-SELECT o_custkey, round(avg(o_totalprice) FILTER (year(o_orderdate) = 1996), 6) AS "o_totalprice_T0", round(avg(o_totalprice) FILTER (year(o_orderdate) = 1999), 6) AS "o_totalprice_T1",
-  round(avg(o_totalprice) FILTER (year(o_orderdate) = 1999) - avg(o_totalprice) FILTER (year(o_orderdate) = 1996), 6) AS o_totalprice_delta,
-  round(avg(o_totalprice) FILTER (year(o_orderdate) = 1999) / greatest(avg(o_totalprice) FILTER (year(o_orderdate) = 1996), 1e-12), 6) AS o_totalprice_ratio
-FROM orders WHERE {_YEARS} GROUP BY 1 HAVING count(*) FILTER (year(o_orderdate) = 1996) > 0""")
+SELECT o_custkey, round(avg(o_totalprice) FILTER (year(o_orderdate) < 1998), 6) AS "o_totalprice_T0", round(avg(o_totalprice) FILTER (year(o_orderdate) >= 1998), 6) AS "o_totalprice_T1",
+  round(avg(o_totalprice) FILTER (year(o_orderdate) >= 1998) - avg(o_totalprice) FILTER (year(o_orderdate) < 1998), 6) AS o_totalprice_delta,
+  round(avg(o_totalprice) FILTER (year(o_orderdate) >= 1998) / greatest(avg(o_totalprice) FILTER (year(o_orderdate) < 1998), 1e-12), 6) AS o_totalprice_ratio
+FROM orders GROUP BY 1 HAVING count(*) FILTER (year(o_orderdate) < 1998) > 0""")
 def delta_ratio(spark, sf):
     out = R.with_ratio(R.pair_sessions(_sessions(spark, sf), ["o_custkey"], "session", ["o_totalprice"]), "o_totalprice")
     return rounded(out.where("o_totalprice_T0 is not null"))
 
 
 @query("inner_pairs", f"""
-SELECT o_custkey, o_orderpriority, round(avg(o_totalprice) FILTER (year(o_orderdate) = 1996), 6) AS "o_totalprice_T0", round(avg(o_totalprice) FILTER (year(o_orderdate) = 1999), 6) AS "o_totalprice_T1"
-FROM orders WHERE {_YEARS} GROUP BY 1, 2 HAVING count(DISTINCT year(o_orderdate)) = 2""")
+SELECT o_custkey, o_orderpriority, round(avg(o_totalprice) FILTER (year(o_orderdate) < 1998), 6) AS "o_totalprice_T0", round(avg(o_totalprice) FILTER (year(o_orderdate) >= 1998), 6) AS "o_totalprice_T1"
+FROM orders GROUP BY 1, 2 HAVING count(DISTINCT year(o_orderdate) < 1998) = 2""")
 def inner_pairs(spark, sf):
     return rounded(H.mean_then_pair(_sessions(spark, sf), ["o_custkey", "o_orderpriority"], "session", ["o_totalprice"]))
 
@@ -69,15 +66,15 @@ def flatten_wide(spark, sf):
 
 
 @query("wide_sessions", f"""
-SELECT o_custkey, min_by(o_totalprice, o_orderkey) FILTER (year(o_orderdate) = 1996) AS "o_totalprice__T0", min_by(o_totalprice, o_orderkey) FILTER (year(o_orderdate) = 1999) AS "o_totalprice__T1"
-FROM orders WHERE {_YEARS} GROUP BY 1""")
+SELECT o_custkey, min_by(o_totalprice, o_orderkey) FILTER (year(o_orderdate) < 1998) AS "o_totalprice__T0", min_by(o_totalprice, o_orderkey) FILTER (year(o_orderdate) >= 1998) AS "o_totalprice__T1"
+FROM orders GROUP BY 1""")
 def wide_sessions(spark, sf):
     return H.wide_sessions(_sessions(spark, sf), ["o_custkey"], "session", ["o_totalprice"], "o_orderkey")
 
 
 @query("wide_group_sessions", f"""
-SELECT o_custkey, {", ".join(f"min_by(o_totalprice, o_orderkey) FILTER (year(o_orderdate) = {y} AND o_orderstatus = '{s}') AS \"o_totalprice__{s}__{t}\"" for s in ("F", "O") for y, t in ((1996, "T0"), (1999, "T1")))}
-FROM orders WHERE {_YEARS} GROUP BY 1""")
+SELECT o_custkey, {", ".join(f"min_by(o_totalprice, o_orderkey) FILTER (year(o_orderdate) {y} AND o_orderstatus = '{s}') AS \"o_totalprice__{s}__{t}\"" for s in ("F", "O") for y, t in (("< 1998", "T0"), (">= 1998", "T1")))}
+FROM orders GROUP BY 1""")
 def wide_group_sessions(spark, sf):
     return H.wide_sessions(_sessions(spark, sf), ["o_custkey"], "session", ["o_totalprice"], "o_orderkey", "o_orderstatus", ["F", "O"])
 
@@ -94,8 +91,8 @@ def _component_summary(spark, sf):
 
 
 @query("component_pairs", f"""
-WITH r AS (SELECT c_mktsegment, o_orderpriority, {_COMP} AS comp, CASE WHEN year(o_orderdate) = 1996 THEN 'T0' ELSE 'T1' END AS session, avg(o_totalprice) AS mean, max(o_totalprice) AS max
-  FROM orders JOIN customer ON o_custkey = c_custkey WHERE {_YEARS} GROUP BY 1, 2, 3, 4),
+WITH r AS (SELECT c_mktsegment, o_orderpriority, {_COMP} AS comp, CASE WHEN year(o_orderdate) < 1998 THEN 'T0' ELSE 'T1' END AS session, avg(o_totalprice) AS mean, max(o_totalprice) AS max
+  FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2, 3, 4),
 u AS (SELECT c_mktsegment, comp, session, metric, value FROM (UNPIVOT r ON mean, max INTO NAME metric VALUE value))
 SELECT c_mktsegment, comp, metric, round(avg(value) FILTER (session = 'T0'), 6) AS "T0", round(avg(value) FILTER (session = 'T1'), 6) AS "T1",
   round(avg(value) FILTER (session = 'T1') - avg(value) FILTER (session = 'T0'), 6) AS delta FROM u GROUP BY 1, 2, 3""")
@@ -105,8 +102,8 @@ def component_pairs(spark, sf):
 
 
 @query("clustered_pairs", f"""
-WITH r AS (SELECT c_mktsegment, o_orderpriority, {_COMP} AS comp, CASE WHEN year(o_orderdate) = 1996 THEN 'T0' ELSE 'T1' END AS session, avg(o_totalprice) AS mean, max(o_totalprice) AS max, count(*) AS n
-  FROM orders JOIN customer ON o_custkey = c_custkey WHERE {_YEARS} GROUP BY 1, 2, 3, 4),
+WITH r AS (SELECT c_mktsegment, o_orderpriority, {_COMP} AS comp, CASE WHEN year(o_orderdate) < 1998 THEN 'T0' ELSE 'T1' END AS session, avg(o_totalprice) AS mean, max(o_totalprice) AS max, count(*) AS n
+  FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2, 3, 4),
 u AS (SELECT c_mktsegment, CAST(n % 2 AS INTEGER) AS meta_cluster, session, metric, value FROM (UNPIVOT r ON mean, max INTO NAME metric VALUE value))
 SELECT c_mktsegment, meta_cluster, metric, round(avg(value) FILTER (session = 'T0'), 6) AS "T0", round(avg(value) FILTER (session = 'T1'), 6) AS "T1",
   round(avg(value) FILTER (session = 'T1') - avg(value) FILTER (session = 'T0'), 6) AS delta FROM u GROUP BY 1, 2, 3""")
@@ -221,12 +218,12 @@ def common_items(spark, sf):
 
 
 @query("paired_first", f"""
-WITH {_RECODED}, v AS (SELECT *, CASE WHEN ps = ns THEN 'more_affected' ELSE 'less_affected' END AS g FROM n WHERE ns IS NOT NULL AND ps IS NOT NULL AND {_YEARS})
-SELECT o_custkey, g AS recoded_group, min_by(o_totalprice, o_orderkey) FILTER (year(o_orderdate) = 1996) AS "o_totalprice_T0", min_by(o_totalprice, o_orderkey) FILTER (year(o_orderdate) = 1999) AS "o_totalprice_T1"
-FROM v GROUP BY 1, 2 HAVING count(DISTINCT year(o_orderdate)) = 2""")
+WITH {_RECODED}, v AS (SELECT *, CASE WHEN ps = ns THEN 'more_affected' ELSE 'less_affected' END AS g FROM n WHERE ns IS NOT NULL AND ps IS NOT NULL)
+SELECT o_custkey, g AS recoded_group, min_by(o_totalprice, o_orderkey) FILTER (year(o_orderdate) < 1998) AS "o_totalprice_T0", min_by(o_totalprice, o_orderkey) FILTER (year(o_orderdate) >= 1998) AS "o_totalprice_T1"
+FROM v GROUP BY 1, 2 HAVING count(DISTINCT year(o_orderdate) < 1998) = 2""")
 def paired_first(spark, sf):
-    rows = H.recode(_sided(spark, sf), "cond", "side").where("recoded_group is not null").withColumn("y", F.year("o_orderdate")).where("y in (1996, 1999)")
-    rows = rows.withColumn("session", F.when(F.col("y") == 1996, "T0").otherwise("T1"))
+    rows = H.recode(_sided(spark, sf), "cond", "side").where("recoded_group is not null")
+    rows = rows.withColumn("session", F.when(F.year("o_orderdate") < 1998, "T0").otherwise("T1"))
     return H.paired_first(rows, "o_custkey", "session", "recoded_group", ["o_totalprice"], "o_orderkey")
 
 
@@ -276,10 +273,10 @@ def zscored(spark, sf):
 
 
 @query("sensor_magnitude", """
-WITH d AS (SELECT user_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, avg(value) FILTER (event_type = 'click') AS x, avg(value) FILTER (event_type = 'view') AS y, avg(value) FILTER (event_type = 'error') AS z FROM events GROUP BY 1, 2)
+WITH d AS (SELECT user_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, avg(value) FILTER (event_type IN ('click', 'purchase')) AS x, avg(value) FILTER (event_type IN ('view', 'signup')) AS y, avg(value) FILTER (event_type = 'error') AS z FROM events GROUP BY 1, 2)
 SELECT user_id, day, round(sqrt(x * x + y * y + z * z), 6) AS smv FROM d WHERE x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL""")
 def magnitude(spark, sf):
-    axis = F.when(F.col("event_type") == "click", "X").when(F.col("event_type") == "view", "Y").when(F.col("event_type") == "error", "Z")
+    axis = F.when(F.col("event_type").isin("click", "purchase"), "X").when(F.col("event_type").isin("view", "signup"), "Y").otherwise("Z")
     daily = table(spark, sf, "events").groupBy("user_id", F.col("ts").cast("date").cast("string").alias("day"), axis.alias("axis")).agg(F.avg("value").alias("v"))
     return rounded(sensor_magnitude(daily, ["user_id", "day"]))
 

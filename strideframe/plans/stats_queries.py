@@ -27,14 +27,13 @@ def chi2_p_sql(x: str) -> str:
 
 
 def order_sessions(spark, sf):
-    """orders of 1996 (T0) and 1999 (T1)."""
-    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_totalprice", F.year("o_orderdate").alias("y"),
-                                          F.quarter("o_orderdate").alias("q"))
-    return o.where(F.col("y").isin(1996, 1999)).withColumn("session", F.when(F.col("y") == 1996, "T0").otherwise("T1"))
+    """All orders, before 1998 (T0) and from 1998 (T1)."""
+    return table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_totalprice", F.quarter("o_orderdate").alias("q"),
+                                          F.when(F.year("o_orderdate") < 1998, "T0").otherwise("T1").alias("session"))
 
 
-_PAIRS = """e AS (SELECT o_custkey, o_orderpriority, avg(o_totalprice) FILTER (year(o_orderdate) = 1996) AS v0, avg(o_totalprice) FILTER (year(o_orderdate) = 1999) AS v1
-  FROM orders WHERE year(o_orderdate) IN (1996, 1999) GROUP BY 1, 2)"""
+_PAIRS = """e AS (SELECT o_custkey, o_orderpriority, avg(o_totalprice) FILTER (year(o_orderdate) < 1998) AS v0, avg(o_totalprice) FILTER (year(o_orderdate) >= 1998) AS v1
+  FROM orders GROUP BY 1, 2)"""
 _T = """t AS (SELECT o_orderpriority, count(*) AS n_pairs, avg(v0) AS mean_T0, stddev_samp(v0) AS sd_T0, median(v0) AS median_T0, avg(v1) AS mean_T1, stddev_samp(v1) AS sd_T1, median(v1) AS median_T1,
   avg(v1 - v0) AS mean_change, stddev_samp(v1 - v0) AS sd_change, count(*) - 1 AS df, avg(v1 - v0) / (stddev_samp(v1 - v0) / sqrt(count(*))) AS t_stat
   FROM e WHERE v0 IS NOT NULL AND v1 IS NOT NULL GROUP BY 1)"""
@@ -106,8 +105,8 @@ def wilcoxon_normal(spark, sf):
     return rounded(R.wilcoxon(_pairs(spark, sf), ["o_orderpriority"]))
 
 
-@query("wilcoxon_exact", _wilcoxon_sql("g", """e AS (SELECT c_nationkey || ' ' || o_orderpriority AS g, o_custkey, avg(o_totalprice) FILTER (year(o_orderdate) = 1996) AS v0,
-  avg(o_totalprice) FILTER (year(o_orderdate) = 1999) AS v1 FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2)""", "nation_priority"))
+@query("wilcoxon_exact", _wilcoxon_sql("g", """e AS (SELECT c_nationkey || ' ' || o_orderpriority AS g, o_custkey, avg(o_totalprice) FILTER (year(o_orderdate) < 1998) AS v0,
+  avg(o_totalprice) FILTER (year(o_orderdate) >= 1998) AS v1 FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2)""", "nation_priority"))
 def wilcoxon_exact(spark, sf):
     cust = table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
     orders = order_sessions(spark, sf).join(cust, "o_custkey").withColumn("nation_priority", F.concat_ws(" ", F.col("c_nationkey").cast("string"), "o_orderpriority"))
@@ -130,11 +129,11 @@ def mcnemar_labels(spark, sf):
     return rounded(R.mcnemar(pairs, ["lang"]))
 
 
-_SEG = """m AS (SELECT c_mktsegment AS grp, o_custkey, year(o_orderdate) AS y, avg(o_totalprice) AS mean_price, CAST(count(*) AS DOUBLE) AS n_orders,
+_SEG = """m AS (SELECT c_mktsegment AS grp, o_custkey, year(o_orderdate) < 1998 AS y, avg(o_totalprice) AS mean_price, CAST(count(*) AS DOUBLE) AS n_orders,
    CAST(max(CASE WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END) AS DOUBLE) AS any_urgent, CAST(max(CASE WHEN o_orderpriority = '5-LOW' THEN 1 ELSE 0 END) AS DOUBLE) AS low_presence
-  FROM orders JOIN customer ON o_custkey = c_custkey WHERE year(o_orderdate) IN (1996, 1999) GROUP BY 1, 2, 3),
+  FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2, 3),
 u AS (UNPIVOT m ON mean_price, n_orders, any_urgent, low_presence INTO NAME metric VALUE value),
-e AS (SELECT metric, grp, max(value) FILTER (y = 1996) AS v0, max(value) FILTER (y = 1999) AS v1 FROM u GROUP BY metric, grp, o_custkey HAVING v0 IS NOT NULL AND v1 IS NOT NULL)"""
+e AS (SELECT metric, grp, max(value) FILTER (y) AS v0, max(value) FILTER (NOT y) AS v1 FROM u GROUP BY metric, grp, o_custkey HAVING v0 IS NOT NULL AND v1 IS NOT NULL)"""
 
 
 def _segment_metrics(spark, sf):
@@ -183,8 +182,8 @@ _OBS = " + ".join(f"abs(a{i} / n0 - (s{i} - a{i}) / n1)" for i in (1, 2, 3, 4))
 
 
 @query("permutation_test", f"""
-WITH u AS (SELECT o_orderpriority AS k, o_custkey, CASE WHEN year(o_orderdate) = 1996 THEN 'T0' ELSE 'T1' END AS sess, {_CURVES}
-  FROM orders WHERE year(o_orderdate) IN (1996, 1999) GROUP BY 1, 2, 3),
+WITH u AS (SELECT o_orderpriority AS k, o_custkey, CASE WHEN year(o_orderdate) < 1998 THEN 'T0' ELSE 'T1' END AS sess, {_CURVES}
+  FROM orders GROUP BY 1, 2, 3),
 t AS (SELECT k, count(*) FILTER (sess = 'T0') AS n0, count(*) FILTER (sess = 'T1') AS n1, {", ".join(f"sum(q{i}) AS s{i}, sum(q{i}) FILTER (sess = 'T0') AS a{i}" for i in (1, 2, 3, 4))} FROM u GROUP BY 1),
 o AS (SELECT *, ({_OBS}) / 4 AS obs FROM t),
 d AS (SELECT u.*, p.p AS perm, row_number() OVER (PARTITION BY k, p.p ORDER BY md5(CAST(p.p AS VARCHAR) || ':' || o_custkey || ':' || sess)) AS rk FROM u, range(1, {N_PERM + 1}) p(p)),
