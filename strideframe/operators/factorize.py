@@ -2,8 +2,8 @@
 
 A row is one sample with its channels as a short array.  Both factors are solved exactly in turn:
 given W every sample's activation is its own small non-negative least-squares problem, and given the
-activations W follows from two sums over samples (X H' and H H').  Tasks that fit a task's memory
-iterate inside one group; larger ones keep their rows distributed and only those sums travel.
+activations W follows from two sums over samples (X H' and H H').  A task that is one matrix of samples
+iterates where that matrix is; larger ones stay distributed and only those sums travel.
 """
 
 from __future__ import annotations
@@ -17,12 +17,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from strideframe.config import FactorConfig
 from strideframe.functions.numeric import div
 from strideframe.session import stage
 
-MAX_CHANNELS = 256
-MAX_LARGE_TASKS = 2_000
+BLOCK_ROWS = 65_536
+SALTS = 64
 
 
 def nnls_two(g11: Column, g12: Column, g22: Column, b1: Column, b2: Column) -> tuple[Column, Column]:
@@ -109,130 +108,188 @@ def residual(energy: float, w: np.ndarray, xh: np.ndarray, hh: np.ndarray) -> fl
 class _Fit:
     """Alternation state of one (k, restart)."""
 
-    def __init__(self, k: int, restart: int, w: np.ndarray):
-        self.k, self.restart, self.w, self.rss, self.iters, self.done = k, restart, w, np.inf, 0, False
+    def __init__(self, k: int, restart: int, w: np.ndarray, rss: float = np.inf, iters: int = 0):
+        self.k, self.restart, self.w, self.rss, self.iters, self.done = k, restart, w, rss, iters, False
 
-    def advance(self, xh: np.ndarray, hh: np.ndarray, energy: float, cfg: FactorConfig) -> None:
+    def advance(self, xh: np.ndarray, hh: np.ndarray, energy: float, max_iter: int, tol: float) -> None:
         rss = residual(energy, self.w, xh, hh)
         self.iters += 1
-        settled = self.iters > 1 and self.rss - rss <= cfg.tol * 1e-2 * max(self.rss, 1e-12 * energy)
+        settled = self.iters > 1 and self.rss - rss <= tol * 1e-2 * max(self.rss, 1e-12 * energy)
         self.rss = rss
-        if settled or self.iters >= cfg.max_iter or rss <= 1e-14 * energy:
+        if settled or self.iters >= max_iter or rss <= 1e-14 * energy:
             self.done = True
         else:
             self.w = _unit(nnls_rows(xh, hh))
 
 
-def _starts(gram: np.ndarray, total: float, cells: float, ks: Sequence[int], cfg: FactorConfig) -> list[_Fit]:
+def _starts(gram: np.ndarray, n: int, total: float, ks: Sequence[int], restarts: int, seed: int) -> list[_Fit]:
     m = len(gram)
-    return [_Fit(k, r, start_weights(gram, total / max(cells, 1), k, r, cfg.seed)) for k in ks if k <= m for r in range(cfg.restarts)]
+    mean = total / max(n * m, 1)
+    return [_Fit(k, r, start_weights(gram, mean, k, r, seed)) for k in ks if k <= min(m, n) for r in range(restarts)]
 
 
 def _channel_errors(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return np.sum((x - nnls_rows(x @ w, w.T @ w) @ w.T) ** 2, axis=0)
 
 
+_NUMBERS = T.ArrayType(T.DoubleType())
 _RESULT = [
-    T.StructField("k", T.IntegerType()), T.StructField("restart", T.IntegerType()), T.StructField("weights", T.ArrayType(T.ArrayType(T.DoubleType()))),
+    T.StructField("k", T.IntegerType()), T.StructField("restart", T.IntegerType()), T.StructField("weights", T.ArrayType(_NUMBERS)),
     T.StructField("rss", T.DoubleType()), T.StructField("n_iter", T.IntegerType()), T.StructField("hit_max_iter", T.BooleanType()),
-    T.StructField("n_samples", T.LongType()), T.StructField("sst", T.ArrayType(T.DoubleType())), T.StructField("sse", T.ArrayType(T.DoubleType())),
+    T.StructField("n_samples", T.LongType()), T.StructField("sst", _NUMBERS), T.StructField("sse", _NUMBERS),
     T.StructField("status", T.StringType()),
 ]
 _NAMES = [f.name for f in _RESULT]
 
 
-def _result(fits: list[_Fit], n: int, sst: np.ndarray, sse: dict[tuple[int, int], np.ndarray], cfg: FactorConfig) -> list[list]:
-    return [[f.k, f.restart, [list(map(float, c)) for c in f.w.T], float(f.rss), f.iters, f.iters >= cfg.max_iter, n, list(map(float, sst)),
-             list(map(float, sse[f.k, f.restart])), "ok"] for f in fits]
+def _packed(clean: DataFrame, keys: Sequence[str], block_rows: int) -> DataFrame:
+    """Samples as matrices of at most about ``block_rows`` rows, packed where they are read: keys, n, least, most (vector length), finite, x."""
+    names = list(keys)
+    schema = T.StructType([*[clean.schema[c] for c in keys], T.StructField("n", T.LongType()), T.StructField("least", T.IntegerType()),
+                           T.StructField("most", T.IntegerType()), T.StructField("finite", T.BooleanType()), T.StructField("x", T.BinaryType())])
 
+    def rows_of(held: dict) -> pd.DataFrame:
+        out = []
+        for key, (own, vectors) in held.items():
+            least, most = min(map(len, vectors)), max(map(len, vectors))
+            x = np.stack(vectors).astype(float) if least == most else np.empty(0)
+            out.append((*own, len(vectors), least, most, bool(np.isfinite(x).all()), x.tobytes()))
+        return pd.DataFrame(out, columns=[f.name for f in schema])
 
-def factorize(rows: DataFrame, keys: Sequence[str], ks: Sequence[int], cfg: FactorConfig | None = None, vector: str = "vector") -> DataFrame:
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict = {}
+        count = 0
+        for pdf in batches:
+            for own, x in zip(pdf[names].itertuples(index=False, name=None), pdf["_x"]):
+                held.setdefault(repr(own), (own, []))[1].append(x)
+                count += 1
+                if count >= block_rows:
+                    yield rows_of(held)
+                    held, count = {}, 0
+        if held:
+            yield rows_of(held)
+
+    return clean.select(*keys, "_x").mapInPandas(pack, schema)
+
+
+def factorize(rows: DataFrame, keys: Sequence[str], ks: Sequence[int], restarts: int = 10, max_iter: int = 500, tol: float = 1e-3, seed: int = 42,
+              vector: str = "vector", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """All (k, restart) fits of every task: keys, k, restart, weights (k unit vectors), rss, iterations, sst and sse per channel, status.
 
-    ``rows`` needs one fixed-length ``vector`` per sample; negatives count as zero.  Fitting happens
-    here, once; the result is a stage table.
+    ``rows`` needs one fixed-length ``vector`` per sample; negatives count as zero.  Every task comes back: with its
+    fits, or with one row whose status says why it failed (vectors of different lengths or none, values that are not
+    finite), whatever its size.  Samples are packed into matrices.  The same alternation runs on all tasks; where a
+    task is more than one matrix, its sums are added over the cluster and the fits between two passes are a staged
+    table.  Fitting happens here, once; the result is a stage table.
     """
-    cfg = cfg or FactorConfig()
-    clean = rows.select(*keys, F.transform(vector, lambda v: F.greatest(F.coalesce(v.cast("double"), F.lit(0.0)), F.lit(0.0))).alias("_x"))
-    sizes = clean.groupBy(*keys).agg(F.sum(F.size("_x")).alias("_cells"), F.max(F.size("_x")).alias("_m")).where(F.col("_m") <= MAX_CHANNELS)
-    large = sizes.where(F.col("_cells") > cfg.max_local_cells).select(*keys).limit(MAX_LARGE_TASKS + 1).collect()
-    if len(large) > MAX_LARGE_TASKS:
-        raise ValueError(f"more than {MAX_LARGE_TASKS} tasks above max_local_cells; raise that limit or fit in slices")
-    small = clean.join(sizes.where(F.col("_cells") <= cfg.max_local_cells).select(*keys), list(keys)) if large else clean
+    clean = rows.select(*keys, F.transform(F.coalesce(F.col(vector), F.array()), lambda v: F.greatest(F.nanvl(F.coalesce(v.cast("double"), F.lit(0.0)), F.lit(0.0)), F.lit(0.0))).alias("_x"))
+    packed = stage(_packed(clean, keys, block_rows))
+    tasks = packed.groupBy(*keys).agg(F.sum("n").alias("_n"), F.min("least").alias("_least"), F.max("most").alias("_most"), F.min("finite").alias("_finite"))
+    bad = F.when((F.col("_least") != F.col("_most")) | (F.col("_most") == 0), "failed: vectors differ in length or are empty").when(~F.col("_finite"), "failed: values are not finite")
+    tasks = stage(tasks.withColumn("_bad", bad))
     schema = T.StructType([*[rows.schema[c] for c in keys], *_RESULT])
     wanted = tuple(ks)
+    failed = tasks.where("_bad is not null").select(*keys, *[F.lit(None).cast(f.dataType).alias(f.name) for f in _RESULT[:-1]], F.col("_bad").alias("status"))
 
     def local(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        try:
-            x = np.stack(pdf["_x"].to_numpy()).astype(float)
-            energy = float(np.sum(x * x))
-            fits = _starts(x.T @ x, float(x.sum()), float(x.size), [k for k in wanted if k <= len(x)], cfg)
-            for f in fits:
-                while not f.done:
-                    f.advance(*batch_sums(x, f.w), energy, cfg)
-            out = _result(fits, len(x), np.sum(x * x, axis=0), {(f.k, f.restart): _channel_errors(x, f.w) for f in fits}, cfg)
-        except (np.linalg.LinAlgError, ValueError) as e:
-            out = [[None] * (len(_NAMES) - 1) + [f"failed: {e}"]]
-        return pd.DataFrame([[*key, *r] for r in out], columns=[*keys, *_NAMES])
-
-    # a fixed partition count: the rows are few but the work per task is not, so they must not be coalesced
-    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    fitted = small.repartition(tasks, *keys).groupBy(*keys).applyInPandas(local, schema)
-    if not large:
-        return stage(fitted)
-    done = _fit_distributed(clean, keys, [tuple(r) for r in large], wanted, cfg)
-    return stage(fitted.unionByName(rows.sparkSession.createDataFrame(done, schema)))
-
-
-def _fit_distributed(clean: DataFrame, keys: Sequence[str], tasks: list[tuple], ks: Sequence[int], cfg: FactorConfig) -> list[list]:
-    """Large tasks together: every iteration is one pass over their rows that returns a few small matrices per fit."""
-    id_schema = T.StructType([*[clean.schema[c] for c in keys], T.StructField("_task", T.IntegerType())])
-    ids = clean.sparkSession.createDataFrame([(*key, i) for i, key in enumerate(tasks)], id_schema)  # at most MAX_LARGE_TASKS rows
-    mine = clean.join(F.broadcast(ids), list(keys)).select("_task", "_x")
-    cell = T.StructType([T.StructField("slot", T.IntegerType()), T.StructField("pos", T.IntegerType()), T.StructField("val", T.DoubleType())])
-
-    def run(fn) -> dict[int, np.ndarray]:
-        """Sum per-batch vectors over the cluster: slot -> vector."""
-        def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total: dict[int, np.ndarray] = {}
-            for pdf in batches:
-                for task, g in pdf.groupby("_task"):
-                    for slot, vec in fn(int(task), np.stack(g["_x"].to_numpy()).astype(float)).items():
-                        total[slot] = total[slot] + vec if slot in total else vec
-            for slot, vec in total.items():
-                yield pd.DataFrame({"slot": np.int32(slot), "pos": np.arange(len(vec), dtype="int32"), "val": vec})
-
-        got = mine.mapInPandas(part, cell).groupBy("slot", "pos").agg(F.sum("val").alias("val")).toPandas().sort_values(["slot", "pos"])
-        return {int(s): g["val"].to_numpy() for s, g in got.groupby("slot")}
-
-    facts = run(lambda task, x: {task: np.concatenate([[len(x), x.sum()], (x.T @ x).ravel()])})
-    size, energy, sst, fits = {}, {}, {}, []
-    for task, f in facts.items():
-        n, m = int(round(f[0])), int(round((len(f) - 2) ** 0.5))
-        gram = f[2:].reshape(m, m)
-        size[task], energy[task], sst[task] = n, float(np.trace(gram)), np.diag(gram)
-        fits += [(task, fit) for fit in _starts(gram, float(f[1]), float(n * m), [k for k in ks if k <= n], cfg)]
-
-    def weights(only_live: bool) -> dict[int, dict[int, np.ndarray]]:
-        out: dict[int, dict[int, np.ndarray]] = {}
-        for slot, (task, fit) in enumerate(fits):
-            if not (only_live and fit.done):
-                out.setdefault(task, {})[slot] = fit.w
-        return out
-
-    while any(not fit.done for _, fit in fits):
-        live = weights(True)
-        sums = run(lambda task, x: {s: np.concatenate([a.ravel() for a in batch_sums(x, w)]) for s, w in live.get(task, {}).items()})
-        for task, slots in live.items():
-            for s, w in slots.items():
-                m, k = w.shape
-                fits[s][1].advance(sums[s][: m * k].reshape(m, k), sums[s][m * k :].reshape(k, k), energy[task], cfg)
-    ends = weights(False)
-    errors = run(lambda task, x: {s: _channel_errors(x, w) for s, w in ends.get(task, {}).items()})
-    rows = []
-    for slot, (task, fit) in enumerate(fits):
-        rows += [[*tasks[task], *r] for r in _result([fit], size[task], sst[task], {(fit.k, fit.restart): errors[slot]}, cfg)]
-    return rows
+        m = int(pdf["most"].iloc[0])
+        x = np.concatenate([np.frombuffer(b, float) for b in sorted(pdf["x"])]).reshape(-1, m)
+        energy, out = float(np.sum(x * x)), []
+        sst = list(map(float, np.sum(x * x, axis=0)))
+        for f in _starts(x.T @ x, len(x), float(x.sum()), wanted, restarts, seed):
+            while not f.done:
+                f.advance(*batch_sums(x, f.w), energy, max_iter, tol)
+            out.append([*key, f.k, f.restart, [list(map(float, c)) for c in f.w.T], float(f.rss), f.iters, f.iters >= max_iter, len(x), sst, list(map(float, _channel_errors(x, f.w))), "ok"])
+        return pd.DataFrame(out, columns=[*keys, *_NAMES])
+
+    good = tasks.where("_bad is null")
+    one, many = (packed.join(good.where(cond).select(*keys), list(keys), "left_semi") for cond in (f"_n <= {block_rows}", f"_n > {block_rows}"))
+    # few rows, much work: they must not be coalesced into one partition
+    wide = max(packed.sparkSession.sparkContext.defaultParallelism, int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    found = one.repartition(wide, *keys).groupBy(*keys).applyInPandas(local, schema).unionByName(failed)
+    if not good.where(F.col("_n") > block_rows).isEmpty():
+        found = found.unionByName(_fit_over_blocks(stage(many), keys, wanted, restarts, max_iter, tol, seed, schema))
+    return stage(found)
+
+
+def _sums_over_blocks(packed: DataFrame, fits: DataFrame, keys: Sequence[str], fn) -> DataFrame:
+    """keys, k, restart and the sum over the task's blocks of the vectors ``fn(x, w)``, for every fit (k, restart, w).
+
+    Blocks of one task are dealt over SALTS partitions; what a partition has summed leaves it once.
+    """
+    names = list(keys)
+    per_task = fits.groupBy(*keys).agg(F.collect_list(F.struct("k", "restart", "w")).alias("fits")).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    joined = packed.withColumn("_salt", F.pmod(F.xxhash64("x"), F.lit(SALTS)).cast("int")).join(per_task, [*keys, "_salt"]).select(*keys, "most", "x", "fits")
+    schema = T.StructType([*[packed.schema[c] for c in keys], T.StructField("k", T.IntegerType()), T.StructField("restart", T.IntegerType()),
+                           T.StructField("pos", T.IntegerType()), T.StructField("val", T.DoubleType())])
+
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict = {}
+        for pdf in batches:
+            for own, m, raw, fits_ in zip(pdf[names].itertuples(index=False, name=None), pdf["most"], pdf["x"], pdf["fits"]):
+                x = np.frombuffer(raw, float).reshape(-1, int(m))
+                for f in fits_:
+                    w = np.asarray(f["w"], float).reshape(int(m), -1)
+                    key = (*own, int(f["k"]), int(f["restart"]))
+                    vec = fn(x, w)
+                    total[key] = total[key] + vec if key in total else vec
+        for key, vec in total.items():
+            out = pd.DataFrame({c: [v] * len(vec) for c, v in zip([*names, "k", "restart"], key)})
+            yield out.assign(pos=np.arange(len(vec), dtype="int32"), val=vec)
+
+    sums = joined.mapInPandas(part, schema).groupBy(*keys, "k", "restart", "pos").agg(F.sum("val").alias("val"))
+    return sums.groupBy(*keys, "k", "restart").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "val"))), lambda e: e["val"]).alias("sums"))
+
+
+def _fit_over_blocks(packed: DataFrame, keys: Sequence[str], ks: Sequence[int], restarts: int, max_iter: int, tol: float, seed: int, schema: T.StructType) -> DataFrame:
+    """Fits of tasks that are several matrices: each pass adds X H' and H H' over the blocks, state stays in staged tables."""
+    names = list(keys)
+    key_fields = [packed.schema[c] for c in keys]
+    state_schema = T.StructType([*key_fields, T.StructField("k", T.IntegerType()), T.StructField("restart", T.IntegerType()), T.StructField("w", _NUMBERS),
+                                 T.StructField("rss", T.DoubleType()), T.StructField("iters", T.IntegerType()), T.StructField("done", T.BooleanType()),
+                                 T.StructField("n", T.LongType()), T.StructField("sst", _NUMBERS)])
+    columns = [f.name for f in state_schema]
+    nothing = packed.select(*keys).distinct().select(*keys, F.lit(0).alias("k"), F.lit(0).alias("restart"), F.array().cast("array<double>").alias("w"))
+    facts = _sums_over_blocks(packed, nothing, keys, lambda x, w: np.concatenate([[len(x), x.sum()], (x.T @ x).ravel()]))
+
+    def start(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for own, sums in zip(pdf[names].itertuples(index=False, name=None), pdf["sums"]):
+                f = np.asarray(sums, float)
+                gram = f[2:].reshape(int(round((len(f) - 2) ** 0.5)), -1)
+                n = int(round(f[0]))
+                out += [(*own, s.k, s.restart, s.w.ravel(), np.inf, 0, False, n, np.diag(gram)) for s in _starts(gram, n, float(f[1]), ks, restarts, seed)]
+            yield pd.DataFrame(out, columns=columns)
+
+    def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for r in pdf.to_dict("records"):
+                m, k, sums = len(r["sst"]), int(r["k"]), np.asarray(r["sums"], float)
+                f = _Fit(k, int(r["restart"]), np.asarray(r["w"], float).reshape(m, k), r["rss"], int(r["iters"]))
+                f.advance(sums[: m * k].reshape(m, k), sums[m * k :].reshape(k, k), float(np.sum(r["sst"])), max_iter, tol)
+                out.append((*[r[c] for c in names], k, f.restart, f.w.ravel(), f.rss, f.iters, f.done, r["n"], r["sst"]))
+            yield pd.DataFrame(out, columns=columns)
+
+    live, ended = stage(facts.mapInPandas(start, state_schema)), []
+    fit_key = [*keys, "k", "restart"]
+    while not live.isEmpty():
+        sums = _sums_over_blocks(packed, live, keys, lambda x, w: np.concatenate([a.ravel() for a in batch_sums(x, w)]))
+        moved = stage(live.join(sums, fit_key).mapInPandas(step, state_schema))
+        ended.append(moved.where("done"))
+        live = moved.where("not done")
+    state = ended[0]
+    for more in ended[1:]:
+        state = state.unionByName(more)
+    state = stage(state)
+    errors = _sums_over_blocks(packed, state, keys, _channel_errors).withColumnRenamed("sums", "sse")
+    k = F.col("k")
+    at = lambda j: F.transform(F.sequence(F.lit(0), F.size("sst") - 1), lambda i: F.col("w")[i * k + j])
+    weights = F.transform(F.sequence(F.lit(0), k - 1), at)
+    out = state.join(errors, fit_key).select(*keys, "k", "restart", weights.alias("weights"), "rss", F.col("iters").alias("n_iter"),
+                                             (F.col("iters") >= max_iter).alias("hit_max_iter"), F.col("n").alias("n_samples"), "sst", "sse", F.lit("ok").alias("status"))
+    return out.select(*[F.col(f.name).cast(f.dataType) for f in schema])
 
 
 def best_fits(fits: DataFrame, keys: Sequence[str]) -> DataFrame:

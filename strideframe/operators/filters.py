@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from strideframe.config import FilterConfig
+from strideframe.fixed import ENVELOPE_BAND, SMOOTH_HZ
 from strideframe.operators.ordered import TARGET_ROWS, blocks, row_index
 
 BLOCK_ROWS = 65_536
@@ -83,11 +83,10 @@ def bandpass(fs: float, low_hz: float, high_hz: float, order: int = 4) -> Stage:
     return _stage("bandpass", order, [low, high], fs)
 
 
-def envelope(fs: float, cfg: FilterConfig | None = None) -> list[Stage]:
-    """Band-pass, rectify, low-pass, clamp at zero."""
-    cfg = cfg or FilterConfig()
-    out = [bandpass(fs, cfg.bandpass_low_hz, cfg.bandpass_high_hz, cfg.bandpass_order)] if 0 < cfg.bandpass_low_hz < cfg.bandpass_high_hz else []
-    return [*out, Stage("abs"), lowpass(fs, cfg.envelope_lowpass_hz, cfg.envelope_order), Stage("clamp")]
+def envelope(fs: float, band: tuple[float, float] | None = ENVELOPE_BAND, smooth_hz: float = SMOOTH_HZ, order: int = 4) -> list[Stage]:
+    """Band-pass (none to skip it), rectify, low-pass, clamp at zero."""
+    out = [bandpass(fs, *band, order)] if band else []
+    return [*out, Stage("abs"), lowpass(fs, smooth_hz, order), Stage("clamp")]
 
 
 def _convolve(x: np.ndarray, h: np.ndarray) -> np.ndarray:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from strideframe.config import SelectionConfig
+from strideframe.fixed import GAIN, REACHED
 from strideframe.functions.numeric import EPS
 
 ISCLOSE_RTOL, ISCLOSE_ATOL = 1e-5, 1e-8  # fixed values: tie tolerance of the worst channel
@@ -41,7 +41,7 @@ def fit_summary(channels: DataFrame, keys: Sequence[str], k: str = "k") -> DataF
         "n_samples", "n_channels", "n_valid_channels")
 
 
-def transitions(channels: DataFrame, keys: Sequence[str], improvement: float = 0.01, channel: str = "channel", k: str = "k") -> DataFrame:
+def transitions(channels: DataFrame, keys: Sequence[str], improvement: float = GAIN, channel: str = "channel", k: str = "k") -> DataFrame:
     """Per k: the worst channel(s), and whether all of them gain at most ``improvement`` when going to k+1.
 
     Windows run over one channel's few k values, or one k's few channels.
@@ -61,11 +61,11 @@ def transitions(channels: DataFrame, keys: Sequence[str], improvement: float = 0
                       F.coalesce(stop, F.lit(False)).alias("would_stop"), "n_valid", "n_invalid")
 
 
-def select_k(channels: DataFrame, keys: Sequence[str], cfg: SelectionConfig | None = None, channel: str = "channel", k: str = "k") -> DataFrame:
+def select_k(channels: DataFrame, keys: Sequence[str], reached: float = REACHED, improvement: float = GAIN, channel: str = "channel",
+             k: str = "k") -> DataFrame:
     """First k where every valid channel reaches the threshold (C) or the worst ones stop gaining (D), else the largest k (F)."""
-    cfg = cfg or SelectionConfig()
-    t = transitions(channels, keys, cfg.improvement, channel, k)
-    c = F.coalesce(F.col("min_valid_vaf") >= cfg.channel_vaf, F.lit(False))
+    t = transitions(channels, keys, improvement, channel, k)
+    c = F.coalesce(F.col("min_valid_vaf") >= reached, F.lit(False))
     agg = t.groupBy(*keys).agg(F.min(F.when(c, F.col(k))).alias("_c"), F.min(F.when(F.col("would_stop"), F.col(k))).alias("_d"),
                                F.max(k).alias("_kmax"), F.max("n_valid").alias("_valid"))
     is_c = F.col("_c").isNotNull() & (F.col("_d").isNull() | (F.col("_c") <= F.col("_d")))
@@ -89,7 +89,7 @@ def vaf_gain(summary: DataFrame, keys: Sequence[str], k: str = "k") -> DataFrame
     return summary.withColumn("delta_vaf", F.col("global_vaf") - prev)
 
 
-def secondary_k(summary: DataFrame, keys: Sequence[str], threshold: float = 0.90, k: str = "k") -> DataFrame:
+def secondary_k(summary: DataFrame, keys: Sequence[str], threshold: float = REACHED, k: str = "k") -> DataFrame:
     """Reporting choices: least AIC, least BIC, smallest k over the global threshold (else the largest k)."""
     w = W.partitionBy(*keys)
     rows = summary.withColumns({"_aic": F.min("aic").over(w), "_bic": F.min("bic").over(w)})

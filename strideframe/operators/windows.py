@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strideframe.config import SlidingWindowConfig
 from strideframe.operators.ordered import TARGET_ROWS, row_index
 
 
@@ -61,12 +60,14 @@ def windows_inside_segments(windows: DataFrame, segments: DataFrame, on: Sequenc
     return hit.drop("_s", "_e").distinct()
 
 
-def window_quality(samples: DataFrame, keys: Sequence[str], channel: str, v: str, cfg: SlidingWindowConfig,
-                   n_channels: int) -> DataFrame:
+def window_quality(samples: DataFrame, keys: Sequence[str], channel: str, v: str, n_channels: int, samples_from: int = 20, missing_to: float = 0.1,
+                   active_share: float = 0.01, active_from: int = 2, level_from: float = 1e-8) -> DataFrame:
     """First failed rule per window, or NULL: ``skip_flag``, ``skip_reason``.
 
     ``samples`` is long (one row per window, channel, sample); ``n_channels`` is the number of channels
-    a window should have, used for the share of missing cells.
+    a window should have, used for the share of missing cells (``missing_to``).  A window needs
+    ``samples_from`` samples, ``active_from`` channels of which ``active_share`` is above zero, and a mean of
+    ``level_from``.
     """
     per_channel = samples.groupBy(*keys, channel).agg(
         F.count(F.lit(1)).alias("_rows"), F.count(v).alias("_n"),
@@ -76,16 +77,16 @@ def window_quality(samples: DataFrame, keys: Sequence[str], channel: str, v: str
     )
     w = per_channel.groupBy(*keys).agg(
         F.max("_rows").alias("_samples"), F.sum("_rows").alias("_cells"), F.sum("_n").alias("_present"),
-        F.count_if(F.col("_active") >= cfg.min_fraction_nonzero_per_muscle).alias("_n_active"),
+        F.count_if(F.col("_active") >= active_share).alias("_n_active"),
         F.sum("_sum").alias("_total"), F.max("_var").alias("_maxvar"),
     )
     size = F.col("_samples") * n_channels
     reason = (
         F.when(F.col("_cells") == 0, "empty")
-        .when(1 - F.col("_present") / size > cfg.max_nan_fraction, "too_many_nans")
-        .when(F.col("_samples") < cfg.min_valid_samples_per_window, "too_few_samples")
-        .when(F.col("_n_active") < cfg.min_active_muscles_per_window, "too_few_active_muscles")
-        .when(F.col("_total") / size < cfg.min_overall_activation, "too_low_activation")
+        .when(1 - F.col("_present") / size > missing_to, "too_many_nans")
+        .when(F.col("_samples") < samples_from, "too_few_samples")
+        .when(F.col("_n_active") < active_from, "too_few_active_muscles")
+        .when(F.col("_total") / size < level_from, "too_low_activation")
         .when(F.col("_maxvar") < 1e-20, "zero_variance")
     )
     return w.select(*keys, F.col("_samples").alias("n_samples"), reason.isNotNull().alias("skip_flag"), reason.alias("skip_reason"))

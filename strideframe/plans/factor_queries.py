@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strideframe.config import FactorConfig, SelectionConfig
 from strideframe.operators import factorize as N
 from strideframe.operators import selection as V
 from strideframe.operators import similarity as M
 from strideframe.plans.cluster_queries import PRIORITIES
 from strideframe.plans.registry import query, rounded, table
 
-FIT = FactorConfig(restarts=2, max_iter=60)
+FIT = {"restarts": 2, "max_iter": 60}
 
 
 def profiles(spark, sf):
@@ -25,7 +24,7 @@ def profiles(spark, sf):
 @query("factor_fits")
 def factor_fits(spark, sf):
     """Best fit per (nation, k): iterations, rss and global VAF."""
-    fits = N.best_fits(N.factorize(profiles(spark, sf), ["c_nationkey"], [1, 2, 3], FIT), ["c_nationkey"])
+    fits = N.best_fits(N.factorize(profiles(spark, sf), ["c_nationkey"], [1, 2, 3], **FIT), ["c_nationkey"])
     total = F.aggregate("sst", F.lit(0.0), lambda a, x: a + x)
     return fits.select("c_nationkey", "k", "n_samples", "hit_max_iter", F.round("rss", 3).alias("rss"), F.round(1 - F.col("rss") / total, 4).alias("global_vaf"))
 
@@ -33,14 +32,14 @@ def factor_fits(spark, sf):
 @query("factor_select_k")
 def factor_select_k(spark, sf):
     """Number of components per nation by the ordered rule."""
-    best = N.best_fits(N.factorize(profiles(spark, sf), ["c_nationkey"], [1, 2, 3, 4], FIT), ["c_nationkey"])
-    return rounded(V.select_k(N.channel_table(best, ["c_nationkey"], PRIORITIES), ["c_nationkey"], SelectionConfig(k_max=4)), 4)
+    best = N.best_fits(N.factorize(profiles(spark, sf), ["c_nationkey"], [1, 2, 3, 4], **FIT), ["c_nationkey"])
+    return rounded(V.select_k(N.channel_table(best, ["c_nationkey"], PRIORITIES), ["c_nationkey"]), 4)
 
 
 @query("factor_stability")
 def factor_stability(spark, sf):
     """Similarity of the components across restarts."""
-    fits = N.factorize(profiles(spark, sf), ["c_nationkey"], [2, 3], FIT).where("status = 'ok'")
+    fits = N.factorize(profiles(spark, sf), ["c_nationkey"], [2, 3], **FIT).where("status = 'ok'")
     return rounded(M.restart_stability(N.components(fits, ["c_nationkey", "k", "restart"]), ["c_nationkey", "k"]), 4)
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strideframe.config import SlidingWindowConfig
 from strideframe.operators import complexity as C
 from strideframe.operators import features as X
 from strideframe.operators import spectral as P
@@ -54,9 +53,7 @@ SELECT entity, window_index, n_samples, skip_reason IS NOT NULL AS skip_flag, sk
 def window_quality(spark, sf):
     rows = N.expand_windows(row_index(signals(spark, sf), ["entity"], "t", ["sample"]), 8, 4)
     rows = rows.withColumn("v", F.when(F.col("v") > 2, F.col("v")))
-    cfg = SlidingWindowConfig(min_valid_samples_per_window=2, min_active_muscles_per_window=4, min_overall_activation=12.0,
-                              max_nan_fraction=0.7)
-    return N.window_quality(rows, ["entity", "window_index"], "channel", "v", cfg, len(EVENT_TYPES))
+    return N.window_quality(rows, ["entity", "window_index"], "channel", "v", len(EVENT_TYPES), samples_from=2, missing_to=0.7, active_from=4, level_from=12.0)
 
 
 _ROUGH = """r AS (SELECT entity, channel, count(*) n, stddev_samp(v) sd,

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strideframe.config import SelectionConfig
 from strideframe.operators import clusters as K
 from strideframe.operators import selection as V
 from strideframe.operators.quantiles import exact_quantile
 from strideframe.plans.registry import query, rounded, table
 
 TASK = ["o_orderpriority", "y"]
-CFG = SelectionConfig(channel_vaf=0.985, improvement=0.0075)
+LIMITS = {"reached": 0.985, "improvement": 0.0075}
 LEVELS = 500_000.0
 
 
@@ -52,7 +51,7 @@ sel AS (SELECT o_orderpriority, y, CASE WHEN c IS NOT NULL AND (d IS NULL OR c <
 WITH {_TRANS} SELECT o_orderpriority, CAST(y AS INTEGER) AS y, k, CAST(k + 1 AS INTEGER) AS k_next, round(min_valid_vaf, 6) AS min_valid_vaf, array_to_string(wc, ',') AS worst_channels,
   round(mi, 6) AS max_improvement, stop AS would_stop FROM t""")
 def k_transitions(spark, sf):
-    t = V.transitions(channel_fits(spark, sf), TASK, CFG.improvement)
+    t = V.transitions(channel_fits(spark, sf), TASK, LIMITS["improvement"])
     return rounded(t.withColumn("worst_channels", F.array_join("worst_channels", ",")).drop("n_valid", "n_invalid"))
 
 
@@ -60,7 +59,7 @@ def k_transitions(spark, sf):
 WITH {_TRANS} SELECT sel.o_orderpriority, CAST(sel.y AS INTEGER) AS y, selected_k, criterion, round(min_valid_vaf, 6) AS selected_min_vaf, array_to_string(wc, ',') AS selected_worst_channels
 FROM sel JOIN t ON t.o_orderpriority = sel.o_orderpriority AND t.y = sel.y AND t.k = selected_k""")
 def select_k(spark, sf):
-    out = V.select_k(channel_fits(spark, sf), TASK, CFG).drop("reason")
+    out = V.select_k(channel_fits(spark, sf), TASK, **LIMITS).drop("reason")
     return rounded(out.withColumn("selected_worst_channels", F.array_join("selected_worst_channels", ",")))
 
 
@@ -76,20 +75,20 @@ WITH {_TRANS}, m AS (SELECT criterion, median(selected_k) AS mk FROM sel GROUP B
 SELECT criterion, o_orderpriority, CAST(y AS INTEGER) AS y, selected_k FROM sel JOIN m USING (criterion)
 QUALIFY row_number() OVER (PARTITION BY criterion ORDER BY abs(selected_k - mk), o_orderpriority, sel.y) = 1""")
 def representative_tasks(spark, sf):
-    sel = V.select_k(channel_fits(spark, sf), TASK, CFG)
+    sel = V.select_k(channel_fits(spark, sf), TASK, **LIMITS)
     return V.representatives(sel, TASK, exact_quantile(sel, ["criterion"], "selected_k", 0.5, "median_k"))
 
 
 @query("k_histogram", f"WITH {_TRANS} SELECT selected_k, criterion, count(*) AS n_tasks FROM sel GROUP BY 1, 2")
 def k_histogram(spark, sf):
-    return V.k_histogram(V.select_k(channel_fits(spark, sf), TASK, CFG))
+    return V.k_histogram(V.select_k(channel_fits(spark, sf), TASK, **LIMITS))
 
 
 @query("driver_frequency", f"""
 WITH {_TRANS}, d AS (SELECT unnest(wc) AS channel FROM sel JOIN t ON t.o_orderpriority = sel.o_orderpriority AND t.y = sel.y AND t.k = selected_k WHERE criterion = 'D')
 SELECT channel, count(*) AS n_stops FROM d GROUP BY 1""")
 def driver_frequency(spark, sf):
-    sel = V.select_k(channel_fits(spark, sf), TASK, CFG).where("criterion = 'D'")
+    sel = V.select_k(channel_fits(spark, sf), TASK, **LIMITS).where("criterion = 'D'")
     return V.driver_frequency(sel, "selected_worst_channels")
 
 

@@ -4,13 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strideframe.config import FactorConfig, FilterConfig, RunConfig, SelectionConfig, SlidingWindowConfig
 from strideframe.plans import workflows as P
 from strideframe.plans.registry import EVENT_TYPES, query, rounded, signals, table
 
-CFG = RunConfig(muscles=tuple(EVENT_TYPES), filters=FilterConfig(bandpass_low_hz=0.0, envelope_lowpass_hz=30.0),
-                windows=SlidingWindowConfig(min_active_muscles_per_window=1, min_valid_samples_per_window=10),
-                factors=FactorConfig(restarts=2, max_iter=20), selection=SelectionConfig(k_max=3))
+FIT = {"restarts": 2, "max_iter": 20}
 
 
 def recordings(spark, sf):
@@ -31,7 +28,7 @@ def thirds(rec):
 def _cycles(spark, sf):
     rec = recordings(spark, sf)
     emg = rec.withColumn("channel", F.concat("channel", F.lit(": EMG 1")))
-    return P.muscle_cycles(emg, thirds(rec), EVENT_TYPES, CFG, 150.0, 51)
+    return P.muscle_cycles(emg, thirds(rec), EVENT_TYPES, 150.0, 51, band=None, smooth_hz=30.0)
 
 
 @query("movement_cycle_metrics")
@@ -44,21 +41,21 @@ def movement_cycle_metrics(spark, sf):
 def movement_component_counts(spark, sf):
     """Recommended number of components per task."""
     vectors = P.sample_vectors(_cycles(spark, sf), EVENT_TYPES)
-    return rounded(P.component_counts(vectors, EVENT_TYPES, CFG)["recommendations"], 4)
+    return rounded(P.component_counts(vectors, EVENT_TYPES, 3, **FIT)["recommendations"], 4)
 
 
 @query("movement_windows")
 def movement_windows(spark, sf):
     """Windows with quality and VAF under two fixed components per task."""
     vectors = P.sample_vectors(_cycles(spark, sf), EVENT_TYPES)
-    fits = P.N.best_fits(P.N.factorize(vectors, P.TASK, [2], CFG.factors), P.TASK)
-    return rounded(P.window_tables(vectors, fits, EVENT_TYPES, CFG, 51)["windows"], 5)
+    fits = P.N.best_fits(P.N.factorize(vectors, P.TASK, [2], **FIT), P.TASK)
+    return rounded(P.window_tables(vectors, fits, EVENT_TYPES, 51, active_from=1, samples_from=10)["windows"], 5)
 
 
 @query("sensor_feature_stats")
 def sensor_feature_stats(spark, sf):
     """Paired feature tests with FDR, event types in the role of accelerometer axes."""
-    axis = F.element_at(F.create_map(F.lit("click"), F.lit("X"), F.lit("view"), F.lit("Y"), F.lit("error"), F.lit("Z")), F.col("channel"))
-    rec = recordings(spark, sf).where("channel in ('click', 'view', 'error')")
-    acc = rec.withColumn("channel", F.concat(F.lit("Wrist: Acc 1."), axis))
+    names = {"click": "Wrist: Acc 1.X", "view": "Wrist: Acc 1.Y", "error": "Wrist: Acc 1.Z", "purchase": "Arm: Acc 2.X", "signup": "Arm: Acc 2.Y"}
+    rec = recordings(spark, sf)
+    acc = rec.withColumn("channel", F.create_map(*[F.lit(x) for pair in names.items() for x in pair])[F.col("channel")])
     return rounded(P.sensor_features(acc, thirds(rec), 150.0)["stats"], 5)

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strideframe.config import COCONTRACTION_PAIRS, DEFAULT_FS, RunConfig
+from strideframe.fixed import COCONTRACTION_PAIRS, ENVELOPE_BAND, FALLBACK_HZ, GAIN, REACHED, SCALE_AT, SMOOTH_HZ
 from strideframe.functions.text import acc_axis, acc_sensor, channel_kind, condition_of, session_of
 from strideframe.operators import clusters as K
 from strideframe.operators import coordination as C
@@ -41,15 +41,16 @@ def _task_without_session(name: Column) -> Column:
     return F.array_join(F.filter(F.split(F.trim(name), r"[_\-\s]+"), lambda p: ~F.upper(p).isin("T0", "T1")), "_")
 
 
-def muscle_cycles(samples: DataFrame, segments: DataFrame, muscles: Sequence[str], cfg: RunConfig, fs: float = DEFAULT_FS, points: int = 101) -> DataFrame:
+def muscle_cycles(samples: DataFrame, segments: DataFrame, muscles: Sequence[str], fs: float = FALLBACK_HZ, points: int = 101,
+                  band: tuple[float, float] | None = ENVELOPE_BAND, smooth_hz: float = SMOOTH_HZ, scale_at: float = SCALE_AT) -> DataFrame:
     """Envelopes of the wanted muscles, scaled per task, on a common phase grid: task, cycle_index, muscle, phase_idx, phase, v."""
     emg = samples.where(channel_kind(F.col("channel")) == "emg")
     position = emg.select(*TASK, "channel").distinct().withColumn("channel_index", F.coalesce(F.regexp_extract("channel", r"(\d+)", 1).try_cast("int"), F.lit(0)))
     names = H.resolve_channels(position, TASK, list(muscles)).select(*TASK, "channel", F.col("wanted").alias("muscle"))
-    env = L.filter_channels(emg.select(*TASK, "channel", "t", "v"), [*TASK, "channel"], "t", L.envelope(fs, cfg.filters), out="_env")
+    env = L.filter_channels(emg.select(*TASK, "channel", "t", "v"), [*TASK, "channel"], "t", L.envelope(fs, band, smooth_hz), out="_env")
     env = env.join(names, [*TASK, "channel"]).select(*TASK, "muscle", "t", F.col("_env").alias("v")).where("v is not null")
     inside = stage(S.samples_in_segments(env, segments.select(*TASK, "cycle_index", "start_s", "end_s"), TASK))
-    scale = G.channel_scale(inside, [*TASK, "muscle"], "v", cfg.filters.scale_percentile / 100)
+    scale = G.channel_scale(inside, [*TASK, "muscle"], "v", scale_at)
     scaled = G.apply_scale(inside, scale, [*TASK, "muscle"])
     cycle = [*TASK, "cycle_index", "muscle"]
     long_enough = inside.groupBy(*cycle).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= MIN_CYCLE_SAMPLES).select(*cycle)
@@ -77,34 +78,36 @@ def sample_vectors(cycles: DataFrame, muscles: Sequence[str]) -> DataFrame:
     return stage(cycles.groupBy(*TASK, "cycle_index", "phase_idx").agg(F.array(*cells).alias("vector")))
 
 
-def component_counts(vectors: DataFrame, muscles: Sequence[str], cfg: RunConfig) -> dict[str, DataFrame]:
-    """Fits for k = 1..k_max, their metrics, transitions and the recommended k of every task."""
-    fits = N.factorize(vectors, TASK, list(range(1, min(cfg.selection.k_max, len(muscles)) + 1)), cfg.factors)
+def component_counts(vectors: DataFrame, muscles: Sequence[str], most: int = 8, reached: float = REACHED, improvement: float = GAIN, **fit) -> dict[str, DataFrame]:
+    """Fits for k = 1..most, their metrics, transitions and the recommended k of every task; ``fit`` goes to `factorize`."""
+    fits = N.factorize(vectors, TASK, list(range(1, min(most, len(muscles)) + 1)), **fit)
     best = N.best_fits(fits, TASK)
     channels = N.channel_table(best, TASK, list(muscles))
     metrics = V.vaf_gain(V.fit_summary(channels, TASK), TASK)
     ok = fits.where("status = 'ok'")
     stability = M.restart_stability(N.components(ok, [*TASK, "k", "restart"]), [*TASK, "k"])
     return {
-        "fits": best, "metrics_by_k": metrics.join(stability, [*TASK, "k"], "left"), "transitions": V.transitions(channels, TASK, cfg.selection.improvement),
-        "recommendations": V.select_k(channels, TASK, cfg.selection), "secondary": V.secondary_k(metrics, TASK, cfg.selection.global_vaf),
+        "fits": best, "metrics_by_k": metrics.join(stability, [*TASK, "k"], "left"), "transitions": V.transitions(channels, TASK, improvement),
+        "recommendations": V.select_k(channels, TASK, reached, improvement), "secondary": V.secondary_k(metrics, TASK, reached),
         "failures": fits.where("status <> 'ok'").select(*TASK, "status"),
     }
 
 
-def window_tables(vectors: DataFrame, chosen: DataFrame, muscles: Sequence[str], cfg: RunConfig, points: int = 101) -> dict[str, DataFrame]:
+def window_tables(vectors: DataFrame, chosen: DataFrame, muscles: Sequence[str], points: int = 101, length: float = 0.2, step: float = 0.1, across: bool = False,
+                  **gate) -> dict[str, DataFrame]:
     """Sliding windows over the concatenated cycles with activations of the task's fixed components.
 
-    ``chosen`` has one row per task with ``weights`` and ``k``.
+    ``chosen`` has one row per task with ``weights`` and ``k``; lengths are in cycles, ``across`` lets windows cross
+    cycles, and ``gate`` goes to `window_quality`.
     """
     h = N.activations(vectors, chosen, TASK, ["cycle_index", "phase_idx"])
     rows = vectors.join(h, [*TASK, "cycle_index", "phase_idx"]).withColumn("_pos", F.col("cycle_index") * points + F.col("phase_idx"))
-    length, step = W.window_sizes(cfg.windows.window_length, cfg.windows.step, 1.0 / points)
-    keys = TASK if cfg.windows.cross_segment else [*TASK, "cycle_index"]
+    length, step = W.window_sizes(length, step, 1.0 / points)
+    keys = TASK if across else [*TASK, "cycle_index"]
     placed = stage(W.expand_windows(row_index(stage(rows), keys, "_pos"), length, step))
     win = [*keys, "window_index"]
     cells = placed.select(*win, F.posexplode("vector").alias("_i", "v"))
-    quality = W.window_quality(cells, win, "_i", "v", cfg.windows, len(muscles))
+    quality = W.window_quality(cells, win, "_i", "v", len(muscles), **gate)
     energy = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)
     fit = placed.groupBy(*win).agg((F.min("_pos") / F.lit(float(points))).alias("start_s"), (F.max("_pos") / F.lit(float(points))).alias("end_s"),
                                    F.sum(energy).alias("_sst"), F.sum("squared_error").alias("_sse"), F.count(F.lit(1)).alias("_n"))
@@ -148,7 +151,7 @@ def meta_clusters(fits: DataFrame, muscles: Sequence[str], n_clusters: int = 4,
     return {"centroids": centroids, "assignment": assigned, "presence": K.presence(assigned, [*TASK, "session", "condition"], n_clusters)}
 
 
-def sensor_features(samples: DataFrame, segments: DataFrame, fs: float = DEFAULT_FS, lowpass_hz: float = 10.0, min_cycles: int = 2) -> dict[str, DataFrame]:
+def sensor_features(samples: DataFrame, segments: DataFrame, fs: float = FALLBACK_HZ, lowpass_hz: float = 10.0, min_cycles: int = 2) -> dict[str, DataFrame]:
     """Accelerometer features per cycle and their means per task, sensor and axis, paired over sessions and tested.
 
     Tasks pair on their name without the session; tests are per condition, FDR within each feature.

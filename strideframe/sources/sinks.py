@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strideframe.config import RunConfig
 from strideframe.functions.text import channel_kind
 
 
@@ -40,9 +40,9 @@ def write_profiles(curves: DataFrame, keys: Sequence[str], path: str, idx: str =
     curves.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct(idx, v))), lambda s: s[v]).alias("profile")).write.mode("overwrite").parquet(path)
 
 
-def write_config(spark: SparkSession, cfg: RunConfig, path: str) -> None:
+def write_config(spark: SparkSession, settings: Mapping[str, object], path: str) -> None:
     """The run's settings as one JSON line."""
-    spark.createDataFrame([(cfg.as_json(),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    spark.createDataFrame([(json.dumps(dict(settings), sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
 def quality_metadata(samples: DataFrame, recording: Sequence[str], channel: str = "channel", t: str = "t", v: str = "v", before: DataFrame | None = None) -> DataFrame:

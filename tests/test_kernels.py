@@ -8,7 +8,6 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from strideframe.config import FactorConfig
 from strideframe.operators import clusters, factorize, filters, resample, similarity
 
 
@@ -94,10 +93,10 @@ def test_factorization_recovers_low_rank(spark):
     w, h = rng.random((8, 2)) * (rng.random((8, 2)) > 0.4), rng.random((120, 2))
     rows = [("t1", [float(v) for v in r]) for r in h @ w.T] + [("t2", [float(v) for v in r]) for r in rng.random((60, 8))]
     df = spark.createDataFrame(rows, "task string, vector array<double>")
-    cfg = FactorConfig(restarts=2, max_iter=30, tol=1e-6)
-    near = factorize.factorize(df, ["task"], [1, 2], cfg)
-    far = factorize.factorize(df, ["task"], [1, 2], FactorConfig(restarts=2, max_iter=30, tol=1e-6, max_local_cells=500))  # t1 distributed, t2 local
-    every = factorize.factorize(df, ["task"], [1, 2], FactorConfig(restarts=2, max_iter=30, tol=1e-6, max_local_cells=0))
+    how = {"restarts": 2, "max_iter": 12, "tol": 1e-6}
+    near = factorize.factorize(df, ["task"], [1, 2], **how)
+    far = factorize.factorize(df, ["task"], [1, 2], **how, block_rows=70)  # t1 over several matrices, t2 in one
+    every = factorize.factorize(df, ["task"], [1, 2], **how, block_rows=25)
     assert every.count() == 8 and abs(every.agg({"rss": "sum"}).collect()[0][0] - near.agg({"rss": "sum"}).collect()[0][0]) < 1e-5
     a, b = (x.toPandas().sort_values(["task", "k", "restart"]).reset_index(drop=True) for x in (near, far))
     np.testing.assert_allclose(a["rss"], b["rss"], rtol=1e-6, atol=1e-6)
@@ -106,6 +105,17 @@ def test_factorization_recovers_low_rank(spark):
     assert table["vaf"].dropna().min() > 0.99
 
 
+@pytest.mark.parametrize("block_rows", [65_536, 40])
+def test_factorization_returns_every_task(spark, block_rows):
+    rng = np.random.default_rng(6)
+    rows = [("big", list(r)) for r in rng.random((150, 5))] + [("wide", list(r)) for r in rng.random((8, 260))] + [("ragged", [1.0] * (2 + i % 2)) for i in range(100)]
+    rows += [("none", None), ("inf", [1.0, float("inf")]), ("small", [0.0, 1.0]), ("small", [float("nan"), 2.0])]
+    df = spark.createDataFrame([(t, None if v is None else [float(x) for x in v]) for t, v in rows], "task string, vector array<double>")
+    got = factorize.factorize(df, ["task"], [1, 2], restarts=1, max_iter=4, block_rows=block_rows).groupBy("task").agg({"status": "max", "k": "count"}).collect()
+    assert {r["task"]: (r["max(status)"].split(":")[0], r["count(k)"]) for r in got} == {
+        "big": ("ok", 2), "wide": ("ok", 2), "small": ("ok", 2), "ragged": ("failed", 0), "none": ("failed", 0), "inf": ("failed", 0)}
+
+
 @pytest.mark.parametrize("n,fs", [(50, 30.0), (51, 30.0), (40, 173.0), (41, 171.0), (40, 100.0)])
 def test_fourier_paths_agree(spark, n, fs):
     rng = np.random.default_rng(n)

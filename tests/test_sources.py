@@ -6,7 +6,6 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strideframe.config import RunConfig
 from strideframe.operators import checks, reshape
 from strideframe.sources import read_recordings, read_segments, sniff_format, tables
 from strideframe.sources import recordings as R
@@ -124,8 +123,8 @@ def test_tables_and_sinks(spark, tmp_path):
     assert spark.read.option("header", "true").csv(str(tmp_path / "report/csv/x")).count() == 6
     sinks.write_profiles(s, ["patient_id", "channel"], str(tmp_path / "profiles"), "sample_idx")
     assert tables.read_profiles(spark, str(tmp_path / "profiles")).where("size(profile) = 5").count() == 1
-    sinks.write_config(spark, RunConfig(), str(tmp_path / "cfg"))
-    assert json.loads(spark.read.text(str(tmp_path / "cfg")).collect()[0][0])["windows"]["window_length"] == 0.2
+    sinks.write_config(spark, {"windows": {"length": 0.2}}, str(tmp_path / "cfg"))
+    assert json.loads(spark.read.text(str(tmp_path / "cfg")).collect()[0][0])["windows"]["length"] == 0.2
     meta = sinks.quality_metadata(s, ["patient_id"], before=s).collect()[0]
     assert meta["n_channels"] == 2 and json.loads(meta["channels"])[1]["n_samples_before_resample"] == 5
 

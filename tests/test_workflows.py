@@ -4,13 +4,10 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from strideframe.config import FactorConfig, FilterConfig, RunConfig, SelectionConfig, SlidingWindowConfig
 from strideframe.plans import workflows as P
 from strideframe.session import stage
 
 MUSCLES = ["Anterior Deltoid", "Posterior Deltoid", "Infraspinatus", "Brachioradialis"]
-CFG = RunConfig(muscles=tuple(MUSCLES), filters=FilterConfig(bandpass_low_hz=0.0, envelope_lowpass_hz=6.0), factors=FactorConfig(restarts=2, max_iter=40),
-                selection=SelectionConfig(k_max=3), windows=SlidingWindowConfig(min_valid_samples_per_window=5))
 
 
 @pytest.fixture(scope="module")
@@ -33,9 +30,9 @@ def recordings(spark):
 
 @pytest.fixture(scope="module")
 def muscle(spark, recordings):
-    cycles = P.muscle_cycles(*recordings, MUSCLES, CFG, 150.0, 51)
+    cycles = P.muscle_cycles(*recordings, MUSCLES, 150.0, 51, band=None)
     vectors = P.sample_vectors(cycles, MUSCLES)
-    return cycles, vectors, P.component_counts(vectors, MUSCLES, CFG)
+    return cycles, vectors, P.component_counts(vectors, MUSCLES, 3, restarts=2, max_iter=40)
 
 
 def test_cycles_and_tables(muscle):
@@ -57,7 +54,7 @@ def test_component_counts(muscle):
 def test_windows_summaries_and_pairs(muscle):
     cycles, vectors, counts = muscle
     fits = stage(counts["fits"].where("k = 2"))
-    w = P.window_tables(vectors, fits, MUSCLES, CFG, 51)
+    w = P.window_tables(vectors, fits, MUSCLES, 51, samples_from=5)
     win = w["windows"].toPandas()
     assert len(win) == 16 * 3 * 9 and not win["skip_flag"].any() and win["global_vaf"].between(0.5, 1).all()
     assert w["window_components"].count() == 16 * 3 * 9 * 2
