@@ -31,7 +31,7 @@ def amplitude_timing(df: DataFrame, keys: Sequence[str], t: str = "t", v: str =
     same (key, cell) partitioning; only one row per cell goes on to the key level.
     """
     rows = attach_totals(
-        add_cell(df.select(*keys, t, *tie, v), keys, t, target_rows), keys,
+        add_cell(df.select(*keys, t, *tie, v), keys, t, target_rows, tie), keys,
         {"_t0": ("min", F.col(t)), "_t1": ("max", F.col(t)), "_peak": ("max", F.col(v))},
     )
     span = F.col("_t1") - F.col("_t0")

@@ -38,6 +38,16 @@ def test_hot_key_is_split(data):
     assert worst["hot"] <= 80
 
 
+@pytest.mark.parametrize("t", ["case when id = 0 then -1e12 else id end", "floor(id / 700)", "0", "case when id < 100 then 1e9 * id else id end"])
+def test_cells_survive_outliers_ties_and_sparse_keys(spark, t):
+    df = spark.range(3000).selectExpr("'dense' as k", "id", f"cast({t} as double) as t").unionByName(spark.range(50).selectExpr("'sparse' as k", "id", "id * 1e6 as t"))
+    cells = ordered.add_cell(df, ["k"], "t", 100, ["id"]).groupBy("k", "_cell").agg(F.count("*").alias("n"), F.min(F.struct("t", "id")).alias("a"), F.max(F.struct("t", "id")).alias("b"))
+    rows = cells.orderBy("k", "_cell").collect()
+    dense = [r for r in rows if r["k"] == "dense"]
+    assert max(r["n"] for r in dense) <= 200 and len(rows) - len(dense) == 1
+    assert all(tuple(x["b"]) < tuple(y["a"]) for x, y in zip(dense, dense[1:]))
+
+
 def test_adjacent_pairs_cross_cells(data):
     pdf, df = data
     pairs = ordered.adjacent_pairs(df, ["k"], "t", ["id"], ["v"], 40, with_last=True, with_span=True)
