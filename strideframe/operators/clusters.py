@@ -29,6 +29,7 @@ def fit_clusters(vectors: DataFrame, k: int, vector: str = "vector", weight: str
         model = (est.setWeightCol(weight) if weight else est).fit(data)
         if best is None or model.summary.trainingCost < best.summary.trainingCost:
             best = model
+    data.unpersist()
     centres = spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(best.clusterCenters())], "cluster int, vector array<double>")
     return best.transform(data).drop("_x"), centres.withColumn("vector", unit(F.col("vector"))), float(best.summary.trainingCost)
 

@@ -7,6 +7,7 @@ pivoted grid: no self join, no pair rows before the aggregation.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -14,18 +15,19 @@ from pyspark.sql import functions as F
 
 from strideframe.functions.numeric import EPS, corr_guarded, div
 
-MAX_CHANNELS = 64
+PAIRS_AT_ONCE = 1024
 
 
 def pivot_channels(grid: DataFrame, keys: Sequence[str], sample: str, channel: str, v: str, channels: Sequence[str]) -> DataFrame:
     """One row per (keys, sample) with one column c0, c1, ... per listed channel."""
-    if len(channels) > MAX_CHANNELS:
-        raise ValueError(f"at most {MAX_CHANNELS} channels can be paired as columns")
     cols = [F.max(F.when(F.col(channel) == c, F.col(v))).alias(f"c{i}") for i, c in enumerate(channels)]
     return grid.where(F.col(channel).isin(*channels)).groupBy(*keys, sample).agg(*cols)
 
 
 def _explode_pairs(wide: DataFrame, keys: Sequence[str], names: Sequence[tuple[str, str]], values: Sequence[Column], out: str) -> DataFrame:
+    if len(values) > PAIRS_AT_ONCE:  # more pairs than one aggregation should have columns
+        parts = [slice(i, i + PAIRS_AT_ONCE) for i in range(0, len(values), PAIRS_AT_ONCE)]
+        return reduce(DataFrame.unionByName, [_explode_pairs(wide, keys, names[p], values[p], out) for p in parts])
     agg = wide.groupBy(*keys).agg(*[v.alias(f"_p{i}") for i, v in enumerate(values)])
     rows = F.array(*[F.struct(F.lit(a).alias("channel_a"), F.lit(b).alias("channel_b"), F.col(f"_p{i}").alias(out)) for i, (a, b) in enumerate(names)])
     return agg.select(*keys, F.inline(rows))

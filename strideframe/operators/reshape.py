@@ -19,8 +19,6 @@ from strideframe.functions.text import (
     slug,
 )
 
-MAX_PIVOT = 10_000
-
 # --- fixed values: column families by prefix, and headers that are keys rather than metrics ---
 FAMILIES = (("eeg_", "EEG"), ("imu_", "IMU"), ("emg_stability_", "emg_stability"), ("emg_meta_", "emg_meta_synergy"))
 DEFAULT_FAMILY = "emg_movement"
@@ -115,14 +113,12 @@ def sensor_axes(channels: DataFrame, recording: Sequence[str], channel: str = "c
 
 
 def _names(df: DataFrame, name: Column) -> list[str]:
-    found = [r[0] for r in df.select(name.alias("n")).distinct().orderBy("n").limit(MAX_PIVOT + 1).collect()]
-    if len(found) > MAX_PIVOT:
-        raise ValueError(f"more than {MAX_PIVOT} pivot columns")
-    return found
+    """Column names from the data; as many as the wide table has columns."""
+    return [r[0] for r in df.select(name.alias("n")).distinct().orderBy("n").collect()]
 
 
 def flatten_wide(df: DataFrame, keys: Sequence[str], name_parts: Sequence[str], values: Sequence[str], prefix: str, names: Sequence[str] | None = None) -> DataFrame:
-    """One row per key with columns ``<prefix>_<part>_..._<value>``; names come from the caller or from the data (bounded)."""
+    """One row per key with columns ``<prefix>_<part>_..._<value>``; names come from the caller or from the data."""
     base = F.concat_ws("_", F.lit(prefix), *[slug(F.col(p)) for p in name_parts])
     names = list(names) if names is not None else _names(df, base)
     cells = [F.max(F.when(F.col("_n") == n, F.col(v))).alias(f"{n}_{v}") for n in names for v in values]

@@ -17,7 +17,8 @@ from pyspark.sql import Window as W
 
 from strideframe.functions.numeric import corr_guarded
 
-MAX_CENTROIDS = 4096
+CENTROID_BYTES = 256 << 20
+ROWS_AT_ONCE = 1024
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -51,6 +52,7 @@ def stack_components(w: DataFrame, task: Sequence[str], comp: str = "comp", chan
     tasks = w.select(*task).distinct().agg(F.count(F.lit(1)).alias("n")).scalar()
     common = w.select(*task, channel).distinct().groupBy(channel).agg(F.count(F.lit(1)).alias("_t")).where(F.col("_t") == tasks)
     names = common.agg(F.array_sort(F.collect_list(channel)).alias("names")).scalar()
+    w = w.groupBy(*task, comp, channel).agg(F.max(weight).alias(weight))  # rows that repeat a channel count once
     rows = w.groupBy(*task, comp).agg(F.map_from_entries(F.collect_list(F.struct(channel, F.col(weight).cast("double")))).alias("_m"))
     rows = rows.withColumn("channels", names).where(F.size("channels") > 0).withColumn(
         "vector", F.transform("channels", lambda c: F.coalesce(F.try_element_at(F.col("_m"), c), F.lit(0.0))))
@@ -62,14 +64,17 @@ def nearest_centroid(vectors: DataFrame, centroids: DataFrame, vector: str = "ve
                      with_all: bool = False) -> DataFrame:
     """Add ``meta_cluster`` and ``similarity`` by largest cosine, lowest cluster on ties; a narrow map, no join.
 
-    The centroids are a model: at most 4096 rows, checked here, shipped with the task.  ``with_all``
-    also adds ``similarities``, the row of the similarity matrix in cluster order.
+    The centroids are a model and are shipped with the task, up to CENTROID_BYTES; vectors meet them in blocks.
+    ``with_all`` also adds ``similarities``, the row of the similarity matrix in cluster order.  A NULL vector has
+    NULL results, as has every vector when there are no centroids.
     """
-    rows = centroids.select(F.col(cluster).cast("int").alias("c"), F.col(centre).alias("v")).orderBy("c").limit(MAX_CENTROIDS + 1).collect()
-    if not 0 < len(rows) <= MAX_CENTROIDS:
-        raise ValueError(f"between 1 and {MAX_CENTROIDS} centroids expected")
-    ids = np.array([r["c"] for r in rows])
-    centres = np.array([r["v"] for r in rows], dtype=float)
+    ordered = centroids.where(F.col(centre).isNotNull()).select(F.col(cluster).cast("int").alias("c"), F.col(centre).alias("v"))
+    size = ordered.agg(F.coalesce(F.sum(8 * F.size("v")), F.lit(0))).first()[0]
+    if size > CENTROID_BYTES:
+        raise ValueError(f"centroids of {size} bytes; a model of at most {CENTROID_BYTES} is expected")
+    rows = ordered.orderBy("c").collect()
+    ids = np.array([r["c"] for r in rows], dtype=int)
+    centres = np.array([r["v"] for r in rows], dtype=float) if rows else np.zeros((0, 1))
     lengths = np.linalg.norm(centres, axis=1, keepdims=True)
     centres = centres / np.where(lengths < 1e-12, 1.0, lengths)
     fields = [T.StructField("c", T.IntegerType()), T.StructField("s", T.DoubleType())]
@@ -77,13 +82,19 @@ def nearest_centroid(vectors: DataFrame, centroids: DataFrame, vector: str = "ve
 
     @F.pandas_udf(T.StructType(fields))
     def score(v: pd.Series) -> pd.DataFrame:
-        x = np.stack(v.to_numpy()).astype(float)
-        size = np.linalg.norm(x, axis=1, keepdims=True)
-        sims = (x / np.where(size < 1e-12, 1.0, size)) @ centres.T
-        best = sims.argmax(axis=1)
-        out = pd.DataFrame({"c": ids[best].astype("int32"), "s": sims[np.arange(len(x)), best]})
-        if with_all:
-            out["all"] = list(sims)
+        names = ["c", "s", "all"] if with_all else ["c", "s"]
+        out = pd.DataFrame({n: [None] * len(v) for n in names}, dtype=object)
+        there = np.flatnonzero(v.notna().to_numpy())
+        for at in range(0, len(there) if len(ids) else 0, ROWS_AT_ONCE):
+            own = there[at : at + ROWS_AT_ONCE]
+            x = np.stack(v.iloc[own].to_numpy()).astype(float)
+            size = np.linalg.norm(x, axis=1, keepdims=True)
+            sims = (x / np.where(size < 1e-12, 1.0, size)) @ centres.T
+            best = sims.argmax(axis=1)
+            for i, b, s in zip(own, best, sims):
+                out.iat[i, 0], out.iat[i, 1] = int(ids[b]), float(s[b])
+                if with_all:
+                    out.iat[i, 2] = list(map(float, s))
         return out
 
     out = vectors.withColumn("_b", score(F.col(vector))).withColumns({"meta_cluster": F.col("_b.c"), "similarity": F.col("_b.s")})

@@ -9,6 +9,7 @@ from strideframe.operators import features as X
 from strideframe.operators import spectral as P
 from strideframe.operators import windows as N
 from strideframe.operators.ordered import row_index
+from strideframe.operators.rates import by_rate
 from strideframe.plans.registry import EVENT_TYPES, SIGNAL_CTE, query, rounded, signals
 from strideframe.plans.signal_queries import SEGMENT_CTE, signup_segments
 
@@ -119,6 +120,19 @@ def band_power(spark, sf):
     return rounded(P.band_power(psd, ["channel"], {"low": (0.01, 0.1), "mid": (0.1, 0.4), "above": (0.6, 0.9)}), 5)
 
 
+@query("band_power_rates", f"""
+WITH {SIGNAL_CTE}, {_psd("channel")},
+r AS (SELECT channel, bin, freq * hz AS freq, power / hz AS power, hz FROM (SELECT *, CASE WHEN channel IN ('click', 'view') THEN 1.0 ELSE 2.5 END AS hz FROM psd)),
+a AS (SELECT *, lag(freq) OVER o AS pf, (freq - lag(freq) OVER o) * (power + lag(power) OVER o) / 2 AS area FROM r WINDOW o AS (PARTITION BY channel ORDER BY bin))
+SELECT channel, CAST(any_value(hz) AS DOUBLE) AS fs, round(sum(CASE WHEN freq BETWEEN 0.1 AND 0.4 AND pf >= 0.1 THEN area END), 5) AS mid,
+  round(sum(CASE WHEN freq BETWEEN 0.6 AND 0.9 AND pf >= 0.6 THEN area END), 5) AS above FROM a GROUP BY 1""")
+def band_power_rates(spark, sf):
+    """Channels of two sampling rates; the upper band lies beyond the slower ones' Nyquist frequency."""
+    rated = signals(spark, sf).withColumn("fs", F.when(F.col("channel").isin("click", "view"), 1.0).otherwise(2.5))
+    psd = by_rate(rated, "fs", lambda rows, hz: P.welch(rows, ["channel"], "t", P.feature_segment, tie=["sample"], fs=hz))
+    return rounded(P.band_power(psd, ["channel", "fs"], {"mid": (0.1, 0.4), "above": (0.6, 0.9)}), 5)
+
+
 _CYCLES = SIGNAL_CTE.replace("event_type AS channel", "CAST(floor((epoch_us(ts) - 1704067200000000) / 864000000000.0) AS BIGINT) AS channel")
 _FEATS = f"""{_CYCLES}, {_psd("entity, channel", "(v - mu) / sdv")},
 sp AS (SELECT entity, channel, min(CASE WHEN power = pk THEN freq END) AS dominant_frequency_hz, -sum(q * log2(q + 1e-12)) / log2(count(*)) AS spectral_entropy

@@ -45,7 +45,7 @@ def channel_qc_time(spark, sf):
 
 @query("channel_qc_full")
 def channel_qc_full(spark, sf):
-    return rounded(Q.channel_qc(supplier_samples(spark, sf), ["l_suppkey"], "t", "v", ["l_orderkey", "l_linenumber"], fs=150.0), 6)
+    return rounded(Q.channel_qc(supplier_samples(spark, sf), ["l_suppkey"], "t", "v", ["l_orderkey", "l_linenumber", "v"], fs=150.0), 6)
 
 
 @query("qc_summary", f"""

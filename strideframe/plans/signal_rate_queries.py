@@ -21,7 +21,7 @@ w AS (SELECT *, (CASE WHEN abs(sin(h)) < 1e-9 THEN 2 * ((sz - 1) // 2) + 1 ELSE
 SELECT entity, channel, j AS sample_idx, round(max(t0) + j * (max(t1) - max(t0)) / (max(m) - 1), 4) AS t, round(sum(v * kern), 6) AS v FROM w GROUP BY entity, channel, j""")
 def fourier_resample(spark, sf):
     """Every signal to ten samples per thirty days."""
-    return rounded(R.fourier_resample(signals(spark, sf), ["entity", "channel"], "t", 10 / 2592000.0, tie=["sample"]).where("sample_idx >= 0"), 6, t=4)
+    return rounded(R.fourier_resample(signals(spark, sf), ["entity", "channel"], "t", 10 / 2592000.0, tie=["sample"]), 6, t=4)
 
 
 @query("polyphase_resample")

@@ -26,6 +26,7 @@ from strideframe.operators import signals as G
 from strideframe.operators import similarity as M
 from strideframe.operators import windows as W
 from strideframe.operators.ordered import row_index
+from strideframe.operators.rates import by_rate
 from strideframe.session import stage
 
 TASK = ["patient_id", "task_name"]
@@ -41,13 +42,19 @@ def _task_without_session(name: Column) -> Column:
     return F.array_join(F.filter(F.split(F.trim(name), r"[_\-\s]+"), lambda p: ~F.upper(p).isin("T0", "T1")), "_")
 
 
-def muscle_cycles(samples: DataFrame, segments: DataFrame, muscles: Sequence[str], fs: float = FALLBACK_HZ, points: int = 101,
+def _rated(rows: DataFrame, columns: Sequence[str], fs: float | str, run) -> DataFrame:
+    """``run`` with one rate for all rows, or with the rates of the column that ``fs`` names."""
+    return by_rate(rows.select(*columns, fs), fs, run) if isinstance(fs, str) else run(rows.select(*columns), fs)
+
+
+def muscle_cycles(samples: DataFrame, segments: DataFrame, muscles: Sequence[str], fs: float | str = FALLBACK_HZ, points: int = 101,
                   band: tuple[float, float] | None = ENVELOPE_BAND, smooth_hz: float = SMOOTH_HZ, scale_at: float = SCALE_AT) -> DataFrame:
     """Envelopes of the wanted muscles, scaled per task, on a common phase grid: task, cycle_index, muscle, phase_idx, phase, v."""
     emg = samples.where(channel_kind(F.col("channel")) == "emg")
     position = emg.select(*TASK, "channel").distinct().withColumn("channel_index", F.coalesce(F.regexp_extract("channel", r"(\d+)", 1).try_cast("int"), F.lit(0)))
     names = H.resolve_channels(position, TASK, list(muscles)).select(*TASK, "channel", F.col("wanted").alias("muscle"))
-    env = L.filter_channels(emg.select(*TASK, "channel", "t", "v"), [*TASK, "channel"], "t", L.envelope(fs, band, smooth_hz), out="_env")
+    filtered = lambda rows, hz: L.filter_channels(rows, [*TASK, "channel"], "t", L.envelope(hz, band, smooth_hz), out="_env")
+    env = _rated(emg, [*TASK, "channel", "t", "v"], fs, filtered)
     env = env.join(names, [*TASK, "channel"]).select(*TASK, "muscle", "t", F.col("_env").alias("v")).where("v is not null")
     inside = stage(S.samples_in_segments(env, segments.select(*TASK, "cycle_index", "start_s", "end_s"), TASK))
     scale = G.channel_scale(inside, [*TASK, "muscle"], "v", scale_at)
@@ -151,16 +158,19 @@ def meta_clusters(fits: DataFrame, muscles: Sequence[str], n_clusters: int = 4,
     return {"centroids": centroids, "assignment": assigned, "presence": K.presence(assigned, [*TASK, "session", "condition"], n_clusters)}
 
 
-def sensor_features(samples: DataFrame, segments: DataFrame, fs: float = FALLBACK_HZ, lowpass_hz: float = 10.0, min_cycles: int = 2) -> dict[str, DataFrame]:
+def sensor_features(samples: DataFrame, segments: DataFrame, fs: float | str = FALLBACK_HZ, lowpass_hz: float = 10.0, min_cycles: int = 2) -> dict[str, DataFrame]:
     """Accelerometer features per cycle and their means per task, sensor and axis, paired over sessions and tested.
 
     Tasks pair on their name without the session; tests are per condition, FDR within each feature.
     """
     acc = samples.withColumns({"sensor": acc_sensor(F.col("channel")), "axis": acc_axis(F.col("channel"))}).where("sensor is not null")
     key = [*TASK, "sensor", "axis"]
-    smooth = L.filter_channels(acc.select(*key, "t", "v"), key, "t", [L.lowpass(fs, lowpass_hz)], out="_y").select(*key, "t", F.col("_y").alias("v")).where("v is not null")
+    filtered = lambda rows, hz: L.filter_channels(rows, key, "t", [L.lowpass(hz, lowpass_hz)], out="_y")
+    rate = [fs] if isinstance(fs, str) else []
+    smooth = _rated(acc, [*key, "t", "v"], fs, filtered).select(*key, "t", F.col("_y").alias("v"), *rate).where("v is not null")
     inside = stage(S.samples_in_segments(smooth, segments.select(*TASK, "cycle_index", "start_s", "end_s"), TASK))
-    per_cycle = stage(X.cycle_features(inside.select(*key, "cycle_index", "t", "v"), [*key, "cycle_index"], fs=fs))
+    measured = lambda rows, hz: X.cycle_features(rows, [*key, "cycle_index"], fs=hz)
+    per_cycle = stage(_rated(inside, [*key, "cycle_index", "t", "v"], fs, measured).drop(*rate))
     per_task = stage(with_session(X.aggregate_cycles(per_cycle, key, min_cycles)))
     paired = R.pair_sessions(per_task.withColumn("task", _task_without_session(F.col("task_name"))), ["patient_id", "task", "condition", "sensor", "axis"], "session", X.FEATURES)
     long = None

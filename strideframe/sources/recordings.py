@@ -106,8 +106,9 @@ def _labelled(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 def _key_values(lines: DataFrame) -> DataFrame:
     k, v = F.trim(F.regexp_extract("line", r"^([^:]*):(.*)$", 1)), F.trim(F.regexp_extract("line", r"^([^:]*):(.*)$", 2))
-    pairs = lines.select("path", k.alias("key"), v.alias("value")).where("key != ''")
-    return pairs.dropDuplicates(["path", "key"]).groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("metadata"))
+    # a later line of the same key counts
+    pairs = lines.select("path", "line_no", k.alias("key"), v.alias("value")).where("key != ''").groupBy("path", "key").agg(F.max_by("value", "line_no").alias("value"))
+    return pairs.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("metadata"))
 
 
 def channel_settings(lines: DataFrame) -> DataFrame:
@@ -115,7 +116,8 @@ def channel_settings(lines: DataFrame) -> DataFrame:
     starts = lines.where(F.trim("line").startswith("System Gain")).select("path", F.col("line_no").alias("block"))
     body = lines.where(F.col("line").contains(":")).join(starts, "path").where((F.col("line_no") >= F.col("block")) & (F.col("line_no") < F.col("block") + 6))
     k, v = F.trim(F.regexp_extract("line", r"^([^:]*):(.*)$", 1)), F.trim(F.regexp_extract("line", r"^([^:]*):(.*)$", 2)).try_cast("double")
-    return body.groupBy("path", "block").agg(F.map_from_entries(F.collect_list(F.struct(k.alias("k"), v.alias("v")))).alias("settings"))
+    last = body.groupBy("path", "block", k.alias("k")).agg(F.max_by(v, "line_no").alias("v"))
+    return last.groupBy("path", "block").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("settings"))
 
 
 def _semicolon(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

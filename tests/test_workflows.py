@@ -92,3 +92,21 @@ def test_merged_statistics(spark, muscle):
     assert out["merged"].columns[:3] == ["patient_id", "session", "condition"]
     stats = out["stats"].toPandas()
     assert len(stats) == 4 and (stats["n_pairs"] == 3).all() and (stats["p_value_fdr"] >= stats["p_value"] - 1e-12).all()
+
+
+def test_rates_of_channels(recordings):
+    samples, segments = recordings
+    one, own = (P.sensor_features(s, segments, fs)["task_features"] for s, fs in ((samples, 150.0), (samples.selectExpr("*", "if(task_name like '%DS%', 150.0D, null) as fs"), "fs")))
+    a, b = (x.toPandas().sort_values(["patient_id", "task_name", "axis"]).reset_index(drop=True) for x in (one, own))
+    assert len(a) == 48 and np.allclose(a["dominant_frequency_hz"], b[a.columns]["dominant_frequency_hz"])
+    half = P.sensor_features(samples.selectExpr("*", "if(task_name like '%DS%', 75.0D, 150.0D) as fs"), segments, "fs")["task_features"].toPandas().sort_values(["patient_id", "task_name", "axis"])
+    ds = half["task_name"].str.contains("DS").to_numpy()
+    assert (half["dominant_frequency_hz"].to_numpy()[ds] < a["dominant_frequency_hz"].to_numpy()[ds]).all()
+
+
+def test_nearest_centroid_of_nothing(spark):
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, None)], "i int, vector array<double>")
+    c = spark.createDataFrame([(0, [0.0, 1.0]), (5, [2.0, 0.1])], "cluster int, vector array<double>")
+    got = {r["i"]: r["meta_cluster"] for r in P.M.nearest_centroid(v, c, with_all=True).collect()}
+    assert got == {1: 5, 2: None}
+    assert P.M.nearest_centroid(v, c.where("cluster > 9")).where("similarity is null").count() == 2
