@@ -29,6 +29,28 @@ def factor_fits(spark, sf):
     return fits.select("c_nationkey", "k", "n_samples", "hit_max_iter", F.round("rss", 3).alias("rss"), F.round(1 - F.col("rss") / total, 4).alias("global_vaf"))
 
 
+_IN = range(len(PRIORITIES))
+_G = lambda i, j: f"g{min(i, j)}{max(i, j)}"
+_MOVED = [" + ".join(f"{_G(i, j)} * w{j}" for j in _IN) for i in _IN]
+_LENGTH = "sqrt(" + " + ".join(f"pow({m}, 2)" for m in _MOVED) + ")"
+_TRACE = " + ".join(_G(i, i) for i in _IN)
+
+
+@query("factor_rank_one", f"""
+WITH RECURSIVE p AS (SELECT o_custkey, {", ".join(f"coalesce(sum(o_totalprice) FILTER (o_orderpriority = '{p}'), 0) / 1e5 AS x{i}" for i, p in enumerate(PRIORITIES))} FROM orders GROUP BY 1),
+g AS (SELECT c_nationkey, count(*) AS n_samples, {", ".join(f"sum(x{i} * x{j}) AS {_G(i, j)}" for i in _IN for j in _IN if i <= j)} FROM p JOIN customer ON c_custkey = o_custkey GROUP BY 1),
+w AS (SELECT g.*, {", ".join(f"CAST(1 AS DOUBLE) AS w{i}" for i in _IN)}, 0 AS step FROM g UNION ALL
+  SELECT c_nationkey, n_samples, {", ".join(_G(i, j) for i in _IN for j in _IN if i <= j)}, {", ".join(f"({m}) / {_LENGTH}" for m in _MOVED)}, step + 1 FROM w WHERE step < 200)
+SELECT c_nationkey, n_samples, {", ".join(f"round(w{i}, 4) AS w{i}" for i in _IN)},
+  round(({" + ".join(f"w{i} * ({m})" for i, m in enumerate(_MOVED))}) / ({_TRACE}), 5) AS global_vaf FROM w WHERE step = 200""")
+def factor_rank_one(spark, sf):
+    """One component per nation: with non-negative samples the alternation is a power iteration, which SQL can run."""
+    fits = N.factorize(profiles(spark, sf), ["c_nationkey"], [1], restarts=1, max_iter=400, tol=1e-13)
+    total = F.aggregate("sst", F.lit(0.0), lambda a, x: a + x)
+    shown = [F.round(F.col("weights")[0][i], 4).alias(f"w{i}") for i in _IN]
+    return fits.select("c_nationkey", "n_samples", *shown, F.round(1 - F.col("rss") / total, 5).alias("global_vaf"))
+
+
 @query("factor_select_k")
 def factor_select_k(spark, sf):
     """Number of components per nation by the ordered rule."""

@@ -65,7 +65,13 @@ def paired_report_ci(spark, sf):
     return rounded(rep.select("o_orderpriority", "n_pairs", "ci95_low", "ci95_high"), 4)
 
 
-@query("paired_report_t_ci")
+@query("paired_report_t_ci", f"""
+WITH RECURSIVE {_PAIRS}, {_T},
+b AS (SELECT o_orderpriority, df, CAST(0 AS DOUBLE) AS lo, CAST(100 AS DOUBLE) AS hi, 0 AS i FROM t UNION ALL
+  SELECT o_orderpriority, df, CASE WHEN p > 0.05 THEN (lo + hi) / 2 ELSE lo END, CASE WHEN p > 0.05 THEN hi ELSE (lo + hi) / 2 END, i + 1
+  FROM (SELECT *, {t_p_sql("((lo + hi) / 2)", "df")} AS p FROM b WHERE i < 55))
+SELECT o_orderpriority, n_pairs, CAST(t.df AS DOUBLE) AS df, round(mean_change, 4) AS mean_change, round(mean_change - lo * sd_change / sqrt(n_pairs), 4) AS ci95_low,
+  round(mean_change + lo * sd_change / sqrt(n_pairs), 4) AS ci95_high FROM t JOIN b USING (o_orderpriority) WHERE i = 55""")
 def paired_report_t_ci(spark, sf):
     rep = R.paired_t(_pairs(spark, sf), ["o_orderpriority"])
     return rounded(rep.select("o_orderpriority", "n_pairs", "df", "mean_change", "ci95_low", "ci95_high"), 4)
