@@ -16,6 +16,7 @@ from strideframe.llm.mixing import unit
 #: Bounds of the fit: texts of each language, characters of each text, and bytes of a dictionary.  Dictionaries of
 #: equal size compare fairly.
 SAMPLE_TEXTS, SAMPLE_CHARS, DICTIONARY = 256, 1024, 65536
+PARTS = 64
 #: Bytes that are compressed at once, so that a long text leans on the dictionary and not on itself.
 CHUNK = 2048
 LEVEL = 6
@@ -40,8 +41,11 @@ def fit(docs: DataFrame, texts: int = SAMPLE_TEXTS, chars: int = SAMPLE_CHARS, s
     at = 1 + F.floor(unit(F.lit("at"), F.col(key)) * F.greatest(F.lit(1), F.length(text) - chars)).cast("int")
     pieces = rows.select(F.col(lang).alias("lang"), F.lower(F.col(text).substr(at, F.lit(chars))).alias("piece"), unit(F.lit("fit"), F.col(key)).alias("order"))
     pieces = pieces.where(F.col("piece").rlike(r"\p{L}"))
-    order = Window.partitionBy("lang").orderBy("order", "piece")
-    chosen = pieces.withColumn("n", F.row_number().over(order)).where(F.col("n") <= texts)
+    # the first ones of a language are among the first ones of each of its parts, so no task ranks more than PARTS x texts
+    parts = pieces.withColumn("part", F.pmod(F.xxhash64("order", "piece"), F.lit(PARTS)))
+    first = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("order", "piece"))
+    chosen = parts.withColumn("n", first("lang", "part")).where(F.col("n") <= texts)
+    chosen = chosen.withColumn("n", first("lang")).where(F.col("n") <= texts)
     found: dict[str, list[str]] = {}
     for r in chosen.orderBy("lang", "n").collect():  # languages x texts x chars at most
         found.setdefault(r["lang"], []).append(r["piece"])
