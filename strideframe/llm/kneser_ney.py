@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from strideframe.llm.common import local_path, shared_folder
 
 #: Text bytes that are hashed at once, bigrams that are counted before they are sent on, characters behind one shard.
-PIECE, FLUSH, SHARD_CHARS = 1 << 22, 1 << 22, 1 << 26
+PIECE, FLUSH, SHARD_CHARS = 1 << 22, 1 << 22, 1 << 24
 LEAST_SHARDS = 16
 BASE = np.uint64(0x9E3779B97F4A7C15)  # odd multiplier of the word hash
 START, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)  # edges of a text
