@@ -9,6 +9,7 @@ from strideframe.plans import (  # noqa: F401
     selection_queries,
     signal_queries,
     signal_rate_queries,
+    source_queries,
     stats_queries,
     workflow_queries,
 )

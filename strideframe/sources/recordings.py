@@ -160,6 +160,11 @@ def read_recordings(spark: SparkSession, paths, fmt: str = "auto", max_rows: int
         numbered = lines.where(F.lower(F.trim("line")).rlike(DATA_ROW) | (F.col("line_no") >= FIRST_DATA_ROW))
         start = numbered.groupBy("path").agg(F.min("line_no").alias("_s"))
         lines = lines.join(start, "path", "left").where(F.col("_s").isNull() | (F.col("line_no") < F.col("_s") + max_rows)).drop("_s")
+    return parse_recordings(lines, fmt)
+
+
+def parse_recordings(lines: DataFrame, fmt: str = "auto") -> RecordingFiles:
+    """Parse numbered lines (path, line_no, line) of exports of either format."""
     kinds = sniff_format(lines)
 
     def of(kind: str) -> DataFrame:
