@@ -44,14 +44,36 @@ def _thin(pos: np.ndarray, height: np.ndarray, distance: int, lo_open: int, hi_o
     return state
 
 
-def _drop(x: np.ndarray, i: int, need: float, step: int, at_end: bool) -> int:
-    """One side of the prominence test: 1 passes, 0 fails, -1 undecided inside this context."""
-    side = x[i + 1 :] if step > 0 else x[:i][::-1]
-    higher = np.flatnonzero(side > x[i])
-    stop = higher[0] if len(higher) else len(side)
-    if stop and side[:stop].min() <= x[i] - need:
-        return 1
-    return 0 if len(higher) or at_end else -1
+def _next_higher(x: np.ndarray) -> np.ndarray:
+    """For every sample the place of the first higher one after it, len(x) if none; one pass with a stack."""
+    out, open_ = np.full(len(x), len(x)), []
+    for i, v in enumerate(np.where(np.isnan(x), -np.inf, x).tolist()):
+        while open_ and open_[-1][1] < v:
+            out[open_.pop()[0]] = i
+        open_.append((i, v))
+    return out
+
+
+class _Drops:
+    """The prominence test of one context, both sides, in constant time for each peak."""
+
+    def __init__(self, x: np.ndarray):
+        self.x, n = x, len(x)
+        self.right, self.left = _next_higher(x), n - 1 - _next_higher(x[::-1])[::-1]
+        self.least = [x]
+        while 2 << (len(self.least) - 1) <= n:  # minima of 1, 2, 4, ... samples
+            half = 1 << (len(self.least) - 1)
+            self.least.append(np.minimum(self.least[-1][:-half], self.least[-1][half:]))
+
+    def test(self, i: int, need: float, step: int, at_end: bool) -> int:
+        """1 passes, 0 fails, -1 undecided inside this context."""
+        a, b = (i + 1, int(self.right[i])) if step > 0 else (int(self.left[i]) + 1, i)
+        if a < b:
+            level = int(b - a).bit_length() - 1
+            if min(self.least[level][a], self.least[level][b - (1 << level)]) <= self.x[i] - need:
+                return 1
+        bounded = b < len(self.x) if step > 0 else a > 0
+        return 0 if bounded or at_end else -1
 
 
 def find_peaks(df: DataFrame, keys: Sequence[str], order: str, v: str = "v", tie: Sequence[str] = (), distance: int = 50, prominence: float = 0.1,
@@ -74,10 +96,11 @@ def find_peaks(df: DataFrame, keys: Sequence[str], order: str, v: str = "v", tie
         hi = np.inf if last else (level[-1] if len(level) else -1)
         state = _thin(pos, x[pos], max(distance, 1), lo, hi)
         rows, undecided = [], False
+        drops = _Drops(x) if prominence > 0 and len(pos) else None
         for i, s in zip(pos, state):
             if not core[i] or s == 0:
                 continue
-            sides = (1, 1) if prominence <= 0 else (_drop(x, i, prominence, -1, first), _drop(x, i, prominence, 1, last))
+            sides = (1, 1) if drops is None else (drops.test(i, prominence, -1, first), drops.test(i, prominence, 1, last))
             if 0 in sides:
                 continue
             if s == -1 or -1 in sides:
