@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from strideframe.functions.distributions import chi2_1_sf, normal_two_sided_p, t_quantile, t_two_sided_p
 from strideframe.functions.numeric import EPS, div, finite
-from strideframe.operators.ordered import row_index, running_weight, suffix_min
+from strideframe.operators.ordered import TARGET_ROWS, row_index, running_weight, suffix_min
 from strideframe.operators.quantiles import exact_quantile
+from strideframe.session import stage
 
 
 def unpivot_metrics(df: DataFrame, ids: Sequence[str], metrics: Sequence[str], name: str = "metric", value: str = "value") -> DataFrame:
@@ -216,11 +217,18 @@ def paired_tests(pairs: DataFrame, keys: Sequence[str], metric: str = "metric",
 def bh_fdr(stats: DataFrame, family: Sequence[str], p: str = "p_value", tie: Sequence[str] = (), out: str = "q_value") -> DataFrame:
     """Benjamini-Hochberg q within each family (NULL is a family of its own); NULL p keeps NULL q.
 
-    The statistics table (one row per test) is read several times, so it is cached, not recomputed.
+    The statistics table (one row per test) is read several times, so it is staged.  A window ranks each family; only a
+    table of more rows than a slice should have is ranked slice by slice.
     """
-    stats = stats.persist(StorageLevel.MEMORY_AND_DISK)
+    stats = stage(stats)
     fam = F.to_json(F.struct(*family), {"ignoreNullFields": "false"}) if family else F.lit("all")
     marked = stats.withColumn("_fam", fam)
+    if stats.count() <= TARGET_ROWS:
+        whole = W.partitionBy("_fam")
+        order = whole.orderBy(F.col(p).asc_nulls_last(), *tie)
+        marked = marked.withColumn("_raw", F.col(p) * F.count(p).over(whole) / F.row_number().over(order))
+        least = F.least(F.min("_raw").over(order.rowsBetween(0, W.unboundedFollowing)), F.lit(1.0))
+        return marked.withColumn(out, F.when(F.col(p).isNotNull(), least)).select(*stats.columns, out)
     tested = marked.where(F.col(p).isNotNull()).withColumnsRenamed({"n": "_n", "idx": "_idx"})
     ranked = row_index(tested, ["_fam"], p, tie, keep_cell=True)
     ranked = ranked.withColumn("_raw", F.col(p) * F.col("n") / (F.col("idx") + 1))

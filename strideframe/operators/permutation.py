@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from strideframe.session import stage
+
 _BITS = 60
 
 
@@ -37,8 +38,8 @@ def permutation_test(units: DataFrame, keys: Sequence[str], unit: str, session:
         F.count_if("_a").alias("n_T0"), F.count_if(~F.col("_a")).alias("n_T1"),
         F.array(*[F.sum(F.when(F.col("_a"), y)) for y in at]).alias("_sa"), F.array(*[F.sum(y) for y in at]).alias("_sum"))
 
-    # one row per key, read by several branches: cached instead of recomputed
-    whole = whole.persist(StorageLevel.MEMORY_AND_DISK)
+    # one row per key, read by several branches
+    whole = stage(whole)
 
     def stat(part: Column) -> Column:
         gaps = F.zip_with(part, F.col("_sum"), lambda a, s: F.abs(a / F.col("n_T0") - (s - a) / F.col("n_T1")))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strideframe.operators.ordered import TARGET_ROWS, adjacent_pairs, row_index
+from strideframe.session import stage
 
 
 def consecutive_segments(marks: DataFrame, keys: Sequence[str], t: str, tie: Sequence[str] = (),
@@ -31,6 +32,7 @@ def samples_in_segments(
     The default bucket is the mean segment length, which bounds the exploded segment rows by three
     per segment on average.
     """
+    segments = stage(segments)  # a table of labels: read for its width and for the join
     width: Column = (
         F.lit(float(bucket_s))
         if bucket_s
@@ -50,6 +52,7 @@ def samples_in_segments(
 def samples_in_any_segment(samples: DataFrame, segments: DataFrame, on: Sequence[str], t: str = "t",
                            start: str = "start_s", end: str = "end_s") -> DataFrame:
     """The union mask: each sample once if any closed segment contains it."""
+    segments = stage(segments)
     width = F.greatest(
         segments.agg(F.coalesce(F.avg(F.col(end) - F.col(start)), F.lit(1.0)).alias("w")).scalar(), F.lit(1e-6)
     )

@@ -8,6 +8,7 @@ from strideframe.operators import segments as S
 from strideframe.operators import signals as G
 from strideframe.operators.quantiles import exact_quantile
 from strideframe.plans.registry import SIGNAL_CTE, query, rounded, signals, table
+from strideframe.session import stage
 
 KEYS = ["entity", "channel"]
 
@@ -59,7 +60,7 @@ SELECT channel, phase_idx, round(avg(v), 4) AS mean, round(stddev_samp(v), 4) AS
   count(DISTINCT entity) AS n_subjects
 FROM curves GROUP BY 1, 2""")
 def curve_band(spark, sf):
-    curves = rounded(S.phase_grid(signals(spark, sf), KEYS, tie=["sample"]))
+    curves = stage(rounded(S.phase_grid(signals(spark, sf), KEYS, tie=["sample"])))
     band = curves.groupBy("channel", "phase_idx").agg(
         F.avg("v").alias("mean"), F.stddev_samp("v").alias("sd"), F.count_distinct("entity").alias("n_subjects"))
     medians = exact_quantile(curves, ["channel", "phase_idx"], "v", 0.5, "median")
