@@ -89,18 +89,20 @@ def require_rows(df: DataFrame, message: str) -> DataFrame:
 
 
 def phase_grid(
-    df: DataFrame, keys: Sequence[str], t: str = "t", v: str = "v", tie: Sequence[str] = (), points: int = 101,
+    df: DataFrame, keys: Sequence[str], t: str = "t", v: str = "v", tie: Sequence[str] = (), points: int | str = 101,
     mode: str = "linear", target_rows: int = TARGET_ROWS,
 ) -> DataFrame:
     """Each key's samples on a common phase grid: (keys, phase_idx, phase, v).
 
     ``linear`` interpolates between the neighbours, ``asof`` holds the last sample at or before the
     grid point.  Every pair of neighbouring samples emits the grid points between them, so nothing
-    is collected.  Keys with fewer than two samples or no time span are left out.
+    is collected.  Keys with fewer than two samples or no time span are left out.  ``points`` may name a
+    column with each key's number of points (see `median_points`), which the result keeps.
     """
     if mode not in ("linear", "asof"):
         raise ValueError(f"unknown mode {mode!r}")
-    steps = points - 1
+    steps = F.col(points) - 1 if isinstance(points, str) else F.lit(points - 1)
+    keys = [*keys, points] if isinstance(points, str) else list(keys)
     pairs = adjacent_pairs(df, keys, t, tie, [v], target_rows, with_last=True, with_span=True)
     t0, t1 = F.col(f"first.{t}"), F.col(f"last.{t}")
     pairs = pairs.where(t1 > t0).select(
@@ -111,9 +113,9 @@ def phase_grid(
         F.col(f"cur.{v}").alias("v1"),
     )
     lo = F.greatest(F.floor(F.col("p0") * steps).cast("int"), F.lit(0))
-    hi = F.least(F.ceil(F.coalesce(F.col("p1"), F.lit(1.0)) * steps).cast("int"), F.lit(steps))
+    hi = F.least(F.ceil(F.coalesce(F.col("p1"), F.lit(1.0)) * steps).cast("int"), steps.cast("int"))
     grid = pairs.withColumn("phase_idx", F.explode(F.sequence(lo, hi))).withColumn(
-        "phase", F.col("phase_idx") / F.lit(float(steps))
+        "phase", F.col("phase_idx") / steps.cast("double")
     )
     grid = grid.where((F.col("phase") >= F.col("p0")) & (F.col("p1").isNull() | (F.col("phase") < F.col("p1"))))
     slope = (F.col("v1") - F.col("v0")) * (F.col("phase") - F.col("p0")) / (F.col("p1") - F.col("p0"))
@@ -121,6 +123,16 @@ def phase_grid(
     return grid.select(*keys, "phase_idx", "phase", F.when(F.col("p1").isNull(), F.col("v0")).otherwise(value).alias("v"))
 
 
+def median_points(samples: DataFrame, task: Sequence[str], cycle: Sequence[str], least: int = 10, out: str = "points") -> DataFrame:
+    """``samples`` with the grid length of their task: the median sample count of its cycles, at least ``least``.
+
+    Cycles under ``least`` samples do not count and are left out, as are tasks without any other.
+    """
+    counts = samples.groupBy(*task, *cycle).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least)
+    length = counts.groupBy(*task).agg(F.greatest(F.lit(least), F.floor(F.expr("percentile(_n, 0.5)"))).cast("int").alias(out))
+    return samples.join(counts.select(*task, *cycle), [*task, *cycle], "left_semi").join(length, list(task))
+
+
 def concat_cycles(grid: DataFrame, points: int) -> DataFrame:
     """Cycles laid end to end: one cycle spans 1.0 in ``t_concat``."""
     return grid.withColumn("t_concat", F.col("cycle_index") + F.col("phase_idx") / F.lit(float(points)))

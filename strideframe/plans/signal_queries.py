@@ -54,6 +54,21 @@ def phase_grid_asof(spark, sf):
     return rounded(S.phase_grid(signals(spark, sf), KEYS, tie=["sample"], mode="asof"))
 
 
+@query("phase_grid_median", f"""
+WITH {SIGNAL_CTE}, c AS (SELECT entity, channel, count(*) AS n FROM s GROUP BY 1, 2 HAVING count(*) >= 10),
+m AS (SELECT entity, greatest(10, CAST(floor(median(n)) AS INTEGER)) AS points FROM c GROUP BY 1),
+k AS (SELECT entity, channel, min(t) t0, max(t) t1 FROM s GROUP BY 1, 2 HAVING max(t) > min(t)),
+p AS (SELECT entity, channel, (t - t0) / (t1 - t0) AS ph, v, lead((t - t0) / (t1 - t0)) OVER o AS nph, lead(v) OVER o AS nv
+  FROM s JOIN k USING (entity, channel) JOIN c USING (entity, channel) WINDOW o AS (PARTITION BY entity, channel ORDER BY t, sample)),
+g AS (SELECT p.*, points, CAST(i AS INTEGER) AS phase_idx, i / (points - 1.0) AS phase FROM p JOIN m USING (entity), range(1000) r(i) WHERE i < points)
+SELECT entity, channel, points, phase_idx, round(CAST(phase AS DOUBLE), 6) AS phase, round(CASE WHEN nph IS NULL THEN v ELSE v + (nv - v) * (phase - ph) / (nph - ph) END, 6) AS v
+FROM g WHERE ph <= phase AND (nph IS NULL OR phase < nph)""")
+def phase_grid_median(spark, sf):
+    """Event types as the cycles of a user; the grid is as long as the median cycle."""
+    cycles = S.median_points(signals(spark, sf), ["entity"], ["channel"])
+    return rounded(S.phase_grid(cycles, KEYS, tie=["sample"], points="points"))
+
+
 @query("curve_band", f"""
 WITH curves AS ({_GRID_SQL % "CASE WHEN nph IS NULL THEN v ELSE v + (nv - v) * (phase - ph) / (nph - ph) END"})
 SELECT channel, phase_idx, round(avg(v), 4) AS mean, round(stddev_samp(v), 4) AS sd, round(median(v), 4) AS median,
