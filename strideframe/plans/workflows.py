@@ -6,7 +6,8 @@ later steps read (filtered signals, cycles, fits) become stage tables; the rest
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +20,7 @@ from strideframe.operators import factorize as N
 from strideframe.operators import features as X
 from strideframe.operators import filters as L
 from strideframe.operators import paired as R
+from strideframe.operators import resample as Z
 from strideframe.operators import reshape as H
 from strideframe.operators import segments as S
 from strideframe.operators import selection as V
@@ -28,11 +30,32 @@ from strideframe.operators import windows as W
 from strideframe.operators.ordered import row_index
 from strideframe.operators.rates import by_rate
 from strideframe.session import stage
+from strideframe.sources.recordings import RecordingFiles
+from strideframe.sources.sinks import quality_metadata, write_named, write_samples
 
 TASK = ["patient_id", "task_name"]
 MIN_CYCLE_SAMPLES = 10
 
 
+def import_recordings(files: RecordingFiles, root: str, rates: Mapping[str, float | None]) -> dict[str, DataFrame]:
+    """Parsed exports to one rate for each modality, written under ``root``: samples, channels, quality.
+
+    ``rates`` maps a modality (emg, acc, gyro, other) to its rate; None keeps the samples of a modality as they are, and
+    modalities that aren't named are left out.  Returns the written tables.
+    """
+    key, parts = [*TASK, "channel"], []
+    samples = files.samples.withColumn("_kind", channel_kind(F.col("channel")))
+    for kind, hz in rates.items():
+        own = samples.where(F.col("_kind") == kind).select(*key, "sample_idx", "t", "v")
+        parts.append(own if hz is None else Z.fourier_resample(own.drop("sample_idx"), key, "t", hz))
+    spark = files.samples.sparkSession
+    write_samples(reduce(DataFrame.unionByName, [p.select(*key, "sample_idx", "t", "v") for p in parts]), f"{root}/samples")
+    written = spark.read.parquet(f"{root}/samples")
+    kept = samples.where(F.col("_kind").isin(*rates))
+    write_named({"channels": files.channels, "quality": quality_metadata(written, TASK, before=kept)}, root)
+    return {"samples": written, "channels": spark.read.parquet(f"{root}/channels"), "quality": spark.read.parquet(f"{root}/quality")}
+
+
 def with_session(df: DataFrame) -> DataFrame:
     """Session and condition read from the task name."""
     return df.withColumns({"session": session_of(F.col("task_name")), "condition": condition_of(F.col("task_name"))})

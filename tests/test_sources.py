@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strideframe.operators import checks, reshape
+from strideframe.plans import workflows
 from strideframe.sources import read_recordings, read_segments, sniff_format, tables
 from strideframe.sources import recordings as R
 from strideframe.sources import sinks
@@ -46,6 +47,17 @@ def test_labelled_file(spark, labelled):
     assert [b["settings"]["System Gain"] for b in blocks] == [1, 2, 3, 4, 5]
 
 
+def test_import_writes_each_modality_at_its_rate(spark, labelled):
+    root, path = labelled
+    out = workflows.import_recordings(read_recordings(spark, str(path)), str(root / "imported"), {"emg": 2000.0, "acc": None})
+    counts = {r["channel"]: r["count"] for r in out["samples"].groupBy("channel").count().collect()}
+    assert counts == {"Brachioradialis: EMG 1": 10, "Brachioradialis: Acc 1.X": 6, "Brachioradialis: Acc 1.Y": 6, "Brachioradialis: Acc 1.Z": 6, "Infraspinatus: EMG 2": 10}
+    assert {r["modality"] for r in out["samples"].select("modality").distinct().collect()} == {"emg", "acc"}
+    quality = out["quality"].collect()[0]
+    facts = {c["name"]: c for c in json.loads(quality["channels"])}
+    assert quality["n_channels"] == 5 and facts["Infraspinatus: EMG 2"]["n_samples_before_resample"] == 5 and out["channels"].count() == 5
+
+
 def test_lines_are_numbered_across_splits(spark, labelled):
     _, path = labelled
     want = path.read_text().splitlines()
