@@ -82,11 +82,12 @@ _WEIGHTS = """w AS (SELECT c_nationkey, year(o_orderdate) AS y, CAST(instr('FOP'
 nt AS (SELECT count(*) AS n FROM (SELECT DISTINCT c_nationkey, y FROM w)),
 cc AS (SELECT channel FROM (SELECT DISTINCT c_nationkey, y, channel FROM w) GROUP BY 1 HAVING count(*) = (SELECT n FROM nt)),
 g AS (SELECT DISTINCT c_nationkey, y, comp FROM w),
-u AS (SELECT g.c_nationkey, g.y, g.comp, cc.channel, coalesce(weight, 0) / sqrt(sum(coalesce(weight, 0) * coalesce(weight, 0)) OVER (PARTITION BY g.c_nationkey, g.y, g.comp)) AS weight
+u AS (SELECT g.c_nationkey, g.y, g.comp, cc.channel, coalesce(coalesce(weight, 0) / nullif(sqrt(sum(coalesce(weight, 0) * coalesce(weight, 0)) OVER (PARTITION BY g.c_nationkey, g.y, g.comp)), 0), 0) AS weight
   FROM g CROSS JOIN cc LEFT JOIN w ON w.c_nationkey = g.c_nationkey AND w.y = g.y AND w.comp = g.comp AND w.channel = cc.channel),
 ps AS (SELECT a.c_nationkey, a.y AS ya, b.y AS yb, a.comp AS ca, b.comp AS cb, sum(a.weight * b.weight) AS s FROM u a JOIN u b ON a.c_nationkey = b.c_nationkey AND a.channel = b.channel AND a.y < b.y GROUP BY ALL),
 pm AS (SELECT * FROM (VALUES (0,1,2),(0,2,1),(1,0,2),(1,2,0),(2,0,1),(2,1,0)) p(p0,p1,p2)),
-al AS (SELECT c_nationkey, ya, yb, max(t) / 3 AS w_similarity FROM (SELECT c_nationkey, ya, yb, p0, p1, p2, sum(s) FILTER (ca = p0 AND cb = 0) + sum(s) FILTER (ca = p1 AND cb = 1) + sum(s) FILTER (ca = p2 AND cb = 2) AS t
+al AS (SELECT c_nationkey, ya, yb, CASE WHEN max(na) = max(nb) THEN max(t) / max(na) END AS w_similarity FROM (SELECT c_nationkey, ya, yb, p0, p1, p2, count(DISTINCT ca) AS na, count(DISTINCT cb) AS nb,
+  coalesce(sum(s) FILTER (ca = p0 AND cb = 0), 0) + coalesce(sum(s) FILTER (ca = p1 AND cb = 1), 0) + coalesce(sum(s) FILTER (ca = p2 AND cb = 2), 0) AS t
   FROM ps, pm GROUP BY ALL) GROUP BY ALL)"""
 
 
@@ -112,7 +113,7 @@ def component_similarity(spark, sf):
 
 
 @query("restart_stability", f"""
-WITH {_WEIGHTS} SELECT c_nationkey, round(avg(w_similarity), 6) AS stability_mean, round(stddev_pop(w_similarity), 6) AS stability_std, count(*) AS n_restart_pairs FROM al GROUP BY 1""")
+WITH {_WEIGHTS} SELECT c_nationkey, round(avg(w_similarity), 6) AS stability_mean, round(stddev_pop(w_similarity), 6) AS stability_std, count(w_similarity) AS n_restart_pairs FROM al GROUP BY 1""")
 def restart_stability(spark, sf):
     return rounded(M.restart_stability(_stacked(spark, sf), ["c_nationkey"], restart="y"))
 
