@@ -46,7 +46,7 @@ def permutation_entropy(df: DataFrame, keys: Sequence[str], order: str, v: str =
 
     The final embedding is dropped unless ``include_last``; ties count as ascending.
     """
-    rows = blocks(row_index(df.select(*keys, order, *tie, v), keys, order, tie, target_rows), BLOCK_ROWS, after=2)
+    rows = blocks(row_index(df.select(*dict.fromkeys([*keys, order, *tie, v])), keys, order, tie, target_rows), BLOCK_ROWS, after=2)
     w = W.partitionBy(*keys, "block").orderBy("idx")
     a, b, c = F.col(v), F.lead(v, 1).over(w), F.lead(v, 2).over(w)
     code = 4 * (a <= b).cast("int") + 2 * (b <= c).cast("int") + (a <= c).cast("int")

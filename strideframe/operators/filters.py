@@ -128,7 +128,7 @@ def filter_channels(df: DataFrame, keys: Sequence[str], order: str, stages: Sequ
     reach = sum(len(s.response) for s in stages)
     pad = max([s.pad for s in stages], default=0)
     halo = reach + pad + 1
-    rows = blocks(row_index(df.select(*keys, order, *tie, v), keys, order, tie, target_rows), block_rows, halo, halo)
+    rows = blocks(row_index(df.select(*dict.fromkeys([*keys, order, *tie, v])), keys, order, tie, target_rows), block_rows, halo, halo)
     fields = [f for f in df.schema.fields if f.name in {*keys, order, *tie, v}]
     schema = T.StructType([*fields, T.StructField("idx", T.LongType()), T.StructField(out, T.DoubleType()), T.StructField("status", T.StringType())])
     names = [f.name for f in fields] + ["idx"]

@@ -79,7 +79,7 @@ class _Drops:
 def find_peaks(df: DataFrame, keys: Sequence[str], order: str, v: str = "v", tie: Sequence[str] = (), distance: int = 50, prominence: float = 0.1,
                height: float | None = None, block_rows: int = BLOCK_ROWS, target_rows: int = TARGET_ROWS) -> DataFrame:
     """Peaks of each key: keys, idx, order, v."""
-    indexed = stage(row_index(df.select(*keys, order, *tie, v), keys, order, tie, target_rows))
+    indexed = stage(row_index(df.select(*dict.fromkeys([*keys, order, *tie, v])), keys, order, tie, target_rows))
     schema = T.StructType([*[df.schema[c] for c in keys], T.StructField("block", T.LongType()), T.StructField("idx", T.LongType()), T.StructField(order, df.schema[order].dataType),
                            T.StructField(v, T.DoubleType()), T.StructField("open", T.BooleanType())])
 

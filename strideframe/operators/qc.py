@@ -33,7 +33,7 @@ TINY = 1e-30
 def time_metrics(df: DataFrame, keys: Sequence[str], order: str, v: str = "v", tie: Sequence[str] = (), fs: float = 1.0,
                  target_rows: int = TARGET_ROWS) -> DataFrame:
     """Moments, rms, offset, clipping and flat-line per channel; NULL below 50 samples."""
-    rows = attach_totals(add_cell(df.where(F.col(v).isNotNull()).select(*keys, order, *tie, v), keys, order, target_rows, tie), keys,
+    rows = attach_totals(add_cell(df.where(F.col(v).isNotNull()).select(*dict.fromkeys([*keys, order, *tie, v])), keys, order, target_rows, tie), keys,
                          {"_lo": ("min", F.col(v)), "_hi": ("max", F.col(v))})
     dyn = F.greatest(F.col("_hi") - F.col("_lo"), F.lit(TINY))
     x = F.col(v)

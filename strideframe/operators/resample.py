@@ -97,7 +97,7 @@ def polyphase_resample(df: DataFrame, keys: Sequence[str], order: str, up: int,
     reach = half // up + 2
     from strideframe.operators.ordered import blocks
 
-    rows = blocks(row_index(df.select(*keys, order, *tie, v), keys, order, tie, target_rows), block, reach, reach)
+    rows = blocks(row_index(df.select(*dict.fromkeys([*keys, order, *tie, v])), keys, order, tie, target_rows), block, reach, reach)
     schema = T.StructType([*[df.schema[c] for c in keys], T.StructField("sample_idx", T.LongType()), T.StructField("v", T.DoubleType())])
 
     def kernel(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:

@@ -50,7 +50,7 @@ def welch(df: DataFrame, keys: Sequence[str], order: str, segment, v: str = "v",
     ``segment`` maps the key's sample count to the segment length.  Segments overlap by half; each is
     a bounded array, so a long channel becomes many small rows and only the average is per key.
     """
-    rows = row_index(df.select(*keys, order, *tie, v), keys, order, tie, target_rows).where(F.col("n") >= min_n)
+    rows = row_index(df.select(*dict.fromkeys([*keys, order, *tie, v])), keys, order, tie, target_rows).where(F.col("n") >= min_n)
     rows = rows.withColumn("_nper", segment(F.col("n")))
     step = F.col("_nper") - F.floor(F.col("_nper") / 2)
     placed = expand_windows(rows, F.col("_nper"), step, "_seg")
