@@ -93,15 +93,22 @@ def sift(rows: DataFrame, of: Column, keys: DataFrame, key: str) -> DataFrame:
     return rows.where(F.getbit(byte, (F.col("_bit") % 8).cast("int")) == 1).select(*names)
 
 
-def id_key(doc_id: str) -> Column:
-    """The id as text for joins in which null ids meet too."""
-    return F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
+def row_key(doc_id: str, *values: Column) -> Column:
+    """Id and a hash of `values` as text for joins in which null ids meet too, but not with the empty id."""
+    return F.concat_ws("|", F.xxhash64(*values).cast("string"), F.col(doc_id).cast("string"))
 
 
-def pick(docs: DataFrame, chosen: DataFrame, doc_id: str, extra: tuple[str, ...] = ()) -> DataFrame:
-    """The rows of `docs` whose id is in `chosen` (`key`, made by `id_key`, one row each), one row for an id, with `extra` of `chosen`.
+def pick(docs: DataFrame, chosen: DataFrame, key: Column, extra: tuple[str, ...] = ()) -> DataFrame:
+    """The rows of `docs` whose `key` is in `chosen` (one row each), one row for a key, with `extra` of `chosen`."""
+    rows = docs.select(F.struct("*").alias("doc"), key.alias("key")).join(chosen.select("key", *extra), "key")
+    return rows.groupBy("key").agg(F.min_by("doc", F.xxhash64("doc")).alias("doc"), *[F.first(c).alias(c) for c in extra])
+
 
-    Rows that repeat an id meet in the join, so the one that stays needs no further shuffle.
+def first_of_groups(docs: DataFrame, rows: DataFrame, label: str, doc_id: str, text: str) -> DataFrame:
+    """One row of `docs` for each label: that with the smallest id (null ids last), then text hash.
+
+    `rows` has doc_id, hash (xxhash64 of the text) and the label of every row; equal texts have equal labels.
     """
-    rows = docs.select(F.struct("*").alias("doc"), id_key(doc_id).alias("key")).join(chosen.select("key", *extra), "key")
-    return rows.groupBy("key").agg(F.min_by("doc", F.xxhash64("doc")).alias("doc"), *[F.first(c).alias(c) for c in extra])
+    first = rows.groupBy(label).agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "hash")).alias("first")).select("first.*")
+    chosen = first.select(row_key("doc_id", F.col("hash")).alias("key"))
+    return pick(docs, chosen, row_key(doc_id, F.xxhash64(text))).select("doc.*")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strideframe.llm.common import SPACE_CHARS, SPACES, id_key, pick
+from strideframe.llm.common import SPACE_CHARS, SPACES, pick, row_key
 from strideframe.session import stage
 
 #: Weights of the sources in their order, repeating.
@@ -67,7 +67,14 @@ def mix(docs: DataFrame, seed: int = 0, most: int = MOST, weights: tuple[int, ..
     Null texts have size 0, a null source is a source, rows that repeat an id are counted as rows of their own, an
     empty table gives an empty result, and sources without words have target 0 and take nothing.
     """
-    rows = stage(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size")))
+    return _copies(docs, seed, most, weights, doc_id, text, source)
+
+
+def _copies(docs: DataFrame, seed: int, most: int, weights: tuple[int, ...], doc_id: str, text: str, source: str, told_by: tuple[Column, ...] = ()) -> DataFrame:
+    """`mix`, with `key` (`row_key` by the columns `told_by`) if there are any; rows that repeat an id then stand in its order."""
+    key = [row_key(doc_id, *told_by).alias("key")] if told_by else []
+    named = ["key"] if told_by else []
+    rows = stage(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"), *key))
     rows = rows.withColumn("_at", unit(F.col("doc_id")))
     by_size = rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"))
     sources = by_size.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"))
@@ -81,14 +88,14 @@ def mix(docs: DataFrame, seed: int = 0, most: int = MOST, weights: tuple[int, ..
         "source", "source_size", "target", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("_rate"))
     starts = by_cell.select("source", "size", "_cell", ahead("source", "size", on="_cell").alias("_cell_start"))
     starts = _join(starts, _join(sizes, rates, "source"), "source", "size")
-    inside = F.row_number().over(Window.partitionBy("source", "size", "_cell").orderBy("_at", F.col("doc_id").asc_nulls_last()))
+    inside = F.row_number().over(Window.partitionBy("source", "size", "_cell").orderBy("_at", F.col("doc_id").asc_nulls_last(), *named))
     ranked = rows.withColumn("_row", inside)
     ranked = _join(ranked, starts, "source", "size", "_cell")
     offset = unit(F.lit(seed), F.col("source"))
     number = F.col("_size_start") + F.col("_cell_start") + F.col("_row")
     crossed = lambda k: F.floor(k * F.col("_rate") + offset)
     copies = (crossed(number) - crossed(number - 1)).cast("long")
-    return ranked.select("doc_id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return ranked.select("doc_id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *named)
 
 
 def _join(left: DataFrame, right: DataFrame, *keys: str) -> DataFrame:
@@ -98,11 +105,14 @@ def _join(left: DataFrame, right: DataFrame, *keys: str) -> DataFrame:
     return left.join(named, on).drop(*[f"_r{i}" for i in range(len(keys))])
 
 
-def take(docs: DataFrame, doc_id: str = "doc_id", **how) -> DataFrame:
+def take(docs: DataFrame, seed: int = 0, most: int = MOST, weights: tuple[int, ...] = WEIGHTS, doc_id: str = "doc_id",
+         text: str = "text", source: str = "source") -> DataFrame:
     """The mix itself: each row of `docs` as often as `mix` takes it, with all its columns.
 
-    Rows that repeat an id are taken together, from one of them.  The text is shuffled once.
+    Rows that repeat id, text and source are taken together, from one of them; other rows with that id (or without
+    one) are rows of their own.  The text is shuffled once.
     """
-    copies = mix(docs, doc_id=doc_id, **how).groupBy(id_key("doc_id").alias("key")).agg(F.sum("copies").alias("copies")).where("copies > 0")
-    rows = pick(docs, copies, doc_id, ("copies",))
+    told_by = (F.xxhash64(text), F.xxhash64(source))
+    copies = _copies(docs, seed, most, weights, doc_id, text, source, told_by).groupBy("key").agg(F.sum("copies").alias("copies")).where("copies > 0")
+    rows = pick(docs, copies, row_key(doc_id, *told_by), ("copies",))
     return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("doc.*")

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strideframe.llm.common import id_key, join_counted, pick, slot_of
+from strideframe.llm.common import first_of_groups, join_counted, slot_of
 from strideframe.llm.components import components
 from strideframe.session import stage
 
@@ -151,8 +151,8 @@ def _bucket_links(distinct: DataFrame, blocks: int, distance: int, split: bool)
 def near_groups(rows: DataFrame, distance: int = 4) -> DataFrame:
     """Groups of documents connected by fingerprints that differ in at most `distance` bits.
 
-    `rows` has doc_id and fp (`fingerprints`, staged).  One row for each distinct fp: fp, n_rows (its documents) and
-    component_id, the smallest doc_id of the group; `slot` is for `join_counted`.
+    `rows` has doc_id and fp (`fingerprints`, staged).  One row for each distinct fp: fp, n_rows (its documents), label
+    (the same for a group's fingerprints) and component_id, the smallest doc_id of the group; `slot` is for `join_counted`.
     Equal fingerprints are collapsed before any pair is looked for.  Distinct ones are split into blocks so that close
     pairs share enough of them, meet in buckets by the values of the shared blocks, and are verified there by their
     Hamming distance; a bucket yields the links of a spanning forest, never all its pairs.  Null ids take part but
@@ -164,24 +164,25 @@ def near_groups(rows: DataFrame, distance: int = 4) -> DataFrame:
     grouped = same.join(labels, same["fp"] == labels["node"], "left").select("fp", "copies", "least", F.coalesce("label", "fp").alias("label"))
     first = grouped.groupBy("label", slot_of("label").alias("slot")).agg(F.count(F.lit(1)).alias("n_rows"), F.min("least").alias("component_id"))
     named = join_counted(grouped.drop("least"), first, ["label"], n, F.xxhash64("fp"))
-    return named.select("fp", slot_of("fp").alias("slot"), F.col("copies").alias("n_rows"), "component_id")
+    return named.select("fp", slot_of("fp").alias("slot"), F.col("copies").alias("n_rows"), "label", "component_id")
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every row."""
     rows = stage(fingerprints(docs, words, doc_id, text))
     groups = stage(near_groups(rows, distance))
-    out = join_counted(rows, groups, ["fp"], rows.count(), F.xxhash64("doc_id"))
+    out = join_counted(rows, groups.drop("label"), ["fp"], rows.count(), F.xxhash64("doc_id"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame, words: int = 4, distance: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each group of near-duplicates, that with the smallest doc_id, with all columns of `docs`.
 
-    Of rows that repeat that id one stays.  A group without any id keeps one row.
+    A group is told by its fingerprints, so ids that are null or repeat with other texts take no other group's row; of
+    rows that repeat that id in the group one stays, by text hash.  A group without any id keeps one row.
     """
-    rows = stage(fingerprints(docs, words, doc_id, text))
+    slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("hash"))
+    rows = stage(fingerprints(slim, words, keep=("hash",)))
     groups = stage(near_groups(rows, distance))
-    named = join_counted(rows, groups, ["fp"], rows.count(), F.xxhash64("doc_id"))
-    chosen = named.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(id_key("doc_id").alias("key")).distinct()
-    return pick(docs, chosen, doc_id).select("doc.*")
+    named = join_counted(rows, groups.drop("component_id"), ["fp"], rows.count(), F.xxhash64("doc_id"))
+    return first_of_groups(docs, named, "label", doc_id, text)
