@@ -1,15 +1,83 @@
-"""Rows whose ids are null or repeat."""
+"""Near-duplicate groups by shared shingles, and rows whose ids are null or repeat."""
 
 import random
+import re
 from collections import Counter
 
 import pytest
-from test_llm_operators import KINDS, row
+from test_llm_operators import KINDS, WORD, groups_of, odd_rows, row
 
-from strideframe.llm import mixing, simhash
+from strideframe.llm import mixing, shingles, simhash
 
 
-@pytest.mark.parametrize("keep_first", [simhash.keep_first])
+def brute_shingles(text):
+    words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return frozenset(" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+
+
+def brute_first(rows):
+    """Of each group the least row by id (null last); text hashes are left out, so ids of a group's rows differ here."""
+    sets = [brute_shingles(r[1]) for r in rows]
+    close = lambda x, y: x == y or 5 * len(x & y) >= 4 * len(x | y)
+    same = groups_of([(i, j) for j, y in enumerate(sets) for i, x in enumerate(sets[:j]) if close(x, y)], range(len(rows)))
+    first = {}
+    for i, r in enumerate(rows):
+        first[same[i]] = min(first.get(same[i], r), r, key=lambda r: (r[0] is None, r[0] or 0))
+    return sorted(((r[0], brute_shingles(r[1])) for r in first.values()), key=str)
+
+
+def edited_rows():
+    """Texts with some words replaced, dropped or added, around a similarity of 0.8; many share a long passage."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(4))
+    passage, texts = [word() for _ in range(60)], []
+    for i in range(40):
+        base = [word() for _ in range(r.choice([1, 3, 5, 8, 20, 60, 200, 400]))] + passage * (i % 3 == 0)
+        for _ in range(r.randint(1, 6)):
+            new = base[:]
+            for _ in range(r.randint(0, 1 + len(base) // 40)):
+                at = r.randrange(len(new))
+                new[at : at + r.randint(0, 1)] = [word() for _ in range(r.randint(0, 1))] or [word()]
+            texts.append(" ".join(new))
+    return [row(i, t) for i, t in enumerate(texts)]
+
+
+@pytest.mark.parametrize("hot", [4096, 0])
+def test_close_shingles_are_found(spark, monkeypatch, hot):
+    monkeypatch.setattr(shingles, "HOT_MOST", hot)
+    rows = edited_rows()
+    got = shingles.keep_first(spark.createDataFrame(rows, KINDS).repartition(3))
+    assert sorted(((r["doc_id"], brute_shingles(r["text"])) for r in got.collect()), key=str) == brute_first(rows)
+    assert len(brute_first(rows)) < len(rows) - 30  # the groups are many
+
+
+def test_close_shingles_of_odd_rows(spark):
+    docs = spark.createDataFrame(odd_rows(), KINDS)
+    got = shingles.keep_first(docs)
+    assert got.columns == docs.columns
+    assert sorted(((r["doc_id"], brute_shingles(r["text"])) for r in got.collect()), key=str) == brute_first(odd_rows())
+    assert shingles.keep_first(docs.limit(0)).count() == 0
+
+
+def test_every_close_pair_shares_a_key():
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    none = np.empty(0, np.uint64)
+    for _ in range(3000):
+        n = int(r.integers(1, 120))
+        x = np.unique(r.integers(0, 1 << 63, n).astype(np.uint64))
+        drop, add = int(r.integers(0, n // 5 + 1)), 0
+        while 5 * (len(x) - drop) >= 4 * (len(x) + add + 1) and r.random() < 0.9:
+            add += 1
+        y = np.unique(np.concatenate([x[r.permutation(len(x))[drop:]], r.integers(0, 1 << 63, add).astype(np.uint64)]))
+        both = len(np.intersect1d(x, y))
+        hot = r.choice(x, len(x) // 2) if r.random() < 0.5 else none
+        if 5 * both >= 4 * (len(x) + len(y) - both):
+            assert len(np.intersect1d(shingles.keys_of(x, hot), shingles.keys_of(y, hot)))
+
+
+@pytest.mark.parametrize("keep_first", [simhash.keep_first, shingles.keep_first])
 def test_null_and_repeated_ids_keep_their_groups(spark, keep_first):
     say = lambda seed: " ".join(random.Random(seed).choices("abcdefghijklmnopqrstuvwxyz", k=60))
     rows = [row(None, say(1)), row(None, say(2)), row(None, say(2)), row(5, say(3)), row(5, say(4)), row(5, say(4)), row(6, say(4)), row(7, None)]
