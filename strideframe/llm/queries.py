@@ -8,7 +8,7 @@ from public_tokenizers import path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strideframe.llm import blocknames, kneser_ney, langid, licenses, lines, mixing, packing, simhash, spotsigs, tokens
+from strideframe.llm import blocknames, kneser_ney, langid, licenses, lines, mixing, oracles, packing, repair, simhash, spotsigs, tokens
 from strideframe.llm.common import crc_part
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,10 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/documents.parquet")
 
 
+def conversations(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/conversations.parquet")
+
+
 MIXING_SQL = r"""
 WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
@@ -105,3 +109,9 @@ def op8_fingerprints(spark, sf):
 @query("op1_license_scans")
 def op1_license_scans(spark, sf):
     return licenses.scan(documents(spark, sf))
+
+
+@query("op11_conversation_repair", oracles.REPAIR_SQL)
+def op11_conversation_repair(spark, sf):
+    convs = conversations(spark, sf)
+    return repair.repair(convs, repair.damage(convs))
