@@ -8,7 +8,7 @@ from public_tokenizers import path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strideframe.llm import blocknames, kneser_ney, langid, licenses, lines, mixing, oracles, packing, repair, simhash, spotsigs, tokens
+from strideframe.llm import blocknames, kneser_ney, langid, licenses, lines, mixing, oracles, packing, prefixtrie, repair, simhash, spotsigs, tokens
 from strideframe.llm.common import crc_part
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,3 +115,8 @@ def op1_license_scans(spark, sf):
 def op11_conversation_repair(spark, sf):
     convs = conversations(spark, sf)
     return repair.repair(convs, repair.damage(convs))
+
+
+@query("op12_conversation_trie", oracles.TRIE_SQL)
+def op12_conversation_trie(spark, sf):
+    return prefixtrie.trie(*prefixtrie.rebuilt(conversations(spark, sf)))
