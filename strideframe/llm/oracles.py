@@ -94,10 +94,10 @@ REPEATS_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 x AS (SELECT doc_id, unnest(range(1, greatest(len(w) - 18, 1))) AS s, w FROM d),
 y AS (SELECT doc_id, s, row_number() OVER (PARTITION BY array_to_string(w[s : s + 19], ' ') ORDER BY doc_id NULLS LAST, s) > 1 AS again FROM x),
-z AS (SELECT DISTINCT doc_id, s + o AS at FROM (SELECT doc_id, s, unnest(range(20)) AS o FROM y WHERE again)),
-g AS (SELECT doc_id, list(at) AS gone FROM z GROUP BY doc_id),
-v AS (SELECT d.doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS at FROM d),
-k AS (SELECT v.doc_id, string_agg(word, ' ' ORDER BY v.at) AS kept FROM v LEFT JOIN z ON z.doc_id = v.doc_id AND z.at = v.at WHERE z.at IS NULL GROUP BY v.doc_id)
+z AS (SELECT DISTINCT doc_id, s + o AS pos FROM (SELECT doc_id, s, unnest(range(20)) AS o FROM y WHERE again)),
+g AS (SELECT doc_id, list(pos) AS gone FROM z GROUP BY doc_id),
+v AS (SELECT d.doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM d),
+k AS (SELECT v.doc_id, string_agg(word, ' ' ORDER BY v.pos) AS kept FROM v LEFT JOIN z ON z.doc_id = v.doc_id AND z.pos = v.pos WHERE z.pos IS NULL GROUP BY v.doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN g ON g.doc_id = d.doc_id LEFT JOIN k ON k.doc_id = d.doc_id
 """

@@ -8,7 +8,7 @@ from public_tokenizers import path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strideframe.llm import blocknames, kneser_ney, langid, licenses, lines, mixing, oracles, packing, prefixtrie, repair, simhash, spotsigs, tokens
+from strideframe.llm import blocknames, kneser_ney, langid, licenses, lines, mixing, oracles, packing, prefixtrie, repair, simhash, spotsigs, substrings, tokens
 from strideframe.llm.common import crc_part
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,3 +120,9 @@ def op11_conversation_repair(spark, sf):
 @query("op12_conversation_trie", oracles.TRIE_SQL)
 def op12_conversation_trie(spark, sf):
     return prefixtrie.trie(*prefixtrie.rebuilt(conversations(spark, sf)))
+
+
+@query("op13_substring_dedup", oracles.REPEATS_SQL)
+def op13_substring_dedup(spark, sf):
+    found = substrings.drop_repeats(documents(spark, sf).select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
