@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -19,9 +20,9 @@ SEED = 42
 #: Words of a minimiser.
 MINIMISER = 5
 #: Texts that a task cuts at a time, and super-k-mers that it gathers before it sends them on, in bytes.
-CHUNK, FLUSH = 4 << 20, 128 << 20
+CHUNK, FLUSH = 2 << 20, 64 << 20
 #: Text for a bucket in bytes, and the bytes of super-k-mers beyond which a bucket is dealt again, window by window.
-BUCKET, MOST = 16 << 20, 256 << 20
+BUCKET, MOST = 12 << 20, 128 << 20
 #: Minimisers that a share of 1/HOT_LEAST of about HOT_SAMPLE sampled documents have are dealt by window at once;
 #: at most HOT_MOST are shipped.  They decide where windows meet, never what is found.
 HOT_SAMPLE, HOT_LEAST, HOT_MOST = 16384, 100, 1 << 16
@@ -111,59 +112,78 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list, lis
 
 
 class Pack:
-    """Super-k-mers of a bucket with all their occurrences, as compressed bytes."""
-
-    KINDS = (np.uint64, np.int32, np.int32, np.bool_, np.int64, np.int64, np.int64)
+    """Rows of numbers, with a string each or none, as compressed bytes."""
 
     @staticmethod
-    def write(items: list[tuple[bytes, tuple[int, list]]]) -> bytes:
-        places = [p for _, (_, occurs) in items for p in occurs]
-        columns = [[m for _, (m, _) in items], [len(s) for s, _ in items], [len(o) for _, (_, o) in items], *zip(*places)]
-        data = [np.array(c, k).tobytes() for c, k in zip(columns, Pack.KINDS)]
-        return zstandard.compress(b"".join([np.array([len(items), len(places)], np.int64).tobytes(), *data, *[s for s, _ in items]]), 1)
+    def write(kinds: tuple, rows: list[tuple], strings: list[bytes] = ()) -> bytes:
+        data = [np.array(c, k).tobytes() for c, k in zip(zip(*rows), kinds)]
+        lengths = np.array([len(s) for s in strings], np.int32).tobytes()
+        return zstandard.compress(b"".join([np.array([len(rows)], np.int64).tobytes(), *data, lengths, *strings]), 1)
 
     @staticmethod
-    def read(data: bytes) -> tuple[list[np.ndarray], bytes]:
-        data = zstandard.decompress(data)
-        n, occurs = np.frombuffer(data, np.int64, 2).tolist()
-        at, out = 16, []
-        for i, k in enumerate(Pack.KINDS):
-            out.append(np.frombuffer(data, k, n if i < 3 else occurs, at))
-            at += out[-1].nbytes
+    def read(kinds: tuple, pack: bytes) -> tuple[list[np.ndarray], bytes]:
+        """The columns, at last the lengths of the strings if there are any, and the strings."""
+        data = zstandard.decompress(pack)
+        n, at, out = int(np.frombuffer(data, np.int64, 1)[0]), 8, []
+        for k in (*kinds, np.int32):
+            if at < len(data):
+                out.append(np.frombuffer(data, k, n, at))
+                at += out[-1].nbytes
         return out, data[at:]
 
 
-def _packed(docs: DataFrame, hot: np.ndarray, words: int, buckets: int) -> DataFrame:
-    """bucket and pack: strings that are equal within a task's stretch of documents travel once, with all their places."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[bytes, tuple[int, list]] = {}
-        size = 0
+#: Columns of packs: minimiser and place of a string; place and number of words of a stretch that occurs earlier.
+STRINGS, STRETCHES = (np.uint64, np.bool_, np.int64, np.int64, np.int64), (np.bool_, np.int64, np.int64, np.int64, np.int64)
 
-        def sent() -> Iterator[pa.RecordBatch]:
-            by_bucket: dict[int, list] = {}
-            for item in held.items():
-                by_bucket.setdefault(item[1][0] % buckets, []).append(item)
-            for bucket, items in by_bucket.items():
-                yield pa.record_batch([pa.array([bucket], pa.int64()), pa.array([Pack.write(items)], pa.binary())], names=["bucket", "pack"])
 
+def _packed(docs: DataFrame, hot: np.ndarray, words: int, buckets: int) -> DataFrame:
+    """bucket and pack: of equal strings in a task's stretch of documents the first travels to its bucket.
+
+    The others occur earlier for certain; as stretches they go to any task, under a bucket below 0.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bytes, tuple[int, tuple]] = {}
+        later: list[tuple] = []
+        size, any_task = 0, 0
+        row = lambda bucket, pack: pa.record_batch([pa.array([bucket], pa.int64()), pa.array([pack], pa.binary())], names=["bucket", "pack"])
         for ids, hashes, texts in _chunks(batches):
             names = [(i is None, i or 0, h) for i, h in zip(ids, hashes)]
             for string, mini, doc, start in Cut(texts, words).rows(hot):
+                place = (*names[doc], start)
                 found = held.get(string)
                 if found is None:
-                    held[string] = (mini, [(*names[doc], start)])
-                    size += len(string) + 400
-                else:
-                    found[1].append((*names[doc], start))
-                    size += 150
-                if size > FLUSH:
-                    yield from sent()
-                    held, size = {}, 0
-        yield from sent()
+                    held[string] = (mini, place)
+                    size += len(string) + 350
+                    continue
+                if place == found[1]:  # a row that repeats
+                    continue
+                if place < found[1]:
+                    held[string], place = (mini, place), found[1]
+                later.append((*place, string.count(b" ") + 1))
+            if len(later) > 50_000:
+                any_task = any_task * 31 + hashes[0]
+                yield row(-1 - any_task % buckets, Pack.write(STRETCHES, later))
+                later = []
+            if size > FLUSH:
+                yield from sent(held, row)
+                held, size = {}, 0
+        yield from sent(held, row)
+        if later:
+            yield row(-1 - (any_task * 31 + later[0][2]) % buckets, Pack.write(STRETCHES, later))
+
+    def sent(held: dict, row) -> Iterator[pa.RecordBatch]:
+        by_bucket: dict[int, list[bytes]] = {}
+        for string, (mini, _) in held.items():
+            by_bucket.setdefault(mini % buckets, []).append(string)
+        for bucket, strings in by_bucket.items():
+            yield row(bucket, Pack.write(STRINGS, [(held[s][0], *held[s][1]) for s in strings], strings))
 
     return docs.select("doc_id", "hash", "text").mapInArrow(run, "bucket long, pack binary")
 
 
+FOUND = (pa.binary(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+
+
 class Found:
     """Rows found in a bucket: stretches of words that occur earlier, or (with `win`) windows to be dealt again."""
 
@@ -171,8 +191,7 @@ class Found:
         self.rows: list[tuple] = []
 
     def batch(self) -> pa.RecordBatch:
-        kinds = (pa.binary(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-        out = pa.record_batch([pa.array(c, k) for c, k in zip(zip(*self.rows), kinds)], names=["win", "no_id", "doc_id", "hash", "start", "n"])
+        out = pa.record_batch([pa.array(c, k) for c, k in zip(zip(*self.rows), FOUND)], names=["win", "no_id", "doc_id", "hash", "start", "n"])
         self.rows = []
         return out
 
@@ -185,35 +204,24 @@ def _windows(string: bytes, words: int) -> list[bytes]:
 
 def _sorted_bucket(packs: list[bytes], words: int, found: Found) -> Iterator[pa.RecordBatch]:
     """Covered words of a bucket's documents: windows are sorted with their first places, equal ones stand together."""
-    parts = [Pack.read(p) for p in packs]
-    mini, length, n_occurs, *places = (np.concatenate(c) for c in zip(*(p[0] for p in parts)))
+    parts = [Pack.read(STRINGS, p) for p in packs]
+    mini, *places, length = (np.concatenate(c) for c in zip(*(p[0] for p in parts)))
     text = b"".join(p[1] for p in parts)
-    offset, place = np.cumsum(length, dtype=np.int64) - length, np.cumsum(n_occurs, dtype=np.int64) - n_occurs
+    del parts
+    offset = np.cumsum(length, dtype=np.int64) - length
     order = np.argsort(mini, kind="stable")
     value = mini[order]
-    alone = np.ones(len(order), bool)
-    alone[1:] &= value[1:] != value[:-1]
-    alone[:-1] &= value[1:] != value[:-1]
-    occurs = lambda r: sorted(zip(*(c[place[r] : place[r] + n_occurs[r]].tolist() for c in places)))
-    string = lambda r: text[offset[r] : offset[r] + length[r]]
-
-    def repeats(r: int, held: list[tuple]) -> None:
-        n = string(r).count(b" ") + 1
-        found.rows += [(None, *o, n) for o in held[1:]]
-
-    for r in order[alone & (n_occurs[order] > 1)].tolist():  # one string: its windows differ, only later copies are covered
-        repeats(r, occurs(r))
-        if len(found.rows) > 20000:
-            yield found.batch()
-    shared = order[~alone]
-    cuts = np.flatnonzero(np.diff(mini[shared])) + 1
-    for group in np.split(shared, cuts) if len(shared) else ():
+    shared = np.zeros(len(order), bool)  # a string that has its minimiser alone has no window twice
+    shared[1:] |= value[1:] == value[:-1]
+    shared[:-1] |= value[1:] == value[:-1]
+    shared = order[shared]
+    for group in np.split(shared, np.flatnonzero(np.diff(mini[shared])) + 1) if len(shared) else ():
         firsts: dict[bytes, list] = {}
         for r in group.tolist():
-            firsts.setdefault(string(r), []).extend(occurs(r))
+            firsts.setdefault(text[offset[r] : offset[r] + length[r]], []).append(tuple(c[r].item() for c in places))
         rows = []
         for s, held in firsts.items():
-            held.sort()
+            held = sorted(set(held))
             found.rows += [(None, *o, s.count(b" ") + 1) for o in held[1:]]
             if len(firsts) > 1:
                 rows += [(w, (*held[0][:3], held[0][3] + j)) for j, w in enumerate(_windows(s, words))]
@@ -224,16 +232,12 @@ def _sorted_bucket(packs: list[bytes], words: int, found: Found) -> Iterator[pa.
 
 
 def _dealt_again(pack: bytes, words: int, found: Found) -> Iterator[pa.RecordBatch]:
-    """The windows of a pack, each with its first place in it; later places are covered."""
-    (_, length, n_occurs, *places), text = Pack.read(pack)
-    at, place = 0, 0
-    columns = [c.tolist() for c in places]
-    for size, n in zip(length.tolist(), n_occurs.tolist()):
-        held = sorted(zip(*(c[place : place + n] for c in columns)))
-        s = text[at : at + size]
-        at, place = at + size, place + n
-        found.rows += [(None, *o, s.count(b" ") + 1) for o in held[1:]]
-        found.rows += [(w, *held[0][:3], held[0][3] + j, words) for j, w in enumerate(_windows(s, words))]
+    """The windows of a pack with their places."""
+    (_, *places, length), text = Pack.read(STRINGS, pack)
+    at = 0
+    for size, *place, start in zip(length.tolist(), *(c.tolist() for c in places)):
+        found.rows += [(w, *place, start + j, words) for j, w in enumerate(_windows(text[at : at + size], words))]
+        at += size
         if len(found.rows) > 20000:
             yield found.batch()
 
@@ -241,26 +245,27 @@ def _dealt_again(pack: bytes, words: int, found: Found) -> Iterator[pa.RecordBat
 def _counted(packed: DataFrame, words: int) -> DataFrame:
     """Stretches found in each bucket (win null); windows of buckets that outgrow MOST bytes, to be dealt again."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, packs, size, over, found = None, [], 0, False, Found()
-
-        def closed() -> Iterator[pa.RecordBatch]:
-            if packs:
-                yield from _sorted_bucket(packs, words, found)
-
+        bucket, packs, size, found = None, [], 0, Found()
         for b in batches:
             for k, pack in zip(b.column(0).to_pylist(), b.column(1)):
                 pack = pack.as_py()
+                if k < 0:
+                    columns, _ = Pack.read(STRETCHES, pack)
+                    found.rows += zip(repeat(None), *(c.tolist() for c in columns))
+                    yield found.batch()
+                    continue
                 if k != bucket:
-                    yield from closed()
-                    bucket, packs, size, over = k, [], 0, False
+                    if packs:
+                        yield from _sorted_bucket(packs, words, found)
+                    bucket, packs, size = k, [], 0
                 packs.append(pack)
                 size += zstandard.frame_content_size(pack)
-                over = over or size > MOST
-                if over:  # no pack of the bucket has been sorted yet: all of them go on
+                if size > MOST:  # no pack of the bucket has been sorted yet: all of them go on
                     for p in packs:
                         yield from _dealt_again(p, words, found)
                     packs = []
-        yield from closed()
+        if packs:
+            yield from _sorted_bucket(packs, words, found)
         if found.rows:
             yield found.batch()
 
