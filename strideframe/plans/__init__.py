@@ -2,6 +2,7 @@
 
 from strideframe.plans import (  # noqa: F401
     cluster_queries,
+    eeg_queries,
     factor_queries,
     feature_queries,
     fusion_queries,
