@@ -49,9 +49,8 @@ def spline_weights(sensors: DataFrame, keys: Sequence[str], channel: str = "chan
         rows = rows.sort_values("name")
         rows = rows[np.linalg.norm(rows[list("xyz")].to_numpy(float), axis=1) > 0]
         good, lost = rows[~rows.lost], rows[rows.lost]
-        names = [*keys, "channel", "source", "weight"]
         if good.empty or lost.empty:
-            return pd.DataFrame({c: [] for c in names})
+            return rows[list(keys)].iloc[:0].assign(channel=pd.Series(dtype=object), source=pd.Series(dtype=object), weight=pd.Series(dtype=float))
         w = weights_of(good[list("xyz")].to_numpy(float), lost[list("xyz")].to_numpy(float), stiffness, terms, diagonal)
         out = {"channel": np.repeat(lost.name.to_numpy(), len(good)), "source": np.tile(good.name.to_numpy(), len(lost)), "weight": w.ravel()}
         return pd.DataFrame({**{k: [v] * w.size for k, v in zip(keys, key)}, **out})

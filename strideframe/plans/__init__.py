@@ -8,6 +8,7 @@ from strideframe.plans import (  # noqa: F401
     fusion_queries,
     quality_queries,
     selection_queries,
+    session_queries,
     signal_queries,
     signal_rate_queries,
     source_queries,

@@ -1,5 +1,6 @@
 """Readers and writers for recordings, labels, features and results."""
 
+from strideframe.sources.edf import EdfSource, read_edf  # noqa: F401
 from strideframe.sources.eeg import eeg_channel_type, file_keys, read_sensor_layout  # noqa: F401
 from strideframe.sources.recordings import (  # noqa: F401
     RecordingFiles,
