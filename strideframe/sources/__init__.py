@@ -2,6 +2,7 @@
 
 from strideframe.sources.edf import EdfSource, read_edf  # noqa: F401
 from strideframe.sources.eeg import eeg_channel_type, file_keys, read_sensor_layout  # noqa: F401
+from strideframe.sources.recording_source import RecordingSource, on_common_span, scan_recordings  # noqa: F401
 from strideframe.sources.recordings import (  # noqa: F401
     RecordingFiles,
     channel_table,

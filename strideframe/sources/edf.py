@@ -63,23 +63,24 @@ class Header:
         return 2 * sum(s.samples for s in self.signals)
 
 
-def _open(path: str):
+def open_file(path: str):
+    """A file to read and seek in, local or in a store."""
     system, name = fs.FileSystem.from_uri(path if re.match(r"\w[\w+.-]+:", path) else f"file://{path}")
     return system.open_input_file(name)
 
 
-def _files(path: str) -> list[str]:
-    """The file itself, or all EDF files below a folder."""
+def files_below(path: str, ending: str) -> list[str]:
+    """The file itself, or all files below a folder whose names end so."""
     scheme = re.match(r"(\w[\w+.-]+://)?", path)[0]
     system, name = fs.FileSystem.from_uri(path if scheme else f"file://{path}")
     if system.get_file_info(name).type != fs.FileType.Directory:
         return [path]
     found = system.get_file_info(fs.FileSelector(name, recursive=True))
-    return sorted((scheme if scheme != "file://" else "") + f.path for f in found if f.type == fs.FileType.File and f.path.lower().endswith(".edf"))
+    return sorted((scheme if scheme != "file://" else "") + f.path for f in found if f.type == fs.FileType.File and f.path.lower().endswith(ending))
 
 
 def read_header(path: str) -> Header:
-    with _open(path) as f:
+    with open_file(path) as f:
         fixed = f.read(256).decode("latin-1")
         at, head = 0, {}
         for name, width in HEAD:
@@ -118,12 +119,12 @@ class Records(InputPartition):
         self.header, self.first, self.n = header, first, n
 
 
-class EdfReader(DataSourceReader):
-    """Equality and IN filters on `channel` and `path` are taken over: other signals are not decoded, other files not read."""
+class FilteredReader(DataSourceReader):
+    """Equality and IN filters on `channel` and `path` are taken over: other channels are not decoded, other files not read."""
 
-    def __init__(self, options: dict, schema):
+    def __init__(self, options: dict):
         self.paths = [p for p in (options.get("path") or "").split(",") if p] or re.findall(r'"([^"]+)"', options.get("paths", ""))
-        self.table, self.part = options.get("table", "samples"), int(options.get("partbytes", PART))
+        self.part = int(options.get("partbytes", PART))
         self.only: dict[str, set] = {}
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
@@ -135,13 +136,21 @@ class EdfReader(DataSourceReader):
             name = f.attribute[0]
             self.only[name] = self.only[name] & values if name in self.only else values
 
-    def _wanted(self, name: str, value: str) -> bool:
+    def wanted(self, name: str, value: str) -> bool:
         return name not in self.only or value in self.only[name]
 
+
+class EdfReader(FilteredReader):
+    """Data records of EDF files, or facts from their headers."""
+
+    def __init__(self, options: dict):
+        super().__init__(options)
+        self.table = options.get("table", "samples")
+
     def partitions(self) -> list[InputPartition]:
         out = []
-        for path in (f for p in self.paths for f in _files(p)):
-            if not self._wanted("path", path):
+        for path in (f for p in self.paths for f in files_below(p, ".edf")):
+            if not self.wanted("path", path):
                 continue
             header = read_header(path)
             step = header.records if self.table == "channels" else max(1, self.part // max(1, header.width))
@@ -151,7 +160,7 @@ class EdfReader(DataSourceReader):
     def read(self, partition: Records) -> Iterator[pa.RecordBatch]:
         h = partition.header
         tracks = [s for s in h.signals if s.label == ANNOTATIONS]
-        signals = [s for s in h.signals if s.label != ANNOTATIONS and self._wanted("channel", s.label)]
+        signals = [s for s in h.signals if s.label != ANNOTATIONS and self.wanted("channel", s.label)]
         if self.table == "channels":
             rows = [(h.path, i, s.label, s.unit, s.samples / h.seconds if h.seconds else None, s.samples * h.records, s.low, s.high, s.transducer, s.prefilter)
                     for i, s in enumerate(h.signals) if s in signals]
@@ -160,7 +169,7 @@ class EdfReader(DataSourceReader):
         if self.table == "samples" and not signals:
             return
         at_once = max(1, min(ROWS // max(1, max((s.samples for s in signals), default=1)), self.part // max(1, h.width)))
-        with _open(h.path) as f:
+        with open_file(h.path) as f:
             for first in range(partition.first, partition.first + partition.n, at_once):
                 n = min(at_once, partition.first + partition.n - first)
                 f.seek(h.size + first * h.width)
@@ -198,7 +207,7 @@ class EdfSource(DataSource):
         return {"samples": SAMPLES, "channels": CHANNELS, "annotations": NOTES}[self.options.get("table", "samples")]
 
     def reader(self, schema) -> EdfReader:
-        return EdfReader({k.lower(): v for k, v in self.options.items()}, schema)
+        return EdfReader({k.lower(): v for k, v in self.options.items()})
 
 
 def read_edf(spark: SparkSession, paths: str | Sequence[str], table: str = "samples", part_bytes: int = PART) -> DataFrame:

@@ -70,7 +70,8 @@ def test_lines_are_numbered_across_splits(spark, labelled):
     assert list(got["line"]) == want and list(got["line_no"]) == list(range(1, len(want) + 1))
 
 
-def test_semicolon_file(spark, tmp_path):
+@pytest.fixture()
+def semicolon(tmp_path):
     def cells(t, v):
         return f"{t:.3f};{v:.2f}".replace(".", ",")
 
@@ -81,6 +82,11 @@ def test_semicolon_file(spark, tmp_path):
     rows.append("0,95;7,5")
     path = tmp_path / "P_002_Task_T1_SN.csv"
     path.write_text("\n".join(rows) + "\n")
+    return path
+
+
+def test_semicolon_file(spark, semicolon):
+    path = semicolon
     lines = R.read_lines(spark, str(path))
     assert sniff_format(lines).collect()[0]["format"] == "semicolon"
     rec = read_recordings(spark, str(path))
@@ -185,3 +191,20 @@ def test_eeg_side_files(spark, tmp_path):
     keys = file_keys(spark.createDataFrame([(f"/x/{n}",) for n in names], "path string"))
     pairs = pair_files(keys.where("kind = 'edf'").drop("kind"), keys.where("kind = 'mff'").drop("kind"), by=["subject"]).orderBy("subject").collect()
     assert [(r["subject"], r["visit"]) for r in pairs] == [("AB_1", "T0"), ("AB_2", "T0")] and pairs[1]["path_b"].endswith("101110.mff")
+
+
+def test_data_source_reads_what_the_text_source_reads(spark, labelled, semicolon):
+    from strideframe.sources import on_common_span, scan_recordings
+
+    cols = ["patient_id", "task_name", "channel", "t", "v"]
+    rows = lambda d: sorted(map(tuple, d.select(*cols).collect()))
+    for path in (labelled[1], semicolon):
+        want = rows(read_recordings(spark, str(path)).samples)
+        for size in (16 << 20, 60):
+            got = scan_recordings(spark, str(path), part_bytes=size)
+            assert rows(on_common_span(got)) == want and len(want) > 0
+        assert got.rdd.getNumPartitions() > 5
+        one = want[0][2]
+        some = scan_recordings(spark, str(path), part_bytes=200).where(F.col("channel") == one)
+        assert {r["channel"] for r in some.collect()} == {one} and one not in some._jdf.queryExecution().optimizedPlan().toString()
+        assert scan_recordings(spark, str(path)).where("channel = 'none'").count() == 0
