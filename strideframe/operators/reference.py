@@ -33,10 +33,11 @@ def _robust_z(rows: DataFrame, keys: Sequence[str], value: str, of: Column) -> D
 
 
 def _moments(rows: DataFrame, keys: Sequence[str], channels: Sequence[str]) -> DataFrame:
-    """keys, channel, deviation, roughness and best_corr of every channel of (keys, d, e: arrays of values and differences)."""
+    """keys, channel, range, deviation, roughness and best_corr of every channel of (keys, x, d, e: arrays of values, the same
+    less the reference, and their differences)."""
     n = len(channels)
     d, e = [F.col("d")[i] for i in range(n)], [F.col("e")[i] for i in range(n)]
-    facts = [F.struct(F.lit(c).alias("channel"), F.stddev_pop(d[i]).alias("deviation"),
+    facts = [F.struct(F.lit(c).alias("channel"), (F.max(F.col("x")[i]) - F.min(F.col("x")[i])).alias("range"), F.stddev_pop(d[i]).alias("deviation"),
                       (F.sum(e[i] * e[i]) / F.nullif(F.sum(d[i] * d[i]), F.lit(0.0))).alias("roughness"),
                       F.greatest(F.lit(0.0), *[F.abs(corr_guarded(*sorted_pair(d, i, j))) for j in range(n) if j != i]).alias("best_corr")) for i, c in enumerate(channels)]
     return rows.groupBy(*keys).agg(F.array(*facts).alias("f")).select(*keys, F.inline("f"))
@@ -62,7 +63,7 @@ def bad_channels(wide: DataFrame, keys: Sequence[str], channels: Sequence[str],
     ``wide`` has a row per sample and a column per channel (a fixed list; ``order`` with ``tie`` is unique per key).  In
     each round the mean of the channels not yet found bad is taken off every sample; a channel is bad when its deviation
     or the share of its steps in its power (high frequencies) lies more than ``limit`` robust deviations above the median
-    of the good channels, when the deviation lies as far below or is zero, or when no other channel correlates with it by
+    of the good channels, when the deviation lies as far below, when it has one value only (flat), or when no other channel correlates with it by
     ``least_corr``.  Found ones stay out; it ends when a round finds none.  A key never loses its last two channels: if a
     round would, its channels of that round are kept.  Each round is one aggregation over the samples; the set is a
     staged table with one row per key.
@@ -77,12 +78,12 @@ def bad_channels(wide: DataFrame, keys: Sequence[str], channels: Sequence[str],
             break
         joined = rows.join(live.select(*keys, "bad"), list(keys))
         off = lambda values: F.transform(values, lambda v: v - _average(values, F.col("bad")))
-        found = _moments(joined.select(*keys, off(F.col("x")).alias("d"), off(F.col("dx")).alias("e")), keys, channels)
+        found = _moments(joined.select(*keys, "x", off(F.col("x")).alias("d"), off(F.col("dx")).alias("e")), keys, channels)
         place = F.array_position(F.array(*[F.lit(c) for c in channels]), F.col("channel")).cast("int")
         found = found.join(live, list(keys)).withColumn("was", F.element_at("bad", place)).drop("bad", "open")
         for value in ("deviation", "roughness"):
             found = _robust_z(found, keys, value, ~F.col("was"))
-        why = F.when(F.col("deviation").isNull() | (F.col("deviation") == 0), "flat").when(F.abs("z_deviation") > limit, "deviation").when(
+        why = F.when(F.col("range").isNull() | (F.col("range") == 0), "flat").when(F.abs("z_deviation") > limit, "deviation").when(
             F.col("z_roughness") > limit, "roughness").when(F.col("best_corr") < least_corr, "correlation")
         found = stage(found.withColumn("why", F.when(~F.col("was"), why)))
         marks = F.transform(F.sort_array(F.collect_list(F.struct(place.alias("p"), (F.col("was") | F.col("why").isNotNull()).alias("b")))), lambda r: r["b"])

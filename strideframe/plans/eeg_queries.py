@@ -127,10 +127,10 @@ def _round_sql(i: int) -> str:
 r{i} AS (SELECT l.*, v - avg(v) FILTER (NOT bad) OVER q AS d, dv - avg(dv) FILTER (NOT bad) OVER q AS e, bad FROM l JOIN b{i} USING (rec, channel) WINDOW q AS (PARTITION BY rec, sample)),
 c{i} AS (SELECT rec, channel, max(abs(c)) AS best_corr FROM (SELECT p.rec, p.channel, corr(p.d, o.d) AS c FROM r{i} p JOIN r{i} o ON o.rec = p.rec AND o.sample = p.sample AND o.channel <> p.channel
   GROUP BY p.rec, p.channel, o.channel) GROUP BY 1, 2),
-s{i} AS (SELECT rec, channel, any_value(bad) AS was, stddev_pop(d) AS deviation, sum(e * e) / sum(d * d) AS roughness, any_value(best_corr) AS best_corr FROM r{i} JOIN c{i} USING (rec, channel) GROUP BY 1, 2),
+s{i} AS (SELECT rec, channel, any_value(bad) AS was, max(v) - min(v) AS span, stddev_pop(d) AS deviation, sum(e * e) / sum(d * d) AS roughness, any_value(best_corr) AS best_corr FROM r{i} JOIN c{i} USING (rec, channel) GROUP BY 1, 2),
 m{i} AS (SELECT rec, median(deviation) AS md, median(roughness) AS mr FROM s{i} WHERE NOT was GROUP BY rec),
 a{i} AS (SELECT rec, median(abs(deviation - md)) * 1.4826 AS ad, median(abs(roughness - mr)) * 1.4826 AS ar FROM s{i} JOIN m{i} USING (rec) WHERE NOT was GROUP BY rec),
-f{i} AS (SELECT s{i}.*, CASE WHEN was THEN NULL WHEN deviation = 0 THEN 'flat' WHEN abs(deviation - md) / nullif(ad, 0) > {_LIMIT} THEN 'deviation' WHEN (roughness - mr) / nullif(ar, 0) > {_LIMIT} THEN 'roughness'
+f{i} AS (SELECT s{i}.*, CASE WHEN was THEN NULL WHEN span = 0 THEN 'flat' WHEN abs(deviation - md) / nullif(ad, 0) > {_LIMIT} THEN 'deviation' WHEN (roughness - mr) / nullif(ar, 0) > {_LIMIT} THEN 'roughness'
   WHEN best_corr < {_CORR} THEN 'correlation' END AS why FROM s{i} JOIN m{i} USING (rec) JOIN a{i} USING (rec)),
 b{i + 1} AS (SELECT rec, channel, CASE WHEN count(*) FILTER (NOT was AND why IS NULL) OVER (PARTITION BY rec) >= 2 THEN was OR why IS NOT NULL ELSE was END AS bad, why FROM f{i})"""
 

@@ -165,6 +165,13 @@ def task_summary(windows: DataFrame, cycle_muscle: DataFrame, stability: DataFra
     return with_session(out)
 
 
+def muscle_summary(cycle_muscle: DataFrame, stability: DataFrame) -> DataFrame:
+    """One row per (task, muscle): means over cycles of amplitude and timing, with the muscle's stability over cycles where there is any."""
+    means = cycle_muscle.groupBy(*TASK, "muscle").agg(*[F.avg(c).alias(c) for c in ("mean_amp", "peak_amp", "auc", "onset", "offset", "duration", "centroid")])
+    kept = [c for c in ("cv_mean_amp", "cv_peak_amp", "cv_auc", "mean_similarity_to_mean_cycle", "std_similarity_to_mean_cycle") if c in stability.columns]
+    return with_session(means.join(stability.select(*TASK, "muscle", *kept), [*TASK, "muscle"], "left"))
+
+
 def cohort_pairs(summary: DataFrame, metrics: Sequence[str]) -> DataFrame:
     """T0, T1 and delta per patient and condition, with the error ratio when present."""
     out = R.pair_sessions(summary.where("session != '' and condition != ''"), ["patient_id", "condition"], "session", metrics)

@@ -104,12 +104,12 @@ def planted(seed, fault):
 
 def test_planted_bad_channels(spark):
     names = [f"c{i}" for i in range(6)]
-    faults = ["deviation", "roughness"]
+    faults = ["deviation", "roughness", "flat"]
     rows = [(f, i, *map(float, v)) for k, f in enumerate(faults) for i, v in enumerate(planted(k, f).T)]
     wide = spark.createDataFrame(rows, "rec string, i long, " + ", ".join(f"{n} double" for n in names)).repartition(3)
     marks = reference.bad_channels(wide, ["rec"], names, "i", least_corr=0.0)
     found = {(r["rec"], r["channel"]): r["why"] for r in marks.collect() if r["bad"]}
-    assert all(found.get((f, "c5")) == f for f in faults) and marks.count() == 12
+    assert all(found.get((f, "c5")) == f for f in faults) and marks.count() == 18
     clean = reference.referenced(wide, marks, ["rec"], names).where("rec = 'deviation'").orderBy("i").toPandas()
     good = [int(c[1]) for c in names if ("deviation", c) not in found]
     x = planted(0, "deviation")
@@ -205,3 +205,34 @@ def test_edf_filters_channels_and_annotations(spark, edf):
     with pytest.raises(Exception):
         read_edf(spark, str(root / "bad.edf")).count()
     (root / "bad.edf").write_bytes((root / "two.EDF").read_bytes())
+
+
+def test_cleaning_chain(spark):
+    """Seven channels of an alpha rhythm with mains hum, a dead channel, a blink and one spoilt stretch."""
+    from strideframe.plans.eeg_workflow import clean_eeg
+
+    r = np.random.default_rng(12)
+    fs, n = 128.0, 128 * 32
+    t = np.arange(n) / fs
+    p = r.normal(size=(7, 3))
+    p /= np.linalg.norm(p, axis=1, keepdims=True)
+    rhythm, slow = np.sin(2 * np.pi * 10 * t), np.sin(2 * np.pi * 4 * t + 1)
+    pure = np.array([(1 + 0.5 * x) * rhythm + y * slow for x, y, _ in p])
+    data = pure + 0.05 * r.normal(size=pure.shape) + 3 * np.sin(2 * np.pi * 50 * t)
+    data[4] = 0.0
+    rows = [("r", f"E{i}", float(a), float(v)) for i in range(7) for a, v in zip(t, data[i])]
+    samples = spark.createDataFrame(pd.DataFrame(rows, columns=["path", "channel", "t", "v"]))
+    sensors = spark.createDataFrame([("r", f"E{i}", *map(float, x)) for i, x in enumerate(p)], "path string, channel string, x double, y double, z double")
+    out = clean_eeg(samples, sensors, [f"E{i}" for i in range(7)], fs, band=(1.0, 60.0), limit=50.0, least_corr=0.0, target_hz=None)
+    bad = {x["channel"]: x["why"] for x in out["bad"].where("bad").collect()}
+    assert bad == {"E4": "flat"}
+    clean = out["clean"].toPandas()
+    assert len(clean) == 7 * n and clean["v"].notna().all()
+    want = pure - pure[[0, 1, 2, 3, 5, 6]].mean(axis=0)
+    for i in (0, 1, 2, 3, 5, 6):
+        v = clean[clean.channel == f"E{i}"].sort_values("idx")["v"].to_numpy()
+        assert np.corrcoef(v[256:-256], want[i][256:-256])[0, 1] > 0.95
+        power = np.abs(np.fft.rfft(v)) ** 2
+        assert power[50 * 32] < 1e-3 * power[10 * 32 - 8 : 10 * 32 + 8].max()
+    epochs = out["epochs"].toPandas()
+    assert len(epochs) == 14 and (epochs.n_channels == 7).all() and out["fits"].first()["n"] == n
