@@ -30,8 +30,38 @@ def test_one_row_for_each_document(spark, name):
         assert got.count() > 0
 
 
+def brute_shingles(text):
+    """Five-word shingles of a text, fewer words are one; texts without words are equal."""
+    words = text.encode().lower().split()
+    return {b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def test_near_dedup_differs_from_four_bits(spark):
+    """A fifth of the shingles of a long text may differ, which changes more than four bits of a fingerprint."""
+    import random
+
+    from strideframe.llm import shingles, simhash
+
+    r = random.Random(2)
+    vocab = [f"w{i}" for i in range(500)]
+    base = [r.choice(vocab) for _ in range(300)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 30):  # copies with four edited words: 0.87 to the original, less than 0.8 to each other
+        words = base[:]
+        for at in r.sample(range(10, 290), 5 if i % 2 else 4):
+            words[at] = f"new{i}"
+        rows.append((i, " ".join(words)))
+    rows += [(100 + i, " ".join(r.choice(vocab) for _ in range(80))) for i in range(20)]
+    sets = {i: brute_shingles(t) for i, t in rows}
+    assert min(len(sets[0] & sets[i]) / len(sets[0] | sets[i]) for i in range(1, 30)) >= 0.8
+    assert min(len(sets[1] & sets[i]) / len(sets[1] | sets[i]) for i in range(2, 30)) < 0.8
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(x["doc_id"] for x in shingles.keep_first(docs).collect()) == [0, *range(100, 120)]
+    assert simhash.keep_first(docs).count() > 21
+
+
 def test_pipeline_stages(spark):
-    from test_llm_operators import brute_fingerprint, brute_lines
+    from test_llm_operators import brute_lines
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     found = [docs]
@@ -43,15 +73,15 @@ def test_pipeline_stages(spark):
     want = brute_lines([(r.doc_id, r.text) for r in known.itertuples()])
     lines = {r.doc_id: "\n".join(x for k, x in enumerate(r.text.split("\n")) if not x.strip() or want[False, r.doc_id, k, r.text][0]) for r in known.itertuples()}
     assert dict(zip(lined.doc_id, lined.text)) == lines and (lined.n_chars == lined.text.str.len()).all()
-    prints = [(brute_fingerprint(t), d) for d, t in sorted(lines.items())]
-    left, kept = prints[:], []
+    sets = [(brute_shingles(t), d) for d, t in sorted(lines.items())]
+    left, kept = sets[:], []
     while left:  # groups in order of their smallest id
         group, left = [left[0]], left[1:]
         kept.append(group[0][1])
         while group:
-            p, _ = group.pop()
-            near = [x for x in left if bin(x[0] ^ p).count("1") <= 4]
-            left = [x for x in left if x not in near]
+            x, _ = group.pop()
+            near = [y for y in left if 5 * len(x & y[0]) >= 4 * len(x | y[0])]
+            left = [y for y in left if y not in near]
             group += near
     assert sorted(apart.doc_id) == kept
     assert set(mixed.doc_id) <= set(kept) and mixed.groupby("doc_id").size().max() <= 3
