@@ -46,6 +46,10 @@ MUSCLE_SYNONYMS = {
     "infraspinato": "Infraspinatus",
     "pettorale": "Pectoralis Major",
 }
+NUMBER = r"[\d,]+(?:\.\d+)?"
+SESSION_LAST = r"(?i)^Task_(SN|DS)_(T[01])$"
+# Accelerometer names come as 'Muscle: Acc 5.X' or 'Muscle: ACC.X 14'.
+_ACC = r"(?i)^(.+?):\s*Acc(?:[\.\s]*(\d+)\s*\.([XYZ])|\s*\.([XYZ])\s*(\d+))$"
 # --------------------------------------------------------------------------------------------
 
 
@@ -56,7 +60,7 @@ def tolerant_double(c: Column) -> Column:
 
 def decimal_comma_double(c: Column) -> Column:
     """First number in a text such as '1259,2593 Hz'; a comma is the decimal mark, a sign is ignored."""
-    number = F.nullif(F.regexp_extract(F.trim(c), r"[\d,]+(?:\.\d+)?", 0), F.lit(""))
+    number = F.nullif(F.regexp_extract(F.trim(c), NUMBER, 0), F.lit(""))
     return F.replace(number, F.lit(","), F.lit(".")).try_cast("double")
 
 
@@ -84,7 +88,7 @@ def canonical_task(name: Column) -> Column:
 
 def session_first(name: Column) -> Column:
     """'Task_DS_T1' becomes 'Task_T1_DS'; anything else is unchanged."""
-    return F.regexp_replace(name, r"(?i)^Task_(SN|DS)_(T[01])$", r"Task_$2_$1")
+    return F.regexp_replace(name, SESSION_LAST, r"Task_$2_$1")
 
 
 def slug(c: Column, lower: bool = False, empty: str = "") -> Column:
@@ -148,10 +152,6 @@ def muscle_channel(c: Column, axis: Column | None = None) -> Column:
     return F.when(slot.isNotNull(), text)
 
 
-# Accelerometer names come as 'Muscle: Acc 5.X' or 'Muscle: ACC.X 14'.
-_ACC = r"(?i)^(.+?):\s*Acc(?:[\.\s]*(\d+)\s*\.([XYZ])|\s*\.([XYZ])\s*(\d+))$"
-
-
 def acc_sensor(channel: Column) -> Column:
     """'<muscle>: Acc <number>' of an accelerometer channel in either spelling; NULL for others."""
     number = F.concat(F.regexp_extract(channel, _ACC, 2), F.regexp_extract(channel, _ACC, 5))

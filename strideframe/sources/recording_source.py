@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, InputPartition
 
-from strideframe.functions.text import MUSCLE_SLOTS, MUSCLE_SYNONYMS
+from strideframe.functions.text import MUSCLE_SLOTS, MUSCLE_SYNONYMS, SESSION_LAST
 from strideframe.sources.edf import FilteredReader, files_below, open_file
 from strideframe.sources.recordings import AXES, COLUMNS_PER_SENSOR, DATA_ROW, FIRST_DATA_ROW, LABEL, NAMES_ROW, SEMICOLON_MARK, TIME_HEADER, trim_to_common_span
 
@@ -129,7 +129,7 @@ class RecordingReader(FilteredReader):
         stem = re.search(r"([^/]+)\.[^./]+$", where.path)[1]
         parts = stem.split("_")
         patient = "_".join(parts[:2]) if len(parts) >= 2 else stem
-        task = re.sub(r"(?i)^Task_(SN|DS)_(T[01])$", r"Task_\2_\1", "_".join(parts[2:]) if len(parts) > 2 else stem)
+        task = re.sub(SESSION_LAST, r"Task_\2_\1", "_".join(parts[2:]) if len(parts) > 2 else stem)
         rows: list[tuple[str, int, float, float]] = []
         with open_file(where.path) as f:
             for at, line in _lines(f, self._begin(f, partition)):
