@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strideframe.llm.tokens import encoder
+from strideframe.llm.tokens import encode
 
 WINDOW = 1024
 #: Documents that are packed together.  Groups are independent, so their number follows the number of documents.
@@ -100,10 +100,10 @@ def _encoded(path: str, capacity: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            enc, step = encoder(path), 4 * capacity
+            step = 4 * capacity
             total, checks, tails = [], [], []
             for t in b.column(1).to_pylist():
-                ids = enc.encode_ordinary(t or "")
+                ids = encode(t, path)
                 ids.append(0)
                 raw = np.array(ids, dtype="<u4").tobytes()
                 full = len(raw) // step * step

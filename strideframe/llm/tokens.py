@@ -26,22 +26,27 @@ def _letters() -> dict[str, int]:
 def encoder(path: str):
     """Encoder of a byte-level BPE vocabulary file; one in each worker.
 
-    The file's ids are its merge ranks, so the faster rank-based library gives the same ids as the file's own; special
-    tokens in a text are ordinary text.
+    The file's ids are its merge ranks, so the faster rank-based library gives the same ids as the file's own.  Added
+    tokens whose contents stand in a text have the ids that the file gives them.
     """
     import public_tokenizers
     import tiktoken
 
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
-    letters, special = _letters(), {x["content"] for x in spec.get("added_tokens", [])}
+    letters, special = _letters(), {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
     ranks = {bytes(letters[c] for c in word): i for word, i in spec["model"]["vocab"].items() if word not in special}
-    return tiktoken.Encoding("corpus", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("corpus", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
-def ids_of(text: str | None, path: str) -> np.ndarray:
+def encode(text: str | None, path: str) -> list[int]:
     """Ids of a text; none for null."""
-    return np.array(encoder(path).encode_ordinary(text or ""), dtype="<u4")
+    return encoder(path).encode(text or "", allowed_special="all")
+
+
+def ids_of(text: str | None, path: str) -> np.ndarray:
+    """`encode` as an array."""
+    return np.array(encode(text, path), dtype="<u4")
 
 
 def lengths(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -49,8 +54,7 @@ def lengths(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            enc = encoder(path)
-            n = [len(enc.encode_ordinary(t or "")) for t in b.column(1).to_pylist()]
+            n = [len(encode(t, path)) for t in b.column(1).to_pylist()]
             yield pa.record_batch([b.column(0), pa.array(n, pa.int64())], names=["doc_id", "n_tokens"])
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))

@@ -248,6 +248,46 @@ def test_best_fit_keeps_every_token():
         assert sum(capacity - sum(n for _, _, n in w) for w in windows) <= packing.LEAST_GAP * len(windows) + capacity
 
 
+def test_added_tokens_in_texts(spark):
+    bpe = Tokenizer.from_file(BPE)
+    texts = ["a<|endoftext|>b", "<|endoftext|><|endoftext|>", " <|endoftext|> x <|endoftext", "it's<|endoftext|>'s  ", "<|endoftext|>" + "word " * 100]
+    want = [bpe.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [tokens.encode(t, BPE) for t in texts] == want
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"]: r["n_tokens"] for r in tokens.lengths(docs, BPE).collect()} == {i: len(x) for i, x in enumerate(want)}
+    got = packing.pack(docs, BPE, capacity=64).toPandas()
+    for i, ids in enumerate(want):
+        for _, r in got[got["doc_id"] == i].iterrows():
+            part = np.array([*ids, 0][r["start"] : r["start"] + r["length"]], dtype="<u4")
+            assert (r["ids_crc32"], r["doc_tokens"]) == (zlib.crc32(part.tobytes()), len(ids) + 1)
+
+
+def naive_best_fit(sizes, capacity):
+    """Room of the tightest window that holds a piece, looked for in all of them."""
+    rooms, chosen = [], []
+    for n in sizes:
+        fitting = [room for room in rooms if room >= n]
+        chosen.append(min(fitting) if fitting else capacity)
+        if fitting:
+            rooms.remove(min(fitting))
+        rooms.append(chosen[-1] - n)
+    return chosen, sorted(rooms)
+
+
+def test_windows_are_the_tightest():
+    r = random.Random(4)
+    for capacity in (1, 7, 64, 1000):
+        sizes = sorted((r.randint(1, capacity) for _ in range(400)), reverse=True)
+        tree, chosen, rooms = packing.OpenWindows(capacity), [], {}
+        for i, n in enumerate(sizes):
+            w, left = tree.take(n) or (i, capacity)
+            chosen.append(left)
+            rooms[w] = left - n
+            tree.put(w, left - n)
+        want, want_rooms = naive_best_fit(sizes, capacity)
+        assert (chosen, sorted(rooms.values())) == (want, want_rooms)
+
+
 def test_length_table(odd, none):
     bpe = Tokenizer.from_file(BPE)
     n = np.array([len(bpe.encode(r[1] or "", add_special_tokens=False).ids) for r in odd_rows()])
