@@ -23,6 +23,8 @@ def _gnu(kind: str, short: str, version: str) -> list[str]:
         f"This work is licensed under the {full}, version {version}.",
         f"Licensed under the {full} v{version}.0.",
         f"Licensed under the {full} {version}.0.",
+        f"Licensed under the GNU {short} v{version}.",
+        f"Licensed under the GNU {short} version {version}.",
         f"Licensed under the {short} v{version}.",
         f"Licensed under the {short} version {version}.",
         f"Licensed under {short}v{version}.",
@@ -38,6 +40,7 @@ TEMPLATES = {
     "MIT": [
         "Released under the MIT License.",
         "Licensed under the MIT License.",
+        "Licensed under MIT.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the "
         "Software without restriction",
         "SPDX-License-Identifier: MIT",
@@ -108,6 +111,8 @@ ANCHOR = re.compile(r"licen[cs]|permission|redistribut|unencumbered|contributors
 TELLING = {"mit", "apache", "gnu", "general", "public", "lesser", "affero", "mozilla", "cc", "cc0", "by", "sa", "nc", "nd", "creative", "commons",
            "attribution", "sharealike", "noncommercial", "noderivatives", "version", "v", "bsd", "clause", "simplified", "isc", "unlicense", "zero", "mpl", "gpl",
            "lgpl", "agpl", "spdx"}
+#: Words that turn the notice after them into its opposite.
+DENIALS = {"not", "never", "longer"}
 WORDS = re.compile(r"[^\W_]+(?:\.[^\W_]+)*")
 LEVEL = 9
 #: Share of a template's words that may differ.
@@ -127,7 +132,8 @@ def _templates():
         for wording in wordings:
             words = words_of(wording)
             d = zstandard.ZstdCompressionDict(" ".join(words).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            out.append((name, words, zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)))
+            d.precompute_compress(level=LEVEL)
+            out.append((name, words, zstandard.ZstdCompressor(dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)))
     return out, zstandard.ZstdCompressor(level=LEVEL, write_content_size=False, write_checksum=False), max(len(w) for _, w, _ in out)
 
 
@@ -163,10 +169,10 @@ def tells(difference: str) -> bool:
 def notices(text: str | None) -> list[tuple[str, int, int, int, int, str]]:
     """Notices of a text: license, first and last word (end excluded), edits, bytes saved, differing words.
 
-    Blocks are the words around anchor words, merged where they overlap.  Every template is aligned word by word with a
-    block unless more of its words than may differ are not in the block at all; the one with the fewest edits, all
-    outside telling words, is confirmed.  The bytes saved are those by which its raw dictionary shrinks the compressed
-    block.  What stands before and after it is searched again, so a block may hold any number of notices.
+    Blocks are the words around anchor words, merged where they overlap.  Every stretch of a block is compressed with each
+    template as raw dictionary, and the templates are ranked by the bytes that this saves.  In that order they are
+    confirmed by their exact differences in words, see `_confirmed`.  What stands before and after a notice is searched
+    again, so a block may hold any number of them.
     """
     if not text or not ANCHOR.search(text):
         return []
@@ -183,44 +189,61 @@ def notices(text: str | None) -> list[tuple[str, int, int, int, int, str]]:
     out = []
     while blocks:
         a, b = blocks.pop()
-        if found := _confirmed(words[a:b], 2 * reach):
+        if found := _confirmed(words[a:b], 2 * reach, words[a - 1] if a else None):
             name, s, e, edits, saved, differ = found
             out.append((name, a + s, a + e, edits, saved, differ))
             blocks += [[a, a + s], [a + e, b]]
     return sorted(out, key=lambda x: x[1])
 
 
-def _confirmed(block: list[str], span: int):
-    """The best confirmed template of a block; a long block is taken in overlapping stretches."""
+def _confirmed(block: list[str], span: int, before: str | None):
+    """The best confirmed template of a block that follows the word `before`; a long block is taken in overlapping stretches.
+
+    The first template of a stretch's ranking that stands in it word for word wins.  Where none does, the ranking is gone
+    down to its end, so scattered words of other templates hide nothing: the fewest edits win, ties by rank.
+    """
     best = None
-    templates, plain, _ = _templates()
+    templates, _, _ = _templates()
     for at in range(0, max(1, len(block) - span // 2), span // 2):
         part = block[at : at + span]
         if not any(ANCHOR.search(w) for w in part):
             continue
-        has, size = Counter(part), None
-        for i, (name, template, c) in enumerate(templates):
+        has, ahead = Counter(part), block[at - 1] if at else before
+        for saved, i in _ranked(part):
+            name, template, _ = templates[i]
             most = int(MOST_EDITS * len(template))
+            # more words than may differ are not there at all
             if sum(n - has[w] for w, n in _counts(i) if has[w] < n) > most:
                 continue
-            if (found := _aligned(template, part, most)) is None:
+            if (found := _aligned(template, part, most, ahead)) is None:
                 continue
             edits, s, e, differ = found
-            key = (edits, -len(template), at + s, i)
+            key = (edits, -saved, at + s, i)
             if best is None or key < best[0]:
-                raw = " ".join(part).encode()
-                size = size if size is not None else len(plain.compress(raw))
-                best = key, (name, at + s, at + e, edits, size - len(c.compress(raw)), " ".join(differ))
+                best = key, (name, at + s, at + e, edits, saved, " ".join(differ))
+            if not edits:
+                break
     return best and best[1]
 
 
+def _ranked(part: list[str]) -> list[tuple[int, int]]:
+    """Bytes saved by each template as dictionary and its number, most bytes first."""
+    templates, plain, _ = _templates()
+    raw = " ".join(part).encode()
+    size = len(plain.compress(raw))
+    return sorted(((size - len(c.compress(raw)), i) for i, (_, _, c) in enumerate(templates)), key=lambda x: (-x[0], x[1]))
+
+
 @lru_cache(maxsize=None)
 def _counts(i: int) -> list[tuple[str, int]]:
     return list(Counter(_templates()[0][i][1]).items())
 
 
-def _aligned(template: list[str], part: list[str], most: int):
-    """The closest stretch within `most` edits that differs in no telling word; one that does is passed over."""
+def _aligned(template: list[str], part: list[str], most: int, ahead: str | None = None):
+    """The closest stretch within `most` edits that differs in no telling word and is not denied by the word before it.
+
+    Others are passed over; `ahead` is the word before the part.
+    """
     found, left = None, [(0, len(part))]
     while left:
         a, b = left.pop()
@@ -229,7 +252,8 @@ def _aligned(template: list[str], part: list[str], most: int):
         edits, s, e, differ = align(template, part[a:b])
         if edits > most:
             continue
-        if any(map(tells, differ)):
+        first = a + s
+        if any(map(tells, differ)) or (part[first - 1] if first else ahead) in DENIALS:
             left += [(a, a + s), (a + e, b)]
         elif found is None or (edits, a + s) < found[:2]:
             found = edits, a + s, a + e, differ
@@ -239,7 +263,7 @@ def _aligned(template: list[str], part: list[str], most: int):
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each notice: doc_id, notice (its number in the document), license, start_word, end_word, edits, saved_bytes, differences.
 
-    Documents without a notice have no row; null and empty texts have none; repeated rows are scanned each; an empty
+    Documents without a notice have no row; a notice right after "not", "never" or "longer" is none; null and empty texts have none; repeated rows are scanned each; an empty
     table gives an empty result.  Rows are handled one by one, so nothing is shuffled.
     """
 
