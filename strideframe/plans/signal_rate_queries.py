@@ -10,6 +10,15 @@ from strideframe.plans.registry import SIGNAL_CTE, query, rounded, signals, tabl
 from strideframe.sources.sinks import quality_metadata
 from strideframe.streaming import epoch_statistics
 
+#: m: the local maxima of every channel; i: its numbered samples.
+MAXIMA_CTE = f"""{SIGNAL_CTE}, i AS (SELECT channel, t, v, row_number() OVER (PARTITION BY channel ORDER BY t, sample) - 1 AS idx FROM s),
+c AS (SELECT *, sum(CASE WHEN v IS DISTINCT FROM p THEN 1 ELSE 0 END) OVER (PARTITION BY channel ORDER BY idx) AS run FROM (SELECT *, lag(v) OVER (PARTITION BY channel ORDER BY idx) AS p FROM i)),
+r AS (SELECT channel, run, any_value(v) AS v, (min(idx) + max(idx)) // 2 AS pos FROM c GROUP BY 1, 2),
+m AS (SELECT channel, v AS top, pos FROM (SELECT *, lag(v) OVER o AS a, lead(v) OVER o AS b FROM r WINDOW o AS (PARTITION BY channel ORDER BY run)) WHERE v > a AND v > b)"""
+#: d: the lowest sample between each maximum of m and the next higher sample, on both sides.
+PROMINENCE_CTE = """h AS (SELECT channel, pos, top, coalesce(max(CASE WHEN idx < pos AND v > top THEN idx END), -1) AS l, coalesce(min(CASE WHEN idx > pos AND v > top THEN idx END), 1000000000) AS r FROM m JOIN i USING (channel) GROUP BY 1, 2, 3),
+d AS (SELECT channel, pos, top, min(CASE WHEN idx > l AND idx <= pos THEN v END) AS ml, min(CASE WHEN idx < r AND idx >= pos THEN v END) AS mr FROM h JOIN i USING (channel) GROUP BY 1, 2, 3)"""
+
 
 @query("fourier_resample", f"""
 WITH {SIGNAL_CTE}, i AS (SELECT channel, entity, v, row_number() OVER (PARTITION BY entity, channel ORDER BY t, sample) - 1 AS i, count(*) OVER (PARTITION BY entity, channel) AS n,
@@ -24,7 +33,14 @@ def fourier_resample(spark, sf):
     return rounded(R.fourier_resample(signals(spark, sf), ["entity", "channel"], "t", 10 / 2592000.0, tie=["sample"]), 6, t=4)
 
 
-@query("polyphase_resample")
+@query("polyphase_resample", f"""
+WITH {SIGNAL_CTE}, i AS (SELECT channel, coalesce(v, 0) AS v, row_number() OVER (PARTITION BY channel ORDER BY t, sample) - 1 AS i, count(*) OVER (PARTITION BY channel) AS n FROM s),
+z AS (SELECT k.k AS k, pi() * (k.k - 50) / 5.0 AS a, 5.0 * sqrt(1 - ((k.k - 50) / 50.0) ** 2) AS z FROM range(0, 101) k(k)),
+b AS (SELECT k, any_value(a) AS a, sum((z / 2) ** (2 * m.m) / gamma(m.m + 1) ** 2) AS bessel FROM z, range(0, 40) m(m) GROUP BY k),
+w AS (SELECT k, CASE WHEN a = 0 THEN 1 ELSE sin(a) / a END * bessel AS w FROM b), h AS (SELECT k, 3 * w / sum(w) OVER () AS h FROM w),
+p AS (SELECT channel, v, i, j.j AS j FROM i, unnest(range(greatest(0, (3 * i - 46) // 5), least((3 * n + 4) // 5, (3 * i + 50) // 5 + 1))) j(j)),
+y AS (SELECT channel, j, sum(v * h) AS y FROM p JOIN h ON h.k = 5 * p.j - 3 * p.i + 50 GROUP BY 1, 2)
+SELECT channel, count(*) AS n, round(avg(y), 5) AS mean, round(max(y), 5) AS max FROM y GROUP BY channel""")
 def polyphase_resample(spark, sf):
     """Every channel to three fifths of its rate, summarised."""
     y = R.polyphase_resample(signals(spark, sf), ["channel"], "t", 3, 5, tie=["sample"])
@@ -66,19 +82,23 @@ def epoch_stats(spark, sf):
 
 
 @query("peaks", f"""
-WITH {SIGNAL_CTE}, i AS (SELECT channel, t, v, row_number() OVER (PARTITION BY channel ORDER BY t, sample) - 1 AS idx FROM s),
-c AS (SELECT *, sum(CASE WHEN v IS DISTINCT FROM p THEN 1 ELSE 0 END) OVER (PARTITION BY channel ORDER BY idx) AS run FROM (SELECT *, lag(v) OVER (PARTITION BY channel ORDER BY idx) AS p FROM i)),
-r AS (SELECT channel, run, any_value(v) AS v, (min(idx) + max(idx)) // 2 AS pos FROM c GROUP BY 1, 2),
-m AS (SELECT channel, v AS top, pos FROM (SELECT *, lag(v) OVER o AS a, lead(v) OVER o AS b FROM r WINDOW o AS (PARTITION BY channel ORDER BY run)) WHERE v > a AND v > b),
-h AS (SELECT channel, pos, top, coalesce(max(CASE WHEN idx < pos AND v > top THEN idx END), -1) AS l, coalesce(min(CASE WHEN idx > pos AND v > top THEN idx END), 1000000000) AS r FROM m JOIN i USING (channel) GROUP BY 1, 2, 3),
-d AS (SELECT channel, pos, top, min(CASE WHEN idx > l AND idx <= pos THEN v END) AS ml, min(CASE WHEN idx < r AND idx >= pos THEN v END) AS mr FROM h JOIN i USING (channel) GROUP BY 1, 2, 3)
+WITH {MAXIMA_CTE},
+{PROMINENCE_CTE}
 SELECT d.channel, pos AS idx, round(t, 6) AS t, v FROM d JOIN i ON i.channel = d.channel AND i.idx = pos WHERE top - greatest(ml, mr) >= 20""")
 def peaks(spark, sf):
     """Peaks of each channel by prominence alone."""
     return rounded(find_peaks(signals(spark, sf), ["channel"], "t", tie=["sample"], distance=1, prominence=20.0))
 
 
-@query("peaks_thinned")
+@query("peaks_thinned", f"""
+WITH RECURSIVE {MAXIMA_CTE},
+q AS (SELECT channel, pos, row_number() OVER (PARTITION BY channel ORDER BY top DESC, pos DESC) AS k FROM m),
+g(channel, k, kept) AS (SELECT DISTINCT channel, CAST(0 AS BIGINT), CAST([] AS BIGINT[]) FROM q UNION ALL
+  SELECT q.channel, q.k, CASE WHEN len(list_filter(g.kept, lambda x: abs(x - q.pos) < 25)) > 0 THEN g.kept ELSE list_append(g.kept, CAST(q.pos AS BIGINT)) END
+  FROM g JOIN q ON q.channel = g.channel AND q.k = g.k + 1),
+apart AS (SELECT channel, unnest(arg_max(kept, k)) AS pos FROM g GROUP BY channel),
+{PROMINENCE_CTE}
+SELECT channel, count(*) AS n_peaks, round(avg(top), 6) AS mean_height FROM d JOIN apart USING (channel, pos) WHERE top - greatest(ml, mr) >= 5 GROUP BY channel""")
 def peaks_thinned(spark, sf):
     """Peaks with a minimum distance as well, counted per channel."""
     p = find_peaks(signals(spark, sf), ["channel"], "t", tie=["sample"], distance=25, prominence=5.0)
