@@ -50,21 +50,33 @@ def _block_distances(ids: pd.Series, xs: pd.Series, labels: pd.Series, ys: pd.Se
     return pd.Series(out)
 
 
+def block_grid(packed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Two copies of a table of blocks numbered by ``_b``, whose join on (_row, _column) makes each pair of blocks meet once.
+
+    The cells of the grid are about as many as the blocks.  A left block goes along its row, a right one down its column,
+    so each is copied as often as the root of their number, and that is all that is shuffled.
+    """
+    side = F.ceil(F.sqrt(F.col("_b") + 1))
+    side = packed.agg(F.max(side).alias("m")).scalar()
+    own, every = F.col("_b") % side, F.explode(F.sequence(F.lit(0).cast("long"), side - 1))
+    left = packed.withColumn("_row", own).select("*", every.alias("_column"))
+    return left, packed.withColumn("_column", own).select("*", every.alias("_row"))
+
+
 def silhouette(labelled: DataFrame, idx: str, vector: str = "vector", cluster: str = "meta_cluster", block: int = BLOCK) -> DataFrame:
     """Mean Euclidean silhouette, NULL unless there are two clusters of at least two points each.
 
     The plain (not squared) Euclidean score needs every distance.  Points are packed into blocks of
-    bounded size and blocks meet pairwise; a task sees two blocks and returns one sum per point and
-    cluster, so distances are never emitted.  ``idx`` is a 0-based dense index.
+    bounded size, which meet pairwise on a square grid (`block_grid`); two blocks return one sum per
+    point and cluster, so distances are never emitted.  ``idx`` is a 0-based dense index.
     """
     rows = labelled.select(F.col(idx).cast("long").alias("_i"), F.col(vector).cast("array<double>").alias("_x"), F.col(cluster).cast("int").alias("_c"))
     packed = rows.withColumn("_b", F.floor(F.col("_i") / block)).groupBy("_b").agg(
         F.collect_list(F.struct("_i", "_x", "_c")).alias("_r")).select(
         "_b", F.transform("_r", lambda s: s["_i"]).alias("ids"), F.transform("_r", lambda s: s["_x"]).alias("xs"), F.transform("_r", lambda s: s["_c"]).alias("cs"))
-    last = packed.agg(F.max("_b").alias("m")).scalar()
-    left = packed.select("_b", "ids", "xs", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("_to"))
-    right = packed.select(F.col("_b").alias("_to"), "cs", F.col("xs").alias("ys"))
-    met = left.join(right, "_to").select(F.explode(_block_distances("ids", "xs", "cs", "ys")).alias("d"))
+    left, right = block_grid(packed)
+    met = left.drop("cs").join(right.select("_row", "_column", "cs", F.col("xs").alias("ys")), ["_row", "_column"]).select(
+        F.explode(_block_distances("ids", "xs", "cs", "ys")).alias("d"))
     sums = met.groupBy(F.col("d.i").alias("_i"), F.col("d.c").alias("_k")).agg(F.sum("d.s").alias("_s"), F.sum("d.n").alias("_n"))
     own = sums.join(rows.select("_i", "_c"), "_i").groupBy("_i").agg(
         F.max(F.when(F.col("_k") == F.col("_c"), F.when(F.col("_n") > 1, F.col("_s") / F.when(F.col("_n") > 1, F.col("_n") - 1)))).alias("a"),

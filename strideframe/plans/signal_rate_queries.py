@@ -66,9 +66,15 @@ def active_bursts(spark, sf):
 
 
 @query("quality_metadata", f"""
-WITH {SIGNAL_CTE}, c AS (SELECT entity, channel, round(max(t) - min(t), 3) AS d FROM s GROUP BY 1, 2) SELECT entity, count(*) AS n_channels, max(d) AS duration_s FROM c GROUP BY 1""")
+WITH {SIGNAL_CTE}, c AS (SELECT entity, channel, count(*) AS n, round(max(t) - min(t), 3) AS d, min(v) AS lo, max(v) AS hi, avg(v) AS mean, stddev_pop(v) AS std,
+  round(avg(CASE WHEN v IS NULL THEN 1.0 ELSE 0.0 END), 4) AS nan_ratio FROM s GROUP BY 1, 2)
+SELECT entity, count(*) OVER (PARTITION BY entity) AS n_channels, max(d) OVER (PARTITION BY entity) AS duration_s, channel AS name, n AS n_samples_actual, d AS channel_s, round(lo, 6) AS "min",
+  round(hi, 6) AS "max", round(mean, 6) AS mean, round(std, 6) AS std, nan_ratio FROM c""")
 def metadata(spark, sf):
-    return quality_metadata(signals(spark, sf), ["entity"]).select("entity", "n_channels", "duration_s")
+    """What the JSON record of each recording says about it and its channels."""
+    facts = "array<struct<name string, n_samples_actual bigint, duration_s double, min double, max double, mean double, std double, nan_ratio double>>"
+    out = quality_metadata(signals(spark, sf), ["entity"]).select("*", F.explode(F.from_json("channels", facts)).alias("x"))
+    return rounded(out.select("entity", "n_channels", "duration_s", "x.name", "x.n_samples_actual", F.col("x.duration_s").alias("channel_s"), "x.min", "x.max", "x.mean", "x.std", "x.nan_ratio"))
 
 
 @query("epoch_statistics", """

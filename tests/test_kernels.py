@@ -161,3 +161,12 @@ def test_kmeans_inertia_falls_with_k(spark):
     df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(rng.normal(size=(120, 4)))], "idx long, vector array<double>")
     curve = clusters.sweep_k(df, 2, 4, restarts=4).orderBy("k").toPandas()
     assert curve["inertia"].is_monotonic_decreasing and curve["silhouette"].between(-1, 1).all()
+
+
+def test_every_pair_of_blocks_meets_once_with_few_copies(spark):
+    for n in (1, 2, 9, 20):
+        left, right = clusters.block_grid(spark.range(n).withColumnRenamed("id", "_b"))
+        side = int(np.ceil(np.sqrt(n)))
+        assert {r["count"] for t in (left, right) for r in t.groupBy("_b").count().collect()} == {side}
+        met = left.withColumnRenamed("_b", "a").join(right.withColumnRenamed("_b", "b"), ["_row", "_column"]).select("a", "b").collect()
+        assert sorted(map(tuple, met)) == [(a, b) for a in range(n) for b in range(n)]
