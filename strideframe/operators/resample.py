@@ -11,74 +11,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strideframe.operators.fourier import TILE, fourier_sums
 from strideframe.operators.ordered import TARGET_ROWS, attach_totals, add_cell, row_index
 
-LOCAL_ROWS = 2_000_000
-BLOCK = 8_192
 
-
-def _periodic_kernel(j: np.ndarray, i: np.ndarray, n: int, m: int) -> np.ndarray:
-    """Weight of input sample i in output sample j when n samples are resampled to m through their spectrum."""
-    size = min(n, m)
-    top = (size - 1) // 2
-    turn = np.mod(j[:, None] * n - i[None, :] * m, n * m) / float(n * m)
-    half = np.pi * turn
-    s = np.sin(half)
-    flat = np.abs(s) < 1e-9
-    k = np.where(flat, 2 * top + 1, np.sin((2 * top + 1) * half) / np.where(flat, 1.0, s))
-    if size % 2 == 0:
-        k = k + (2.0 if m < n else 1.0) * np.cos(size * half)
-    return k / n
-
-
-def _by_spectrum(x: np.ndarray, m: int) -> np.ndarray:
-    n, size = len(x), min(len(x), m)
-    spec, out = np.fft.rfft(x), np.zeros(m // 2 + 1, complex)
-    keep = size // 2 + 1
-    out[:keep] = spec[:keep]
-    if size % 2 == 0 and m != n:
-        out[size // 2] *= 2.0 if m < n else 0.5
-    return np.fft.irfft(out, m) * (m / n)
-
-
-def fourier_resample(df: DataFrame, keys: Sequence[str], t: str, target_fs: float, v: str = "v", tie: Sequence[str] = (), local_rows: int = LOCAL_ROWS,
-                     block: int = BLOCK, target_rows: int = TARGET_ROWS) -> DataFrame:
+def fourier_resample(df: DataFrame, keys: Sequence[str], t: str, target_fs: float, v: str = "v", tie: Sequence[str] = (), tile: int = TILE,
+                     target_rows: int = TARGET_ROWS) -> DataFrame:
     """Spectral resampling to max(2, round(duration * fs)) samples on an end-inclusive time axis: keys, sample_idx, t, v.
 
-    Channels up to ``local_rows`` samples are transformed in one task.  For longer ones the same sum is
-    taken block by block: every (input block, output block) pair is a small matrix product, and partial
-    results add up per output sample.  Both give the same values.
+    Half the spectrum up to the smaller rate is taken and summed again at the new places, both in groups of at most
+    ``tile`` values (see `fourier`), whatever the channel's length.  NULL samples count as zero.
     """
     rows = row_index(df.select(*keys, t, *tie, v), keys, t, tie, target_rows, keep_cell=True)
     rows = attach_totals(rows, keys, {"_t0": ("min", F.col(t).cast("double")), "_t1": ("max", F.col(t).cast("double"))})
     rows = rows.withColumn("_m", F.when(F.col("n") < 2, F.col("n")).otherwise(F.greatest(F.lit(2), F.round((F.col("_t1") - F.col("_t0")) * target_fs))).cast("long"))
-    rows = rows.select(*keys, "idx", "n", "_m", "_t0", "_t1", F.coalesce(F.col(v).cast("double"), F.lit(0.0)).alias("_x"))
-    key_fields = [df.schema[c] for c in keys]
-    part = T.StructType([*key_fields, T.StructField("sample_idx", T.LongType()), T.StructField("_y", T.DoubleType()), T.StructField("_m", T.LongType()),
-                         T.StructField("_t0", T.DoubleType()), T.StructField("_t1", T.DoubleType())])
-
-    def local(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx")
-        m, x = int(pdf["_m"].iloc[0]), pdf["_x"].to_numpy()
-        y = x if len(x) < 2 else _by_spectrum(x, m)
-        return pd.DataFrame({**dict(zip(keys, key)), "sample_idx": np.arange(m), "_y": y, "_m": m, "_t0": pdf["_t0"].iloc[0], "_t1": pdf["_t1"].iloc[0]})
-
-    def tile(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        n, m, out = int(pdf["n"].iloc[0]), int(pdf["_m"].iloc[0]), int(key[-1])
-        j = np.arange(out * block, min((out + 1) * block, m))
-        y = np.zeros(len(j))
-        for lo in range(0, len(j), 256):
-            y[lo : lo + 256] = _periodic_kernel(j[lo : lo + 256], pdf["idx"].to_numpy(), n, m) @ pdf["_x"].to_numpy()
-        return pd.DataFrame({**dict(zip(keys, key)), "sample_idx": j, "_y": y, "_m": m, "_t0": pdf["_t0"].iloc[0], "_t1": pdf["_t1"].iloc[0]})
-
-    short = rows.where(F.col("n") <= local_rows).groupBy(*keys).applyInPandas(local, part)
-    long = rows.where(F.col("n") > local_rows).withColumn("_in", F.floor(F.col("idx") / block)).withColumn(
-        "_out", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_m") - 1) / block).cast("long"))))
-    tiled = long.groupBy(*keys, "_in", "_out").applyInPandas(tile, part)
-    summed = tiled.groupBy(*keys, "sample_idx", "_m", "_t0", "_t1").agg(F.sum("_y").alias("_y"))
-    both = short.unionByName(summed.select(*[f.name for f in part]))
+    carry = ["_n", "_m", "_t0", "_t1"]
+    size = F.least("_n", "_m")
+    top = F.floor(size / 2)
+    samples = rows.select(*keys, "idx", F.coalesce(F.col(v).cast("double"), F.lit(0.0)).alias("re"), F.lit(0.0).alias("im"), F.col("n").alias("_n"), "_m", "_t0", "_t1")
+    spectrum = fourier_sums(samples.select("*", F.col("_n").alias("period"), F.col("_n").alias("n_in"), (top + 1).alias("n_out")), keys, -1, carry, tile)
+    # a bin stands for itself and its mirror image, but the middle bin of an even spectrum that isn't cut stands alone
+    alone = (F.col("idx") == 0) | ((size % 2 == 0) & (F.col("idx") == top) & (F.col("_m") >= F.col("_n")))
+    weight = F.when(alone, 1.0).otherwise(2.0) / F.col("_n")
+    weighed = spectrum.select(*keys, "idx", (F.col("re") * weight).alias("re"), (F.col("im") * weight).alias("im"), *carry)
+    y = fourier_sums(weighed.select("*", F.col("_m").alias("period"), (top + 1).alias("n_in"), F.col("_m").alias("n_out")), keys, 1, carry, tile)
     step = (F.col("_t1") - F.col("_t0")) / F.greatest(F.col("_m") - 1, F.lit(1))
-    return both.select(*keys, "sample_idx", (F.col("_t0") + F.col("sample_idx") * step).alias("t"), F.col("_y").alias("v"))
+    return y.select(*keys, F.col("idx").alias("sample_idx"), (F.col("_t0") + F.col("idx") * step).alias("t"), F.col("re").alias("v"))
 
 
 def polyphase_resample(df: DataFrame, keys: Sequence[str], order: str, up: int, down: int, v: str = "v", tie: Sequence[str] = (), block: int = 65_536,

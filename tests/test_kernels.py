@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from strideframe.operators import clusters, factorize, filters, resample, similarity
+from strideframe.operators import clusters, factorize, filters, fourier, resample, similarity
 
 
 def recursive_filtfilt(x, b, a):
@@ -116,14 +116,42 @@ def test_factorization_returns_every_task(spark, block_rows):
         "big": ("ok", 2), "wide": ("ok", 2), "small": ("ok", 2), "ragged": ("failed", 0), "none": ("failed", 0), "inf": ("failed", 0)}
 
 
-@pytest.mark.parametrize("n,fs", [(50, 30.0), (51, 30.0), (40, 173.0), (41, 171.0), (40, 100.0)])
-def test_fourier_paths_agree(spark, n, fs):
-    rng = np.random.default_rng(n)
-    df = as_frame(spark, rng.normal(size=n))
-    one = resample.fourier_resample(df, ["k"], "t", fs).toPandas().sort_values("sample_idx")
-    many = resample.fourier_resample(df, ["k"], "t", fs, local_rows=1, block=16, target_rows=10).toPandas().sort_values("sample_idx")
-    assert len(one) == max(2, round((n - 1) / 100 * fs))
-    np.testing.assert_allclose(one["v"], many["v"], atol=1e-9)
+def by_spectrum(x, m):
+    """Resampling through the whole spectrum with the library's own transform of any length."""
+    n, size = len(x), min(len(x), m)
+    spec, out = np.fft.rfft(x), np.zeros(m // 2 + 1, complex)
+    out[: size // 2 + 1] = spec[: size // 2 + 1]
+    if size % 2 == 0 and m != n:
+        out[size // 2] *= 2.0 if m < n else 0.5
+    return np.fft.irfft(out, m) * (m / n)
+
+
+@pytest.mark.parametrize("fs,tile", [(30.0, 16), (171.0, 16), (100.0, 1 << 18), (77.0, 1 << 18)])
+def test_fourier_resample_equals_the_spectrum(spark, fs, tile):
+    rng = np.random.default_rng(9)
+    channels = {f"c{n}": rng.normal(size=n) for n in (1, 2, 40, 41, 50, 51, 211)}
+    df = spark.createDataFrame(pd.concat([pd.DataFrame({"k": k, "t": np.arange(len(x)) / 100.0, "v": x}) for k, x in channels.items()]))
+    got = resample.fourier_resample(df, ["k"], "t", fs, tile=tile, target_rows=100).toPandas().sort_values(["k", "sample_idx"])
+    for key, x in channels.items():
+        part = got[got["k"] == key]
+        m = max(2, int(np.floor((len(x) - 1) / 100 * fs + 0.5))) if len(x) > 1 else 1  # halves go up
+        assert list(part["sample_idx"]) == list(range(m))
+        np.testing.assert_allclose(part["v"], by_spectrum(x, m), atol=1e-10)
+        np.testing.assert_allclose(part["t"], np.linspace(0, (len(x) - 1) / 100, m), atol=1e-9)
+
+
+@pytest.mark.parametrize("n_in,n_out,period", [(1, 1, 1), (3, 200, 7), (97, 5, 11), (64, 64, 64)])
+def test_fourier_sums_of_any_period(spark, n_in, n_out, period):
+    rng = np.random.default_rng(n_out)
+    x = rng.normal(size=n_in) + 1j * rng.normal(size=n_in)
+    df = spark.createDataFrame(pd.DataFrame({"k": "a", "idx": np.arange(n_in), "re": x.real, "im": x.imag, "period": period, "n_in": n_in, "n_out": n_out}))
+    got = fourier.fourier_sums(df, ["k"], 1, tile=16).toPandas().sort_values("idx")
+    want = np.exp(2j * np.pi * np.outer(np.arange(n_out), np.arange(n_in)) / period) @ x
+    np.testing.assert_allclose(got["re"] + 1j * got["im"], want, atol=1e-9)
+
+
+def test_fourier_of_nothing(spark):
+    assert resample.fourier_resample(as_frame(spark, np.zeros(3)).where("false"), ["k"], "t", 10.0).count() == 0
 
 
 def test_fourier_keeps_a_tone(spark):
