@@ -1,5 +1,6 @@
 """Tests and corrections on hand-worked input."""
 
+import hashlib
 import math
 
 import numpy as np
@@ -56,15 +57,28 @@ def test_wilcoxon_exact_small(spark):
     assert got["exact"] and got["w_plus"] == 15 and abs(got["p_wilcoxon"] - 2 / 32) < 1e-12
 
 
-def test_permutation_paths_agree(spark):
+@pytest.mark.parametrize("size", [3, 60, 900])
+def test_permutation_equals_sorting_all_hashes(spark, size):
     rng = np.random.default_rng(2)
-    rows = [("g", i, s, [float(x) for x in rng.normal(0.4 * (s == "T1"), 1, 3)]) for s in ("T0", "T1") for i in range(60)]
-    rows += [("tiny", 1, "T0", [1.0, 2.0, 3.0]), ("tiny", 1, "T1", [1.0, 2.0, 3.0])]
+    rows = [("g", i, s, [float(x) for x in rng.normal(0.4 * (s == "T1") / size**0.5, 1, 3)]) for s in ("T0", "T1") for i in range(size + (s == "T1"))]
+    rows += [("tiny", 1, "T0", [1.0, 2.0, 3.0]), ("tiny", 1, "T1", [1.0, 2.0, 3.0]), ("left", 1, "T0", [1.0, 2.0, 3.0]), ("g", 1, "T9", [9.0, 9.0, 9.0])]
     df = spark.createDataFrame(rows, "k string, u int, s string, y array<double>")
-    a = permutation.permutation_test(df, ["k"], "u", "s", "y", 3, 50).orderBy("k").toPandas()
-    b = permutation.permutation_test(df, ["k"], "u", "s", "y", 3, 50, small=10).orderBy("k").toPandas()
-    pd.testing.assert_frame_equal(a, b)
-    assert a.loc[1, "p_value"] == 1.0 and 0 < a.loc[0, "p_value"] <= 1
+    got = permutation.permutation_test(df, ["k"], "u", "s", "y", 3, 50).toPandas().set_index("k")
+    own = [r for r in rows if r[0] == "g" and r[2] != "T9"]
+    y, first = np.array([r[3] for r in own]), np.array([r[2] == "T0" for r in own])
+
+    def stat(chosen):
+        return np.abs(y[chosen].mean(0) - y[~chosen].mean(0)).mean()
+
+    reached = 0
+    for perm in range(1, 51):
+        order = np.argsort([hashlib.md5(f"{perm}:{u}:{s}".encode()).hexdigest() for _, u, s, _ in own])
+        chosen = np.zeros(len(own), bool)
+        chosen[order[: first.sum()]] = True
+        reached += stat(chosen) >= stat(first) * (1 - 1e-9)
+    assert abs(got.loc["g", "stat_observed"] - stat(first)) < 1e-12
+    assert abs(got.loc["g", "p_value"] - (1 + reached) / 51) < 1e-12
+    assert got.loc["tiny", "p_value"] == 1.0 and pd.isna(got.loc["left", "p_value"])
 
 
 def test_dispatch_and_labels(spark):
