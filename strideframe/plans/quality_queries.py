@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from strideframe.fixed import ENVELOPE_BAND, SMOOTH_HZ
 from strideframe.operators import coordination as C
 from strideframe.operators import filters as L
 from strideframe.operators import qc as Q
@@ -130,7 +131,39 @@ def cycle_stability(spark, sf):
     return rounded(C.stability(event_grid(spark, sf), ["channel"], ["entity"], 101))
 
 
-@query("filtered_channels")
+def _pass_sql(name: str, source: str, b: list[float], a: list[float]) -> str:
+    """The difference equation of one filter over ``source`` (channel, i, x), row after row, as if the first value had always stood there."""
+    back = [f"coalesce(lag(x, {k}) OVER w, first_value(x) OVER w)" if k else "x" for k in range(len(b))]
+    order = len(a) - 1
+    return f"""{name}_u AS MATERIALIZED (SELECT channel, i, {" + ".join(f"{c!r} * {x}" for c, x in zip(b, back))} AS u, {sum(b) / sum(a)!r} * first_value(x) OVER w AS y0
+  FROM {source} WINDOW w AS (PARTITION BY channel ORDER BY i)),
+{name}_r(channel, i, h) AS (SELECT channel, CAST(-1 AS BIGINT), [{", ".join(["y0"] * order)}] FROM {name}_u WHERE i = 0
+  UNION ALL SELECT r.channel, r.i + 1, [u.u - ({" + ".join(f"{c!r} * r.h[{k}]" for k, c in enumerate(a[1:], 1))}){"".join(f", r.h[{k}]" for k in range(1, order))}]
+  FROM {name}_r r JOIN {name}_u u ON u.channel = r.channel AND u.i = r.i + 1),
+{name} AS (SELECT channel, max(i) OVER (PARTITION BY channel) - i AS i, h[1] AS x FROM {name}_r WHERE i >= 0)"""
+
+
+def _zero_phase_sql(name: str, source: str, cut_hz: list[float], fs: float) -> str:
+    """Forward and backward passes over the oddly extended channel; every pass turns the order of rows around."""
+    b, a = ([float(c) for c in x] for x in L._transfer(4, cut_hz, fs))
+    pad = 3 * max(len(a), len(b))
+    return f"""{name}_s AS (SELECT channel, max(i) AS last, arg_min(x, i) AS x0, arg_max(x, i) AS x1 FROM {source} GROUP BY 1),
+{name}_e AS (SELECT channel, i + {pad} AS i, x FROM {source}
+  UNION ALL SELECT channel, {pad} - i, 2 * x0 - x FROM {source} JOIN {name}_s USING (channel) WHERE i BETWEEN 1 AND {pad}
+  UNION ALL SELECT channel, {pad} + 2 * last - i, 2 * x1 - x FROM {source} JOIN {name}_s USING (channel) WHERE i BETWEEN last - {pad} AND last - 1),
+{_pass_sql(f"{name}_f", f"{name}_e", b, a)}, {_pass_sql(f"{name}_b", f"{name}_f", b, a)},
+{name} AS (SELECT channel, i - {pad} AS i, x FROM {name}_b JOIN {name}_s USING (channel) WHERE i BETWEEN {pad} AND {pad} + last)"""
+
+
+_HZ = 150.0
+_BAND = [max(1.0, ENVELOPE_BAND[0]), min(ENVELOPE_BAND[1], _HZ / 2 * 0.99)]
+
+
+@query("filtered_channels", f"""
+WITH RECURSIVE {SIGNAL_CTE}, x AS (SELECT channel, row_number() OVER (PARTITION BY channel ORDER BY t, sample) - 1 AS i, coalesce(v, 0) AS x FROM s),
+{_zero_phase_sql("band", "x", _BAND, _HZ)}, rectified AS (SELECT channel, i, abs(x) AS x FROM band),
+{_zero_phase_sql("smooth", "rectified", [SMOOTH_HZ], _HZ)}
+SELECT channel, 'ok' AS status, count(*) AS n, round(avg(greatest(x, 0)), 6) AS mean_envelope, round(max(greatest(x, 0)), 6) AS peak_envelope FROM smooth GROUP BY channel""")
 def filtered_channels(spark, sf):
     """Band-pass, rectify and envelope of each event channel at a nominal 150 Hz, summarised per channel."""
     y = L.filter_channels(signals(spark, sf), ["channel"], "t", L.envelope(150.0), tie=["sample"])
