@@ -44,9 +44,63 @@ def channel_qc_time(spark, sf):
     return rounded(supplier_qc(spark, sf), 4)
 
 
-@query("channel_qc_full")
+def _pass_sql(name: str, source: str, b: list[float], a: list[float]) -> str:
+    """The difference equation of one filter over ``source`` (channel, i, x), row after row, as if the first value had always stood there."""
+    back = [f"coalesce(lag(x, {k}) OVER w, first_value(x) OVER w)" if k else "x" for k in range(len(b))]
+    order = len(a) - 1
+    return f"""{name}_u AS MATERIALIZED (SELECT channel, i, {" + ".join(f"{c!r} * {x}" for c, x in zip(b, back))} AS u, {sum(b) / sum(a)!r} * first_value(x) OVER w AS y0
+  FROM {source} WINDOW w AS (PARTITION BY channel ORDER BY i)),
+{name}_r(channel, i, h) AS (SELECT channel, CAST(-1 AS BIGINT), [{", ".join(["y0"] * order)}] FROM {name}_u WHERE i = 0
+  UNION ALL SELECT r.channel, r.i + 1, [u.u - ({" + ".join(f"{c!r} * r.h[{k}]" for k, c in enumerate(a[1:], 1))}){"".join(f", r.h[{k}]" for k in range(1, order))}]
+  FROM {name}_r r JOIN {name}_u u ON u.channel = r.channel AND u.i = r.i + 1),
+{name} AS (SELECT channel, max(i) OVER (PARTITION BY channel) - i AS i, h[1] AS x FROM {name}_r WHERE i >= 0)"""
+
+
+def _zero_phase_sql(name: str, source: str, cut_hz: list[float], fs: float) -> str:
+    """Forward and backward passes over the oddly extended channel; every pass turns the order of rows around."""
+    b, a = ([float(c) for c in x] for x in L._transfer(4, cut_hz, fs))
+    pad = 3 * max(len(a), len(b))
+    return f"""{name}_s AS (SELECT channel, max(i) AS last, arg_min(x, i) AS x0, arg_max(x, i) AS x1 FROM {source} GROUP BY 1),
+{name}_e AS (SELECT channel, i + {pad} AS i, x FROM {source}
+  UNION ALL SELECT channel, {pad} - i, 2 * x0 - x FROM {source} JOIN {name}_s USING (channel) WHERE i BETWEEN 1 AND {pad}
+  UNION ALL SELECT channel, {pad} + 2 * last - i, 2 * x1 - x FROM {source} JOIN {name}_s USING (channel) WHERE i BETWEEN last - {pad} AND last - 1),
+{_pass_sql(f"{name}_f", f"{name}_e", b, a)}, {_pass_sql(f"{name}_b", f"{name}_f", b, a)},
+{name} AS (SELECT channel, i - {pad} AS i, x FROM {name}_b JOIN {name}_s USING (channel) WHERE i BETWEEN {pad} AND {pad} + last)"""
+
+
+def _band_sql(name: str, low: float, high: float) -> str:
+    """Trapezoids between neighbouring bins that both lie in a band; NULL when it holds no bin."""
+    return f"CASE WHEN count(*) FILTER (freq BETWEEN {low} AND {high}) > 0 THEN coalesce(sum(area) FILTER (freq BETWEEN {low} AND {high} AND pf >= {low}), 0) END AS {name}"
+
+
+_MOMENTS = ["signal_mean", "signal_std", "signal_min", "signal_max", "rms"]
+
+
+@query("channel_qc_full", f"""
+WITH RECURSIVE {_QC}, c AS (SELECT l_suppkey AS channel, i - 1 AS i, v AS x FROM x),
+{_zero_phase_sql("trend", "c", [Q.DRIFT_HZ], 150.0)}, tr AS (SELECT channel, sqrt(avg(x * x)) AS trend FROM trend GROUP BY 1),
+np AS (SELECT *, least(n, 300) AS nper FROM (SELECT *, count(*) OVER (PARTITION BY channel) AS n FROM c) WHERE n >= 50),
+sg AS (SELECT channel, n, nper, w.w AS seg, i - w.w * (nper - nper // 2) AS j, x FROM np, unnest(range(CAST(greatest(ceil((i - nper + 1) / (nper - nper // 2)), 0) AS BIGINT),
+  CAST(least(i // (nper - nper // 2), (n - nper) // (nper - nper // 2)) AS BIGINT) + 1)) w(w)),
+hx AS (SELECT channel, seg, nper, j, (x - avg(x) OVER (PARTITION BY channel, seg)) * (0.5 - 0.5 * cos(2 * pi() * j / nper)) AS x, pow(0.5 - 0.5 * cos(2 * pi() * j / nper), 2) AS w2 FROM sg),
+hb AS (SELECT hx.*, b.b AS bin FROM hx, unnest(range(0, nper // 2 + 1)) b(b)),
+pp AS (SELECT channel, seg, nper, bin, (pow(sum(x * cos(2 * pi() * ((bin * j) % nper) / nper)), 2) + pow(sum(x * sin(2 * pi() * ((bin * j) % nper) / nper)), 2)) / sum(w2)
+  * CASE WHEN bin = 0 OR 2 * bin = nper THEN 1 ELSE 2 END AS p FROM hb GROUP BY channel, seg, nper, bin),
+psd AS (SELECT channel, bin, bin * 150.0::DOUBLE / nper AS freq, avg(p) / 150 AS power FROM pp GROUP BY channel, bin, nper),
+ar AS (SELECT channel, freq, lag(freq) OVER o AS pf, (freq - lag(freq) OVER o) * (power + lag(power) OVER o) / 2 AS area FROM psd WINDOW o AS (PARTITION BY channel ORDER BY bin)),
+bp AS (SELECT channel, {_band_sql("emg", 20, 71.25)}, {_band_sql("motion", 1, 20)}, {_band_sql("line", 49, 51)} FROM ar GROUP BY 1),
+r AS (SELECT q.*, CASE WHEN n_samples >= 50 THEN trend / rms END AS drift_ratio, motion / CASE WHEN coalesce(emg, 0) <= 0 THEN 1e-30 ELSE emg END AS motion_artifact_ratio,
+  line / CASE WHEN coalesce(emg, 0) <= 0 THEN 1e-30 ELSE emg END AS line_noise_ratio FROM q LEFT JOIN tr ON tr.channel = l_suppkey LEFT JOIN bp ON bp.channel = l_suppkey),
+p AS (SELECT *, CAST(CASE WHEN offset_ratio > 0.1 THEN 1 ELSE 0 END + CASE WHEN clipping_fraction > 0.01 THEN 2 ELSE 0 END + CASE WHEN flatline_fraction > 0.05 THEN 2 ELSE 0 END
+  + CASE WHEN rms < 1e-9 THEN 2 ELSE 0 END + CASE WHEN drift_ratio > 0.2 THEN 1 ELSE 0 END + CASE WHEN motion_artifact_ratio > 0.3 THEN 1 ELSE 0 END
+  + CASE WHEN line_noise_ratio > 0.2 THEN 1 ELSE 0 END AS INTEGER) AS score FROM r)
+SELECT l_suppkey, n_samples, round(n_samples / 150.0::DOUBLE, 6) AS duration_s, CAST(150 AS DOUBLE) AS fs, {", ".join(f"round({c}, 4) AS {c}" for c in _MOMENTS)},
+  {", ".join(f"round({c}, 6) AS {c}" for c in ("offset_ratio", "clipping_fraction", "flatline_fraction", "drift_ratio", "motion_artifact_ratio", "line_noise_ratio"))},
+  score AS qc_score, CASE WHEN n_samples < 50 THEN 'too_short' WHEN score >= 4 THEN 'bad' WHEN score >= 2 THEN 'warning' ELSE 'ok' END AS qc_flag FROM p""")
 def channel_qc_full(spark, sf):
-    return rounded(Q.channel_qc(supplier_samples(spark, sf), ["l_suppkey"], "t", "v", ["l_orderkey", "l_linenumber", "v"], fs=150.0), 6)
+    """All seven quality rules of each supplier's prices, taken as samples at 150 Hz."""
+    qc = Q.channel_qc(supplier_samples(spark, sf), ["l_suppkey"], "t", "v", ["l_orderkey", "l_linenumber", "v"], fs=150.0)
+    return rounded(qc, 6, **dict.fromkeys(_MOMENTS, 4))
 
 
 @query("qc_summary", f"""
@@ -131,30 +185,6 @@ def cycle_stability(spark, sf):
     return rounded(C.stability(event_grid(spark, sf), ["channel"], ["entity"], 101))
 
 
-def _pass_sql(name: str, source: str, b: list[float], a: list[float]) -> str:
-    """The difference equation of one filter over ``source`` (channel, i, x), row after row, as if the first value had always stood there."""
-    back = [f"coalesce(lag(x, {k}) OVER w, first_value(x) OVER w)" if k else "x" for k in range(len(b))]
-    order = len(a) - 1
-    return f"""{name}_u AS MATERIALIZED (SELECT channel, i, {" + ".join(f"{c!r} * {x}" for c, x in zip(b, back))} AS u, {sum(b) / sum(a)!r} * first_value(x) OVER w AS y0
-  FROM {source} WINDOW w AS (PARTITION BY channel ORDER BY i)),
-{name}_r(channel, i, h) AS (SELECT channel, CAST(-1 AS BIGINT), [{", ".join(["y0"] * order)}] FROM {name}_u WHERE i = 0
-  UNION ALL SELECT r.channel, r.i + 1, [u.u - ({" + ".join(f"{c!r} * r.h[{k}]" for k, c in enumerate(a[1:], 1))}){"".join(f", r.h[{k}]" for k in range(1, order))}]
-  FROM {name}_r r JOIN {name}_u u ON u.channel = r.channel AND u.i = r.i + 1),
-{name} AS (SELECT channel, max(i) OVER (PARTITION BY channel) - i AS i, h[1] AS x FROM {name}_r WHERE i >= 0)"""
-
-
-def _zero_phase_sql(name: str, source: str, cut_hz: list[float], fs: float) -> str:
-    """Forward and backward passes over the oddly extended channel; every pass turns the order of rows around."""
-    b, a = ([float(c) for c in x] for x in L._transfer(4, cut_hz, fs))
-    pad = 3 * max(len(a), len(b))
-    return f"""{name}_s AS (SELECT channel, max(i) AS last, arg_min(x, i) AS x0, arg_max(x, i) AS x1 FROM {source} GROUP BY 1),
-{name}_e AS (SELECT channel, i + {pad} AS i, x FROM {source}
-  UNION ALL SELECT channel, {pad} - i, 2 * x0 - x FROM {source} JOIN {name}_s USING (channel) WHERE i BETWEEN 1 AND {pad}
-  UNION ALL SELECT channel, {pad} + 2 * last - i, 2 * x1 - x FROM {source} JOIN {name}_s USING (channel) WHERE i BETWEEN last - {pad} AND last - 1),
-{_pass_sql(f"{name}_f", f"{name}_e", b, a)}, {_pass_sql(f"{name}_b", f"{name}_f", b, a)},
-{name} AS (SELECT channel, i - {pad} AS i, x FROM {name}_b JOIN {name}_s USING (channel) WHERE i BETWEEN {pad} AND {pad} + last)"""
-
-
 _HZ = 150.0
 _BAND = [max(1.0, ENVELOPE_BAND[0]), min(ENVELOPE_BAND[1], _HZ / 2 * 0.99)]
 
