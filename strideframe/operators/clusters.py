@@ -5,17 +5,20 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from strideframe.operators.ordered import row_index
 from strideframe.operators.similarity import unit
+from strideframe.session import stage
 
-BLOCK = 1024
+#: Points of a class, and those compared at once.
+BLOCK, TILE = 16_384, 1024
 
 
 def fit_clusters(vectors: DataFrame, k: int, vector: str = "vector", weight: str | None = None, restarts: int = 10, seed: int = 42,
@@ -34,20 +37,41 @@ def fit_clusters(vectors: DataFrame, k: int, vector: str = "vector", weight: str
     return best.transform(data).drop("_x"), centres.withColumn("vector", unit(F.col("vector"))), float(best.summary.trainingCost)
 
 
-_PARTIAL = T.ArrayType(T.StructType([
-    T.StructField("i", T.LongType()), T.StructField("c", T.IntegerType()), T.StructField("s", T.DoubleType()), T.StructField("n", T.LongType())]))
 
-
-@F.pandas_udf(_PARTIAL)
-def _block_distances(ids: pd.Series, xs: pd.Series, labels: pd.Series, ys: pd.Series) -> pd.Series:
-    """Per point of one block: sum of distances to, and count of, each cluster of another block."""
-    out = []
-    for i, x, c, y in zip(ids, xs, labels, ys):
-        a, b, c = np.stack(list(x)), np.stack(list(y)), np.asarray(c)
-        d = np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T, 0.0))
-        found = np.unique(c)
-        out.append([{"i": int(p), "c": int(k), "s": float(d[r, c == k].sum()), "n": int((c == k).sum())} for r, p in enumerate(i) for k in found])
-    return pd.Series(out)
+def _cell_sums(key: tuple, rows: pa.Table) -> pa.Table:
+    """Weighted sums of distances from each point of a cell's two classes to every cluster of the other class."""
+    own, ids, w = (rows[c].to_numpy() for c in ("_own", "_i", "_w"))
+    x = pc.list_flatten(rows["_x"]).to_numpy().reshape(len(ids), -1)
+    c = pc.list_flatten(rows["_c"]).to_numpy().reshape(len(ids), -1)
+    a, b = (np.flatnonzero(own == k.as_py()) for k in key)
+    same = key[0].as_py() == key[1].as_py()
+
+    def marks(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The set and the number of each cluster, and a row of weights for each point."""
+        found = [np.unique(c[at, j], return_inverse=True) for j in range(c.shape[1])]
+        which = np.concatenate([np.full(len(k), j) for j, (k, _) in enumerate(found)])
+        return which, np.concatenate([k for k, _ in found]), np.hstack([(inv[:, None] == np.arange(len(k))) * w[at][:, None].astype(float) for k, inv in found])
+
+    (set_a, k_a, m_a), (set_b, k_b, m_b) = marks(a), marks(b)
+    sum_a, sum_b = np.zeros((len(a), len(k_b))), np.zeros((len(b), len(k_a)))
+    square = np.einsum("ij,ij->i", x, x)
+    for p in range(0, len(a), TILE):
+        for q in range(0, len(b), TILE):
+            i, j = a[p : p + TILE], b[q : q + TILE]
+            d = x[i] @ x[j].T
+            d *= -2
+            d += square[i][:, None]
+            d += square[j][None]
+            np.sqrt(np.maximum(d, 0.0, out=d), out=d)
+            if same and p == q:
+                np.fill_diagonal(d, 0.0)
+            sum_a[p : p + TILE] += d @ m_b[q : q + TILE]
+            if not same:
+                sum_b[q : q + TILE] += d.T @ m_a[p : p + TILE]
+    sides = [(a, set_b, k_b, sum_a)] + ([] if same else [(b, set_a, k_a, sum_b)])
+    out = [(np.repeat(ids[at], len(k)), np.tile(which, len(at)), np.tile(k, len(at)), sums.ravel()) for at, which, k, sums in sides]
+    i, which, k, total = (np.concatenate(part) for part in zip(*out))
+    return pa.table({"i": i.astype(np.int64), "j": which.astype(np.int32), "k": k.astype(np.int32), "s": total})
 
 
 def block_grid(packed: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -63,40 +87,50 @@ def block_grid(packed: DataFrame) -> tuple[DataFrame, DataFrame]:
     return left, packed.withColumn("_column", own).select("*", every.alias("_row"))
 
 
-def silhouette(labelled: DataFrame, idx: str, vector: str = "vector", cluster: str = "meta_cluster", block: int = BLOCK) -> DataFrame:
-    """Mean Euclidean silhouette, NULL unless there are two clusters of at least two points each.
+def silhouettes(labelled: DataFrame, idx: str, vector: str, clusters: Sequence[str], block: int = BLOCK) -> DataFrame:
+    """Mean Euclidean silhouette of each column of cluster numbers, in one row with those columns.
 
-    The plain (not squared) Euclidean score needs every distance.  Points are packed into blocks of
-    bounded size, which meet pairwise on a square grid (`block_grid`); two blocks return one sum per
-    point and cluster, so distances are never emitted.  ``idx`` is a 0-based dense index.
+    NULL unless there are two clusters of at least two points each.  The plain (not squared) Euclidean score needs every
+    distance, and each is taken once, for all columns and for both of its points.  Points with equal vectors and labels
+    are one point with their number as weight.  Points are dealt to classes of at most ``block``; each two classes meet in
+    a cell, which returns one sum per point and cluster, so distances are never emitted.
     """
-    rows = labelled.select(F.col(idx).cast("long").alias("_i"), F.col(vector).cast("array<double>").alias("_x"), F.col(cluster).cast("int").alias("_c"))
-    packed = rows.withColumn("_b", F.floor(F.col("_i") / block)).groupBy("_b").agg(
-        F.collect_list(F.struct("_i", "_x", "_c")).alias("_r")).select(
-        "_b", F.transform("_r", lambda s: s["_i"]).alias("ids"), F.transform("_r", lambda s: s["_x"]).alias("xs"), F.transform("_r", lambda s: s["_c"]).alias("cs"))
-    left, right = block_grid(packed)
-    met = left.drop("cs").join(right.select("_row", "_column", "cs", F.col("xs").alias("ys")), ["_row", "_column"]).select(
-        F.explode(_block_distances("ids", "xs", "cs", "ys")).alias("d"))
-    sums = met.groupBy(F.col("d.i").alias("_i"), F.col("d.c").alias("_k")).agg(F.sum("d.s").alias("_s"), F.sum("d.n").alias("_n"))
-    own = sums.join(rows.select("_i", "_c"), "_i").groupBy("_i").agg(
-        F.max(F.when(F.col("_k") == F.col("_c"), F.when(F.col("_n") > 1, F.col("_s") / F.when(F.col("_n") > 1, F.col("_n") - 1)))).alias("a"),
-        F.min(F.when(F.col("_k") != F.col("_c"), F.col("_s") / F.col("_n"))).alias("b"))
+    rows = labelled.select(F.col(idx).cast("long").alias("_i"), F.col(vector).cast("array<double>").alias("_x"), F.array(*[F.col(c).cast("int") for c in clusters]).alias("_c"))
+    merged = rows.groupBy("_x", "_c").agg(F.min("_i").alias("_first"), F.count(F.lit(1)).alias("_w")).withColumn("_set", F.lit(0))
+    points = stage(row_index(merged, ["_set"], "_first").select(F.col("idx").alias("_i"), "_x", "_c", "_w"))
+    classes = max(1, -(-points.count() // block))
+    sizes = points.select("_w", F.posexplode("_c").alias("j", "k")).groupBy("j", "k").agg(F.sum("_w").alias("_n"))
+    other = points.withColumn("_own", F.col("_i") % classes).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(classes - 1).cast("long"))))
+    cells = other.select(F.least("_own", "_other").alias("_a"), F.greatest("_own", "_other").alias("_b"), "_own", "_i", "_x", "_c", "_w")
+    cells = cells.repartition(classes * (classes + 1) // 2, "_a", "_b") if classes > 1 else cells
+    met = cells.groupBy("_a", "_b").applyInArrow(_cell_sums, "i long, j int, k int, s double")
+    sums = met.groupBy("i", "j", "k").agg(F.sum("s").alias("_s")).join(sizes, ["j", "k"]).join(points.select(F.col("_i").alias("i"), "_c", "_w"), "i")
+    inside = F.col("k") == F.get("_c", F.col("j"))
+    own = sums.groupBy("i", "j").agg(
+        F.max(F.when(inside & (F.col("_n") > 1), F.col("_s") / F.when(F.col("_n") > 1, F.col("_n") - 1))).alias("a"),
+        F.min(F.when(~inside, F.col("_s") / F.col("_n"))).alias("b"), F.first("_w").alias("_w"))
     top = F.greatest("a", "b")
     score = F.when(F.col("a").isNull(), 0.0).otherwise(F.coalesce((F.col("b") - F.col("a")) / F.when(top > 0, top), F.lit(0.0)))
-    sizes = rows.groupBy("_c").agg(F.count(F.lit(1)).alias("n")).agg(F.min("n").alias("lo"), F.count(F.lit(1)).alias("k")).select(
-        ((F.col("lo") >= 2) & (F.col("k") >= 2)).alias("ok")).scalar()
-    return own.agg(F.when(sizes, F.avg(score)).alias("silhouette"))
+    means = own.groupBy("j").agg((F.sum(score * F.col("_w")) / F.sum("_w")).alias("mean"))
+    enough = sizes.groupBy("j").agg(((F.min("_n") >= 2) & (F.count(F.lit(1)) >= 2)).alias("ok"))
+    return means.join(enough, "j").agg(*[F.max(F.when((F.col("j") == j) & F.col("ok"), F.col("mean"))).alias(c) for j, c in enumerate(clusters)])
+
+
+def silhouette(labelled: DataFrame, idx: str, vector: str = "vector", cluster: str = "meta_cluster", block: int = BLOCK) -> DataFrame:
+    """`silhouettes` of one column, named silhouette."""
+    return silhouettes(labelled, idx, vector, [cluster], block).select(F.col(cluster).alias("silhouette"))
 
 
 def sweep_k(vectors: DataFrame, k_min: int = 2, k_max: int = 8, vector: str = "vector", idx: str = "idx", restarts: int = 10,
             seed: int = 42) -> DataFrame:
-    """Inertia and silhouette for each K."""
-    out = None
-    for k in range(k_min, k_max + 1):
-        labelled, _, inertia = fit_clusters(vectors, k, vector, None, restarts, seed)
-        row = silhouette(labelled, idx, vector).select(F.lit(k).alias("k"), F.lit(inertia).alias("inertia"), "silhouette")
-        out = row if out is None else out.unionByName(row)
-    return out
+    """Inertia and silhouette for each K; the distances are taken once for all."""
+    labelled, inertias, ks = vectors, [], list(range(k_min, k_max + 1))
+    for k in ks:
+        fitted, _, inertia = fit_clusters(labelled, k, vector, None, restarts, seed)
+        labelled = fitted.withColumnRenamed("meta_cluster", f"_k{k}")
+        inertias.append(inertia)
+    scores = silhouettes(labelled, idx, vector, [f"_k{k}" for k in ks])
+    return scores.select(F.inline(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(i).alias("inertia"), F.col(f"_k{k}").alias("silhouette")) for k, i in zip(ks, inertias)])))
 
 
 def elbow(curve: DataFrame, keys: Sequence[str] = (), k: str = "k", inertia: str = "inertia") -> DataFrame:

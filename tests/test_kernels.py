@@ -184,6 +184,23 @@ def test_silhouette_matches_definition(spark):
     assert abs(got - ((b - a) / np.maximum(a, b)).mean()) < 1e-9
 
 
+def test_silhouettes_of_several_columns_merge_copies(spark):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(40, 3))[rng.integers(0, 40, 90)]
+    one, two = rng.integers(0, 3, 90), rng.integers(0, 2, 90)
+    two[0] = 5  # a cluster of one point: no score
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    means = np.array([[d[i, (one == k) & (np.arange(90) != i)].mean() for k in range(3)] for i in range(90)])
+    a = means[np.arange(90), one]
+    b = np.where(one[:, None] == np.arange(3), np.inf, means).min(1)
+    rows = [(i, [float(v) for v in r], int(p), int(q)) for i, (r, p, q) in enumerate(zip(x, one, two))]
+    df = spark.createDataFrame(rows, "idx long, vector array<double>, one int, two int")
+    for block in (7, 1000):
+        got = clusters.silhouettes(df, "idx", "vector", ["one", "two"], block).collect()
+        assert len(got) == 1 and abs(got[0]["one"] - ((b - a) / np.maximum(a, b)).mean()) < 1e-9 and got[0]["two"] is None
+    assert clusters.silhouettes(df.limit(0), "idx", "vector", ["one"]).collect()[0]["one"] is None
+
+
 def test_kmeans_inertia_falls_with_k(spark):
     rng = np.random.default_rng(9)
     df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(rng.normal(size=(120, 4)))], "idx long, vector array<double>")
