@@ -35,8 +35,9 @@ def fourier_resample(df: DataFrame, keys: Sequence[str], t: str, target_fs: floa
     weight = F.when(alone, 1.0).otherwise(2.0) / F.col("_n")
     weighed = spectrum.select(*keys, "idx", (F.col("re") * weight).alias("re"), (F.col("im") * weight).alias("im"), *carry)
     y = fourier_sums(weighed.select("*", F.col("_m").alias("period"), (top + 1).alias("n_in"), F.col("_m").alias("n_out")), keys, 1, carry, tile)
-    step = (F.col("_t1") - F.col("_t0")) / F.greatest(F.col("_m") - 1, F.lit(1))
-    return y.select(*keys, F.col("idx").alias("sample_idx"), (F.col("_t0") + F.col("idx") * step).alias("t"), F.col("re").alias("v"))
+    # multiplied first, so that a place is rounded once and the last one is the end itself
+    apart = F.col("idx") * (F.col("_t1") - F.col("_t0")) / F.greatest(F.col("_m") - 1, F.lit(1))
+    return y.select(*keys, F.col("idx").alias("sample_idx"), (F.col("_t0") + apart).alias("t"), F.col("re").alias("v"))
 
 
 def polyphase_resample(df: DataFrame, keys: Sequence[str], order: str, up: int, down: int, v: str = "v", tie: Sequence[str] = (), block: int = 65_536,

@@ -41,6 +41,12 @@ def signals(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def rounded(df: DataFrame, digits: int = 6, **by_column: int) -> DataFrame:
-    """Round every DOUBLE column, so that results compare across engines."""
-    return df.select(
-        *[F.round(c, by_column.get(c, digits)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    """Round every DOUBLE column as the SQL does: the scaled value to the next whole number, halves away from zero.
+
+    Spark's own ROUND goes by the decimal digits of the value instead, so the two may differ where these end in 5.
+    """
+    def scaled(c: str):
+        by = float(10 ** by_column.get(c, digits))
+        return (F.round(F.col(c) * by) / by).alias(c)
+
+    return df.select(*[scaled(c) if t == "double" else F.col(c) for c, t in df.dtypes])

@@ -184,6 +184,29 @@ def test_silhouette_matches_definition(spark):
     assert abs(got - ((b - a) / np.maximum(a, b)).mean()) < 1e-9
 
 
+def test_rounding_is_that_of_the_sql(spark):
+    import duckdb
+
+    from strideframe.plans.registry import rounded
+
+    values = [38772.60425, 1.0000005, -2.5, 0.0, None, 1e15 + 0.5] + [i / 10**5 for i in range(-3_000_005, 3_000_005, 490)] + [0.1 * i + 5e-7 for i in range(2000)]
+    df = spark.createDataFrame([(i, x, x) for i, x in enumerate(values)], "i long, a double, b double")
+    got = rounded(df, 6, b=4).orderBy("i").toPandas()
+    con = duckdb.connect()
+    con.execute("create table x (i bigint, a double)")
+    con.executemany("insert into x values (?, ?)", list(enumerate(values)))
+    want = con.execute("select round(a, 6) as a, round(a, 4) as b from x order by i").df()
+    for c in "ab":
+        np.testing.assert_array_equal(got[c].to_numpy(float), want[c].to_numpy(float))
+
+
+def test_fourier_places_end_with_the_signal(spark):
+    t0, t1 = 38772.60425, 2567544.278327
+    df = spark.createDataFrame([("a", t0 + (t1 - t0) * i / 7 if i < 7 else t1, float(i)) for i in range(8)], "k string, t double, v double")
+    got = resample.fourier_resample(df, ["k"], "t", 10 / 2592000.0).orderBy("sample_idx").toPandas()["t"].tolist()
+    assert got == [t0 + j * (t1 - t0) / (len(got) - 1) for j in range(len(got))] and len(got) > 5
+
+
 def test_silhouettes_of_several_columns_merge_copies(spark):
     rng = np.random.default_rng(12)
     x = rng.normal(size=(40, 3))[rng.integers(0, 40, 90)]
