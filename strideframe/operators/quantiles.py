@@ -6,17 +6,20 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-ACCURACY = 100_000
+from strideframe.operators.ordered import running_weight
+
+#: A task's sketches have some 100 bytes for each unit of accuracy and group; the bracket has 6/ACCURACY of a group's rows.
+ACCURACY = 2_000
 
 
 def exact_quantile(df: DataFrame, keys: Sequence[str], value: str, q: float, out: str, accuracy: int = ACCURACY) -> DataFrame:
     """Per-key quantile equal to the sorted-array definition: position (n-1)*q, linear between ranks.
 
     A mergeable sketch brackets the wanted ranks; only rows inside the bracket are shuffled, after
-    being pre-aggregated by value, and ranked exactly.  Groups up to ``accuracy`` rows use [min, max]
-    as the bracket; a larger group sends at most 6/accuracy of its rows (2e7 of 3e11) to the ranking.  NULL values are ignored; keys with no value are absent from the result.
+    being pre-aggregated by value, and ranked exactly, in slices (`running_weight`) if they are many.  Groups up to
+    ``accuracy`` rows use [min, max] as the bracket; a larger group sends about 6/accuracy of its rows to the ranking.
+    NULL values are ignored; keys with no value are absent from the result.
     """
     slack = 3.0 / accuracy
     groups = list(keys) or ["_all"]
@@ -41,8 +44,7 @@ def exact_quantile(df: DataFrame, keys: Sequence[str], value: str, q: float, out
         .agg(F.count(F.lit(1)).alias("_c"), F.count_if("_below").alias("_skip"))
     )
     # the bracket's lowest value also carries the count of everything below it
-    earlier = W.partitionBy(*groups).orderBy("_x").rowsBetween(W.unboundedPreceding, -1)
-    ranked = counts.withColumn("before", F.coalesce(F.sum("_c").over(earlier), F.lit(0)))
+    ranked = running_weight(counts, groups, "_x", "_c")
     pos = (F.col("_n") - 1) * F.lit(float(q))
     lo_rank, hi_rank = F.floor(pos), F.ceil(pos)
     first = F.col("before") + F.col("_skip")

@@ -109,3 +109,11 @@ def test_interval_join_keeps_overlaps(spark):
     want = {(c, float(i)) for c, s, e in ((0, 0, 3), (1, 3, 15), (2, 2.5, 4)) for i in range(20) if s <= i <= e}
     assert got == want
     assert segments.samples_in_any_segment(samples, seg, ["k"]).count() == 16
+
+
+def test_quantile_ranks_in_slices(spark):
+    """The ranking of a bracket is windowed by key and cell, never by the key alone."""
+    df = spark.createDataFrame([("a", float(i % 977)) for i in range(5000)], "k string, v double")
+    got = quantiles.exact_quantile(df, ["k"], "v", 0.99, "q")
+    assert "_cell" in got._jdf.queryExecution().optimizedPlan().toString()
+    assert got.collect()[0]["q"] == np.quantile(np.arange(5000) % 977, 0.99)
