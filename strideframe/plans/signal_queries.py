@@ -76,8 +76,8 @@ SELECT channel, phase_idx, round(avg(v), 4) AS mean, round(stddev_samp(v), 4) AS
 FROM curves GROUP BY 1, 2""")
 def curve_band(spark, sf):
     curves = stage(rounded(S.phase_grid(signals(spark, sf), KEYS, tie=["sample"])))
-    band = curves.groupBy("channel", "phase_idx").agg(
-        F.avg("v").alias("mean"), F.stddev_samp("v").alias("sd"), F.count_distinct("entity").alias("n_subjects"))
+    band = curves.groupBy("channel", "phase_idx").agg(  # a grid has each point of an entity once
+        F.avg("v").alias("mean"), F.stddev_samp("v").alias("sd"), F.count("entity").alias("n_subjects"))
     medians = exact_quantile(curves, ["channel", "phase_idx"], "v", 0.5, "median")
     return rounded(band.join(medians, ["channel", "phase_idx"]), 4)
 

@@ -117,3 +117,10 @@ def test_quantile_ranks_in_slices(spark):
     got = quantiles.exact_quantile(df, ["k"], "v", 0.99, "q")
     assert "_cell" in got._jdf.queryExecution().optimizedPlan().toString()
     assert got.collect()[0]["q"] == np.quantile(np.arange(5000) % 977, 0.99)
+
+
+def test_curve_band_counts_entities_without_a_distinct_shuffle(spark):
+    from strideframe.plans import QUERIES
+
+    band = QUERIES["curve_band"](spark, "/root/testdata/sf0.001")
+    assert "distinct" not in band._jdf.queryExecution().analyzed().toString().lower()
