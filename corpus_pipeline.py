@@ -22,7 +22,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group connected by 0.8 or more of shared five-word shingles, that with the smallest doc_id."""
+    """One document of each group connected by 0.8 or more of shared five-word shingles, that with the smallest doc_id.
+
+    SimHash finds candidates, partitions of the shingles those whose fingerprints share no bucket; each is confirmed.
+    """
     return shingles.keep_first(docs, words=5)
 
 

@@ -1,4 +1,5 @@
-"""Near-duplicates by the Jaccard similarity of word shingles: exact, by partitions that close sets have in common."""
+"""Near-duplicates by SimHash of word shingles, confirmed by their Jaccard similarity; partitions that close sets have in
+common find the pairs whose fingerprints lie further apart, so the result is exact."""
 
 from __future__ import annotations
 
@@ -10,6 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strideframe.llm import simhash
 from strideframe.llm.common import first_of_groups, join_counted, sift, slot_of
 from strideframe.llm.components import components
 from strideframe.session import stage
@@ -17,6 +19,9 @@ from strideframe.session import stage
 SEED = 42
 #: Documents are near-duplicates from 4/5 of shared shingles on; `partitions` and `keys_of` rest on this value.
 SHARED, OF = 4, 5
+#: Fingerprints that share a bucket link at BITS_APART or fewer differing bits, which reaches a similarity of 0.8; up to
+#: BITS_SURE bits they always share one.  What shares none is left to the partitions.
+BITS_SURE, BITS_APART = 4, 14
 #: Size classes grow by OF / SHARED, so two close sets are in the same or in neighbouring classes.
 CLASSES = (OF / SHARED) ** np.arange(128)
 #: Shingles are hot when HOT_LEAST of about HOT_SAMPLE sampled documents have them; at most HOT_MOST are shipped.
@@ -46,6 +51,11 @@ def node_of(hashes: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), SEED)).astype(np.int64))
 
 
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """The set's SimHash as a signed long."""
+    return int(np.uint64(simhash.majority(hashes)).astype(np.int64))
+
+
 def sketch(hashes: np.ndarray) -> bytes:
     """Parity of the hashes that fall on each of about as many bits as there are hashes, a power of two, at least 64.
 
@@ -81,11 +91,11 @@ def keys_of(hashes: np.ndarray, hot: np.ndarray) -> np.ndarray:
     A set of s shingles differs from a close one in at most s / 4 of them (both sides counted).  They are dealt to k
     partitions by their hash, so at least k - s / 4 partitions are the same in both.  Partitions without a shingle,
     with hot ones only or with a single one are left out as far as they are fewer than that; what is left out depends
-    on a partition's contents alone, so of the common ones at least one is a key of both sets.
+    on a partition's contents alone, so of the common ones at least one is a key of both sets.  `hot` is sorted.
     """
     size = len(hashes)
     own = int(np.searchsorted(CLASSES, size, "right")) - 1
-    cold = ~np.isin(hashes, hot) if len(hot) else np.ones(size, bool)
+    cold = hot[np.minimum(np.searchsorted(hot, hashes), len(hot) - 1)] != hashes if len(hot) else np.ones(size, bool)
     out = []
     for at in (own, own + 1):  # the class where it meets its own and smaller ones, and that where it meets larger ones
         k = partitions(at)
@@ -119,18 +129,18 @@ def _lists(sets: list[np.ndarray]) -> pa.Array:
 
 
 def _nodes(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, hash, node, size and sketch (null without words) of every row."""
-    names = ["doc_id", "hash", "node", "size", "sketch"]
+    """doc_id, hash, node, fp (fingerprint), size and sketch (null without words) of every row."""
+    names = ["doc_id", "hash", "node", "fp", "size", "sketch"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 1024):
                 c = b.slice(at, 1024)
-                of = [(node_of(s), len(s), sketch(s)) if len(s := shingles(t, words)) else (None, None, None) for t in c.column(2).to_pylist()]
-                node, size, bits = zip(*of)
-                yield pa.record_batch([c.column(0), c.column(1), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(bits, pa.binary())], names=names)
+                of = [(node_of(s), fingerprint_of(s), len(s), sketch(s)) if len(s := shingles(t, words)) else (None,) * 4 for t in c.column(2).to_pylist()]
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+                yield pa.record_batch([c.column(0), c.column(1), *map(pa.array, zip(*of), kinds)], names=names)
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, hash long, node long, size long, sketch binary")
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, hash long, node long, fp long, size long, sketch binary")
 
 
 def _keyed(docs: DataFrame, hot: np.ndarray, words: int) -> DataFrame:
@@ -143,11 +153,11 @@ def _keyed(docs: DataFrame, hot: np.ndarray, words: int) -> DataFrame:
 
 
 def _hot(docs: DataFrame, n: int, words: int) -> np.ndarray:
-    """Shingles that many documents of a sample have."""
+    """Shingles that many documents of a sample have, sorted."""
     sample = docs.where(F.pmod("hash", F.lit(max(1, n // HOT_SAMPLE))) == 0).dropDuplicates(["hash"])
     each = _each(sample, "x array<long>", lambda sets: pa.record_batch([_lists(sets)], names=["x"]), words)
     found = each.select(F.explode("x").alias("x")).groupBy("x").count().where(F.col("count") >= HOT_LEAST)
-    return np.array([r["x"] for r in found.orderBy(F.desc("count"), "x").limit(HOT_MOST).collect()], np.int64).view(np.uint64)
+    return np.sort(np.array([r["x"] for r in found.orderBy(F.desc("count"), "x").limit(HOT_MOST).collect()], np.int64).view(np.uint64))
 
 
 def _close(docs: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
@@ -213,14 +223,35 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield sent()
 
 
+def _by_fingerprint(nodes: DataFrame) -> DataFrame:
+    """Candidates (a, b: nodes, a < b): SimHash links their fingerprints.
+
+    A fingerprint stands for its least node; each other node that has it is a candidate with that one.
+    """
+    of = stage(nodes.groupBy("fp", slot_of("fp").alias("slot")).agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("n_rows")))
+    n, n_nodes = of.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_rows"), F.lit(0))).first()
+    same = join_counted(nodes.select("fp", "node"), of, ["fp"], n_nodes, F.col("node")).select(F.col("lead").alias("a"), F.col("node").alias("b"))
+    links = stage(simhash.near_fingerprints(of, n, BITS_SURE, BITS_APART).distinct())
+    ends = links.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp", slot_of("fp").alias("slot")).agg(F.count(F.lit(1)).alias("n_rows"))
+    ends, total = stage(ends.join(of.select("fp", "lead"), "fp").select("fp", "slot", "n_rows", "lead")), 2 * links.count()
+    for end in ("a", "b"):
+        links = join_counted(links, ends.withColumnRenamed("fp", end), [end], total, F.xxhash64("a", "b")).drop("n_rows").withColumnRenamed("lead", f"lead_{end}")
+    apart = links.select(F.least("lead_a", "lead_b").alias("a"), F.greatest("lead_a", "lead_b").alias("b"))
+    return stage(same.unionByName(apart).where("a <> b").distinct())
+
+
 def near_links(docs: DataFrame, nodes: DataFrame, n: int, words: int = 5) -> DataFrame:
     """Links (a, b) between nodes that connect them as all pairs of close sets would.
 
-    `docs` has hash and text, `nodes` node, size and sketch, once for each.  Nodes that share a key are candidates.  Each
-    is compared first with its key's lead, the node that shares keys with most others: the original of many copies is close
-    to all of them.  Of what is then still apart only pairs that their sketches leave possible are compared; a key's
-    members are linear in its rows, and pairs arise only where sets are close or nearly so.  No documents give no links.
+    `docs` has hash and text, `nodes` node, fp, size and sketch, once for each.  Nodes whose fingerprints SimHash links are
+    compared first.  A fifth of the shingles may change more bits than blocks of fingerprints can bridge, so nodes that
+    share a key are candidates too.  Each of them is compared with its key's lead, the node that shares keys with most
+    others: the original of many copies is close to all of them.  Of what is then still apart only pairs that their
+    sketches leave possible are compared; a key's members are linear in its rows, and pairs arise only where sets are
+    close or nearly so.  No documents give no links.
     """
+    printed = _by_fingerprint(nodes)
+    found = _close(docs, printed, words)
     hot = _hot(docs, n, words)
     keyed = _keyed(docs, hot, words)
     shared = keyed.groupBy("key", slot_of("key").alias("slot")).agg(F.min("node").alias("least"), F.max("node").alias("last"), F.count(F.lit(1)).alias("n_rows"))
@@ -231,26 +262,26 @@ def near_links(docs: DataFrame, nodes: DataFrame, n: int, words: int = 5) -> Dat
     popular = members.join(members.groupBy("node").agg(F.sum("n_rows").alias("meets")), "node")
     leads = popular.groupBy("key", slot_of("key").alias("slot")).agg(F.max(F.struct("meets", "node"))["node"].alias("lead"), F.count(F.lit(1)).alias("n_rows"))
     members = stage(join_counted(members.drop("n_rows"), leads, ["key"], total, F.col("node")).select("key", "node", "lead"))
-    tried = members.where("node <> lead").select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b"))
-    tried = stage(tried.distinct())
-    links = _close(docs, tried, words)
+    led = members.where("node <> lead").select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b"))
+    led = stage(led.distinct().join(printed, ["a", "b"], "left_anti"))
+    links = stage(found.unionByName(_close(docs, led, words)))
     label = components(links)
     named = stage(members.join(label, "node", "left").select("key", F.coalesce("label", "node").alias("label"), "node"))
     open_keys = named.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("m"), F.count(F.lit(1)).alias("n")).where("l <> m and n > 2").select("key")
     rows = named.join(open_keys, "key", "left_semi").join(nodes, "node").repartition("key").sortWithinPartitions("key", "label", "node")
-    left = rows.select("key", "label", "node", "size", "sketch").mapInArrow(_across, "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
-    return links.unionByName(_close(docs, left, words))
+    left = rows.select("key", "label", "node", "size", "sketch").mapInArrow(_across, "a long, b long").distinct()
+    return links.unionByName(_close(docs, left.join(printed.unionByName(led), ["a", "b"], "left_anti"), words))
 
 
 def keep_first(docs: DataFrame, words: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each group of documents connected by a Jaccard similarity of 0.8 or more, with all columns of `docs`.
 
-    It is the row with the smallest doc_id (null ids last), then by text.  Texts without words are one group; rows that
+    SimHash finds candidates, partitions those that it can't; all are confirmed by their shingles.  It is the row with the smallest doc_id (null ids last), then by text.  Texts without words are one group; rows that
     repeat id and text are one; an empty table gives an empty result.
     """
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("hash"), F.col(text).alias("text"))
     rows = stage(_nodes(slim, words))
-    nodes = rows.where("node is not null").groupBy("node").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch"))
+    nodes = stage(rows.where("node is not null").groupBy("node").agg(*[F.first(c).alias(c) for c in ("fp", "size", "sketch")]))
     label = components(near_links(slim, nodes, rows.count(), words))
     rows = rows.join(label, "node", "left").select("doc_id", "hash", F.coalesce("label", "node").alias("label"))
     return first_of_groups(docs, rows, "label", doc_id, text)

@@ -38,8 +38,12 @@ def fingerprint(text: str | None, words: int = 4) -> int:
     else:
         starts, ends = starts[:1], ends[-1:]
     h = xxhash.xxh64_intdigest
-    hashes = np.array([h(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends.tolist())], dtype=">u8")
-    counts = np.zeros(BITS, dtype=np.int64)
+    return majority(np.array([h(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends.tolist())], dtype=">u8"))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes have."""
+    hashes, counts = hashes.astype(">u8", copy=False), np.zeros(BITS, dtype=np.int64)
     for at in range(0, len(hashes), 1 << 16):  # bounded memory for very long texts
         part = hashes[at : at + (1 << 16)]
         counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
@@ -133,10 +137,10 @@ def _linked(distance: int):
     return run
 
 
-def _bucket_links(distinct: DataFrame, blocks: int, distance: int, split: bool) -> DataFrame:
-    """Links between distinct fingerprints that share a bucket and are close."""
+def _bucket_links(distinct: DataFrame, blocks: int, distance: int, split: bool, reach: int) -> DataFrame:
+    """Links between distinct fingerprints that share a bucket and differ in `reach` bits or fewer."""
     keyed = distinct.select("fp", F.explode(block_keys(F.col("fp"), blocks, distance)).alias("key"))
-    linked = lambda rows: rows.repartition("key").sortWithinPartitions("key").select("key", "fp").mapInArrow(_linked(distance), "a long, b long")
+    linked = lambda rows: rows.repartition("key").sortWithinPartitions("key").select("key", "fp").mapInArrow(_linked(reach), "a long, b long")
     if not split:
         return linked(keyed)
     large = stage(keyed.groupBy("key").count().where(F.col("count") > BUCKET).select("key"))
@@ -145,7 +149,15 @@ def _bucket_links(distinct: DataFrame, blocks: int, distance: int, split: bool)
     # fingerprints of large buckets meet in finer blocks as well; the pairs of a large bucket are all found there
     again = keyed.join(large, "key", "left_semi").select("fp").distinct()
     finer = blocks_for(1 << 40, distance)
-    return linked(keyed.join(large, "key", "left_anti")).unionByName(_bucket_links(again, finer, distance, False))
+    return linked(keyed.join(large, "key", "left_anti")).unionByName(_bucket_links(again, finer, distance, False, reach))
+
+
+def near_fingerprints(distinct: DataFrame, n: int, distance: int, reach: int | None = None) -> DataFrame:
+    """Links (a, b) between the n fingerprints `fp`, each there once, that connect them as all pairs within `distance` bits would.
+
+    With a wider `reach`, those that share a bucket link up to that many bits; pairs beyond `distance` may share none.
+    """
+    return _bucket_links(distinct.select("fp"), blocks_for(n, distance), distance, True, distance if reach is None else reach)
 
 
 def near_groups(rows: DataFrame, distance: int = 4) -> DataFrame:
@@ -160,7 +172,7 @@ def near_groups(rows: DataFrame, distance: int = 4) -> DataFrame:
     """
     same = stage(rows.groupBy("fp").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least")))
     n = same.count()
-    labels = components(_bucket_links(same.select("fp"), blocks_for(n, distance), distance, True))
+    labels = components(near_fingerprints(same, n, distance))
     grouped = same.join(labels, same["fp"] == labels["node"], "left").select("fp", "copies", "least", F.coalesce("label", "fp").alias("label"))
     first = grouped.groupBy("label", slot_of("label").alias("slot")).agg(F.count(F.lit(1)).alias("n_rows"), F.min("least").alias("component_id"))
     named = join_counted(grouped.drop("least"), first, ["label"], n, F.xxhash64("fp"))

@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from test_llm_operators import KINDS, WORD, groups_of, odd_rows, row
 
@@ -51,6 +52,27 @@ def test_close_shingles_are_found(spark, monkeypatch, hot):
     assert len(brute_first(rows)) < len(rows) - 30  # the groups are many
 
 
+def test_simhash_finds_candidates(spark, monkeypatch):
+    """Each node's copies with few edited words are candidates by their fingerprints alone, and the stage takes them."""
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words)] + [" ".join([*words[:at], "new", *words[at + 1 :]]) for at in range(50, 400, 70)]
+    rows = [row(i, t) for i, t in enumerate(texts)] + [row(100 + k, " ".join(random.Random(k).choices(words, k=60))) for k in range(20)]
+    docs = spark.createDataFrame(rows, KINDS)
+    sets = {shingles.node_of(s): s for r in rows if len(s := shingles.shingles(r[1]))}
+    nodes = spark.createDataFrame([(k, shingles.fingerprint_of(s)) for k, s in sets.items()], "node long, fp long")
+    pairs = {(r["a"], r["b"]) for r in shingles._by_fingerprint(nodes).collect()}
+    apart = lambda a, b: int(simhash.far_bits(*(np.array([simhash.majority(sets[x])], np.uint64) for x in (a, b)))[0])
+    assert pairs and all(a < b and apart(a, b) <= shingles.BITS_APART for a, b in pairs)
+    found, sure = groups_of(pairs, sets), [(a, b) for a in sets for b in sets if a < b and apart(a, b) <= shingles.BITS_SURE]
+    assert sure and all(found[a] == found[b] for a, b in sure)
+    asked, close = [], shingles._close
+    monkeypatch.setattr(shingles, "_close", lambda d, p, w: asked.append({(r["a"], r["b"]) for r in p.collect()}) or close(d, p, w))
+    assert sorted(r["doc_id"] for r in shingles.keep_first(docs).collect()) == [0, *range(100, 120)]
+    assert asked[0] and all(apart(a, b) <= shingles.BITS_APART for a, b in asked[0])  # fingerprints are asked first
+    assert not asked[0] & (asked[1] | asked[2])
+    assert shingles._by_fingerprint(nodes.limit(0)).count() == 0
+
+
 def test_close_shingles_of_odd_rows(spark):
     docs = spark.createDataFrame(odd_rows(), KINDS)
     got = shingles.keep_first(docs)
