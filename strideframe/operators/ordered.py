@@ -18,8 +18,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from strideframe.session import stage
+
 CELL = "_cell"
 TARGET_ROWS = 1_000_000
+PIECE_ROWS = 8192
 
 _MERGE = {"sum": F.sum, "min": F.min, "max": F.max}
 
@@ -150,6 +153,40 @@ def blocks(
     )
 
 
+def packed_blocks(
+    df: DataFrame, keys: Sequence[str], order: str, v: str, tie: Sequence[str] = (), rows: int = 65_536,
+    before: int = 0, after: int = 0, target_rows: int = TARGET_ROWS,
+) -> DataFrame:
+    """Each key's ordered values as one array for each block: keys, block, n, lo, hi, start, x.
+
+    ``x`` holds rows [start, start + size) of the key: the block's own [b*rows, (b+1)*rows) with ``before`` rows ahead of
+    it and ``after`` behind it, as far as the key has them; ``n``, ``lo`` and ``hi`` are the key's size and extremes.
+    The rows themselves are shuffled once, by (key, cell), and ranked in their cell; from there on arrays of at most
+    PIECE_ROWS values travel.
+    """
+    fields = list(dict.fromkeys([order, *tie, v]))
+    marked = add_cell(df.select(*dict.fromkeys([*keys, *fields])), keys, order, target_rows, tie)
+    ranked = marked.withColumn("_r", F.row_number().over(W.partitionBy(*keys, CELL).orderBy(*fields)))
+    piece = F.floor((F.col("_r") - 1) / PIECE_ROWS).alias("_piece")
+    packed = F.sort_array(F.collect_list(F.struct("_r", F.col(v).cast("double").alias("x"))))["x"].alias("x")
+    pieces = ranked.groupBy(*keys, CELL, piece).agg(packed)
+    pieces = stage(pieces.select("*", F.size("x").cast("long").alias("_c"), F.array_min("x").alias("lo"), F.array_max("x").alias("hi")))
+    whole = W.partitionBy(*keys)
+    earlier = whole.orderBy(CELL, "_piece").rowsBetween(W.unboundedPreceding, -1)
+    sizes = pieces.select(*keys, CELL, "_piece", F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_off"), F.sum("_c").over(whole).alias("n"),
+                          F.min("lo").over(whole).alias("lo"), F.max("hi").over(whole).alias("hi"))
+    placed = pieces.drop("lo", "hi").join(sizes, [*keys, CELL, "_piece"])
+    first = F.greatest(F.floor((F.col("_off") - after) / rows), F.lit(0))
+    last = F.least(F.floor((F.col("_off") + F.col("_c") - 1 + before) / rows), F.floor((F.col("n") - 1) / rows))
+    parts = placed.withColumn("block", F.explode(F.sequence(first.cast("long"), last.cast("long"))))
+    a = F.greatest(F.col("_off"), F.col("block") * rows - before)
+    b = F.least(F.col("_off") + F.col("_c"), (F.col("block") + 1) * rows + after)
+    part = F.slice("x", (a - F.col("_off") + 1).cast("int"), (b - a).cast("int"))
+    joined = parts.select(*keys, "block", "n", "lo", "hi", F.struct(a.alias("start"), part.alias("x")).alias("_part")).groupBy(*keys, "block").agg(
+        *[F.min(c).alias(c) for c in ("n", "lo", "hi")], F.sort_array(F.collect_list("_part")).alias("_parts"))
+    return joined.select(*keys, "block", "n", "lo", "hi", F.col("_parts")[0]["start"].alias("start"), F.flatten(F.col("_parts")["x"]).alias("x"))
+
+
 def running_weight(
     df: DataFrame, keys: Sequence[str], order: str, weight: str, target_rows: int = TARGET_ROWS
 ) -> DataFrame:

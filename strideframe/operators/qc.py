@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strideframe.functions.numeric import div
 from strideframe.operators import filters, spectral
-from strideframe.operators.ordered import TARGET_ROWS, add_cell, adjacent_pairs, attach_totals
+from strideframe.operators.filters import BLOCK_ROWS
+from strideframe.operators.ordered import TARGET_ROWS, packed_blocks
 
 # --- fixed values: thresholds, weights and bands of the quality rules ------------------------
 MIN_SAMPLES = 50
@@ -31,52 +34,100 @@ TINY = 1e-30
 
 
 def time_metrics(df: DataFrame, keys: Sequence[str], order: str, v: str = "v", tie: Sequence[str] = (), fs: float = 1.0,
-                 target_rows: int = TARGET_ROWS) -> DataFrame:
+                 target_rows: int = TARGET_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Moments, rms, offset, clipping and flat-line per channel; NULL below 50 samples."""
-    rows = attach_totals(add_cell(df.where(F.col(v).isNotNull()).select(*dict.fromkeys([*keys, order, *tie, v])), keys, order, target_rows, tie), keys,
-                         {"_lo": ("min", F.col(v)), "_hi": ("max", F.col(v))})
-    dyn = F.greatest(F.col("_hi") - F.col("_lo"), F.lit(TINY))
-    x = F.col(v)
-    base = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_samples"), F.avg(x).alias("signal_mean"), F.stddev_pop(x).alias("signal_std"),
-        F.min(x).alias("signal_min"), F.max(x).alias("signal_max"), F.sqrt(F.avg(x * x)).alias("rms"),
-        (F.count_if(x <= F.col("_lo") + CLIP_TOLERANCE * dyn) + F.count_if(x >= F.col("_hi") - CLIP_TOLERANCE * dyn)).alias("_clip"))
-    pairs = adjacent_pairs(rows.drop("_cell"), keys, order, tie, [v, "_lo", "_hi"], target_rows)
-    pair_dyn = F.greatest(F.col("cur._hi") - F.col("cur._lo"), F.lit(TINY))
-    flat = F.abs(F.col(f"cur.{v}") - F.col(f"prev.{v}")) < F.greatest(FLAT_TOLERANCE * pair_dyn, F.lit(TINY))
-    flats = pairs.groupBy(*keys).agg(F.count_if(flat).alias("_flat"))
-    j = base.join(flats, list(keys), "left")
-    n, enough = F.col("n_samples"), F.col("n_samples") >= MIN_SAMPLES
-    out = j.select(
-        *keys, "n_samples", (n / F.lit(float(fs))).alias("duration_s"), F.lit(float(fs)).alias("fs"),
-        *[F.when(enough, F.col(c)).alias(c) for c in ("signal_mean", "signal_std", "signal_min", "signal_max", "rms")],
-        F.when(enough, div(F.abs("signal_mean"), F.col("signal_std"), TINY)).alias("offset_ratio"),
-        F.when(enough, F.col("_clip") / n).alias("clipping_fraction"),
-        F.when(enough, F.coalesce("_flat", F.lit(0)) / F.when(n > 1, n - 1)).alias("flatline_fraction"))
-    return out
+    blocks = packed_blocks(df.where(F.col(v).isNotNull()), keys, order, v, tie, block_rows, before=1, target_rows=target_rows)
+    return _metrics(_summed(blocks, keys, _time_sums(block_rows), _TIME), keys, fs)
 
 
 def channel_qc(df: DataFrame, keys: Sequence[str], order: str, v: str = "v", tie: Sequence[str] = (), fs: float = 1.0,
-               line_hz: float = 50.0, target_rows: int = TARGET_ROWS) -> DataFrame:
-    """All quality metrics, score and flag per channel."""
-    data = df.where(F.col(v).isNotNull())
-    out = time_metrics(data, keys, order, v, tie, fs, target_rows)
-    stage = filters.drift_lowpass(fs, DRIFT_HZ)
-    if stage is None:
-        drift = data.groupBy(*keys).agg(F.sqrt(F.avg(F.col(v) * F.col(v))).alias("_trend"))
-    else:
-        trend = filters.filter_channels(data, keys, order, [stage], v, tie, "_y", target_rows)
-        drift = trend.groupBy(*keys).agg(F.sqrt(F.avg(F.col("_y") * F.col("_y"))).alias("_trend"))
-    psd = spectral.welch(data, keys, order, lambda n: spectral.qc_segment(n, fs), v, tie, fs, MIN_SAMPLES, target_rows)
-    bands = {"_emg": (EMG_BAND[0], min(EMG_BAND[1], fs / 2 * 0.95)), "_motion": MOTION_BAND, "_line": (line_hz - LINE_HALF_WIDTH, line_hz + LINE_HALF_WIDTH)}
-    power = spectral.band_power(psd, keys, bands)
+               line_hz: float = 50.0, target_rows: int = TARGET_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """All quality metrics, score and flag per channel.
+
+    Samples are packed into blocks once; whatever a metric needs of a block is a few sums, so no filtered
+    samples and no spectra leave their task.
+    """
+    low = filters.drift_lowpass(fs, DRIFT_HZ)
+    segment = max(256, int(fs * 2))
+    reach = len(low.response) + low.pad + 1 if low else 1
+    blocks = packed_blocks(df.where(F.col(v).isNotNull()), keys, order, v, tie, block_rows, before=reach, after=max(reach, segment), target_rows=target_rows)
+    bands = {"emg": (EMG_BAND[0], min(EMG_BAND[1], fs / 2 * 0.95)), "motion": MOTION_BAND, "line": (line_hz - LINE_HALF_WIDTH, line_hz + LINE_HALF_WIDTH)}
+    sums = _summed(blocks, keys, _all_sums(block_rows, low, segment, fs, bands), {**_TIME, **_SPECTRAL}).withColumns(
+        {f"_{c}": F.col(f"_{c}") / F.when(F.col("_segments") > 0, F.col("_segments")) for c in bands})
     emg = F.when(F.coalesce(F.col("_emg"), F.lit(0.0)) <= 0, F.lit(TINY)).otherwise(F.col("_emg"))
-    j = out.join(drift, list(keys), "left").join(power, list(keys), "left")
-    enough = F.col("n_samples") >= MIN_SAMPLES
-    j = j.withColumns({
-        "drift_ratio": F.when(enough, div(F.col("_trend"), F.col("rms"), TINY)),
+    out = _metrics(sums, keys, fs, {
+        "drift_ratio": F.when(F.col("n_samples") >= MIN_SAMPLES, div(F.sqrt(F.col("_trend") / F.col("n_samples")), F.sqrt(F.col("_squares") / F.col("n_samples")), TINY)),
         "motion_artifact_ratio": F.col("_motion") / emg, "line_noise_ratio": F.col("_line") / emg})
-    return score(j.drop("_trend", "_emg", "_motion", "_line"))
+    return score(out)
+
+
+#: What the kernels give for each block; all of it adds up over a key's blocks. `dev` and `dev2` are about the middle of the key's range.
+_TIME = {"total": "double", "dev": "double", "dev2": "double", "squares": "double", "clip": "long", "flat": "long"}
+_SPECTRAL = {"trend": "double", "segments": "long", "emg": "double", "motion": "double", "line": "double"}
+
+
+def _time_facts(core: np.ndarray, previous: np.ndarray, lo: float, hi: float) -> tuple:
+    """Sums of a block's own rows; ``previous`` is the value before them, or empty."""
+    span = max(hi - lo, TINY)
+    dev = core - (lo + (hi - lo) / 2)
+    steps = np.abs(np.diff(np.concatenate([previous, core])))
+    clip = np.count_nonzero(core <= lo + CLIP_TOLERANCE * span) + np.count_nonzero(core >= hi - CLIP_TOLERANCE * span)
+    total = np.cumsum(core)[-1]  # value after value, as the SQL adds: means between two roundings depend on it
+    return total, dev.sum(), np.square(dev).sum(), np.square(core).sum(), clip, np.count_nonzero(steps < max(FLAT_TOLERANCE * span, TINY))
+
+
+def _time_sums(rows: int):
+    def kernel(x: pd.Series, n: pd.Series, start: pd.Series, block: pd.Series, lo: pd.Series, hi: pd.Series) -> pd.DataFrame:
+        out = []
+        for x, n, start, block, lo, hi in zip(x, n, start, block, lo, hi):
+            a, b = block * rows - start, min((block + 1) * rows, n) - start
+            out.append(_time_facts(x[a:b], x[max(a - 1, 0) : a], lo, hi))
+        return pd.DataFrame(out, columns=list(_TIME))
+
+    return kernel
+
+
+def _all_sums(rows: int, low: filters.Stage | None, segment: int, fs: float, bands: dict[str, tuple[float, float]]):
+    def kernel(x: pd.Series, n: pd.Series, start: pd.Series, block: pd.Series, lo: pd.Series, hi: pd.Series) -> pd.DataFrame:
+        weights: dict[int, list] = {}
+        out = []
+        for x, n, start, block, lo, hi in zip(x, n, start, block, lo, hi):
+            a, b = block * rows - start, min((block + 1) * rows, n) - start
+            time = _time_facts(x[a:b], x[max(a - 1, 0) : a], lo, hi)
+            if n < MIN_SAMPLES:
+                out.append((*time, None, 0, *[None] * len(bands)))
+                continue
+            trend, lost = x, 0
+            if low:
+                trend, lost = filters._run(np.nan_to_num(x, nan=0.0, posinf=0.0, neginf=0.0), [low], start == 0, start + len(x) == n)
+            nper = min(n, segment)
+            step = nper - nper // 2
+            # segments that begin in the block's own rows and end in the channel
+            begin = np.arange(-(-block * rows // step) * step, min((block + 1) * rows - 1, n - nper) + 1, step) - start
+            power = spectral.periodograms(np.lib.stride_tricks.sliding_window_view(x, nper)[begin]).sum(axis=0) / fs if len(begin) else np.zeros(nper // 2 + 1)
+            if nper not in weights:
+                weights[nper] = [spectral.bin_weights(np.arange(nper // 2 + 1) * fs / nper, *band) for band in bands.values()]
+            out.append((*time, np.square(trend[a - lost : b - lost]).sum(), len(begin), *[None if w is None else w @ power for w in weights[nper]]))
+        return pd.DataFrame(out, columns=[*_TIME, "trend", "segments", *bands])
+
+    return kernel
+
+
+def _summed(blocks: DataFrame, keys: Sequence[str], kernel, fields: dict[str, str]) -> DataFrame:
+    """keys, n_samples, _lo, _hi and the kernel's sums over the blocks of a key, as `_<field>`."""
+    facts = F.pandas_udf(kernel, ", ".join(f"{c} {t}" for c, t in fields.items()))("x", "n", "start", "block", "lo", "hi")
+    rows = blocks.select(*keys, "n", "lo", "hi", facts.alias("f"))
+    return rows.groupBy(*keys).agg(F.min("n").alias("n_samples"), F.min("lo").alias("_lo"), F.max("hi").alias("_hi"), *[F.sum(f"f.{c}").alias(f"_{c}") for c in fields])
+
+
+def _metrics(sums: DataFrame, keys: Sequence[str], fs: float, more: dict[str, Column] | None = None) -> DataFrame:
+    n, enough = F.col("n_samples"), F.col("n_samples") >= MIN_SAMPLES
+    off, mean = F.col("_dev") / n, F.col("_total") / n
+    deviation = F.sqrt(F.greatest(F.col("_dev2") / n - off * off, F.lit(0.0)))
+    values = {"signal_mean": mean, "signal_std": deviation, "signal_min": F.col("_lo"), "signal_max": F.col("_hi"), "rms": F.sqrt(F.col("_squares") / n),
+              "offset_ratio": div(F.abs(mean), deviation, TINY), "clipping_fraction": F.col("_clip") / n, "flatline_fraction": F.col("_flat") / F.when(n > 1, n - 1)}
+    return sums.select(*keys, "n_samples", (n / F.lit(float(fs))).alias("duration_s"), F.lit(float(fs)).alias("fs"),
+                       *[F.when(enough, c).alias(name) for name, c in values.items()], *[c.alias(name) for name, c in (more or {}).items()])
 
 
 def score(metrics: DataFrame) -> DataFrame:

@@ -16,19 +16,24 @@ from strideframe.operators.ordered import TARGET_ROWS, row_index
 from strideframe.operators.windows import expand_windows
 
 
+def periodograms(x: np.ndarray) -> np.ndarray:
+    """One-sided Hann periodograms of the rows of a matrix, unit sampling rate."""
+    n = x.shape[1]
+    hann = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / n)
+    spec = np.abs(np.fft.rfft((x - x.mean(axis=1, keepdims=True)) * hann, axis=1)) ** 2 / np.sum(hann**2)
+    spec[:, 1 : (n + 1) // 2] *= 2
+    return spec
+
+
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _periodogram(segments: pd.Series) -> pd.Series:
-    """One-sided Hann periodograms of short segments, unit sampling rate; equal lengths go together."""
+    """Periodograms of short segments; equal lengths go together."""
     out: list = [None] * len(segments)
     by_len: dict[int, list[int]] = {}
     for i, s in enumerate(segments):
         by_len.setdefault(len(s), []).append(i)
-    for n, rows in by_len.items():
-        x = np.stack([np.asarray(segments.iloc[i], dtype=float) for i in rows])
-        hann = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / n)
-        spec = np.abs(np.fft.rfft((x - x.mean(axis=1, keepdims=True)) * hann, axis=1)) ** 2 / np.sum(hann**2)
-        spec[:, 1 : (n + 1) // 2] *= 2
-        for i, row in zip(rows, spec):
+    for rows in by_len.values():
+        for i, row in zip(rows, periodograms(np.stack([np.asarray(segments.iloc[i], dtype=float) for i in rows]))):
             out[i] = row
     return pd.Series(out)
 
@@ -77,6 +82,15 @@ def band_power(psd: DataFrame, keys: Sequence[str], bands: dict[str, tuple[float
     return rows.groupBy(*keys).agg(*aggs)
 
 
+def bin_weights(freq: np.ndarray, low: float, high: float) -> np.ndarray | None:
+    """What each bin counts in the trapezoid power of a closed band (`band_power`); None when it holds no bin."""
+    inside = (freq >= low) & (freq <= high)
+    if not inside.any():
+        return None
+    steps = np.where(inside[1:] & (freq[:-1] >= low), np.diff(freq) / 2, 0.0)
+    return np.concatenate([steps, [0.0]]) + np.concatenate([[0.0], steps])
+
+
 def spectral_features(psd: DataFrame, keys: Sequence[str]) -> DataFrame:
     """dominant_frequency_hz (first maximum) and normalised spectral_entropy per key."""
     whole = W.partitionBy(*keys)
