@@ -3,7 +3,7 @@ common find the pairs whose fingerprints lie further apart, so the result is exa
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,33 +17,78 @@ from strideframe.llm.components import components
 from strideframe.session import stage
 
 SEED = 42
-#: Documents are near-duplicates from 4/5 of shared shingles on; `partitions` and `keys_of` rest on this value.
+#: Documents are near-duplicates from 4/5 of shared shingles on; `PARTITIONS` and `keys_of` rest on this value.
 SHARED, OF = 4, 5
 #: Fingerprints that share a bucket link at BITS_APART or fewer differing bits, which reaches a similarity of 0.8; up to
 #: BITS_SURE bits they always share one.  What shares none is left to the partitions.
 BITS_SURE, BITS_APART = 4, 14
 #: Size classes grow by OF / SHARED, so two close sets are in the same or in neighbouring classes.
 CLASSES = (OF / SHARED) ** np.arange(128)
+#: Into how many partitions sets that meet in a class are dealt: more than may differ between two close ones.
+PARTITIONS = (0.4 * CLASSES[1:]).astype(np.int64) + 1
 #: Shingles are hot when HOT_LEAST of about HOT_SAMPLE sampled documents have them; at most HOT_MOST are shipped.
 #: They decide what is compared first, never what is found.
 HOT_SAMPLE, HOT_LEAST, HOT_MOST = 4096, 4, 1 << 16
 MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Texts are hashed together up to AT_ONCE bytes, words by eight bytes at a time up to LONG_WORD bytes.
+AT_ONCE, LONG_WORD = 1 << 20, 64
+BLANK = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
+FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * MIX
+    return x ^ (x >> np.uint64(29))
+
+
+def _spread(x: np.ndarray) -> np.ndarray:
+    """The finaliser of SplitMix64: each bit of x changes about half of all bits."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
 def shingles(text: str | None, words: int = 5) -> np.ndarray:
     """The distinct hashes of a text's word shingles, sorted; words as in `simhash.fingerprint`, fewer are one shingle."""
-    found = (text or "").encode().lower().split()
-    if not found:
-        return np.empty(0, np.uint64)
-    joined = b" ".join(found)
-    ends = np.cumsum([len(w) + 1 for w in found]) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    if len(found) > words:
-        starts, ends = starts[: len(found) - words + 1], ends[words - 1 :]
-    else:
-        starts, ends = starts[:1], ends[-1:]
-    h = xxhash.xxh64_intdigest
-    return np.unique(np.array([h(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends.tolist())], dtype=np.uint64))
+    return next(shingle_sets([text], words))
+
+
+def shingle_sets(texts: Iterable[str | None], words: int = 5) -> Iterator[np.ndarray]:
+    """`shingles` of each text; short texts are hashed together."""
+    held, size = [], 0
+    for t in texts:
+        held.append((t or "").encode().lower())
+        size += len(held[-1]) + 1
+        if size > AT_ONCE:
+            yield from _hashed(held, words)
+            held, size = [], 0
+    yield from _hashed(held, words)
+
+
+def _hashed(raws: list[bytes], words: int) -> Iterator[np.ndarray]:
+    raw = np.frombuffer(b" ".join(raws) + b" " * 8, np.uint8)
+    edges = np.flatnonzero(np.diff(BLANK.take(raw), prepend=True))  # a word's start, its end, and so on
+    starts, size = edges[::2], edges[1::2] - edges[::2]
+    eight = np.ndarray(len(raw) - 7, "<u8", raw, strides=(1,))  # the eight bytes from each place on
+    word = _spread(_spread(size.astype(np.uint64)) ^ (eight[starts] & FIRST_BYTES.take(np.minimum(size, 8))))
+    rest, at = np.flatnonzero((size > 8) & (size <= LONG_WORD)), 8
+    while len(rest):
+        word[rest] = _spread(word[rest] ^ (eight[starts[rest] + at] & FIRST_BYTES.take(np.minimum(size[rest] - at, 8))))
+        at += 8
+        rest = rest[size[rest] > at]
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        word[i] = xxhash.xxh64_intdigest(raw[starts[i] : starts[i] + size[i]].tobytes(), SEED)
+    first = np.searchsorted(starts, np.cumsum([0, *(len(r) + 1 for r in raws)]))  # of the words, for each text and the end
+    count, run, few = np.diff(first), np.zeros(len(word), np.uint64), np.zeros(len(raws), np.uint64)
+    word = np.concatenate((word, np.zeros(words, np.uint64)))
+    for i in range(words):
+        run = run * MIX + word[i : i + len(run)]
+        whole = np.flatnonzero(count == i + 1)
+        few[whole] = run[first[whole]]
+    run, few = _spread(run), _spread(few)
+    for i, n in enumerate(count.tolist()):
+        found = np.sort(run[first[i] : first[i] + n - words + 1] if n > words else few[i : i + min(n, 1)])
+        yield found[np.diff(found, prepend=~found[:1]) != 0]
 
 
 def node_of(hashes: np.ndarray) -> int:
@@ -75,16 +120,6 @@ def folded(sketches: list[bytes]) -> np.ndarray:
     return out
 
 
-def partitions(size_class: int) -> int:
-    """Into how many partitions sets that meet in a class are dealt: more than may differ between two close ones."""
-    return int(0.4 * CLASSES[size_class + 1]) + 1
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * MIX
-    return x ^ (x >> np.uint64(29))
-
-
 def keys_of(hashes: np.ndarray, hot: np.ndarray) -> np.ndarray:
     """Keys of which two sets with a Jaccard similarity of 0.8 or more share at least one.
 
@@ -93,22 +128,35 @@ def keys_of(hashes: np.ndarray, hot: np.ndarray) -> np.ndarray:
     with hot ones only or with a single one are left out as far as they are fewer than that; what is left out depends
     on a partition's contents alone, so of the common ones at least one is a key of both sets.  `hot` is sorted.
     """
-    size = len(hashes)
-    own = int(np.searchsorted(CLASSES, size, "right")) - 1
-    cold = hot[np.minimum(np.searchsorted(hot, hashes), len(hot) - 1)] != hashes if len(hot) else np.ones(size, bool)
-    out = []
-    for at in (own, own + 1):  # the class where it meets its own and smaller ones, and that where it meets larger ones
-        k = partitions(at)
-        part = ((hashes >> np.uint64(7)) % np.uint64(k)).astype(np.int64)
-        count, colds = np.bincount(part, minlength=k), np.bincount(part[cold], minlength=k)
-        total = np.zeros(k, np.uint64)
-        np.add.at(total, part, _mixed(hashes))
-        least = k - size // 4
-        for weak in ((colds == 0) | (count == 1), colds == 0, np.zeros(k, bool)):
-            if weak.sum() < least:
-                break
-        out.append(_mixed(total + _mixed(np.arange(k, dtype=np.uint64) + np.uint64((at + 1) << 32)))[~weak])
-    return np.concatenate(out).view(np.int64)
+    return set_keys([hashes], hot)[0]
+
+
+def set_keys(sets: list[np.ndarray], hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """`keys_of` all sets, none of them empty, and the place of each key's set."""
+    size, hashes = np.array([len(s) for s in sets]), np.concatenate(sets)
+    of = np.repeat(np.arange(len(sets)), size)
+    own = np.searchsorted(CLASSES, size, "right") - 1
+    cold = hot[np.minimum(np.searchsorted(hot, hashes), len(hot) - 1)] != hashes if len(hot) else np.ones(len(hashes), bool)
+    mixed, out = _mixed(hashes), []
+    for at in (own, own + 1):  # the class where a set meets its own and smaller ones, and that where it meets larger ones
+        k = PARTITIONS[at]
+        first, n = np.cumsum(k) - k, int(k.sum())
+        part = first[of] + ((hashes >> np.uint64(7)) % k.astype(np.uint64)[of]).astype(np.int64)
+        count, colds = np.bincount(part, minlength=n), np.bincount(part[cold], minlength=n)
+        total = np.zeros(n, np.uint64)
+        np.add.at(total, part, mixed)
+        owner = np.repeat(np.arange(len(sets)), k)
+        kept, done, least = np.ones(n, bool), np.zeros(len(sets), bool), k - size // 4
+        for weak in ((colds == 0) | (count == 1), colds == 0):
+            now = ~done & (np.add.reduceat(weak, first, dtype=np.int64) < least)
+            kept &= ~(weak & now[owner])
+            done |= now
+        kept = np.flatnonzero(kept)
+        owner = owner[kept]
+        local = (kept - first[owner] + ((at[owner] + 1) << 32)).astype(np.uint64)
+        out.append((_mixed(total[kept] + _mixed(local)), owner))
+    keys, owners = (np.concatenate(c) for c in zip(*out))
+    return keys.view(np.int64), owners
 
 
 def _each(docs: DataFrame, columns: str, row, words: int) -> DataFrame:
@@ -116,7 +164,7 @@ def _each(docs: DataFrame, columns: str, row, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 256):
-                sets = [s for t in b.column(0).slice(at, 256).to_pylist() if len(s := shingles(t, words))]
+                sets = [s for s in shingle_sets(b.column(0).slice(at, 256).to_pylist(), words) if len(s)]
                 if sets:
                     yield row(sets)
 
@@ -136,7 +184,7 @@ def _nodes(docs: DataFrame, words: int) -> DataFrame:
         for b in batches:
             for at in range(0, b.num_rows, 1024):
                 c = b.slice(at, 1024)
-                of = [(node_of(s), fingerprint_of(s), len(s), sketch(s)) if len(s := shingles(t, words)) else (None,) * 4 for t in c.column(2).to_pylist()]
+                of = [(node_of(s), fingerprint_of(s), len(s), sketch(s)) if len(s) else (None,) * 4 for s in shingle_sets(c.column(2).to_pylist(), words)]
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
                 yield pa.record_batch([c.column(0), c.column(1), *map(pa.array, zip(*of), kinds)], names=names)
 
@@ -145,9 +193,9 @@ def _nodes(docs: DataFrame, words: int) -> DataFrame:
 
 def _keyed(docs: DataFrame, hot: np.ndarray, words: int) -> DataFrame:
     def row(sets):
-        keys = [keys_of(s, hot) for s in sets]
-        nodes = np.repeat(np.array([node_of(s) for s in sets], np.int64), [len(k) for k in keys])
-        return pa.record_batch([pa.array(np.concatenate(keys)), pa.array(nodes)], names=["key", "node"])
+        keys, owners = set_keys(sets, hot)
+        nodes = np.array([node_of(s) for s in sets], np.int64)
+        return pa.record_batch([pa.array(keys), pa.array(nodes[owners])], names=["key", "node"])
 
     return _each(docs, "key long, node long", row, words)
 
@@ -160,9 +208,14 @@ def _hot(docs: DataFrame, n: int, words: int) -> np.ndarray:
     return np.sort(np.array([r["x"] for r in found.orderBy(F.desc("count"), "x").limit(HOT_MOST).collect()], np.int64).view(np.uint64))
 
 
+def _with_ends(docs: DataFrame, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows of `docs` whose texts the pairs' nodes stand for, and few others, so that no other text is split again."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "hash"), "node")
+    return sift(docs, F.col("hash"), ends, "hash")
+
+
 def _close(docs: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
-    """Those of the pairs (a, b: nodes) whose shingles are close enough; exact."""
-    pairs = stage(pairs)
+    """Those of the pairs (a, b: nodes; staged) whose shingles are close enough; exact."""
     ends = stage(pairs.select("a", F.explode(F.array("a", "b")).alias("node")).groupBy("node", slot_of("node").alias("slot")).agg(
         F.count(F.lit(1)).alias("n_rows")))
     each = _each(docs, "node long, x array<long>", lambda sets: pa.record_batch([pa.array([node_of(s) for s in sets]), _lists(sets)], names=["node", "x"]), words)
@@ -243,7 +296,7 @@ def _by_fingerprint(nodes: DataFrame) -> DataFrame:
 def near_links(docs: DataFrame, nodes: DataFrame, n: int, words: int = 5) -> DataFrame:
     """Links (a, b) between nodes that connect them as all pairs of close sets would.
 
-    `docs` has hash and text, `nodes` node, fp, size and sketch, once for each.  Nodes whose fingerprints SimHash links are
+    `docs` has hash and text, `nodes` node, fp, size, sketch and the hash of a text, once for each.  Nodes whose fingerprints SimHash links are
     compared first.  A fifth of the shingles may change more bits than blocks of fingerprints can bridge, so nodes that
     share a key are candidates too.  Each of them is compared with its key's lead, the node that shares keys with most
     others: the original of many copies is close to all of them.  Of what is then still apart only pairs that their
@@ -251,7 +304,7 @@ def near_links(docs: DataFrame, nodes: DataFrame, n: int, words: int = 5) -> Dat
     close or nearly so.  No documents give no links.
     """
     printed = _by_fingerprint(nodes)
-    found = _close(docs, printed, words)
+    found = _close(_with_ends(docs, printed, nodes), printed, words)
     hot = _hot(docs, n, words)
     keyed = _keyed(docs, hot, words)
     shared = keyed.groupBy("key", slot_of("key").alias("slot")).agg(F.min("node").alias("least"), F.max("node").alias("last"), F.count(F.lit(1)).alias("n_rows"))
@@ -264,13 +317,14 @@ def near_links(docs: DataFrame, nodes: DataFrame, n: int, words: int = 5) -> Dat
     members = stage(join_counted(members.drop("n_rows"), leads, ["key"], total, F.col("node")).select("key", "node", "lead"))
     led = members.where("node <> lead").select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b"))
     led = stage(led.distinct().join(printed, ["a", "b"], "left_anti"))
-    links = stage(found.unionByName(_close(docs, led, words)))
+    links = stage(found.unionByName(_close(_with_ends(docs, led, nodes), led, words)))
     label = components(links)
     named = stage(members.join(label, "node", "left").select("key", F.coalesce("label", "node").alias("label"), "node"))
     open_keys = named.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("m"), F.count(F.lit(1)).alias("n")).where("l <> m and n > 2").select("key")
     rows = named.join(open_keys, "key", "left_semi").join(nodes, "node").repartition("key").sortWithinPartitions("key", "label", "node")
     left = rows.select("key", "label", "node", "size", "sketch").mapInArrow(_across, "a long, b long").distinct()
-    return links.unionByName(_close(docs, left.join(printed.unionByName(led), ["a", "b"], "left_anti"), words))
+    left = stage(left.join(printed.unionByName(led), ["a", "b"], "left_anti"))
+    return links.unionByName(_close(_with_ends(docs, left, nodes), left, words))
 
 
 def keep_first(docs: DataFrame, words: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -281,7 +335,7 @@ def keep_first(docs: DataFrame, words: int = 5, doc_id: str = "doc_id", text: st
     """
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("hash"), F.col(text).alias("text"))
     rows = stage(_nodes(slim, words))
-    nodes = stage(rows.where("node is not null").groupBy("node").agg(*[F.first(c).alias(c) for c in ("fp", "size", "sketch")]))
+    nodes = stage(rows.where("node is not null").groupBy("node").agg(*[F.first(c).alias(c) for c in ("fp", "size", "sketch", "hash")]))
     label = components(near_links(slim, nodes, rows.count(), words))
     rows = rows.join(label, "node", "left").select("doc_id", "hash", F.coalesce("label", "node").alias("label"))
     return first_of_groups(docs, rows, "label", doc_id, text)

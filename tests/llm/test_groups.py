@@ -73,6 +73,34 @@ def test_simhash_finds_candidates(spark, monkeypatch):
     assert shingles._by_fingerprint(nodes.limit(0)).count() == 0
 
 
+def test_only_texts_of_pairs_are_compared(spark, monkeypatch):
+    """Pairs are confirmed without splitting the texts that are in none."""
+    say = lambda seed, k: " ".join(random.Random(seed).choices("abcdefghijklmnopqrstuvwxyz", k=k))
+    texts = [say(0, 300) + f" new{i}" for i in range(4)] + [say(0, 300).upper() + " NEW0"] + [say(k, 40) for k in range(1, 60)]
+    docs = spark.createDataFrame([row(i, t) for i, t in enumerate(texts)], KINDS).repartition(3)
+    given, close = [], shingles._close
+    monkeypatch.setattr(shingles, "_close", lambda d, p, w: given.append({r["doc_id"] for r in d.collect()}) or close(d, p, w))
+    assert sorted(r["doc_id"] for r in shingles.keep_first(docs).collect()) == [0, *range(5, 64)]
+    assert {1, 2, 3} <= given[0] | given[1] and all(ids <= set(range(5)) for ids in given)
+
+
+def test_shingles_of_texts_that_are_hashed_together(monkeypatch):
+    """Each text has as many hashes as different shingles, whatever stands beside it; equal shingles have equal hashes."""
+    r = random.Random(3)
+    letters = ["a", "b", "B", "é", "\0", "\xa0", "日", "x" * 7, "x" * 8, "y" * 63, "y" * 64, "y" * 65, "z" * 300]
+    word = lambda: "".join(r.choice(letters) for _ in range(r.randint(1, 3)))
+    texts = [None, "", " \t\n", "a", "a\0", "a \0", *("".join(word() + r.choice(" \t\n\v\f\r") * r.randint(1, 2) for _ in range(r.randint(0, 12))) for _ in range(300))]
+    for at_once in (1, 50, 1 << 20):
+        monkeypatch.setattr(shingles, "AT_ONCE", at_once)
+        sets = list(shingles.shingle_sets(texts))
+        assert [len(s) for s in sets] == [len(brute_shingles(t)) for t in texts]
+        assert all((np.diff(s) > 0).all() and s.tolist() == shingles.shingles(t).tolist() for s, t in zip(sets, texts))
+        assert len(np.unique(np.concatenate(sets))) == len(set().union(*map(brute_shingles, texts)))
+    hot, some = sets[-1], [s for s in sets if len(s)]
+    keys, owners = shingles.set_keys(some, hot)
+    assert all(sorted(keys[owners == i]) == sorted(shingles.keys_of(s, hot)) for i, s in enumerate(some))
+
+
 def test_close_shingles_of_odd_rows(spark):
     docs = spark.createDataFrame(odd_rows(), KINDS)
     got = shingles.keep_first(docs)
