@@ -2,7 +2,8 @@
 
 A sum of any period is a convolution with a chirp, and that runs through transforms whose length is a power of two.
 Those are taken in two steps on a grid: transforms down the columns, twiddles, transforms along the rows.  Tiles of
-the grid travel between the steps as bytes, so a group holds some columns or some rows and never a channel.
+the grid travel between the steps as bytes, so a group holds some columns or some rows and never a channel.  Channels
+whose grid is a single tile need not travel: `many_sums` takes as many of them at once as fill a tile.
 """
 
 from __future__ import annotations
@@ -35,6 +36,17 @@ def _twiddle(k: np.ndarray, c: np.ndarray, size: int, sign: int) -> np.ndarray:
     return np.exp(sign * 2j * np.pi * ((k[:, None] * c[None, :]) / size))
 
 
+def many_sums(x: np.ndarray, n_in: np.ndarray, n_out: np.ndarray, period: np.ndarray, sign: int) -> np.ndarray:
+    """`fourier_sums` of short channels, each a row of ``x`` with zeros behind its n_in values; what is behind its n_out sums is void."""
+    size = 1 << int((n_in + n_out - 2).max()).bit_length()
+    i, j, k = np.arange(x.shape[1]), np.arange(n_out.max()), np.arange(size)
+    n_in, n_out, period = n_in[:, None], n_out[:, None], period[:, None]
+    apart = np.where(k < n_out, k, k - size)
+    b = np.where(apart > -n_in, _chirp(apart, period, -sign), 0)
+    y = np.fft.ifft(np.fft.fft(x * _chirp(i, period, sign), size) * np.fft.fft(b))
+    return y[:, : len(j)] * _chirp(j, period, sign)
+
+
 def fourier_sums(df: DataFrame, keys: Sequence[str], sign: int, carry: Sequence[str] = (), tile: int = TILE) -> DataFrame:
     """Per key: sum over idx of (re + i im) * exp(sign * 2 pi i * j * idx / period) for 0 <= j < n_out.
 

@@ -27,13 +27,14 @@ PIECE_ROWS = 8192
 _MERGE = {"sum": F.sum, "min": F.min, "max": F.max}
 
 
-def add_cell(df: DataFrame, keys: Sequence[str], order: str, target_rows: int = TARGET_ROWS, tie: Sequence[str] = ()) -> DataFrame:
+def add_cell(df: DataFrame, keys: Sequence[str], order: str, target_rows: int = TARGET_ROWS, tie: Sequence[str] = (), whole: str | None = None) -> DataFrame:
     """Add ``_cell``: the number of the slice of (``order``, ``tie``) that a row of its key lies in.
 
     Slices are cut at quantiles of each key's own values, from a hash sample of about 64 rows for every
     ``target_rows``, so outliers, runs of equal ``order`` and sparse keys beside dense ones leave no slice
     much above half the target.  Only keys above the target have cuts: the table that is broadcast holds
     at most two for every ``target_rows`` rows of the data.  Rows equal in all of these columns stay together.
+    ``whole`` names a column that tells whether the row's key has no cuts.
     """
     share = max(1, target_rows // 64)
     every = max(1, min(32, target_rows // (2 * share)))
@@ -47,7 +48,7 @@ def add_cell(df: DataFrame, keys: Sequence[str], order: str, target_rows: int =
         if(s.lo >= s.hi, s, if(_cuts[(s.lo + s.hi) div 2] < _place, named_struct('lo', cast((s.lo + s.hi) div 2 + 1 as int), 'hi', s.hi),
         named_struct('lo', s.lo, 'hi', cast((s.lo + s.hi) div 2 as int)))), s -> s.lo)""")
     cell = F.when(F.col("_cuts").isNotNull(), found).otherwise(0).cast("long")
-    return marked.select(*df.columns, cell.alias(CELL))
+    return marked.select(*df.columns, cell.alias(CELL), *([F.col("_cuts").isNull().alias(whole)] if whole else []))
 
 
 def salted(df: DataFrame, cols: Sequence[str], salts: int = 64) -> DataFrame:

@@ -238,3 +238,65 @@ def test_every_pair_of_blocks_meets_once_with_few_copies(spark):
         assert {r["count"] for t in (left, right) for r in t.groupBy("_b").count().collect()} == {side}
         met = left.withColumnRenamed("_b", "a").join(right.withColumnRenamed("_b", "b"), ["_row", "_column"]).select("a", "b").collect()
         assert sorted(map(tuple, met)) == [(a, b) for a in range(n) for b in range(n)]
+
+
+def spied(monkeypatch):
+    """Keys of all rows that go through tiles, as `fourier_resample` hands them over."""
+    seen, real = set(), resample.fourier_sums
+
+    def sums(df, keys, *rest):
+        seen.update(r[0] for r in df.select(*keys).distinct().collect())
+        return real(df, keys, *rest)
+
+    monkeypatch.setattr(resample, "fourier_sums", sums)
+    return seen
+
+
+def test_short_channels_are_resampled_where_they_are_sorted(spark, monkeypatch):
+    rng = np.random.default_rng(14)
+    short = {f"s{i}": rng.normal(size=n) for i, n in enumerate(rng.integers(1, 43, 300))}
+    df = pd.concat([pd.DataFrame({"k": k, "t": np.arange(len(x)) / 100.0, "v": x}) for k, x in (short | {"long": rng.normal(size=70)}).items()])
+    seen = spied(monkeypatch)
+    got = resample.fourier_resample(spark.createDataFrame(df.sample(frac=1, random_state=1)), ["k"], "t", 30.0, tile=64).toPandas()
+    assert seen == {"long"} and set(got["k"]) == {*short, "long"}
+    for key, part in got.sort_values("sample_idx").groupby("k"):
+        x = df.loc[df["k"] == key, "v"].to_numpy()
+        np.testing.assert_allclose(part["v"], by_spectrum(x, len(part)), atol=1e-10)
+
+
+@pytest.mark.parametrize("rows", [3, 10_000])
+def test_fourier_of_odd_channels(cached, monkeypatch, rows):
+    """Null keys, times and samples, channels that go on over batches, results and samples of several pieces, channels a tile just holds or doesn't."""
+    monkeypatch.setattr(resample, "PIECE_ROWS", 8)
+    before = cached.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    cached.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    try:
+        rng = np.random.default_rng(15)
+        channels = {n: rng.normal(size=n) for n in (1, 2, 3, 31, 32, 42, 43, 44, 63, 64, 65, 130)}
+        data = [(n, f"c{n}", i / 100.0, float(v)) for n, x in channels.items() for i, v in enumerate(x)]
+        odd = [(None, "c", 0.0, 1.0), (None, "c", 1.0, 1.0), (9, None, 0.0, 1.0), (7, "untimed", None, 4.0), (7, "untimed", None, 4.0), (8, "half", None, 3.0), (8, "half", 0.0, None), (8, "half", 0.5, 5.0)]
+        df = cached.createDataFrame(data + odd, "k int, name string, t double, v double")
+        seen = spied(monkeypatch)
+        got = resample.fourier_resample(df, ["k", "name"], "t", 50.0, tile=64).toPandas().sort_values(["k", "sample_idx"])
+    finally:
+        cached.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert seen == {63, 64, 65, 130}  # 44 samples and 11 bins lie in a tile of 64, 63 samples and 15 bins don't
+    assert set(got["k"]) == {*channels, 7, 8} and set(got["name"]) == {*(f"c{n}" for n in channels), "untimed", "half"}
+    for n, x in channels.items():
+        part = got[got["k"] == n]
+        m = max(2, int(np.floor((n - 1) / 100 * 50.0 + 0.5))) if n > 1 else 1
+        assert list(part["sample_idx"]) == list(range(m))
+        np.testing.assert_allclose(part["v"], by_spectrum(x, m), atol=1e-10)
+        np.testing.assert_allclose(part["t"], np.linspace(0, (n - 1) / 100, m), atol=1e-9)
+    untimed, half = got[got["k"] == 7], got[got["k"] == 8]
+    assert untimed["t"].isna().all() and np.allclose(untimed["v"], 4.0) and len(untimed) == 2
+    np.testing.assert_allclose(half["v"], by_spectrum(np.array([3.0, 0.0, 5.0]), 25), atol=1e-10)
+    np.testing.assert_allclose(half["t"], np.linspace(0, 0.5, 25), atol=1e-12)
+
+
+def test_short_channels_of_long_results(spark, monkeypatch):
+    seen = spied(monkeypatch)
+    x = np.random.default_rng(16).normal(size=50)
+    got = resample.fourier_resample(as_frame(spark, x), ["k"], "t", 41_000.0).toPandas().sort_values("sample_idx")
+    assert not seen and list(got["sample_idx"]) == list(range(20_090))
+    np.testing.assert_allclose(got["v"], by_spectrum(x, 20_090), atol=1e-10)
